@@ -6,14 +6,16 @@ coordinates, as (coordinate, value) pairs. A pair of similarity 0.75 agrees on 4
 average, on fewer than ``MATCHES`` with a chance below 1e-5; agreements are counted over posting
 lists, and every pair kept is confirmed on its full sets. No list is paired with itself whole:
 
-1. Star: in each list all are paired with the list's first; pairs met in several lists are
-   confirmed and joined to components. This takes in large groups of copies, a pair a posting.
+1. Star: in each list all are paired with the list's most central document; pairs met in several
+   lists are confirmed and joined to components. This takes in large groups of copies, a pair a posting.
 2. Skip merging: in lists of at most ``SHORT`` that still hold two components, pairs from
    different components are counted. Longer lists are skipped: a pair needs the matches less
    the fewer of its two documents' long lists, so none is missed while that is above 0.
-3. Prefix merging: documents with so many long lists that step 2 could miss a pair of theirs.
-   Two of them that agree ``MATCHES`` times share one of the 64 - MATCHES + 1 rarest coordinates
-   of each; pairs from different components in those lists are confirmed.
+3. Prefix merging: documents with so many long lists that step 2 could miss a pair of theirs,
+   mostly made of very common passages, are posted under their shingles, rarest first. Two of
+   similarity p share one of the first n - ceil(p n) + 1 of the larger's and the first
+   m - ceil(2 p m / (1 + p)) + 1 of the smaller's; pairs of different components in those lists
+   are confirmed.
 
 Links inside a component are not needed to know the component, and are not listed.
 """
@@ -95,6 +97,23 @@ def setter(size: int = SHINGLE):
     return run
 
 
+def shingler(size: int = SHINGLE):
+    """mapInArrow function: (id, text) to a row (id, set size, hash) per distinct shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            at = 0
+            for group in _grouped(_distinct(hasher, batch.column(1), size)):
+                n = np.array([len(x) for x in group])
+                rows = np.repeat(np.arange(at, at + len(group)), n)
+                at += len(group)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), pa.array(np.repeat(n, n)), pa.array(np.concatenate(group).view(np.int64))], names=["node", "n", "s"])
+
+    return run
+
+
 def confirmer(percent: int = PERCENT):
     """mapInArrow function: (a, b, set of a, set of b) to the pairs of at least that similarity."""
 
@@ -141,13 +160,17 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text: str = "t
     postings = materialize(
         named.select(F.col("doc").alias("node"), "n", F.posexplode("sig").alias("c", "v")).select("node", "n", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")).alias("key")), "postings"
     )
-    release_later = [postings]
-    lists = materialize(postings.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(mixed("node").alias("h"), F.col("node"), F.col("n"))).alias("hub")).where("size > 1").select("key", "size", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "lists")
+    lists = postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = materialize(postings.join(lists, "key").select("key", "node", "n", "size"), "shared")
+    release(postings)
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    shared = materialize(postings.join(lists, "key").select("key", "node", "n", "size", "hub", "hub_n"), "shared")
-    release(*release_later, lists)
 
-    star = shared.where((F.col("node") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"))).groupBy("hub", "node").agg(F.count("*").alias("met")).where("met >= 4")
+    # A list's most central document is in the most lists of about its size: in a group of near copies, one with few changes.
+    sized = shared.withColumn("band", F.floor(F.log2("size")))
+    central = sized.groupBy("node", "band").agg(F.count("*").alias("score"))
+    hubs = sized.join(central, ["node", "band"]).groupBy("key").agg(F.max(F.struct("score", mixed("node").alias("h"), F.col("node"), F.col("n"))).alias("hub"))
+    star = shared.join(hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "key")
+    star = star.where((F.col("node") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"))).groupBy("hub", "node").agg(F.count("*").alias("met")).where("met >= 4")
     links = confirm(star.select(F.col("hub").alias("a"), F.col("node").alias("b")), texts, size, percent)
     found = connected_components(links)
 
@@ -168,21 +191,29 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text: str = "t
     enough = F.col("met") + F.least(F.coalesce("skipped_a", F.lit(0)), F.coalesce("skipped_b", F.lit(0))) >= matches
     second = confirm(met.where(enough).select("a", "b"), texts, size, percent)
 
-    hot = long_lists.where(F.col("skipped") >= matches).select("node")
-    rest = open_lists.join(hot, "node", "left_semi")
-    rarity = rest.groupBy("key").agg(F.count("*").alias("hot_size")).where("hot_size > 1")
-    ranked = rest.join(rarity, "key").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("hot_size", "key")))
-    # Coordinates that no other hot document has cannot be shared: the prefix shrinks by them.
-    lone = coordinates - F.count("*").over(Window.partitionBy("node"))
-    prefix = materialize(ranked.withColumn("lone", lone).where(F.col("rank") <= coordinates - matches + 1 - F.col("lone")).select("key", "node", "n", "component"), "prefix")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    third = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n")))
+    hot = long_lists.where(F.col("skipped") >= matches).select("node").join(found, "node", "left")
+    hot = materialize(hot.select("node", F.coalesce("component", "node").alias("component")), "hot")
+    members = texts.join(hot, texts["doc"] == hot["node"], "left_semi").mapInArrow(shingler(size), "node long, n long, s long")
+    members = materialize(members.join(hot, "node"), "members")
+    common = members.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("node")
+    ranked = members.join(common, "s").withColumn("lone", F.col("n") - F.count("*").over(own))
+    ranked = ranked.withColumn("rank", F.col("lone") + F.row_number().over(own.orderBy("df", "s")))
+    # Of sets of sizes m <= n, the smaller shares at least 2p / (1 + p) of itself, the larger p: the rest + 1 is the prefix.
+    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("s", "node", "n", "component", "lone", "rank")
+    prefix = materialize(prefix, "prefix")
+    x = prefix.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1).alias("x")
+    y = prefix.alias("y")
+    most = F.least(F.col("x.n") - F.col("x.lone"), F.col("y.n") - F.col("y.lone"))
+    before = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    possible = before & (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n")) & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
+    third = x.join(y, (F.col("x.s") == F.col("y.s")) & possible)
     third = confirm(third.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), texts, size, percent)
 
     more = second.union(third)
     if not more.isEmpty():
         found = connected_components(more.union(links).union(found.select("node", "component")))
-    release(open_lists, prefix, shared)
+    release(open_lists, hot, members, prefix, shared)
     classes = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = profile.select("doc", F.col("n").alias("n_shingles"), "d1", "d2").join(classes, ["d1", "d2"], "left")
     out = out.withColumn("empty", F.col("n_shingles") == 0)
