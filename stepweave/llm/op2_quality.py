@@ -47,19 +47,25 @@ def repeated_words(words: Column, size: int = 3) -> Column:
     return F.size(F.array_distinct(F.flatten(F.transform(found, lambda x: F.array(*(x["i"] + k for k in range(size)))))))
 
 
-def measure(documents: DataFrame, text: str = "text") -> DataFrame:
-    """documents without the text, with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
+def measures(text: str) -> list[Column]:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text column."""
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(WORD))
-    cut = documents.withColumn("_q_words", words_of(F.col(text))).withColumn("_q_lines", lines)
-    return cut.select(
-        *(c for c in documents.columns if c != text),
-        F.size("_q_words").cast("long").alias("n_words"),
-        F.char_length(F.array_join("_q_words", "")).cast("long").alias("word_chars"),
-        F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_q_words")).cast("long").alias("n_repeat_words"),
+    made = let(
+        words_of(F.col(text)),
+        lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), F.char_length(F.array_join(ws, "")).cast("long").alias("word_chars"), repeated_words(ws).cast("long").alias("n_repeat_words")),
     )
+    return [made.alias("_q"), F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")]
+
+
+def measure(documents: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """documents, without the text unless asked for, and the five measures.
+
+    The row number drawn beside them keeps the optimizer from computing a measure once per use.
+    """
+    kept = [c for c in documents.columns if keep_text or c != text]
+    drawn = documents.select(*kept, *measures(text), F.monotonically_increasing_id().alias("_q_row"))
+    return drawn.select(*kept, "_q.n_words", "_q.word_chars", "n_symbols", "n_dup_lines", "_q.n_repeat_words")
 
 
 BASE = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
@@ -92,6 +98,18 @@ def quality_rules(documents: DataFrame, id_col: str = "doc_id", text: str = "tex
     return judged.withColumn("kept", ~F.col("base_failed") & (~F.col("host_failed") | ~F.expr(STRICT))).drop("_q_host")
 
 
+def passing_documents(documents: DataFrame, text: str = "text", host: str = "source", limit: float = 0.5) -> DataFrame:
+    """The documents kept by quality_rules(), all columns as they are.
+
+    Texts are measured twice, for the hosts and for themselves, rather than shuffled once.
+    """
+    hosts = judge_hosts(materialize(measure(documents.select(host, text), text), "quality"), host, limit)
+    hosts = materialize(hosts.select("_q_host", "host_failed"), "hosts")
+    measured = measure(documents.select(F.struct("*").alias("_q_all"), F.col(text).alias("_q_text"), F.col(host).alias("_q_source")), "_q_text")
+    judged = measured.join(hosts, F.col("_q_source").eqNullSafe(F.col("_q_host")), "left")
+    return judged.where(f"NOT ({BASE}) AND (NOT host_failed OR NOT ({STRICT}))").select("_q_all.*")
+
+
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     out = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("source").alias("host"), "host_failed")

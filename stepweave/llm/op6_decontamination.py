@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.shared import WordHasher, blocks, materialize, mix
+from stepweave.llm.shared import WordHasher, blocks, mix
 
 BITS, RADIUS, ITEMS, SHINGLE, PERCENT = 128, 40, 20_000, 5, 75
 
@@ -150,21 +150,44 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, id_col: str = "do
     first window. An empty benchmark or table gives no rows.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
-    count, kind, found = wanted.count(), "doc_id long, item_id long, first_word long, n_words long, similarity double", None
-    parts = max(1, -(-count // items))
-    for part in range(parts):
-        own = wanted if parts == 1 else wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        rows = [(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").toLocalIterator()]
+    kind, found = "doc_id long, item_id long, first_word long, n_words long, similarity double", None
+    for rows in item_blocks(benchmark, items):
         some = docs.mapInArrow(_scanner(rows, radius, percent), kind)
         found = some if found is None else found.union(some)
     return found
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without any benchmark item; rows of a null id are kept."""
-    found = materialize(find_benchmark(documents, benchmark, id_col, text).select("doc_id").distinct(), "contaminated")
-    return documents.join(found.withColumnRenamed("doc_id", "_found"), documents[id_col] == F.col("_found"), "left_anti")
+def _cleaner(rows: list[tuple[int, str]], radius: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(rows, radius, percent)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for at, _, data, offsets in blocks(batch.column(batch.num_columns - 1)):
+                starts, ends, first = items.hasher.bounds(data, offsets)
+                shingles, cut = items.hasher.shingles(items.hasher(data, starts, ends), first, SHINGLE)
+                for r in np.unique(np.searchsorted(cut, items.touched(shingles), "right") - 1):
+                    keep[at + r] = next(items.match(shingles[cut[r] : cut[r + 1]]), None) is None
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def item_blocks(benchmark: DataFrame, items: int = ITEMS) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's items in blocks of about `items` rows."""
+    wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
+    parts = max(1, -(-wanted.count() // items))
+    for part in range(parts):
+        own = wanted if parts == 1 else wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+        yield [(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").toLocalIterator()]
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text", radius: int = RADIUS, percent: int = PERCENT, items: int = ITEMS) -> DataFrame:
+    """The documents without a window of any benchmark item, columns as they are; no shuffle."""
+    columns, left = documents.columns, documents
+    for rows in item_blocks(benchmark, items):
+        moved = left.select(*(c for c in columns if c != text), text)
+        left = moved.mapInArrow(_cleaner(rows, radius, percent), moved.schema)
+    return left.select(*columns)
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from stepweave.llm import op2_quality, op8_mixing, op9_minhash
+from stepweave.llm import op1_substrings, op2_quality, op3_language, op4_urls, op5_pii, op6_decontamination, op7_tokens, op8_mixing, op9_minhash, op10_attention
 
-_MODULES = {"op2_quality_rules": op2_quality, "op8_mixing": op8_mixing, "op9_minhash": op9_minhash}
+_MODULES = {
+    "op1_substrings": op1_substrings,
+    "op2_quality_rules": op2_quality,
+    "op3_language": op3_language,
+    "op4_urls": op4_urls,
+    "op5_pii": op5_pii,
+    "op6_decontamination": op6_decontamination,
+    "op7_tokens": op7_tokens,
+    "op8_mixing": op8_mixing,
+    "op9_minhash": op9_minhash,
+    "op10_attention": op10_attention,
+}
 
 
 def queries() -> dict:

@@ -37,21 +37,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stepweave_path = path
+    MADE.append(back)
     return back
 
 
 def release(*tables: DataFrame) -> None:
     """Delete tables made by materialize() that nothing reads any more."""
     for df in tables:
+        MADE[:] = [x for x in MADE if x is not df]
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._stepweave_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release_all(spark: SparkSession) -> None:
-    """Delete all tables made by materialize(); for callers who hold no result that still reads one."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/stepweave-tables")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Tables made by materialize() in this process, for callers who know when a step's tables are spent.
+MADE: list[DataFrame] = []
 
 
 def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
