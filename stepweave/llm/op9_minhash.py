@@ -14,8 +14,8 @@ lists, and every pair kept is confirmed on its full sets. No list is paired with
 3. Prefix merging: documents with so many long lists that step 2 could miss a pair of theirs,
    mostly made of very common passages, are posted under their shingles, rarest first. Two of
    similarity p share one of the first n - ceil(p n) + 1 of the larger's and the first
-   m - ceil(2 p m / (1 + p)) + 1 of the smaller's; pairs of different components in those lists
-   are confirmed.
+   m - ceil(2 p m / (1 + p)) + 1 of the smaller's. Each list is paired with its document of fewest
+   own shingles first; then pairs of components that are still different are confirmed.
 
 Links inside a component are not needed to know the component, and are not listed.
 """
@@ -202,18 +202,24 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text: str = "t
     # Of sets of sizes m <= n, the smaller shares at least 2p / (1 + p) of itself, the larger p: the rest + 1 is the prefix.
     prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("s", "node", "n", "component", "lone", "rank")
     prefix = materialize(prefix, "prefix")
+    # A star first, around the document of fewest own shingles in each list: what it links needs no pairs any more.
+    least = prefix.groupBy("s").agg(F.min(F.struct("lone", mixed("node").alias("h"), F.col("node"), F.col("n"), F.col("component"))).alias("hub"))
+    star = prefix.join(least, "s").where((F.col("node") != F.col("hub.node")) & (F.col("component") != F.col("hub.component")) & alike(F.col("n"), F.col("hub.n")))
+    around = confirm(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), texts, size, percent)
+    joined = connected_components(around.union(second).union(links).union(found.select("node", "component")))
+    prefix = prefix.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     x = prefix.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1).alias("x")
     y = prefix.alias("y")
     most = F.least(F.col("x.n") - F.col("x.lone"), F.col("y.n") - F.col("y.lone"))
     before = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-    possible = before & (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n")) & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
+    # At a pair's first common shingle no more can be common than what follows it in either; other rows of the pair may go.
+    follows = 1 + F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank"))
+    possible = ((100 + percent) * follows >= percent * (F.col("x.n") + F.col("y.n"))) & before & (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n")) & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
     third = x.join(y, (F.col("x.s") == F.col("y.s")) & possible)
     third = confirm(third.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), texts, size, percent)
 
-    more = second.union(third)
-    if not more.isEmpty():
-        found = connected_components(more.union(links).union(found.select("node", "component")))
-    release(open_lists, hot, members, prefix, shared)
+    found = joined if third.isEmpty() else connected_components(third.union(joined.select("node", "component")))
+    release(open_lists, hot, members, shared)
     classes = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = profile.select("doc", F.col("n").alias("n_shingles"), "d1", "d2").join(classes, ["d1", "d2"], "left")
     out = out.withColumn("empty", F.col("n_shingles") == 0)
