@@ -81,4 +81,59 @@ TYPE_CONSTRAINTS = {
 # Lifecycle events that edge labels stand for.
 LIFECYCLE_EVENTS = {"triggers": "creation", "supersedes": "replacement", "deprecates": "deprecation", "replaces": "replacement", "causes": "fault_occurrence", "maintains": "maintenance", "repairs": "maintenance", "updates": "update", "upgrades": "update"}
 
+# Words that name an action of a step.
+ACTION_WORDS = (
+    ("record", "record|records|capture|captures|document|documents|note|notes|log|logs"),
+    ("inspect", "inspect|inspects|inspection|observe|observes|check|checks|review|reviews|watch|watches|examine|examines|identify|identifies|trace|traces"),
+    ("measure", "measure|measures|measurement|gauge|gauges|quantify|quantifies"),
+    ("expose", "expose|exposes|exposure|open|opens|access|accesses|uncover|uncovers|isolate|isolates|safe|lift"),
+    ("compare", "compare|compares|comparison|compares with|align|aligns|match|matches"),
+    ("repair", "repair|repairs|replacement|replace|replaces|reseat|reseats|reset|resets|correct|corrects|refit|refits|install|installs|installs on|renew|renews|restore|restores|torque|torques|tighten|tightens|lubricate|lubricates"),
+    ("verify", "verify|verifies|verification|validation|confirm|confirms|validate|validates|prove|proves|test|tests|pressure-test|pressure-tests|circulate|circulates|monitor|monitors|release"),
+    ("remove", "remove|removes|removal|detach|detaches"),
+)
+
+# Relation labels that name no action.
+WEAK_RELATIONS = ("allows", "allow", "holds", "hold", "keeps", "keep", "leaves", "leave", "names", "name", "marks", "mark", "performed on", "pays attention to", "requires", "require", "runs", "run", "targets", "target")
+
+# Where a step's summary begins and ends.
+SUMMARY_PREFIX = r"(?i)^(?:for|on|at)\s+[^,]+,\s*"
+SUMMARY_ENDS = (".", ";", ",", " while ", " because ", " so ", " then ", " before ", " after ")
+GENERIC_CONTEXT = "branch|path|history|context|process|cycle"
+
+# How well an action's target shows by its type (high, medium types), and why other targets are hidden.
+ACTION_TARGETS = {
+    "record": (("Signal", "State", "Fault"), (), "record_requires_signal_like_target"),
+    "inspect": (("Signal", "Component", "State", "Fault"), (), "inspect_requires_grounded_target"),
+    "measure": (("Signal", "Component", "State"), (), "measure_requires_grounded_target"),
+    "compare": ((), ("Signal", "Component", "State"), "compare_requires_grounded_target"),
+    "expose": (("Component",), (), "expose_requires_component_target"),
+    "remove": (("Component",), (), "remove_requires_component_target"),
+    "repair": (("Component",), ("State", "Fault"), "repair_requires_component_target"),
+    "verify": (("State", "Fault"), ("Signal", "Component"), "verify_requires_grounded_target"),
+}
+
+# What a step acts on where no single target is named.
+DEFAULT_OBJECTS = {"record": "issue evidence", "inspect": "key evidence", "measure": "critical dimensions", "expose": "local assembly", "compare": "reference dimensions", "repair": "failed interface", "verify": "repair outcome", "remove": "access cover"}
+
+# Canonical relation labels by family; then passive forms, which are turned round, and other names.
+RELATION_LABELS = {
+    "structural": ("contains",),
+    "lifecycle": ("hasState", "transitionsTo"),
+    "communication": ("indicates", "provides", "emits", "monitors"),
+    "task_dependency": ("requires", "measures", "records", "confirms", "observes", "performs", "triggers"),
+    "propagation": ("causes", "comprises"),
+}
+PASSIVE_LABELS = {"causedby": "causes", "measuredby": "measures", "confirmedby": "confirms", "observedin": "observes", "performedby": "performs"}
+OTHER_LABELS = {"separates": "confirms"}
+
+# Patterns of procedure texts.
+ASSET_NAMES = "pack|vehicle|machine|cabinet|controller|motor|compressor|spindle|axis|drive|battery|chiller|pump"
+PROCEDURE_TYPES = (("diagnosis", "diagnosis|diagnostic"), ("inspection", "inspection|inspect|review"), ("replacement", "replacement|replace|install"), ("repair", "repair|reseat|correct"), ("verification", "verification|verify|validate"))
+FAULT_TYPES = "leak|seepage|corrosion|crack|overheat|misalignment|contamination|drift|drop|offset|noise|vibration|fault|failure"
+DOCUMENT_HEAD = "branch|path|condition|state"
+DOCUMENT_TAIL = "hose|clip|rib|panel|overmold"
+MANUAL_FILE = r"(?i)^(evman|batom|batteryman|cncom|cncman|nevom)|_om_"
+MANUAL_CONTENT = r"(?i)time step|o&m sample|\| t[1-9] \|"
+
 FAR_FUTURE = "9999-12-31T23:59:59Z"

@@ -78,3 +78,27 @@ def supersede_roots(links: DataFrame, rounds: int = 40) -> DataFrame:
             break
     roots = links.where("supersedes IS NULL").select(F.col("id").alias("to"), F.lit(True).alias("is_root"))
     return at.join(roots, "to", "left").select("id", F.when(F.col("is_root"), F.col("to")).alias("root"))
+
+
+def temporal_metrics(held: DataFrame, snapshots: DataFrame, cyclic: DataFrame, events: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: the share of the five checks that pass, coverage of gold events, whether counts only grow, and drift.
+
+    held is consistency()'s input with supersedes; snapshots has snapshot_id, parent_snapshot_id, created_at,
+    node_count, edge_count (one row per record: few beside the data); cyclic is supersede_roots()'s result;
+    events and gold have object_id and event. Every input may be empty.
+    """
+    per_object = consistency(held).agg(F.coalesce(F.sum("overlaps"), F.lit(0)).alias("overlaps"), F.coalesce(F.sum("backward"), F.lit(0)).alias("backward"))
+    cycles = cyclic.agg(F.count_if(F.col("root").isNull()).alias("cycles"))
+    parents = snapshots.where("parent_snapshot_id <> ''").select(F.col("parent_snapshot_id").alias("snapshot_id"))
+    orphans = parents.join(snapshots.select("snapshot_id"), "snapshot_id", "left_anti").agg(F.count("*").alias("orphans"))
+    order = Window.orderBy("created_at", "snapshot_id")
+    before = snapshots.select((F.lag("node_count").over(order) > F.col("node_count")).alias("n"), (F.lag("edge_count").over(order) > F.col("edge_count")).alias("e"))
+    shrunk = before.agg((F.count_if("n") + F.count_if("e")).alias("shrunk"))
+    wanted = gold.select("object_id", "event").distinct()
+    covered = wanted.join(events.select("object_id", "event").distinct().withColumn("hit", F.lit(1)), ["object_id", "event"], "left").agg(F.coalesce(F.round(F.count("hit") / F.nullif(F.count("*"), F.lit(0)), 4), F.lit(0.0)).alias("event_coverage"))
+    drift = held.agg(F.coalesce(F.round(F.avg(F.col("supersedes").isNotNull().cast("double")), 4), F.lit(0.0)).alias("drift_rate"))
+    out = per_object
+    for one in (cycles, orphans, shrunk, covered, drift):
+        out = out.join(one)
+    passed = sum(((F.col(c) == 0).cast("int") for c in ("backward", "cycles", "orphans", "shrunk")), (F.col("overlaps") == 0).cast("int"))
+    return out.withColumn("score", F.round(passed / 5, 4)).withColumn("monotonic", (F.col("shrunk") == 0).cast("double"))

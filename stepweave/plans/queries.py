@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepweave import constants as K
+from stepweave.functions import procedures
 from stepweave.functions import text as T
 from stepweave.operators import attachment, evidence, graph, metrics, routing, temporal
 from stepweave.streaming.steps import windowed_counts
@@ -258,3 +259,16 @@ def rule_attachment(spark, sf_dir):
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_event_counts(spark, sf_dir):
     return windowed_counts(table(spark, sf_dir, "events"))
+
+
+@query("SELECT page_id, md5(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '\\n{3,}', chr(10) || chr(10), 'g'), '(?s)```.*?```', '', 'g'), '<[^>]+>', '', 'g'), '(?m)^#{2,6}[ \\t\\n\\x0B\\f\\r]+', '# ', 'g'), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g'), 1, 20000)) AS digest FROM pages")
+def normalized_content(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(procedures.normalize_content(F.col("html")).cast("binary")).alias("digest"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 1 THEN 'causes' WHEN l_linenumber % 4 = 2 THEN 'hasState' WHEN l_linenumber % 4 = 3 THEN 'triggers' ELSE 'odd label' END AS label, CASE WHEN l_linenumber % 4 = 1 THEN 'propagation' WHEN l_linenumber % 4 = 2 THEN 'lifecycle' WHEN l_linenumber % 4 = 3 AND l_returnflag <> 'A' THEN 'task_dependency' WHEN l_linenumber % 4 = 3 THEN 'propagation' WHEN l_returnflag = 'A' THEN 'propagation' ELSE 'structural' END AS family, CASE WHEN l_linenumber % 4 = 1 THEN l_suppkey ELSE l_partkey END AS head, CASE WHEN l_linenumber % 4 = 1 THEN l_partkey ELSE l_suppkey END AS tail FROM lineitem")
+def relation_rewrite(spark, sf_dir):
+    mode = F.col("l_linenumber") % 4
+    raw = F.struct(F.when(mode == 1, "Caused-By").when(mode == 2, "has_state").when(mode == 3, " triggers ").otherwise("odd label").alias("label"), F.when(F.col("l_returnflag") == "A", "propagation").otherwise("").alias("family"), F.col("l_partkey").cast("string").alias("head"), F.col("l_suppkey").cast("string").alias("tail"))
+    out = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", procedures.relation_entry(raw).alias("r"))
+    return out.select("l_orderkey", "l_linenumber", "r.label", "r.family", F.col("r.head").cast("long").alias("head"), F.col("r.tail").cast("long").alias("tail"))

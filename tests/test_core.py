@@ -7,8 +7,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from stepweave.functions import display as D
+from stepweave.functions import procedures
 from stepweave.functions import text as T
-from stepweave.operators import attachment, evidence, graph, temporal
+from stepweave.operators import attachment, decisions, evidence, graph, temporal
 from stepweave.plans.queries import ORACLE, QUERIES
 
 SF = Path("/root/testdata/sf0.001")
@@ -96,3 +98,59 @@ def test_supersede_cycle(spark):
     links = spark.createDataFrame([(1, None), (2, 1), (3, 2), (7, 8), (8, 7)], "id long, supersedes long")
     got = {r["id"]: r["root"] for r in temporal.supersede_roots(links, rounds=6).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: None, 8: None}
+
+
+def test_display(spark):
+    assert one(spark, D.action, "Performed_on", "checks", "quick pressure-test", "holds", "", "walk", None) == [None, "inspect", "verify", None, None, None, None]
+    assert one(spark, D.step_summary, "For the pack, lift the cover; then look", "Check, again", "while idle") == ["lift the cover", "Check", "while idle"]
+    assert one(spark, D.short_summary, "a b c d e f g h i j k l", "w" * 80 + " x", "") == ["a b c d e f g h i j", "w" * 80, ""]
+    rows = [("requires", "repair", "valve", "Component"), ("requires", "repair", "flow path", "Component"), ("checks", "inspect", "pack", "Asset"), ("checks", "inspect", "seal", None), ("compares", "compare", "gap", "Signal"), ("odd", None, "x", "State")]
+    p = spark.createDataFrame(rows, "label string, act string, tail string, kind string").select(D.workflow_policy(F.col("label"), F.col("act"), F.col("tail"), F.col("kind")).alias("p")).select("p.*")
+    assert [tuple(r) for r in p.collect()] == [("medium", True, None), ("low", False, "weak_workflow_relation"), ("low", False, "workflow_asset_context"), ("low", False, "inspect_requires_grounded_target"), ("medium", True, None), ("low", False, "unsupported_workflow_action")]
+    from stepweave.sources.readers import STEP
+
+    def step(text, phase, relations, concepts):
+        return json.dumps({"step_id": "T1", "surface_form": text, "step_phase": phase, "relation_mentions": [dict(label=a, family="task_dependency", head="T1", tail=b) for a, b in relations], "concept_mentions": [dict(label=a, semantic_type_hint=b) for a, b in concepts]})
+
+    cases = [step("Inspect hose", "observe", [("inspects", "hose")], [("hose", "Component")]), step("Inspect both", "observe", [("inspects", "hose"), ("inspects", "pump")], [("hose", "Component"), ("pump", "Component")]), step("Walk slowly, then stop", None, [], []), step("", None, [], [])]
+    assert one(spark, lambda x: D.step_label(F.from_json(x, STEP)), *cases) == ["Inspect hose (T1)", "Inspect critical components (T1)", "Walk slowly (T1)", "T1"]
+
+
+def test_decisions(spark):
+    rows = [("Asset", None, [], [], None), ("a", None, [], [], "Signal"), ("b", "Fault", [], ["structural"], "Component"), ("c", "Component", [], ["structural"], "Fault"), ("d", None, ["State"], ["propagation"], "Asset"), ("e", None, None, None, "Task"), ("f", "Asset", [], ["task_dependency", "propagation"], "Seal")]
+    c = spark.createDataFrame([(str(k), *r) for k, r in enumerate(rows)], "candidate_id string, label string, hint string, hint_candidates array<string>, families array<string>, top_anchor string")
+    got = [(r["route"], r["parent_anchor"], r["confidence"]) for r in decisions.top1_decisions(c).orderBy("candidate_id").collect()]
+    assert got == [("reuse_backbone", None, 1.0), ("vertical_specialize", "Signal", 0.55), ("vertical_specialize", "Component", 0.55), ("vertical_specialize", "Component", 0.55), ("vertical_specialize", "State", 0.55), ("reject", None, 0.25), ("reject", None, 0.25)]
+    assert [r["confidence"] for r in decisions.top1_decisions(c, least=0.6).orderBy("candidate_id").collect()][:2] == [1.0, 0.6]
+    assert [r["strength"] for r in decisions.priors(c).orderBy("candidate_id").collect()] == ["low", "medium", "medium", "high", "high", "low", "low"]
+    given = spark.createDataFrame([("0", "reuse_backbone", None, None, 0.9), ("1", "reuse_backbone", "Bogus", None, 0.8), ("5", "reuse_backbone", None, None, 0.7), ("9", "reject", None, "low_graph_value", 0.1)], "candidate_id string, route string, parent_anchor string, reject_reason string, confidence double")
+    got = {r["candidate_id"]: (r["route"], r["parent_anchor"], r["reject_reason"]) for r in decisions.complete(c, given).collect()}
+    assert got["0"] == ("reuse_backbone", None, None) and got["1"] == ("vertical_specialize", "Signal", None) and got["5"] == ("reject", None, "cannot_anchor_backbone") and got["2"] == ("reject", None, "llm_no_decision") and len(got) == 7
+
+
+def test_procedures(spark):
+    assert one(spark, procedures.normalize_content, "﻿## Head\n\n\n\n<b>x</b>```code\n```\n", "", None) == ["# Head\n\nx", "", None]
+    assert [[tuple(x) for x in r] for r in one(spark, procedures.step_rows, "| t1 | look |\r\n| T2 || no |\n|T2| fix it |", "")] == [[("T1", "look"), ("T2", "| no"), ("T2", "fix it")], []]
+    assert one(spark, procedures.document_label, " nearby hose", "vehicle ECU", "vehicle door", "T1 x") == ["hose", "ECU", "vehicle door", "T1 x"]
+    assert one(spark, lambda x: procedures.document_time(x, F.lit("2020-01-01").cast("timestamp")), "on 2024-05-06T07:08:09+02:00 x", "2024-13-40 and 03-02-2021", "2022/01/02", "none") == ["2024-05-06T05:08:09Z", "2021-02-03T00:00:00Z", "2022-01-02T00:00:00Z", "2020-01-01T00:00:00Z"]
+    assert one(spark, procedures.front_matter, "---\na: \"1\"\nb: x: y\na: 2\n---\ntext", "text") == [{"a": "2", "b": "x: y"}, {}]
+    assert [tuple(r) if r else None for r in one(spark, procedures.procedure_meta, "# Pump leak inspection\nreplace", "hello")] == [("Pump", "inspection", "leak"), None]
+
+
+def test_temporal_metrics(spark):
+    held = spark.createDataFrame([("x", 1, "2024", "2025", "2024", None), ("x", 2, "2024", None, "2025", 1)], "object_id string, assertion_id long, valid_from string, valid_to string, transaction_time string, supersedes long")
+    snaps = spark.createDataFrame([("a", None, 1, 5, 5), ("b", "z", 2, 4, 6)], "snapshot_id string, parent_snapshot_id string, created_at int, node_count int, edge_count int")
+    roots = temporal.supersede_roots(held.select(F.col("assertion_id").alias("id"), "supersedes"))
+    events = spark.createDataFrame([("x", "creation")], "object_id string, event string")
+    gold = spark.createDataFrame([("x", "creation"), ("y", "update")], "object_id string, event string")
+    (r,) = temporal.temporal_metrics(held, snaps, roots, events, gold).collect()
+    assert (r["overlaps"], r["backward"], r["cycles"], r["orphans"], r["shrunk"], r["score"], r["event_coverage"], r["drift_rate"], r["monotonic"]) == (1, 0, 0, 1, 1, 0.4, 0.5, 0.5, 0.0)
+    (r,) = temporal.temporal_metrics(held.limit(0), snaps.limit(0), roots.limit(0), events.limit(0), gold.limit(0)).collect()
+    assert (r["score"], r["event_coverage"], r["drift_rate"]) == (1.0, 0.0, 0.0)
+
+
+def test_relation_display(spark):
+    rows = [("rejected", None, "structural", "contains", None, "x", None), ("accepted", "sequence", "task_dependency", "then", None, "r:T2", "Task"), ("accepted", "action_object", "task_dependency", "checks", "verify", "leak", "Fault"), ("accepted", "action_object", "task_dependency", "odd", None, "leak", "Fault"), ("accepted", None, "structural", "contains", None, "x", "Component"), ("accepted", None, "lifecycle", "hasState", None, "x", "State")]
+    r = spark.createDataFrame(rows, "status string, kind string, family string, label string, act string, tail string, type string")
+    got = r.select(D.relation_display(*(F.col(c) for c in r.columns)).alias("d")).select("d.*").collect()
+    assert [tuple(x) for x in got] == [("contains", None, False, "not_accepted"), ("triggers", "high", True, None), ("verify", "high", True, None), ("odd", "low", False, "unsupported_workflow_action"), ("contains", "medium", True, None), ("hasState", "high", True, None)]
