@@ -72,13 +72,13 @@ BASE = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 STRICT = "10 * n_symbols > n_words OR 5 * n_dup_lines > n_words OR word_chars > 12 * n_words OR word_chars < 2 * n_words OR 100 * n_repeat_words > 20 * n_words"
 
 
-def judge_hosts(measured: DataFrame, host: str = "source", limit: float = 0.5) -> DataFrame:
+def judge_hosts(measured: DataFrame, host: str = "source", limit: float = 0.5, failed: str = BASE) -> DataFrame:
     """One row per host: _q_host, host_docs, host_failed_docs, host_rate (shrunk), host_failed (rate over `limit`).
 
     The beta prior is fitted to the hosts' own rates, so a host of few documents keeps near the
     usual rate; the prior is one row, all that reaches the driver.
     """
-    hosts = measured.groupBy(F.col(host).alias("_q_host")).agg(F.count("*").alias("host_docs"), F.sum(F.expr(BASE).cast("long")).alias("host_failed_docs"))
+    hosts = measured.groupBy(F.col(host).alias("_q_host")).agg(F.count("*").alias("host_docs"), F.sum(F.expr(failed).cast("long")).alias("host_failed_docs"))
     rate = F.col("host_failed_docs") / F.col("host_docs")
     prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()
     mean, spread = prior["m"] or 0.0, prior["v"] or 0.0
@@ -101,13 +101,16 @@ def quality_rules(documents: DataFrame, id_col: str = "doc_id", text: str = "tex
 def passing_documents(documents: DataFrame, text: str = "text", host: str = "source", limit: float = 0.5) -> DataFrame:
     """The documents kept by quality_rules(), all columns as they are.
 
-    Texts are measured twice, for the hosts and for themselves, rather than shuffled once.
+    Texts are measured once and not shuffled: documents that pass the base rules are written beside
+    the flags of all, the hosts read the flags alone, and their verdicts are joined to what was written.
     """
-    hosts = judge_hosts(materialize(measure(documents.select(host, text), text), "quality"), host, limit)
-    hosts = materialize(hosts.select("_q_host", "host_failed"), "hosts")
     measured = measure(documents.select(F.struct("*").alias("_q_all"), F.col(text).alias("_q_text"), F.col(host).alias("_q_source")), "_q_text")
-    judged = measured.join(hosts, F.col("_q_source").eqNullSafe(F.col("_q_host")), "left")
-    return judged.where(f"NOT ({BASE}) AND (NOT host_failed OR NOT ({STRICT}))").select("_q_all.*")
+    flags = measured.select("_q_all", "_q_source", F.expr(BASE).alias("_q_base"), F.expr(STRICT).alias("_q_strict"))
+    written = materialize(flags.withColumn("_q_all", F.when(~F.col("_q_base"), F.col("_q_all"))), "quality")
+    hosts = judge_hosts(written, "_q_source", limit, "_q_base")
+    hosts = materialize(hosts.select("_q_host", "host_failed"), "hosts")
+    judged = written.where("NOT _q_base").join(hosts, F.col("_q_source").eqNullSafe(F.col("_q_host")), "left")
+    return judged.where("NOT host_failed OR NOT _q_strict").select("_q_all.*")
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

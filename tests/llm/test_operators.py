@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -277,3 +278,13 @@ def test_pipeline(spark, made, empty):
     assert set(out) <= {1, 4, 11, 12, 15, 16, 21, None} and {4, 15, 21} & set(out)
     assert corpus_pipeline.run(spark, empty).count() == 0
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_passing_documents_equal_rules(spark, made):
+    from stepweave.llm.op2_quality import passing_documents, quality_rules
+
+    docs = spark.read.parquet(f"{made[0]}/documents.parquet").withColumn("n_words", F.lit(-1))
+    kept = quality_rules(docs).where("kept")
+    got = passing_documents(docs)
+    assert got.columns == docs.columns
+    assert sorted(repr(r["doc_id"]) for r in got.collect()) == sorted(repr(r["doc_id"]) for r in kept.collect())
