@@ -137,3 +137,14 @@ MANUAL_FILE = r"(?i)^(evman|batom|batteryman|cncom|cncman|nevom)|_om_"
 MANUAL_CONTENT = r"(?i)time step|o&m sample|\| t[1-9] \|"
 
 FAR_FUTURE = "9999-12-31T23:59:59Z"
+
+# Labels that name one thing, and relations that name it wrongly.
+SAME_TOKENS = {"inner": "internal"}
+DISTINGUISHING_TOKENS = ("inlet", "outlet", "front", "rear", "left", "right", "upper", "lower", "upstream", "downstream")
+LONE_ALIASES = ("retainer",)
+PARENT_WORDS = "connector|coupler|joint"
+PART_WORDS = "shell|retainer|o-?ring"
+GENERIC_WORDS = "replacement|new|old|removed|spare|fresh"
+DAMAGE_RULES = ((r"(?i)^stress whitening$", "shell|crack|cracked|shell failure"), (r"(?i)\blatch[- ]window distortion\b", "latch|ear"), (r"(?i)\bwitness marks?\b", "side load|off-axis|preload|routing"))
+BROAD_CAUSES = "side load|off-axis|preload|routing issue|history"
+INDICATED_HINTS = ("Signal", "State", "Fault")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stepweave import constants as K
 from stepweave.functions import procedures
 from stepweave.functions import text as T
-from stepweave.operators import attachment, evidence, graph, metrics, routing, temporal
+from stepweave.operators import attachment, evidence, extraction, graph, metrics, providers, routing, temporal
 from stepweave.streaming.steps import windowed_counts
 
 QUERIES: dict = {}
@@ -272,3 +272,54 @@ def relation_rewrite(spark, sf_dir):
     raw = F.struct(F.when(mode == 1, "Caused-By").when(mode == 2, "has_state").when(mode == 3, " triggers ").otherwise("odd label").alias("label"), F.when(F.col("l_returnflag") == "A", "propagation").otherwise("").alias("family"), F.col("l_partkey").cast("string").alias("head"), F.col("l_suppkey").cast("string").alias("tail"))
     out = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", procedures.relation_entry(raw).alias("r"))
     return out.select("l_orderkey", "l_linenumber", "r.label", "r.family", F.col("r.head").cast("long").alias("head"), F.col("r.tail").cast("long").alias("tail"))
+
+
+@query("WITH m AS (SELECT conv_id, role AS label, turn, CASE WHEN turn % 3 = 0 THEN '' ELSE text END AS d FROM conversations) SELECT conv_id, label, md5(arg_min(d, turn) FILTER (d <> '')) AS description, min(turn) AS first_turn, bool_or(turn > 1) AS node_worthy FROM m GROUP BY 1, 2")
+def merged_mentions(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    found = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("label"), F.col("turn").alias("pos"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text")).alias("description"), none.alias("surface_form"), none.alias("hint"), none.alias("hypernym"), (F.col("turn") > 1).alias("node_worthy"))
+    out = extraction.merge_mentions(found, ("conv_id", "label"))
+    return out.select("conv_id", "label", F.md5(F.col("description").cast("binary")).alias("description"), F.col("pos").alias("first_turn"), "node_worthy")
+
+
+@query("WITH l AS (SELECT p_brand AS doc_id, p_name AS label FROM part UNION SELECT p_brand, p_type || ' ' || p_name FROM part), t AS (SELECT *, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS n FROM l) SELECT a.doc_id, a.label, min(b.label) AS alias_of FROM t a JOIN t b ON a.doc_id = b.doc_id AND len(string_split(b.n, ' ')) > len(string_split(a.n, ' ')) AND regexp_matches(' ' || b.n || ' ', ' ' || replace(a.n, ' ', ' (.* )?') || ' ') WHERE a.n LIKE '% %' GROUP BY 1, 2 HAVING count(*) = 1")
+def label_aliases(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    labels = part.select(F.col("p_brand").alias("doc_id"), F.col("p_name").alias("label")).union(part.select("p_brand", F.concat_ws(" ", "p_type", "p_name")))
+    return extraction.aliases(labels.select("doc_id", "label", F.lit(None).cast("string").alias("hint"), F.lit(None).cast("int").alias("pos")))
+
+
+@query(r"WITH s AS (SELECT conv_id AS doc_id, turn AS step_id, trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS row_text FROM conversations), l AS (SELECT DISTINCT conv_id AS doc_id, regexp_extract(text, '^[^ \n]+ [^ \n]+', 0) AS label FROM conversations), q AS (SELECT *, lower(label) AS n FROM l WHERE length(label) >= 5) SELECT q.doc_id, label, min(step_id) AS step_id FROM q JOIN s ON q.doc_id = s.doc_id AND regexp_matches(row_text, '(^|[^\p{L}\p{M}\p{N}_])' || regexp_escape(n) || '($|[^\p{L}\p{M}\p{N}_])') GROUP BY 1, 2 HAVING count(DISTINCT step_id) = 1")
+def surface_steps(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    labels = c.select(F.col("conv_id").alias("doc_id"), F.regexp_extract("text", r"^[^ \n]+ [^ \n]+", 0).alias("label"))
+    return extraction.surface_steps(labels, c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("step_id"), "text"))
+
+
+_ENDS_SQL = "r AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, l_partkey % 7 AS head, l_quantity::INT % 5 AS tail, CASE l_returnflag WHEN 'A' THEN 'communication' WHEN 'N' THEN 'propagation' ELSE 'structural' END AS family FROM lineitem), c AS (SELECT l_orderkey AS doc_id, l_linenumber AS step_id, l_suppkey % 6 AS label FROM lineitem)"
+
+
+def _ends(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumn("doc_id", F.col("l_orderkey"))
+    family = F.when(F.col("l_returnflag") == "A", "communication").when(F.col("l_returnflag") == "N", "propagation").otherwise("structural")
+    relations = lines.select("doc_id", F.col("l_linenumber").alias("pos"), (F.col("l_partkey") % 7).alias("head"), (F.col("l_quantity").cast("int") % 5).cast("long").alias("tail"), family.alias("family"))
+    return relations, lines.select("doc_id", F.col("l_linenumber").alias("step_id"), F.col("l_linenumber").alias("step_pos"), (F.col("l_suppkey") % 6).alias("label"))
+
+
+@query(f"WITH {_ENDS_SQL}, last AS (SELECT doc_id, label, max(step_id) AS step_id FROM c GROUP BY 1, 2) SELECT r.*, h.step_id AS head_step, t.step_id AS tail_step FROM r LEFT JOIN last h ON r.doc_id = h.doc_id AND r.head = h.label LEFT JOIN last t ON r.doc_id = t.doc_id AND r.tail = t.label WHERE family <> 'structural' AND coalesce(h.step_id, t.step_id) IS NOT NULL")
+def cross_step_relations(spark, sf_dir):
+    return extraction.cross_steps(*_ends(spark, sf_dir))
+
+
+@query(f"WITH {_ENDS_SQL} SELECT DISTINCT r.doc_id, pos, step_id FROM r JOIN c ON r.doc_id = c.doc_id AND (c.label = r.head OR c.label = r.tail)")
+def placed_diagnostics(spark, sf_dir):
+    relations, concepts = _ends(spark, sf_dir)
+    return extraction.place_diagnostics(relations.withColumnsRenamed({"head": "evidence_label", "tail": "indicated_label"}), concepts).select("doc_id", "pos", "step_id")
+
+
+@query("SELECT DISTINCT substr(sha256(text), 1, 16) AS text_hash, length(text) AS size, min(doc_id % 2) OVER (PARTITION BY text) = 1 AS computed FROM documents WHERE text IS NOT NULL")
+def cached_embeddings(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    cache = docs.where("doc_id % 2 = 0").select(T.text_hash(F.col("text")).alias("text_hash"), F.array(F.char_length("text"), F.lit(0)).alias("vector"))
+    out, _ = providers.embed_with_cache(docs, cache, lambda missing: missing.withColumn("vector", F.array(F.char_length("text"), F.lit(1))))
+    return out.select("text_hash", F.col("vector")[0].cast("long").alias("size"), (F.col("vector")[1] == 1).alias("computed"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stepweave.functions import display as D
 from stepweave.functions import procedures
 from stepweave.functions import text as T
-from stepweave.operators import attachment, decisions, evidence, graph, temporal
+from stepweave.operators import attachment, decisions, evidence, extraction, graph, providers, temporal
 from stepweave.plans.queries import ORACLE, QUERIES
 
 SF = Path("/root/testdata/sf0.001")
@@ -154,3 +154,39 @@ def test_relation_display(spark):
     r = spark.createDataFrame(rows, "status string, kind string, family string, label string, act string, tail string, type string")
     got = r.select(D.relation_display(*(F.col(c) for c in r.columns)).alias("d")).select("d.*").collect()
     assert [tuple(x) for x in got] == [("contains", None, False, "not_accepted"), ("triggers", "high", True, None), ("verify", "high", True, None), ("odd", "low", False, "unsupported_workflow_action"), ("contains", "medium", True, None), ("hasState", "high", True, None)]
+
+
+def test_aliases(spark):
+    rows = [("d", "inner seal", "Component", 1), ("d", "internal lip seal", None, None), ("d", "retainer", None, None), ("d", "retainer clip", None, None), ("d", "hose clamp", None, None), ("d", "hose inlet clamp", None, None), ("d", "pump", None, None), ("d", "oil pump", None, None), ("d", "T1 x", None, None), ("d", "belt drive", "Fault", 2), ("d", "belt x drive", "Signal", 3), ("d", "a b", None, None), ("d", "a b c", None, None), ("d", "a b d", None, None), ("e", "a b", None, None), ("e", None, None, None)]
+    labels = spark.createDataFrame(rows, "doc_id string, label string, hint string, pos int")
+    assert sorted(map(tuple, extraction.aliases(labels).collect())) == [("d", "inner seal", "internal lip seal"), ("d", "retainer", "retainer clip")]
+    assert extraction.aliases(labels.limit(0)).count() == 0
+
+
+def test_surface_steps(spark):
+    steps = spark.createDataFrame([("d", "T1", "The oil   Pump, (leaks) \\E here"), ("d", "T2", "oil pumps; seal ring"), ("d", "T3", "seal ring"), ("d", "T4", None)], "doc_id string, step_id string, text string")
+    labels = spark.createDataFrame([("d", x) for x in ("Oil pump", "oil", "seal ring", "(leaks)", "leaks) \\E", "pump, (leaks)", None)] + [("e", "oil pump")], "doc_id string, label string")
+    assert sorted(map(tuple, extraction.surface_steps(labels, steps).collect())) == [("d", "Oil pump", "T1"), ("d", "leaks) \\E", "T1"), ("d", "pump, (leaks)", "T1")]
+
+
+def test_mended_relations(spark):
+    concepts = spark.createDataFrame([("d", "new connector", "Component"), ("d", "Main coupler joint", "Component"), ("d", "connector shell", None), ("d", "crack", "Fault"), ("d", "shell wear", "Asset"), ("e", "joint a", None), ("e", "joint b", None)], "doc_id string, label string, hint string")
+    relations = spark.createDataFrame([("d", 1, "contains", "structural", "coolant path", "retainer"), ("e", 1, "contains", "structural", "coolant path", "retainer"), ("d", 2, "contains", "structural", "pump", "retainer"), ("d", 3, "indicates", "communication", "stress whitening", "preload history"), ("e", 3, "indicates", "communication", "stress whitening", "x"), ("d", 4, "indicates", "communication", "noise", "x")], "doc_id string, pos int, label string, family string, head string, tail string")
+    assert sorted((r["doc_id"], r["pos"], r["head"]) for r in extraction.mend_structural(relations, concepts).where("pos < 3").collect()) == [("d", 1, "Main coupler joint"), ("d", 2, "pump"), ("e", 1, "coolant path")]
+    tails = lambda kept: sorted((r["doc_id"], r["pos"], r["tail"]) for r in extraction.mend_indicates(relations, kept).where("pos > 2").collect())
+    assert tails(concepts) == [("d", 3, "preload history"), ("d", 4, "x"), ("e", 3, "x")]  # two that go equally well
+    assert tails(concepts.where("label <> 'connector shell'")) == [("d", 3, "crack"), ("d", 4, "x"), ("e", 3, "x")]
+
+
+def test_annotated_cross_steps(spark):
+    stream = spark.createDataFrame([("r", 1, "causes", "propagation", "a", "b", "document", None, None), ("r", 2, "x", "structural", "a", "b", "step", "T9", None)], "evidence_id string, seq int, label string, family string, head string, tail string, source_field string, head_step string, tail_step string")
+    crossing = spark.createDataFrame([("r", 1, "causes", "propagation", "a", "b", "T1", "T2"), ("r", 2, "causes", "propagation", "a", "b", None, "T3")], "evidence_id string, pos int, label string, family string, head string, tail string, head_step string, tail_step string")
+    got = extraction.annotate_cross_steps(stream, crossing).orderBy("seq").select("source_field", "head_step", "tail_step").collect()
+    assert [tuple(r) for r in got] == [("cross_step_relations", None, "T3"), ("step", "T9", None)]
+    assert extraction.place_transitions(stream.select(F.col("evidence_id").alias("doc_id"), F.col("head_step").alias("trigger_step")), stream.select(F.col("evidence_id").alias("doc_id"), F.lit("T9").alias("step_id"))).count() == 1
+
+
+def test_cache(spark):
+    texts = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "text string")
+    out, new = providers.embed_with_cache(texts, spark.createDataFrame([(None, [0.0])], "text_hash string, vector array<double>"), lambda m: m.withColumn("vector", F.array(F.lit(1.0))))
+    assert sorted(r["text"] for r in out.collect()) == sorted(r["text"] for r in new.collect()) == ["a", "b"]
