@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import re
+import time
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,3 +24,66 @@ def embed_with_cache(texts: DataFrame, cache: DataFrame, embed: Callable[[DataFr
     held = cache.select("text_hash", "vector").dropDuplicates(["text_hash"])
     new = embed(asked.join(held, "text_hash", "left_anti")).select("text_hash", "text", "vector")
     return asked.join(held, "text_hash").select("text_hash", "text", "vector").unionByName(new), new
+
+
+def read_answer(text: str | None) -> dict | None:
+    """The JSON object that a model's answer is, or else the first that stands in it; null if there is none."""
+    plain = re.sub(r"^```(?:json)?|```$", "", (text or "").strip()).strip()
+    try:
+        whole = json.loads(plain)
+        return whole if isinstance(whole, dict) else None
+    except ValueError:
+        pass
+    begin = plain.find("{")
+    try:
+        return json.JSONDecoder().raw_decode(plain, begin)[0] if begin >= 0 else None
+    except ValueError:
+        return None
+
+
+def asked(generate: Callable[[str], str], prompt: str, tries: int = 2, wait: float = 4.0) -> str:
+    """An answer of generate, asked again after ever longer waits (20 s at most); the last failure is raised."""
+    for k in range(1, tries + 1):
+        try:
+            return generate(prompt)
+        except Exception:
+            if k == tries:
+                raise
+            time.sleep(min(20.0, wait * k))
+    raise ValueError("tries must be positive")
+
+
+def filled(template: str, **values: object) -> str:
+    """A template with __NAME__ replaced by the value of that name, texts as they are and all else as JSON."""
+    for name, value in values.items():
+        template = template.replace(f"__{name}__", value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, indent=2))
+    return template
+
+
+_ANSWER = "domain_id string, candidate_id string, route string, parent_anchor string, reject_reason string, confidence double, justification string, raw_response string"
+
+
+def model_decisions(candidates: DataFrame, template: str, generate: Callable[[str], str], size: int = 8, tries: int = 2, wait: float = 4.0) -> DataFrame:
+    """What a model decides on candidates (domain_id, candidate_id, payload as JSON): those it names, the last of each id in a prompt, with its raw answer.
+
+    Up to `size` candidates of one domain share a prompt; they are taken as they come in a task, so nothing is
+    shuffled and no domain is too large. An answer without JSON fails the task. decisions.complete() fills what
+    no answer names. Write the result before it is read twice: each read asks again.
+    """
+    if size <= 0:
+        raise ValueError("size must be positive")
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for domain, rows in frame.groupby("domain_id", sort=False, dropna=False):
+                for at in range(0, len(rows), size):
+                    part = rows.iloc[at : at + size]
+                    raw = asked(generate, filled(template, DOMAIN_ID=str(domain), CANDIDATES_JSON=[json.loads(x) for x in part["payload"]]), tries, wait)
+                    answer = read_answer(raw)
+                    if answer is None:
+                        raise ValueError(f"no JSON in the answer: {raw[:240]}")
+                    known = set(part["candidate_id"])
+                    named = {d.get("candidate_id"): d for d in answer.get("decisions") or [] if isinstance(d, dict) and d.get("candidate_id") in known}
+                    yield pd.DataFrame([(domain, i, d.get("route"), d.get("parent_anchor"), d.get("reject_reason"), float(d.get("confidence") or 0), d.get("justification"), raw) for i, d in named.items()], columns=[c.split()[0] for c in _ANSWER.split(", ")])
+
+    return candidates.where("candidate_id IS NOT NULL AND payload IS NOT NULL").select("domain_id", "candidate_id", "payload").mapInPandas(decide, _ANSWER)

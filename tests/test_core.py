@@ -190,3 +190,32 @@ def test_cache(spark):
     texts = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "text string")
     out, new = providers.embed_with_cache(texts, spark.createDataFrame([(None, [0.0])], "text_hash string, vector array<double>"), lambda m: m.withColumn("vector", F.array(F.lit(1.0))))
     assert sorted(r["text"] for r in out.collect()) == sorted(r["text"] for r in new.collect()) == ["a", "b"]
+
+
+def test_answers():
+    assert [providers.read_answer(x) for x in ('{"a": 1}', '```json\n{"a": 1}\n```', 'Well: {"a": "}{"} and {"b": 2}', "none", "{", "[1]", "", None)] == [{"a": 1}, {"a": 1}, {"a": "}{"}, None, None, None, None, None]
+    answers = iter([ValueError("first"), "ok"])
+
+    def generate(prompt):
+        x = next(answers)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert providers.asked(generate, "p", wait=0) == "ok"
+    with pytest.raises(StopIteration):
+        providers.asked(generate, "p", wait=0)
+
+
+def test_model_decisions(spark):
+    rows = spark.createDataFrame([("d", f"d::{k}", json.dumps({"candidate_id": f"d::{k}"})) for k in range(5)] + [("e", "e::0", '{"candidate_id": "e::0"}'), ("e", None, None)], "domain_id string, candidate_id string, payload string")
+
+    def generate(prompt):
+        domain, listed = prompt.split("|")
+        ids = [c["candidate_id"] for c in json.loads(listed)]
+        assert len(ids) <= 2 and all(i.startswith(domain) for i in ids)
+        return "Here: " + json.dumps({"decisions": [{"candidate_id": i, "route": "reject", "confidence": 0.5} for i in ids if i != "d::3"] + [{"candidate_id": "zz", "route": "reject"}]})
+
+    got = providers.model_decisions(rows, "__DOMAIN_ID__|__CANDIDATES_JSON__", generate, size=2).collect()
+    assert sorted((r["candidate_id"], r["route"], r["confidence"]) for r in got) == [(i, "reject", 0.5) for i in ("d::0", "d::1", "d::2", "d::4", "e::0")]
+    assert providers.model_decisions(rows.limit(0), "x", generate).count() == 0
