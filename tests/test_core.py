@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from stepweave import settings
 from stepweave.functions import display as D
 from stepweave.functions import procedures
 from stepweave.functions import text as T
@@ -219,3 +220,17 @@ def test_model_decisions(spark):
     got = providers.model_decisions(rows, "__DOMAIN_ID__|__CANDIDATES_JSON__", generate, size=2).collect()
     assert sorted((r["candidate_id"], r["route"], r["confidence"]) for r in got) == [(i, "reject", 0.5) for i in ("d::0", "d::1", "d::2", "d::4", "e::0")]
     assert providers.model_decisions(rows.limit(0), "x", generate).count() == 0
+
+
+def test_settings(tmp_path, monkeypatch):
+    monkeypatch.setenv("SW_SET", "7")
+    (tmp_path / "base.json").write_text('﻿{"a": {"x": 1, "y": [1]}, "b": "${SW_SET}/${SW_UNSET:-none}${SW_UNSET}"}')
+    (tmp_path / "more.yaml").write_text("a: {y: [2], z: 3}\n")
+    (tmp_path / "own.json").write_text('{"extends": ["base.json", "more.yaml"], "a": {"z": 4}, "c": null}')
+    assert settings.load(tmp_path / "own.json") == {"a": {"x": 1, "y": [2], "z": 4}, "b": "7/none", "c": None}
+    (tmp_path / "ring.json").write_text('{"extends": "ring.json"}')
+    (tmp_path / "list.json").write_text("[]")
+    (tmp_path / "bad.json").write_text('{"extends": 3}')
+    for name in ("ring.json", "list.json", "bad.json", "none.json", "x.txt"):
+        with pytest.raises(settings.SettingsError):
+            settings.load(tmp_path / name)
