@@ -1,12 +1,19 @@
 """Substring dedup by content-defined chunks (operator 1).
 
 A gear hash rolls over a text's bytes: each byte shifts the hash left by one and adds the byte's
-random word, so the hash depends on the last 64 bytes only. A chunk ends where its top bits are
-zero, so cuts follow the content and an insertion moves those near it alone. Chunks of equal
-128-bit digests in two documents or more are duplicates. Neighbouring duplicates of a document
-join to a run, and runs of at least RUN_WORDS words are passages: with chunks of some 8 words, a
-repeated passage of over 50 words loses part of a chunk at either end and stays above that,
-while a shared line of a dozen words stays below.
+random word, so its low BITS bits depend on the last BITS bytes only. A chunk ends where these bits
+are largest among LEAST bytes to either side. So a cut depends on the BITS + LEAST bytes before
+and the LEAST after it and on nothing else: two texts are cut alike inside a passage they share,
+from its 36th byte to its 17th last, whatever stands around it. In text of a short period the
+largest value comes back with each period; such cuts are thinned to LEAST bytes, which gives equal
+chunks wherever the thinning begins. Chunks are of some 33 bytes.
+
+Chunks of equal digests in two documents or more are duplicates. Neighbouring duplicates of a
+document join to a run, and runs of at least RUN_WORDS words are passages. A repeated passage loses
+some 36 and 17 bytes and part of a chunk at either end, about 14 words of it in all, so one of over
+50 words stays above RUN_WORDS unless its words are of two or three letters throughout; a run is
+never longer than what is repeated, so a shared line of a dozen words stays below. Digests have 64
+bits: of n chunks about n * n / 2**65 pairs agree by chance, and a passage takes several in a row.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from pyspark.sql import functions as F
 
 from stepweave.llm.shared import blocks, materialize
 
-BITS, LEAST, MOST, RUN_WORDS = 5, 16, 256, 24
+BITS, LEAST, MOST, RUN_WORDS = 20, 16, 256, 24
 
 
 def gear_table() -> np.ndarray:
@@ -37,9 +44,22 @@ def gear_hashes(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     return h
 
 
+def sliding_max(values: np.ndarray, width: int) -> np.ndarray:
+    """The largest of values[i : i + width] for each i, by doubling the span."""
+    out, span = values, 1
+    while span < width:
+        step = min(span, width - span)
+        out, span = np.maximum(out[:-step], out[step:]), span + step
+    return out
+
+
 def cut_points(hashes: np.ndarray, offsets: np.ndarray, bits: int = BITS, least: int = LEAST, most: int = MOST) -> list[list[int]]:
-    """The ends of each text's chunks: the first cut hash from `least` bytes on, `most` bytes at the latest."""
-    marks = np.flatnonzero(hashes >> np.uint64(64 - bits) == 0) + 1
+    """The ends of each text's chunks: where the low bits are largest among `least` bytes to either side, `most` bytes at the latest."""
+    rows = np.repeat(np.arange(1, len(offsets)), np.diff(offsets))
+    where = np.arange(len(hashes)) + rows * least
+    padded = np.full(len(hashes) + len(offsets) * least, -1, np.int32)
+    padded[where] = (hashes & np.uint64((1 << bits) - 1)).astype(np.int32)
+    marks = np.flatnonzero(padded[where] == sliding_max(padded, 2 * least + 1)[where - least]) + 1
     bounds = np.searchsorted(marks, offsets)
     out = []
     for r in range(len(offsets) - 1):
@@ -89,12 +109,11 @@ def chunker(bits: int, least: int, most: int):
                 begun[starts] = ~space[data[starts]]
                 words = np.concatenate([[0], np.cumsum(begun)])
                 raw = data.tobytes()
-                digest = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)])
-                pair = np.frombuffer(digest, np.int64).reshape(-1, 2)
+                digest = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)], np.uint64)
                 base = offsets[:-1][own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[at:to][own]), ids.slice(at, to - at).take(pa.array(own)), pa.array((start - base).astype(np.int32)), pa.array((stop - base).astype(np.int32)), pa.array((words[stop] - words[start]).astype(np.int32)), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())],
-                    names=["rid", "doc", "lo", "hi", "words", "d1", "d2"],
+                    [pa.array(rows[at:to][own]), ids.slice(at, to - at).take(pa.array(own)), pa.array((start - base).astype(np.int32)), pa.array((stop - base).astype(np.int32)), pa.array((words[stop] - words[start]).astype(np.int32)), pa.array(digest.view(np.int64))],
+                    names=["rid", "doc", "lo", "hi", "words", "d"],
                 )
 
     return run
@@ -110,9 +129,9 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text: str =
     document. An empty table gives no rows.
     """
     docs = documents.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
-    chunks = materialize(docs.mapInArrow(chunker(bits, least, most), "rid long, doc long, lo int, hi int, words int, d1 long, d2 long"), "chunks")
-    shared = chunks.groupBy("d1", "d2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc <> last_doc").drop("last_doc")
-    held = chunks.join(shared, ["d1", "d2"]).select("rid", "doc", "lo", "hi", "words", "first_doc")
+    chunks = materialize(docs.mapInArrow(chunker(bits, least, most), "rid long, doc long, lo int, hi int, words int, d long"), "chunks")
+    shared = chunks.groupBy("d").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc <> last_doc").drop("last_doc")
+    held = chunks.join(shared, "d").select("rid", "doc", "lo", "hi", "words", "first_doc")
     order = Window.partitionBy("rid").orderBy("lo")
     apart = F.coalesce((F.lag("hi").over(order) != F.col("lo")).cast("long"), F.lit(1))
     runs = held.withColumn("apart", apart).withColumn("run", F.sum("apart").over(order))

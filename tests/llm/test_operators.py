@@ -141,6 +141,20 @@ def test_substrings(spark, made):
     assert chunker
 
 
+def test_substrings_many_passages(spark):
+    """Every passage of 51 to 70 words is found whatever surrounds it, of random words or one word over and over; lines of 12 words are not."""
+    from stepweave.llm.op1_substrings import repeated_passages
+
+    r, rows, line = random.Random(8), [], words(12, 6)
+    bodies = [words(51 + k % 20, 5000 + k) for k in range(400)] + [" ".join([w] * n) for w in ("abcdefgh", "abcdefghijkl", "abcd efghi") for n in (51, 70)]
+    for k, body in enumerate(bodies):
+        rows += [(2 * k + h, f"{words(r.randint(5, 40), 9000 + 2 * k + h)} {body} {words(r.randint(5, 40), 19000 + 2 * k + h)}", "", "", 1) for h in (0, 1)]
+    lone = range(50_000, 50_060)
+    rows += [(d, f"{words(30, d)}\n{line}\n{words(30, d + 100)}", "", "", 1) for d in lone]
+    got = {x["doc_id"] for x in repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == set(range(2 * len(bodies)))
+
+
 def test_decontamination(spark, made):
     from stepweave.llm.op6_decontamination import decontaminate
     from stepweave.llm.queries import queries
