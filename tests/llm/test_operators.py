@@ -286,6 +286,34 @@ def test_attention(spark, made):
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[t] + 1) / (total + distinct + 1)) for t in tokens)) and r["score"] < 0
 
 
+def test_attention_learns_from_more_than_a_sample(spark, monkeypatch):
+    """Subwords are counted over all documents, few words fall outside them, and what is trained on grows with the table."""
+    from stepweave.llm import op10_attention as op
+
+    seen, plain = [], op.trained
+    def watched(training, rows, subwords, id_col, text):
+        seen.append((rows, subwords))
+        return plain(training, rows, subwords, id_col, text)
+    monkeypatch.setattr(op, "trained", watched)
+    monkeypatch.setattr(op, "SHARD", 100)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(d, words(40, d, letters), "", "", 1) for d in range(1800)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got, again = ({r["doc_id"]: r["score"] for r in op.attention_scores(x).collect()} for x in (docs, docs.repartition(7)))
+    assert again == pytest.approx(got, rel=1e-4)
+    subwords = seen[0][1]
+    assert {c >> 16 for n, c in subwords if n == 1} == set(letters.encode()) and len(subwords) == op.IDS - 2
+    reader = op.Reader(subwords)
+    import numpy as np
+    data = np.frombuffer(" ".join(r[1] for r in rows).encode(), np.uint8)
+    assert (reader.ids(reader.words(data, np.array([0, len(data)]))[1]) == op.OTHER).mean() < 0.01
+    taken = []
+    for rows_n in (20_000, 40_000):
+        taken.append(spark.range(rows_n).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text")))
+    sizes = [op.training_share(t, n, "doc_id", "text")[0].count() for t, n in zip(taken, (20_000, 40_000), strict=True)]
+    assert sizes[0] > 1000 and 1.8 < sizes[1] / sizes[0] < 2.2
+
+
 def test_pipeline(spark, made, empty):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, made[0]).collect()}
