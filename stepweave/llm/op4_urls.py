@@ -3,8 +3,9 @@
 A rule (host, path) fits its host and all subdomains where the url's path starts with the rule's;
 the longest fitting rule decides. For the other urls, names that run words together are split by a
 unigram Viterbi, and multinomial naive Bayes scores the words of host and path. It learns from
-urls that rules decide. Fitted on a bounded sample: at most ROWS pages that a rule decides, in the
-order of a hash of the id; word counts come from their pages, the WORDS most frequent ones.
+urls that rules decide: at most ROWS of each verdict, in the order of a hash of the id; how often
+each verdict occurs is counted over all pages. So are the words of paths and page texts, of which the
+WORDS most frequent ones, ties by code point, are the segmenter's vocabulary (some 1 MB).
 """
 
 from __future__ import annotations
@@ -80,19 +81,14 @@ def tokens(host: str, path: str, segmenter: Segmenter) -> list[str]:
 
 
 class Model:
-    """Segmenter and naive Bayes weights; the fit is bounded by its sample."""
+    """Segmenter and naive Bayes weights; the weights' fit is bounded by its sample."""
 
-    def __init__(self, sample: list[tuple[str, str, str, str]]):
-        """sample: host, path, verdict, page text."""
-        words: Counter = Counter()
-        for host, path, _, page in sample:
-            words.update(re.findall(r"[^\W\d_]{1,20}", f"{path} {page}".lower()))
-        self.counts = dict(sorted(words.items(), key=lambda x: (-x[1], x[0]))[:WORDS])
-        self.segmenter = Segmenter(self.counts)
-        seen, docs = {"allow": Counter(), "block": Counter()}, Counter()
-        for host, path, verdict, _ in sample:
+    def __init__(self, sample: list[tuple[str, str, str]], counts: dict[str, int], verdicts: dict[str, int]):
+        """sample: host, path, verdict; counts: of words; verdicts: how many pages the rules allow and block."""
+        self.counts, self.segmenter = counts, Segmenter(counts)
+        seen, docs = {"allow": Counter(), "block": Counter()}, Counter(verdicts)
+        for host, path, verdict in sample:
             seen[verdict].update(tokens(host, path, self.segmenter))
-            docs[verdict] += 1
         self.vocabulary = len(seen["allow"] | seen["block"]) + 1
         self.weights = {t: self.log(seen["block"], t) - self.log(seen["allow"], t) for t in sorted(seen["allow"] | seen["block"])}
         self.prior = math.log((docs["block"] + 1) / (docs["allow"] + 1))
@@ -106,6 +102,22 @@ class Model:
         return self.prior + sum(self.weights.get(t, 0.0) for t in tokens(host, path, self.segmenter)) if self.fitted else 0.0
 
 
+def _word_counter(most: int = 200_000):
+    """mapInArrow function: (path, page text) to (word, count), counted over about `most` distinct words at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+        for batch in batches:
+            for path, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words.update(re.findall(r"[^\W\d_]{1,20}", f"{path} {page}".lower()))
+                if len(words) >= most:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+                    words = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+
+    return run
+
+
 def _scorer(model_parts: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.__new__(Model)
@@ -130,11 +142,14 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url: str = "url", pag
     host, path = host_of(F.col(url)), path_of(F.col(url))
     cut = pages.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_column(F.col("host"), F.col("path"), rules)
-    ruled = cut.where(verdict.isNotNull()).select("id").orderBy(F.xxhash64("id"), "id").limit(rows)
-    ids = [r[0] for r in ruled.collect()]
-    sample = pages.where(F.col(id_col).isin(ids)).select(host.alias("host"), path.alias("path"), F.coalesce(F.col(page), F.lit("")).alias("page")) if ids else None
-    taken = sample.withColumn("verdict", verdict).where("verdict IS NOT NULL").select("host", "path", "verdict", "page").orderBy("host", "path", "page").collect() if ids else []
-    model = Model([tuple(r) for r in taken])
+    ruled = cut.withColumn("verdict", verdict).where("verdict IS NOT NULL")
+    verdicts = {r["verdict"]: r["count"] for r in ruled.groupBy("verdict").count().collect()}
+    order = (F.xxhash64("id"), "id", "host", "path")
+    taken = [tuple(r) for v in sorted(verdicts) for r in ruled.where(F.col("verdict") == v).orderBy(*order).limit(rows).select("host", "path", "verdict").collect()]
+    # Without both verdicts no url is scored, and no words are needed.
+    counted = pages.select(path.alias("path"), F.coalesce(F.col(page), F.lit("")).alias("page")).mapInArrow(_word_counter(), "word string, n long")
+    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS).collect() if len(verdicts) == 2 else []
+    model = Model(taken, {r["word"]: r["n"] for r in top}, verdicts)
     parts = (model.counts, model.weights, model.prior, model.fitted)
     scored = cut.withColumn("rule", rule).withColumn("ruled", verdict).select("id", "host", "path", "rule", "ruled")
     scored = scored.mapInArrow(_scorer(parts), "id long, host string, path string, rule string, ruled string, log_odds double")

@@ -220,6 +220,16 @@ def test_urls(spark, made):
     assert Segmenter({"alpha": 5, "beta": 3, "al": 1}).split("alphabeta") == ("alpha", "beta")
 
 
+def test_urls_learn_from_all_pages(spark):
+    """Words that only pages without a rule hold split names, and a verdict rarer than the sample is learned."""
+    from stepweave.llm.op4_urls import filter_urls
+
+    rows = [(k, f"http://example.com/{k}", "plain") for k in range(300)] + [(900, "http://casino.net/es/win", "x")]
+    rows += [(1000 + k, f"http://other{k}.org/", "casino win win casino") for k in range(50)] + [(2000, "http://casinowin.org/casinowin", "")]
+    got = {r["page_id"]: r for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rows=20).collect()}
+    assert got[2000]["log_odds"] != 0 and got[2000]["log_odds"] > got[1000]["log_odds"]
+
+
 def test_pii(spark, made):
     from stepweave.llm.op5_pii import examples, find_spans, fitted, redact_pii
     from stepweave.llm.queries import queries
