@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash windows (operator 6).
 
-Every run of words of a document that is as long as an item is a window of that item's size. A
+Every run of words of a document that is as long as an item is a window of that item's size; a
+document shorter than the item is one window, as far as its length alone lets it be similar. A
 window's fingerprint is a 128-bit SimHash of its lower-cased five-word shingles; an item's
 fingerprint is cut into RADIUS + 1 blocks, so that a window within RADIUS bits agrees with it on
 one block at least, and only items found by a block are compared. Windows within RADIUS are then
@@ -88,8 +89,11 @@ class Items:
             return
         best: dict[int, tuple[float, int, int]] = {}
         for n, (own, bits, values) in self.by_length.items():
-            for lo, hi in self.spans(hits, n, len(shingles)):
-                marks = window_fingerprints(simhash_bits(shingles[lo : hi + n]), n)
+            size = min(n, len(shingles))
+            if 100 * size < self.percent * n:
+                continue
+            for lo, hi in self.spans(hits, size, len(shingles)):
+                marks = window_fingerprints(simhash_bits(shingles[lo : hi + size]), size)
                 for at in range(0, len(marks), 4096):
                     some = marks[at : at + 4096]
                     found = np.zeros((len(some), len(own)), bool)
@@ -99,9 +103,9 @@ class Items:
                     near = (some[w] != bits[i]).sum(1) <= self.radius
                     for w, i in zip(w[near], i[near], strict=True):
                         start = lo + at + int(w)
-                        low, high = weighted_similarity(shingles[start : start + n], self.bags[own[i]])
+                        low, high = weighted_similarity(shingles[start : start + size], self.bags[own[i]])
                         if 100 * low >= self.percent * high and low / high > best.get(own[i], (0,))[0]:
-                            best[own[i]] = low / high, start, n
+                            best[own[i]] = low / high, start, size
         for i, (similarity, start, n) in sorted(best.items()):
             yield self.ids[i], start, n, similarity
 

@@ -192,6 +192,18 @@ def test_decontamination_equals_brute_force(spark):
     assert got == want and want
 
 
+def test_decontamination_of_truncated_items(spark):
+    """Documents shorter than an item match it where they are similar as a whole: the first 50 words of 59 are, the first 40 are not."""
+    from stepweave.llm.op6_decontamination import decontaminate, find_benchmark
+
+    item = words(59, 41).split()
+    docs = spark.createDataFrame([(1, " ".join(item[:50]), "", "", 1), (2, " ".join(item[:40]), "", "", 1), (3, " ".join(item[9:]), "", "", 1), (4, words(50, 42), "", "", 1)], SCHEMA)
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = [tuple(r) for r in find_benchmark(docs, items).orderBy("doc_id").collect()]
+    assert got == [(1, 7, 0, 50, pytest.approx(46 / 55)), (3, 7, 0, 50, pytest.approx(46 / 55))]
+    assert sorted(r["doc_id"] for r in decontaminate(docs, items).collect()) == [2, 4]
+
+
 def test_language(spark):
     from stepweave.llm.op3_language import Parser, identify_languages
 
