@@ -120,13 +120,15 @@ def chunker(bits: int, least: int, most: int):
 
 
 def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = BITS, least: int = LEAST, most: int = MOST, run_words: int = RUN_WORDS) -> DataFrame:
-    """id_col, first_doc, lo, hi, n_words, n_chunks, first: a row per repeated passage of each document.
-
-    lo and hi are UTF-8 byte offsets of whole chunks. first_doc is the smallest id among the
-    documents that hold the passage's first chunk; `first` marks that document's own copy, which
-    a dedup keeps. A passage repeated in one document alone is none. Null and empty texts have no
-    chunks; a row with a null id counts as no other document; repeated rows of one id are one
-    document. An empty table gives no rows.
+    """id_col, first_doc, lo, hi, n_words, n_chunks, first: a row per stretch of a repeated passage of each document.
+
+    A passage is a run of shared chunks of run_words words; it is cut into stretches where chunks
+    that this document is the first to hold meet chunks that a smaller id holds too. `first` marks
+    the former, which a dedup keeps. lo and hi are UTF-8 byte offsets of whole chunks, n_words and
+    n_chunks count the stretch. first_doc is the smallest id among the documents that hold the
+    stretch's first chunk. A passage repeated in one document alone is none. Null and empty texts
+    have no chunks; a row with a null id counts as no other document; repeated rows of one id are
+    one document. An empty table gives no rows.
     """
     docs = documents.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
     chunks = materialize(docs.mapInArrow(chunker(bits, least, most), "rid long, doc long, lo int, hi int, words int, d long"), "chunks")
@@ -134,9 +136,11 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text: str =
     held = chunks.join(shared, "d").select("rid", "doc", "lo", "hi", "words", "first_doc")
     order = Window.partitionBy("rid").orderBy("lo")
     apart = F.coalesce((F.lag("hi").over(order) != F.col("lo")).cast("long"), F.lit(1))
-    runs = held.withColumn("apart", apart).withColumn("run", F.sum("apart").over(order))
-    runs = runs.groupBy("rid", "run").agg(F.first("doc").alias(id_col), F.min(F.struct("lo", "first_doc")).alias("head"), F.max("hi").alias("hi"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"))
-    runs = runs.where(F.col("n_words") >= run_words)
+    held = held.withColumn("own", F.coalesce(F.col("first_doc") == F.col("doc"), F.lit(False)))
+    turned = F.when(F.lag("own").over(order) == F.col("own"), F.col("apart")).otherwise(F.lit(1))
+    runs = held.withColumn("apart", apart).withColumn("turned", turned).withColumn("run", F.sum("apart").over(order)).withColumn("stretch", F.sum("turned").over(order))
+    runs = runs.groupBy("rid", "run", "stretch").agg(F.first("doc").alias(id_col), F.min(F.struct("lo", "first_doc")).alias("head"), F.max("hi").alias("hi"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"))
+    runs = runs.withColumn("whole", F.sum("n_words").over(Window.partitionBy("rid", "run"))).where(F.col("whole") >= run_words)
     return runs.select(id_col, F.col("head.first_doc").alias("first_doc"), F.col("head.lo").alias("lo"), "hi", "n_words", "n_chunks", (F.col("head.first_doc") == F.col(id_col)).alias("first"))
 
 

@@ -155,6 +155,20 @@ def test_substrings_many_passages(spark):
     assert got == set(range(2 * len(bodies)))
 
 
+def test_substrings_keep_one_copy(spark):
+    """Of XY, XYW and YW, and of documents headed by an own passage, removing what is not first leaves a copy of all."""
+    from stepweave.llm.op1_substrings import repeated_passages
+
+    x, y, w, v = (words(60, 700 + k) for k in range(4))
+    docs = {3: f"{x} {y}", 5: f"{x} {y} {w}", 9: f"{y} {w}", 12: f"{v} {x}", 15: f"{v} {x}"}
+    left = {d: bytearray(t.encode()) for d, t in docs.items()}
+    for r in repeated_passages(spark.createDataFrame([(d, t, "", "", 1) for d, t in docs.items()], SCHEMA)).collect():
+        if not r["first"]:
+            left[r["doc_id"]][r["lo"] : r["hi"]] = b"#" * (r["hi"] - r["lo"])
+    for part in (x, y, w, v):
+        assert sum(part.encode()[60:-60] in t for t in left.values()) == 1
+
+
 def test_decontamination(spark, made):
     from stepweave.llm.op6_decontamination import decontaminate
     from stepweave.llm.queries import queries
