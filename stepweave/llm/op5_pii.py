@@ -19,8 +19,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -224,8 +226,11 @@ def decode(text: str, lo: int, hi: int, weights: np.ndarray, taken: list[tuple[i
     kinds, best = scores.argmax(1), scores.max(1)
     n, value, back = len(atoms), np.zeros(len(atoms) + 1), [-1] * (len(atoms) + 1)
     ends: dict[int, list[int]] = {}
+    taken = sorted(taken)
+    begins, reach = [a for a, _ in taken], [0, *accumulate((b for _, b in taken), max)]
     for k, (i, j) in enumerate(segs):
-        if best[k] > 0 and not any(a < atoms[j - 1][1] and atoms[i][0] < b for a, b in taken):
+        # Of the spans that begin before the segment's end, the furthest reaches no further than its start.
+        if best[k] > 0 and reach[bisect_left(begins, atoms[j - 1][1])] <= atoms[i][0]:
             ends.setdefault(j, []).append(k)
     for j in range(1, n + 1):
         value[j] = value[j - 1]
@@ -250,7 +255,10 @@ def find_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, str
     for lo, hi in fields(text):
         while at < len(base) and base[at][1] <= lo:
             at += 1
-        near = [(a, b) for a, b, _ in base[at : at + 64] if a < hi]
+        to = at
+        while to < len(base) and base[to][0] < hi:
+            to += 1
+        near = [(a, b) for a, b, _ in base[at:to]]
         if any(c.isdigit() or c in "@(" for c in without(text, lo, hi, near)):
             found += decode(text, lo, hi, weights, near)
     return base, sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))

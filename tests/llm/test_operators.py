@@ -270,6 +270,15 @@ def test_pii(spark, made):
     assert out.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") and "@" not in out.where("doc_id = 14").first()["text"] and out.where("doc_id = 5").first()["text"] is None
 
 
+def test_pii_of_long_lists():
+    """On a line of many ips no span that the field adds overlaps a base one."""
+    from stepweave.llm.op5_pii import find_spans, fitted
+
+    text = " ".join(f"10.{100 + k % 100}.{k % 250}.7" for k in range(200))
+    base, every = find_spans(text, fitted())
+    assert len(base) == 200 and every == base
+
+
 def test_tokens():
     tokenizers = pytest.importorskip("tokenizers")
     from stepweave.llm.op7_tokens import Counter as Tokens
