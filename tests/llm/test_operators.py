@@ -123,7 +123,7 @@ def test_groups_of_near_copies(spark):
 
 
 def test_substrings(spark, made):
-    from stepweave.llm.op1_substrings import BITS, chunker, cut_points, gear_hashes, gear_table
+    from stepweave.llm.op1_substrings import BITS, cut_points, gear_hashes, gear_table
     from stepweave.llm.queries import queries
 
     import numpy as np
@@ -138,7 +138,6 @@ def test_substrings(spark, made):
     assert ends[-1] == len(data) and ends == sorted(set(ends))
     found = {r["doc_id"] for r in queries()["op1_substrings"](spark, made[0]).collect()}
     assert {1, 2, 3, 11, 12} <= found and not found & {4, 5, 6, 7, 8, 9, 10, 14, 15, 16}
-    assert chunker
 
 
 def test_substrings_many_passages(spark):
@@ -169,6 +168,37 @@ def test_substrings_keep_one_copy(spark):
         assert sum(part.encode()[60:-60] in t for t in left.values()) == 1
 
 
+def test_substrings_of_other_partners(spark):
+    """Short lines side by side, each shared with other documents, are no passage; neither do three in a row make one."""
+    from stepweave.llm.op1_substrings import repeated_passages
+
+    a, b, c = (words(14, 800 + k) for k in range(3))
+    docs = [(0, f"{words(40, 1)}\n{a}\n{b}\n{c}\n{words(40, 2)}")]
+    docs += [(10 + k, f"{words(40, 20 + k)}\n{line}\n{words(40, 40 + k)}") for k, line in enumerate((a, b, c) * 3)]
+    assert repeated_passages(spark.createDataFrame([(d, t, "", "", 1) for d, t in docs], SCHEMA)).count() == 0
+
+
+def test_substrings_equal_brute_force(spark):
+    """Stretches lie in what documents share, cover all but the ends of it, and count its words and the smallest id right."""
+    from stepweave.llm.op1_substrings import repeated_passages
+
+    r, bodies = random.Random(4), [words(r_, 600 + r_) for r_ in (51, 60, 80, 200)]
+    docs = {d: f"{words(r.randint(20, 60), 7000 + d)}\n{bodies[d % 4]}\n{words(30, 8000 + d)}" for d in range(24)}
+    got = {}
+    for x in repeated_passages(spark.createDataFrame([(d, t, "", "", 1) for d, t in docs.items()], SCHEMA)).collect():
+        got.setdefault(x["doc_id"], []).append(x)
+    assert set(got) == set(docs)
+    for d, found in got.items():
+        body, text = bodies[d % 4], docs[d]
+        at, found = text.index(body), sorted(found, key=lambda x: x["lo"])
+        assert at - 1 <= found[0]["lo"] and found[-1]["hi"] <= at + len(body) + 1 and found[-1]["hi"] - found[0]["lo"] >= len(body) - 140
+        assert all(x["hi"] == y["lo"] for x, y in zip(found[:-1], found[1:], strict=True)) and found[0]["first_doc"] == d % 4
+        for x in found:
+            piece = text[x["lo"] : x["hi"]]
+            begun = len(WORD.findall(piece)) - (text[x["lo"] - 1] not in " \n" and piece[0] not in " \n")
+            assert x["n_words"] == begun and x["first"] == (x["first_doc"] == d)
+
+
 def test_decontamination(spark, made):
     from stepweave.llm.op6_decontamination import decontaminate
     from stepweave.llm.queries import queries
