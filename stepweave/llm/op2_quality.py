@@ -1,8 +1,12 @@
 """Quality rules judged by host (operator 2), in DataFrame functions only.
 
-Every document is measured, the rules it fails are summed by host, each host's failure rate is
-shrunk towards an empirical beta prior (method of moments over hosts), and the host's verdict
-is joined back: a document of a failing host has to pass the strict rules too.
+Every document is measured, and the failures of each rule are summed by host. For each rule an
+empirical beta prior is fitted to the hosts' rates (method of moments, less the variance that drawing
+documents alone gives), every host's rate is shrunk towards it, and a host fails the rule where its
+shrunk rate lies over the prior's mean by SPREADS of the prior's standard deviation. The verdicts are
+joined back: a document of a host that fails a rule is rejected if it fails that rule itself, so at
+such hosts rules bind that elsewhere only count. Where hosts do not differ by more than chance, or
+there are fewer than four, no host fails.
 
 Edge cases: a null text counts as empty (it fails the base rule), a null host is a host of its
 own, repeated rows are judged one by one, an empty table gives no rows, and columns of other
@@ -69,48 +73,80 @@ def measure(documents: DataFrame, text: str = "text", keep_text: bool = False) -
 
 
 BASE = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
-STRICT = "10 * n_symbols > n_words OR 5 * n_dup_lines > n_words OR word_chars > 12 * n_words OR word_chars < 2 * n_words OR 100 * n_repeat_words > 20 * n_words"
+#: Rules whose failures are counted by host and bind where the host fails them.
+RULES = {
+    "symbols": "10 * n_symbols > n_words",
+    "lines": "5 * n_dup_lines > n_words",
+    "long_words": "word_chars > 12 * n_words",
+    "short_words": "word_chars < 2 * n_words",
+    "repeats": "100 * n_repeat_words > 20 * n_words",
+}
+SPREADS = 1.5
 
 
-def judge_hosts(measured: DataFrame, host: str = "source", limit: float = 0.5, failed: str = BASE) -> DataFrame:
-    """One row per host: _q_host, host_docs, host_failed_docs, host_rate (shrunk), host_failed (rate over `limit`).
-
-    The beta prior is fitted to the hosts' own rates, so a host of few documents keeps near the
-    usual rate; the prior is one row, all that reaches the driver.
-    """
-    hosts = measured.groupBy(F.col(host).alias("_q_host")).agg(F.count("*").alias("host_docs"), F.sum(F.expr(failed).cast("long")).alias("host_failed_docs"))
-    rate = F.col("host_failed_docs") / F.col("host_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()
-    mean, spread = prior["m"] or 0.0, prior["v"] or 0.0
-    mass = min(1000.0, max(2.0, mean * (1 - mean) / spread - 1)) if spread > 0 else 1000.0
-    shrunk = (F.col("host_failed_docs") + F.lit(mean * mass)) / (F.col("host_docs") + F.lit(mass))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_failed", F.col("host_rate") > limit)
+def failures(rules: dict[str, str] = RULES) -> list[Column]:
+    """A boolean column per rule, _q_fails_<rule>."""
+    return [F.expr(rule).alias(f"_q_fails_{name}") for name, rule in rules.items()]
 
 
-def quality_rules(documents: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", limit: float = 0.5) -> DataFrame:
-    """id_col, host, the five measures, base_failed, host_rate, host_failed and kept, a row per document.
+def judge_hosts(flagged: DataFrame, host: str, rules: dict[str, str] = RULES, spreads: float = SPREADS) -> DataFrame:
+    """_q_host, host_docs, and for each rule its shrunk rate and whether the host fails it: rate_<rule>, host_fails_<rule>.
 
-    kept: base rules passed, and the host is not failing or the strict rules are passed as well.
+    flagged has the host and failures(rules). A host of few documents keeps near the usual rate.
+    The priors are one row, all that reaches the driver.
+    """
+    summed = [F.sum(F.col(f"_q_fails_{r}").cast("long")).alias(f"failed_{r}") for r in rules]
+    hosts = flagged.groupBy(F.col(host).alias("_q_host")).agg(F.count("*").alias("host_docs"), *summed)
+    rate = {r: F.col(f"failed_{r}") / F.col("host_docs") for r in rules}
+    moments = [f(rate[r]).alias(f"{name}_{r}") for r in rules for name, f in (("mean", F.avg), ("var", F.var_pop))]
+    prior = hosts.agg(F.avg(1 / F.col("host_docs")).alias("drawn"), *moments).first()
+    out = hosts.select("_q_host", "host_docs", *(f"failed_{r}" for r in rules))
+    for r in rules:
+        mean, var = prior[f"mean_{r}"] or 0.0, prior[f"var_{r}"] or 0.0
+        own = var - mean * (1 - mean) * (prior["drawn"] or 0.0)
+        mass = mean * (1 - mean) / own - 1 if own > 0 else 0.0
+        if own <= 0 or mass <= 0:
+            # Hosts differ by chance only, or so much that a host's own rate says all.
+            shrunk, fails = rate[r], F.lit(own > 0) & (rate[r] > mean + spreads * max(own, 0.0) ** 0.5)
+        else:
+            shrunk = (F.col(f"failed_{r}") + F.lit(mean * mass)) / (F.col("host_docs") + F.lit(mass))
+            fails = shrunk > F.lit(mean + spreads * own**0.5)
+        out = out.withColumn(f"rate_{r}", shrunk).withColumn(f"host_fails_{r}", fails)
+    return out.drop(*(f"failed_{r}" for r in rules))
+
+
+def bound_by_host(rules: dict[str, str] = RULES) -> Column:
+    """Whether a document fails a rule that its host fails."""
+    return F.expr(" OR ".join(f"(host_fails_{r} AND _q_fails_{r})" for r in rules))
+
+
+def quality_rules(documents: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", rules: dict[str, str] = RULES, spreads: float = SPREADS) -> DataFrame:
+    """id_col, host, the five measures, base_failed, host_failed and kept, a row per document.
+
+    base_failed: BASE holds; host_failed: the document fails a rule that its host fails; kept: neither.
     Hosts are joined back by a shuffle or, where Spark has measured them to be small, a broadcast.
     """
-    measured = materialize(measure(documents.select(id_col, host, text), text), "quality")
-    judged = measured.join(judge_hosts(measured, host, limit), F.col(host).eqNullSafe(F.col("_q_host")), "left").withColumn("base_failed", F.expr(BASE))
-    return judged.withColumn("kept", ~F.col("base_failed") & (~F.col("host_failed") | ~F.expr(STRICT))).drop("_q_host")
+    measured = measure(documents.select(id_col, host, text), text)
+    flagged = materialize(measured.select("*", *failures(rules)), "quality")
+    hosts = judge_hosts(flagged, host, rules, spreads).select("_q_host", *(f"host_fails_{r}" for r in rules))
+    judged = flagged.join(hosts, F.col(host).eqNullSafe(F.col("_q_host")), "left")
+    judged = judged.withColumn("base_failed", F.expr(BASE)).withColumn("host_failed", bound_by_host(rules))
+    return judged.select(*measured.columns, "base_failed", "host_failed", (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"))
 
 
-def passing_documents(documents: DataFrame, text: str = "text", host: str = "source", limit: float = 0.5) -> DataFrame:
+def passing_documents(documents: DataFrame, text: str = "text", host: str = "source", rules: dict[str, str] = RULES, spreads: float = SPREADS) -> DataFrame:
     """The documents kept by quality_rules(), all columns as they are.
 
     Texts are measured once and not shuffled: documents that pass the base rules are written beside
     the flags of all, the hosts read the flags alone, and their verdicts are joined to what was written.
     """
     measured = measure(documents.select(F.struct("*").alias("_q_all"), F.col(text).alias("_q_text"), F.col(host).alias("_q_source")), "_q_text")
-    flags = measured.select("_q_all", "_q_source", F.expr(BASE).alias("_q_base"), F.expr(STRICT).alias("_q_strict"))
+    flags = measured.select("_q_all", "_q_source", F.expr(BASE).alias("_q_base"), *failures(rules))
     written = materialize(flags.withColumn("_q_all", F.when(~F.col("_q_base"), F.col("_q_all"))), "quality")
-    hosts = judge_hosts(written, "_q_source", limit, "_q_base")
-    hosts = materialize(hosts.select("_q_host", "host_failed"), "hosts")
+    hosts = judge_hosts(written, "_q_source", rules, spreads).select("_q_host", *(f"host_fails_{r}" for r in rules))
+    hosts = materialize(hosts, "hosts")
     judged = written.where("NOT _q_base").join(hosts, F.col("_q_source").eqNullSafe(F.col("_q_host")), "left")
-    return judged.where("NOT host_failed OR NOT _q_strict").select("_q_all.*")
+    return judged.where(~bound_by_host(rules)).select("_q_all.*")
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -130,13 +166,36 @@ measured AS (
   SELECT q_words.rid, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
-  FROM q_words LEFT JOIN q_lines USING (rid) LEFT JOIN q_repeat USING (rid)),
-hosts AS (SELECT source, count(*) AS n, sum(CASE WHEN n_words < 50 OR 100 * n_repeat_words > 50 * n_words THEN 1 ELSE 0 END) AS f FROM measured GROUP BY source),
-prior AS (SELECT avg(f / n) AS m, CASE WHEN var_pop(f / n) > 0 THEN least(1000.0, greatest(2.0, avg(f / n) * (1 - avg(f / n)) / var_pop(f / n) - 1)) ELSE 1000.0 END AS mass FROM hosts),
-verdicts AS (SELECT source, (f + m * mass) / (n + mass) > 0.5 AS host_failed FROM hosts, prior),
-judged AS (SELECT measured.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, host_failed,
-    10 * n_symbols > n_words OR 5 * n_dup_lines > n_words OR word_chars > 12 * n_words OR word_chars < 2 * n_words OR 100 * n_repeat_words > 20 * n_words AS strict_failed
-  FROM measured JOIN verdicts ON measured.source IS NOT DISTINCT FROM verdicts.source)
+  FROM q_words LEFT JOIN q_lines USING (rid) LEFT JOIN q_repeat USING (rid))
 """
 
-ORACLE = "WITH " + MEASURES_SQL.format(src="documents") + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (host_failed AND strict_failed) AS kept, source AS host, host_failed FROM judged"
+
+def _prior_sql(r: str) -> str:
+    return f"avg(f_{r} / n) AS m_{r}, var_pop(f_{r} / n) - avg(f_{r} / n) * (1 - avg(f_{r} / n)) * avg(1 / n) AS s_{r}"
+
+
+def _verdict_sql(r: str) -> str:
+    mass = f"(m_{r} * (1 - m_{r}) / s_{r} - 1)"
+    rate = f"CASE WHEN {mass} > 0 THEN (f_{r} + m_{r} * {mass}) / (n + {mass}) ELSE f_{r} / n END"
+    return f"CASE WHEN s_{r} > 0 THEN {rate} > m_{r} + {SPREADS} * sqrt(s_{r}) ELSE false END AS h_{r}"
+
+
+#: After MEASURES_SQL: judged, with base_failed and host_failed of each document.
+VERDICTS_SQL = (
+    ", flagged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, "
+    + ", ".join(f"{rule} AS d_{r}" for r, rule in RULES.items())
+    + " FROM measured), hosts AS (SELECT source, count(*) AS n, "
+    + ", ".join(f"count(*) FILTER (d_{r}) AS f_{r}" for r in RULES)
+    + " FROM flagged GROUP BY source), prior AS (SELECT "
+    + ", ".join(map(_prior_sql, RULES))
+    + " FROM hosts), verdicts AS (SELECT source, "
+    + ", ".join(map(_verdict_sql, RULES))
+    + " FROM hosts, prior), judged AS (SELECT flagged.*, "
+    + " OR ".join(f"(h_{r} AND d_{r})" for r in RULES)
+    + " AS host_failed FROM flagged JOIN verdicts ON flagged.source IS NOT DISTINCT FROM verdicts.source)"
+)
+
+ORACLE = (
+    "WITH " + MEASURES_SQL.format(src="documents") + VERDICTS_SQL
+    + " SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept, source AS host, host_failed FROM judged"
+)
