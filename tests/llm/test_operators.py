@@ -236,6 +236,50 @@ def test_decontamination_equals_brute_force(spark):
     assert got == want and want
 
 
+def test_decontamination_index(spark):
+    """The blocks find every pair within the radius, let few unrelated pairs through, and 5,000 items of one length fit into 500 MB."""
+    import tracemalloc
+
+    import numpy as np
+
+    from stepweave.llm.op6_decontamination import BLOCKS, RADIUS, Items, near_pairs
+
+    r = np.random.default_rng(1)
+    held = r.integers(0, 2**63, (5000, BLOCKS), dtype=np.uint64) * np.uint64(2)
+    marks = held[:300].copy()
+    for k, m in enumerate(marks):
+        for bit in r.choice(128, k % 60, replace=False):
+            m[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    got = {(int(a), int(b)) for w, i in near_pairs(marks, held) for a, b in zip(w, i, strict=True)}
+    far = np.bitwise_count(marks[:, None] ^ held[None]).sum(2)
+    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(far <= RADIUS), strict=True)} and len(got) > 150
+    through = np.mean([(np.bitwise_count(marks[:, None, k] ^ held[None, :, k]) <= RADIUS // BLOCKS).mean() for k in range(BLOCKS)])
+    assert through * BLOCKS < 0.006
+    items = [(k, words(40, 3000 + k)) for k in range(5000)]
+    index, text = Items(items, RADIUS, 75), " ".join(t for _, t in items[:200])
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, first = index.hasher.bounds(data, np.array([0, len(data)]))
+    shingles, _ = index.hasher.shingles(index.hasher(data, starts, ends), first)
+    tracemalloc.start()
+    found = list(index.match(shingles))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [f[0] for f in found] == list(range(200)) and all(f[3] == 1.0 and f[1] == 40 * f[0] for f in found) and peak < 500e6
+
+
+def test_decontamination_in_groups(spark):
+    """Items in several groups, by bytes, find what they find at once; columns of any name stay."""
+    from stepweave.llm import op6_decontamination as op
+
+    items = spark.createDataFrame([(k, words(30, 500 + k)) for k in range(9)], "item_id long, text string")
+    docs = spark.createDataFrame([(d, f"{words(20, d)} {words(30, 500 + d)} {words(9, d + 50)}", "", "", 1) for d in range(20)], SCHEMA).withColumn("item_id", F.lit(1)).withColumn("similarity", F.lit(0.5))
+    assert len(list(op.item_groups(items, most=400))) > 2
+    got = [sorted(map(tuple, op.find_benchmark(docs, items, items=n).collect())) for n in (100, 2)]
+    assert got[0] == got[1] and [r[:2] for r in got[0]] == [(k, k) for k in range(9)]
+    kept = op.decontaminate(docs, items, items=4)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(9, 20))
+
+
 def test_decontamination_of_truncated_items(spark):
     """Documents shorter than an item match it where they are similar as a whole: the first 50 words of 59 are, the first 40 are not."""
     from stepweave.llm.op6_decontamination import decontaminate, find_benchmark
@@ -265,6 +309,52 @@ def test_language(spark):
     assert p.phrases([p.read(text)[0]])[0, 0] == phrases
 
 
+def test_language_of_any_script(spark):
+    """Letters of all code points count: three scripts above U+3000 are told apart, and long labelled texts teach too."""
+    from stepweave.llm.op3_language import Parser, identify_languages
+
+    kana, han, hangul = ([chr(a + k) for k in range(n)] for a, n in ((0x3042, 60), (0x4E00, 900), (0xAC00, 700)))
+    r, rows = random.Random(5), []
+    for d in range(150):
+        name, letters = (("ja", kana), ("zh", han), ("ko", hangul))[d % 3]
+        phrases = ["".join(random.Random(f"{name}{k}").choices(letters, k=6)) for k in range(80)]
+        rows.append((d, " ".join(r.choices(phrases, k=12)), name, "s", 1))
+    rows.append((900, "wide text " * 4000, "long", "s", 1))
+    rows.append((901, "wide text of one", None, "s", 1))
+    got = {x["doc_id"]: x["lang_pred"] for x in identify_languages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[d] == ("ja", "zh", "ko")[d % 3] for d in range(150)) and got[900] == got[901] == "long"
+    p = Parser({"a": "".join(han), "b": "".join(hangul)}, narrow=10)
+    codes = [tuple(p.read(c)[0]) for c in han + hangul]
+    assert len(set(codes)) == len(codes) and {len(c) for c in codes} == {1, 2} and p.width < 120
+
+
+def test_language_equals_brute_force(spark):
+    """Predictions and scores are those of plain longest-match parsing, lane by lane, over the same sample."""
+    import math
+
+    from stepweave.llm.op3_language import LANE, identify_languages, labelled_sample, remainder
+
+    rows = [(d, words(150 if d % 7 else 900, d, ("abcde ", "defgh ", "aebcfé ")[d % 3]), ("x", "y", "z")[d % 3], "s", 1) for d in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    samples = labelled_sample(docs.where(remainder(F.col("doc_id"), 5) != 0), "doc_id", "text", "lang")
+    plain = lambda t: "".join(c.lower() if c.isalpha() else " " for c in t)
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in identify_languages(docs).collect()}
+    for d, text, *_ in rows[:12]:
+        entropy = {}
+        for name, sample in samples.items():
+            known, n = plain(sample), 0
+            for lane in range(0, len(text), LANE):
+                t, at = plain(text)[lane : lane + LANE], 0
+                while at < len(t):
+                    size = 1
+                    while at + size < len(t) and t[at : at + size + 1] in known:
+                        size += 1
+                    at, n = at + size, n + 1
+            entropy[name] = n * math.log2(max(2, len(sample)))
+        (a, best), (b, _) = sorted((v, k) for k, v in entropy.items())[:2]
+        assert got[d][0] == best and got[d][1] == pytest.approx(b / (a + b))
+
+
 def test_urls(spark, made):
     from stepweave.llm.op4_urls import Segmenter
     from stepweave.llm.queries import queries
@@ -397,6 +487,26 @@ def test_pipeline(spark, made, empty):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_hosts_that_fail_a_rule(spark, tmp_path):
+    """Where one host of five fails a rule far more often, its documents that fail it go and pass elsewhere; the SQL agrees."""
+    from stepweave.llm.op2_quality import ORACLE, op2_quality_rules, passing_documents
+
+    rows, plain = [], lambda d: words(80, d, "abcdefghijklmnop")
+    for d in range(500):
+        bad = d % 5 == 0 and d % 2 == 0 or d % 97 == 1
+        rows.append((d, plain(d) + (" #$%" * 12 if bad else ""), "aa", f"h{d % 5}", 1))
+    spark.createDataFrame(rows, SCHEMA).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op2_quality_rules(spark, str(tmp_path)).collect()}
+    symbols = {d for d, t, *_ in rows if "#" in t}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {d for d, r in got.items() if not r["kept"]} == {d for d in symbols if d % 5 == 0} != symbols
+    kept = passing_documents(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, r in got.items() if r["kept"]}
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert {r[0] for r in c.sql(f"select doc_id from ({ORACLE}) where kept").fetchall()} == {d for d, r in got.items() if r["kept"]}
+
+
 def test_passing_documents_equal_rules(spark, made):
     from stepweave.llm.op2_quality import passing_documents, quality_rules
 
