@@ -415,67 +415,158 @@ def test_tokens():
     assert own.count(None) == own.count("") == 0
 
 
-def test_attention(spark, made):
+def slow_spelling(ranks, word):
+    """Ids of a word by plain longest match, 64 bytes at a time."""
+    known, out = {p: k for k, p in enumerate(ranks)}, []
+    for at in range(0, len(word), 64):
+        text = (b" " if at == 0 else b"") + word[at : at + 64]
+        while text:
+            n = next(n for n in range(len(text), 0, -1) if text[:n] in known)
+            out.append(known[text[:n]])
+            text = text[n:]
+    return out
+
+
+def test_attention(spark, made, monkeypatch):
+    """All columns of all documents, the score of whole ones included, are those of word-by-word code over the same weights."""
     import math
     import zlib
 
     import numpy as np
 
-    from stepweave.llm.op10_attention import STRIDE, WINDOW, Attention
-    from stepweave.llm.queries import queries
+    from stepweave.llm import op10_attention as op
 
-    model = Attention()
-    model.ready()
-    ids = np.random.default_rng(0).integers(0, 60, 100).astype(np.int32)
-    slow, w = 0.0, model.w
-    for t in range(99):
-        k = 0 if t < WINDOW else 1 + (t - WINDOW) // STRIDE
-        x = ids[k * STRIDE : t + 1]
-        e = w["E"][x] + w["P"][: len(x)]
-        a = (e[-1] @ w["Wq"]) @ (e @ w["Wk"]).T / 4
-        a = np.exp(a - a.max())
-        h = e[-1] + (a / a.sum()) @ (e @ w["Wv"]) @ w["Wo"]
-        z = (h @ w["U"] + w["b"]).astype(float)
-        slow += z[ids[t + 1]] - math.log(np.exp(z).sum())
-    assert model.log_probabilities(np.concatenate([ids, ids[:3]]), np.array([0, 100, 103]))[0] == pytest.approx(slow, rel=1e-4)
+    ranks, kept, plain = op.load_ranks(), [], op.trained
+    def watched(*args):
+        kept.append(plain(*args))
+        return kept[-1]
+    monkeypatch.setattr(op, "trained", watched)
+    monkeypatch.setattr(op, "HEAD", 40)
     rows = made[1]
-    low = lambda t: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    low = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w).encode() for w in WORD.findall(t or "")]
     counts = Counter()
     for d, t, *_ in rows:
         if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2:
             counts.update([*low(t), None])
     total, distinct = sum(counts.values()), len(counts)
-    for r in queries()["op10_attention"](spark, made[0]).collect():
-        tokens = [*low(next(t for d, t, *_ in rows if d == r["doc_id"])), None]
+    spelled = {w: slow_spelling(ranks, w) for _, t, *_ in rows for w in low(t)} | {None: [len(ranks)]}
+    first_words, first_kinds = Counter(), Counter()
+    for w, n in counts.items():
+        first_words[spelled[w][0]] += n
+        first_kinds[spelled[w][0]] += 1
+    docs = spark.read.parquet(f"{made[0]}/documents.parquet").withColumn("score", F.lit(1)).withColumn("rid", F.lit("x"))
+    got = op.attention_scores(docs, ranks).collect()
+    (model, chain), speller = kept[0], op.Speller(ranks)
+    w, d = model.w, op.WIDTH
+    assert len(got) == len(rows) and {r["doc_id"] for r in got} == {r[0] for r in rows}
+
+    def in_word(word):
+        ids = spelled[word]
+        rest = math.exp(sum(float(chain.logs[a, b]) for a, b in zip(ids, [*ids[1:], len(ranks)], strict=True)))
+        n, f = counts[word], ids[0]
+        left = 0.75 * first_kinds[f] / first_words[f] if first_words[f] else 1.0
+        return math.log10(max(n - 0.75, 0) / max(first_words[f], 1) + left * rest)
+
+    def next_logs(context, word):
+        e = np.stack([w["E"][spelled[x]].mean(0) for x in context]) + w["P"][: len(context)]
+        a = (e[-1] @ w["Wq"]) @ (e @ w["Wk"]).T / d**0.5
+        a = np.exp(a - a.max())
+        h = e[-1] + (a / a.sum()) @ (e @ w["Wv"]) @ w["Wo"]
+        of, member = divmod(int(speller.first[spelled[word][0]]), speller.members)
+        log = lambda z, k: float(z[k] - z.max() - np.log(np.exp(z - z.max()).sum()))
+        return (log(h @ w["U"] + w["b"], of) + log(h @ w["M"][of] + w["m"][of], member)) / math.log(10)
+
+    for r in got:
+        words_ = next(low(t) for d_, t, *_ in rows if d_ == r["doc_id"])
+        tokens = [*words_, None]
         assert r["n_tokens"] == len(tokens) and r["train_tokens"] == total and r["n_known"] == sum(counts[t] > 0 for t in tokens)
-        assert r["base_score"] == pytest.approx(sum(math.log10((counts[t] + 1) / (total + distinct + 1)) for t in tokens)) and r["score"] < 0
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[t] + 1) / (total + distinct + 1)) for t in tokens))
+        own = sum(in_word(x) for x in words_)
+        begins = len(speller.begins) + 1
+        unigram = own + sum(math.log10((first_words[spelled[x][0]] + 1) / (total + begins)) for x in tokens)
+        assert r["unigram_score"] == pytest.approx(unigram)
+        if len(words_) <= 1000:
+            read, score = [None, *tokens], own
+            for t in range(len(tokens)):
+                k = 0 if t < op.WINDOW else 1 + (t - op.WINDOW) // op.STRIDE
+                score += next_logs(read[k * op.STRIDE : t + 1], read[t + 1])
+            assert r["score"] == pytest.approx(score, rel=1e-4)
+
+
+def test_attention_spelling():
+    import numpy as np
+
+    from stepweave.llm.op10_attention import Speller, load_ranks, with_ends
+
+    ranks, r = load_ranks(), random.Random(6)
+    texts = [words(50, 3), "", "  Été ÜBER naïve 日本語 x" + "y" * 200 + " \t THE the", words(30, 4, "aeou ") + "z" * 130]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    speller = Speller(ranks)
+    _, starts, ends, first = speller.words(data, offsets)
+    ids, counts = speller.spell(data, starts, ends)
+    low = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w).encode() for w in WORD.findall(t)]
+    want = [slow_spelling(ranks, w) for t in texts for w in low(t)]
+    cut = np.cumsum(counts)
+    assert [ids[a:b].tolist() for a, b in zip(cut - counts, cut, strict=True)] == want and first.tolist() == np.cumsum([0, *(len(low(t)) for t in texts)]).tolist()
+    assert speller.first_ids(data, starts, ends).tolist() == [w[0] for w in want] and all(speller.first[w[0]] >= 0 for w in want)
+    out, more, begin = with_ends(ids, counts, first, speller.size)
+    assert len(more) == len(counts) + 2 * len(texts) and (out == speller.size).sum() == 2 * len(texts) and out[0] == out[-1] == speller.size and begin[-1] == len(more)
+    assert r
+
+
+def test_attention_gradients():
+    """Slopes are those of finite differences of the loss."""
+    import numpy as np
+
+    from stepweave.llm.op10_attention import WINDOW, Attention
+
+    r = np.random.default_rng(3)
+    model = Attention(30, 3, 4, np.arange(11))
+    n = r.integers(1, 4, 2 * WINDOW)
+    flat, y = r.integers(0, 31, n.sum()), r.integers(0, 11, (2, WINDOW))
+    y[1, 20:] = -1
+    model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
+
+    def loss():
+        w = model.w
+        e = (np.add.reduceat(w["E"][flat], np.cumsum(n) - n) / n[:, None]).reshape(2, WINDOW, -1) + w["P"]
+        h = e + model.attend(e @ w["Wq"], e @ w["Wk"]) @ (e @ w["Wv"]) @ w["Wo"]
+        real = y.ravel() >= 0
+        return -model.head(h.reshape(-1, h.shape[-1])[real], y.ravel()[real]).mean()
+
+    slopes = model.slopes(flat, n, y)
+    for name, g in slopes.items():
+        for at in [tuple(r.integers(0, k) for k in g.shape) for _ in range(6)]:
+            held, step = model.w[name][at], 1e-4
+            model.w[name][at] = held + step
+            up = loss()
+            model.w[name][at] = held - step
+            down = loss()
+            model.w[name][at] = held
+            assert g[at] == pytest.approx((up - down) / (2 * step), rel=2e-2, abs=2e-5), name
 
 
 def test_attention_learns_from_more_than_a_sample(spark, monkeypatch):
-    """Subwords are counted over all documents, few words fall outside them, and what is trained on grows with the table."""
+    """What is trained on grows with the table, the result does not hang on the files, and context helps where there is one."""
     from stepweave.llm import op10_attention as op
 
-    seen, plain = [], op.trained
-    def watched(training, rows, subwords, id_col, text):
-        seen.append((rows, subwords))
-        return plain(training, rows, subwords, id_col, text)
-    monkeypatch.setattr(op, "trained", watched)
     monkeypatch.setattr(op, "SHARD", 100)
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    rows = [(d, words(40, d, letters), "", "", 1) for d in range(1800)]
+    r, rows = random.Random(12), []
+    for d in range(500):
+        w = [r.choice(("red", "blue", "green"))]
+        while len(w) < 40:
+            w.append({"red": "apple", "blue": "sky", "green": "tree"}.get(w[-1]) or r.choice(("red", "blue", "green")))
+        rows.append((d, " ".join(w), "", "", 1))
     docs = spark.createDataFrame(rows, SCHEMA)
-    got, again = ({r["doc_id"]: r["score"] for r in op.attention_scores(x).collect()} for x in (docs, docs.repartition(7)))
-    assert again == pytest.approx(got, rel=1e-4)
-    subwords = seen[0][1]
-    assert {c >> 16 for n, c in subwords if n == 1} == set(letters.encode()) and len(subwords) == op.IDS - 2
-    reader = op.Reader(subwords)
-    import numpy as np
-    data = np.frombuffer(" ".join(r[1] for r in rows).encode(), np.uint8)
-    assert (reader.ids(reader.words(data, np.array([0, len(data)]))[1]) == op.OTHER).mean() < 0.01
-    taken = []
-    for rows_n in (20_000, 40_000):
-        taken.append(spark.range(rows_n).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text")))
-    sizes = [op.training_share(t, n, "doc_id", "text")[0].count() for t, n in zip(taken, (20_000, 40_000), strict=True)]
+    got, again = ({x["doc_id"]: x for x in op.attention_scores(t, op.load_ranks()).collect()} for t in (docs, docs.repartition(7)))
+    assert {d: x["score"] for d, x in again.items()} == pytest.approx({d: x["score"] for d, x in got.items()}, rel=1e-4)
+    held = [x for x in got.values() if x["held_out"]]
+    assert held and sum(x["score"] for x in held) > 0.75 * sum(x["unigram_score"] for x in held)
+    sizes = []
+    for n in (20_000, 40_000):
+        t = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
+        sizes.append(op.training_share(t, n, "doc_id", "text")[0].count())
     assert sizes[0] > 1000 and 1.8 < sizes[1] / sizes[0] < 2.2
 
 
