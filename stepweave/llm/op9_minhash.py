@@ -15,7 +15,9 @@ lists, and every pair kept is confirmed on its full sets. No list is paired with
    mostly made of very common passages, are posted under their shingles, rarest first. Two of
    similarity p share one of the first n - ceil(p n) + 1 of the larger's and the first
    m - ceil(2 p m / (1 + p)) + 1 of the smaller's. Each list is paired with its document of fewest
-   own shingles first; then pairs of components that are still different are confirmed.
+   own shingles first; then pairs of components that are still different are confirmed. For that, lists
+   are cut by bands of set size, of which alike sets are in one or in neighbours, and what is still
+   longer than DEAL is dealt to as many blocks, each met by the list in a task of its own.
 
 Links inside a component are not needed to know the component, and are not listed.
 """
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from stepweave.llm.components import connected_components
 from stepweave.llm.shared import WordHasher, blocks, materialize, mix, release
 
-COORDINATES, MATCHES, SHORT, SHINGLE, PERCENT = 64, 32, 32, 5, 75
+COORDINATES, MATCHES, SHORT, DEAL, SHINGLE, PERCENT = 64, 32, 32, 512, 5, 75
 
 
 def _distinct(hasher: WordHasher, column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -143,6 +145,66 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return found
 
 
+def alike(x, y, percent: int = PERCENT):
+    """Whether sets of these sizes can reach the similarity at all."""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def prefix_links(hot: DataFrame, texts: DataFrame, so_far: DataFrame, size: int, percent: int, deal: int = DEAL) -> DataFrame:
+    """Step 3: components of the links so far and of all links between hot documents (node, component).
+
+    Tables that two sides of a join read are written first, so that adaptive execution can split the
+    tasks of a very common shingle.
+    """
+    members = texts.join(hot, texts["doc"] == hot["node"], "left_semi").mapInArrow(shingler(size), "node long, n long, s long")
+    members = materialize(members.join(hot, "node"), "members")
+    common = materialize(members.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    own = Window.partitionBy("node")
+    ranked = members.join(common, "s").withColumn("lone", F.col("n") - F.count("*").over(own))
+    ranked = ranked.withColumn("rank", F.col("lone") + F.row_number().over(own.orderBy("df", "s")))
+    # Of sets of sizes m <= n, the smaller shares at least 2p / (1 + p) of itself, the larger p: the rest + 1 is the prefix.
+    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("s", "node", "n", "component", "lone", "rank")
+    prefix = materialize(prefix, "prefix")
+    release(members, common)
+
+    # A star first, around the document of fewest own shingles in each list: what it links needs no pairs any more.
+    least = prefix.groupBy("s").agg(F.min(F.struct("lone", F.xxhash64(F.lit(7), "node").alias("h"), F.col("node"), F.col("n"), F.col("component"))).alias("hub"))
+    least = materialize(least, "least")
+    star = prefix.join(least, "s").where((F.col("node") != F.col("hub.node")) & (F.col("component") != F.col("hub.component")) & alike(F.col("n"), F.col("hub.n"), percent))
+    around = confirm(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), texts, size, percent)
+    joined = connected_components(around.union(so_far))
+    release(least)
+
+    # Alike sizes are in one band or in neighbours; lists of one component in such bands are done.
+    step = F.lit(100.0 / percent)
+    left = prefix.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    left = materialize(left.withColumn("band", F.floor(F.log("n") / F.log(step))), "left")
+    release(prefix)
+    of_band = left.groupBy("s", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
+    near = of_band.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    lists = near.groupBy("s", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("size").alias("size")).where("lo <> hi")
+    lists = materialize(lists.select("s", "band", F.ceil(F.col("size") / deal).alias("blocks")), "lists")
+    # x is the smaller set: its own band meets sets of this band and of the next, and each block of them.
+    small = F.col("rank") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
+    x = left.where(small).join(lists, ["s", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).alias("x")
+    y = left.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).join(lists, ["s", "band"])
+    y = y.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("y")
+    most = F.least(F.col("x.n") - F.col("x.lone"), F.col("y.n") - F.col("y.lone"))
+    before = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    # At a pair's first common shingle no more can be common than what follows it in either; other rows of the pair may go.
+    follows = 1 + F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank"))
+    enough = (100 + percent) * F.least(follows, most) >= percent * (F.col("x.n") + F.col("y.n"))
+    possible = enough & before & (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n"), percent)
+    same = (F.col("x.s") == F.col("y.s")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.block") == F.col("y.block"))
+    pairs = x.join(y, same & possible).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    third = confirm(pairs, texts, size, percent)
+    out = joined if third.isEmpty() else connected_components(third.union(joined.select("node", "component")))
+    if out is not joined:
+        release(joined)
+    release(around, left, lists, third)
+    return out
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES, short: int = SHORT) -> DataFrame:
     """id_col, n_shingles, class_id, component_id, kept, a row per row of documents.
 
@@ -150,7 +212,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text: str = "t
     links, kept says that a document is its component's smallest id. A null or wordless text has
     no shingles and is linked with nothing; fewer than `size` words make one shingle; repeated
     rows share a class; a null id is never the smallest, and its row is kept only if its class
-    has no id at all. Ids are taken to name one text each. An empty table gives no rows.
+    has no id at all. Ids are taken to name one text each. An empty table gives no rows. Columns
+    other than these two may have any name.
     """
     texts = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
     profile = materialize(texts.mapInArrow(profiler(coordinates, size), "doc long, n long, d1 long, d2 long, sig array<long>"), "profile")
@@ -163,14 +226,13 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text: str = "t
     lists = postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = materialize(postings.join(lists, "key").select("key", "node", "n", "size"), "shared")
     release(postings)
-    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     # A list's most central document is in the most lists of about its size: in a group of near copies, one with few changes.
     sized = shared.withColumn("band", F.floor(F.log2("size")))
     central = sized.groupBy("node", "band").agg(F.count("*").alias("score"))
     hubs = sized.join(central, ["node", "band"]).groupBy("key").agg(F.max(F.struct("score", mixed("node").alias("h"), F.col("node"), F.col("n"))).alias("hub"))
     star = shared.join(hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "key")
-    star = star.where((F.col("node") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"))).groupBy("hub", "node").agg(F.count("*").alias("met")).where("met >= 4")
+    star = star.where((F.col("node") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"), percent)).groupBy("hub", "node").agg(F.count("*").alias("met")).where("met >= 4")
     links = confirm(star.select(F.col("hub").alias("a"), F.col("node").alias("b")), texts, size, percent)
     found = connected_components(links)
 
@@ -184,7 +246,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text: str = "t
     long_lists = open_lists.where(F.col("size") > short).groupBy("node").agg(F.count("*").alias("skipped"))
     brief = open_lists.where(F.col("size") <= short).select("key", "node", "n", "component")
     x, y = brief.alias("x"), brief.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n")))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n"), percent))
     met = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("met"))
     skipped = lambda c: long_lists.select(F.col("node").alias(c), F.col("skipped").alias(f"skipped_{c}"))
     met = met.join(skipped("a"), "a", "left").join(skipped("b"), "b", "left")
@@ -193,34 +255,16 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text: str = "t
 
     hot = long_lists.where(F.col("skipped") >= matches).select("node").join(found, "node", "left")
     hot = materialize(hot.select("node", F.coalesce("component", "node").alias("component")), "hot")
-    members = texts.join(hot, texts["doc"] == hot["node"], "left_semi").mapInArrow(shingler(size), "node long, n long, s long")
-    members = materialize(members.join(hot, "node"), "members")
-    common = members.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    own = Window.partitionBy("node")
-    ranked = members.join(common, "s").withColumn("lone", F.col("n") - F.count("*").over(own))
-    ranked = ranked.withColumn("rank", F.col("lone") + F.row_number().over(own.orderBy("df", "s")))
-    # Of sets of sizes m <= n, the smaller shares at least 2p / (1 + p) of itself, the larger p: the rest + 1 is the prefix.
-    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("s", "node", "n", "component", "lone", "rank")
-    prefix = materialize(prefix, "prefix")
-    # A star first, around the document of fewest own shingles in each list: what it links needs no pairs any more.
-    least = prefix.groupBy("s").agg(F.min(F.struct("lone", mixed("node").alias("h"), F.col("node"), F.col("n"), F.col("component"))).alias("hub"))
-    star = prefix.join(least, "s").where((F.col("node") != F.col("hub.node")) & (F.col("component") != F.col("hub.component")) & alike(F.col("n"), F.col("hub.n")))
-    around = confirm(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), texts, size, percent)
-    joined = connected_components(around.union(second).union(links).union(found.select("node", "component")))
-    prefix = prefix.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    x = prefix.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1).alias("x")
-    y = prefix.alias("y")
-    most = F.least(F.col("x.n") - F.col("x.lone"), F.col("y.n") - F.col("y.lone"))
-    before = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-    # At a pair's first common shingle no more can be common than what follows it in either; other rows of the pair may go.
-    follows = 1 + F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank"))
-    possible = ((100 + percent) * follows >= percent * (F.col("x.n") + F.col("y.n"))) & before & (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n")) & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
-    third = x.join(y, (F.col("x.s") == F.col("y.s")) & possible)
-    third = confirm(third.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), texts, size, percent)
-
-    found = joined if third.isEmpty() else connected_components(third.union(joined.select("node", "component")))
-    release(open_lists, hot, members, shared)
-    classes = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    release(open_lists, shared)
+    so_far = second.union(links).union(found.select("node", "component"))
+    if hot.isEmpty():
+        joined = found if second.isEmpty() else connected_components(so_far)
+    else:
+        joined = prefix_links(hot, texts, so_far, size, percent)
+    if joined is not found:
+        release(found)
+    release(hot, links, second)
+    classes = classes.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").select("d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = profile.select("doc", F.col("n").alias("n_shingles"), "d1", "d2").join(classes, ["d1", "d2"], "left")
     out = out.withColumn("empty", F.col("n_shingles") == 0)
     out = out.select(F.col("doc").alias(id_col), "n_shingles", F.when(F.col("empty"), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("empty"), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
