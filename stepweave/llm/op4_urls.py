@@ -3,7 +3,8 @@
 A rule (host, path) fits its host and all subdomains where the url's path starts with the rule's;
 the longest fitting rule decides. For the other urls, names that run words together are split by a
 unigram Viterbi, and multinomial naive Bayes scores the words of host and path. It learns from
-urls that rules decide: at most ROWS of each verdict, in the order of a hash of the id; how often
+urls that rules decide: at most ROWS of each verdict, in the order of a hash of the id, and of each the
+first CHARS characters of host and path; how often
 each verdict occurs is counted over all pages. So are the words of paths and page texts, of which the
 WORDS most frequent ones, ties by code point, are the segmenter's vocabulary (some 1 MB).
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROWS, WORDS, LONGEST = 2000, 20_000, 20
+ROWS, CHARS, WORDS, LONGEST = 2000, 2000, 20_000, 20
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -137,7 +138,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url: str = "url", pag
     Urls without a rule are blocked at log odds over 0. A null url, or one without ://, has an
     empty host and path, no rule, and the verdict of the prior. Without both verdicts among the
     pages nothing is learned and the rest is allowed. An empty table gives no rows; repeated rows
-    are judged one by one.
+    are judged one by one, and equal urls alike. Columns other than the three named may have any name.
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     cut = pages.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path"))
@@ -145,7 +146,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url: str = "url", pag
     ruled = cut.withColumn("verdict", verdict).where("verdict IS NOT NULL")
     verdicts = {r["verdict"]: r["count"] for r in ruled.groupBy("verdict").count().collect()}
     order = (F.xxhash64("id"), "id", "host", "path")
-    taken = [tuple(r) for v in sorted(verdicts) for r in ruled.where(F.col("verdict") == v).orderBy(*order).limit(rows).select("host", "path", "verdict").collect()]
+    taken = [tuple(r) for v in sorted(verdicts) for r in ruled.where(F.col("verdict") == v).orderBy(*order).limit(rows).select(F.substring("host", 1, CHARS), F.substring("path", 1, CHARS), "verdict").collect()]
     # Without both verdicts no url is scored, and no words are needed.
     counted = pages.select(path.alias("path"), F.coalesce(F.col(page), F.lit("")).alias("page")).mapInArrow(_word_counter(), "word string, n long")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS).collect() if len(verdicts) == 2 else []

@@ -10,8 +10,9 @@ written with `(at)`, keys and passwords (``secret``).
 The CRF is fitted by maximum likelihood (forward-backward over segments) on fields made by
 ``examples()``, so the same weights serve any corpus; nothing is learned from the documents.
 
-Null and empty texts have no spans; repeated rows are read one by one; texts are read whole, in
-time linear in their length but for the fields, which are bounded by ``MOST`` atoms a segment.
+Null and empty texts have no spans; repeated rows are read one by one; an empty table gives no rows;
+equal scores go to fewer segments; columns other than the id and the text may have any name. Texts are
+read whole, in time linear in their length but for the fields, bounded by ``MOST`` atoms a segment.
 """
 
 from __future__ import annotations
@@ -290,7 +291,7 @@ def _finder(weights: np.ndarray, redact: bool):
                 texts = column.to_pylist()
                 for r, (_, spans) in rows.items():
                     texts[r] = redacted(texts[r], spans)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "_redacted"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=batch.schema.names)
                 continue
             empty: tuple = ([], [])
             base, every = zip(*(rows.get(r, empty) for r in range(batch.num_rows)), strict=True) if batch.num_rows else ((), ())
@@ -319,10 +320,8 @@ def find_pii(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
 def redact_pii(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents, columns and order of columns kept, with every span of the text replaced by its kind; a null text stays null."""
-    others = [c for c in documents.columns if c != text]
-    moved = documents.select(*others, text)
-    schema = moved.drop(text).schema.add("_redacted", "string")
-    return moved.mapInArrow(_finder(fitted(), True), schema).withColumnRenamed("_redacted", text).select(*documents.columns)
+    moved = documents.select(*(c for c in documents.columns if c != text), text)
+    return moved.mapInArrow(_finder(fitted(), True), moved.schema).select(*documents.columns)
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:

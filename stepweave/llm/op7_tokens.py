@@ -7,7 +7,8 @@ rules are the tokenizer's: a path replaces another only if its score is greater,
 tried from the earliest start on, an unknown character scores 10 below the lowest piece and is
 tried where no piece of that length exists, and neighbouring unknowns are one token. Words are
 cut at the word mark before this, as the tokenizer does, so equal words have equal counts, and
-counts are remembered for up to MEMO words a task.
+counts are remembered for up to MEMO words of LONG characters at most a task; longer ones are counted
+anew each time.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARK, MEMO, FOLDER = "▁", 400_000, "/opt/tokenizers"
+MARK, MEMO, LONG, FOLDER = "▁", 400_000, 64, "/opt/tokenizers"
 
 
 def load_vocabulary(path: str = f"{FOLDER}/piece_bpe_32k.model") -> list[tuple[str, float]]:
@@ -51,6 +52,8 @@ class Counter(dict):
         self.empty = not vocabulary
 
     def __missing__(self, word: str) -> int:
+        if len(word) > LONG:
+            return self.viterbi(word)
         if len(self) >= MEMO:
             self.clear()
         self[word] = n = self.viterbi(word)
@@ -108,10 +111,14 @@ def _counter(vocabulary: list[tuple[str, float]]):
 
 
 def count_tokens(documents: DataFrame, vocabulary: list[tuple[str, float]], id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id_col, n_tokens: a row per document. A null or empty text has 0 tokens; an empty table gives no rows; repeated rows are counted one by one."""
+    """id_col, n_tokens: a row per document.
+
+    A null or empty text has 0 tokens; an empty table gives no rows; repeated
+    rows are counted one by one; an empty vocabulary makes every word one unknown token. Columns other than these two may have any name.
+    """
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     return docs.mapInArrow(_counter(vocabulary), "id long, n_tokens long").withColumnRenamed("id", id_col)
 
 
-def op7_tokens(spark, sf_dir: str) -> DataFrame:
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), load_vocabulary())
+def op7_tokens(spark, sf_dir: str, vocabulary: str = f"{FOLDER}/piece_bpe_32k.model") -> DataFrame:
+    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), load_vocabulary(vocabulary))

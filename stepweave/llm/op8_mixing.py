@@ -7,7 +7,7 @@ and, of the last one, the documents up to the exact budget (the one that crosses
 
 Edge cases: a null text has size 0, a null source is a source of its own (last in order), equal
 keys are ordered by id and size, repeated rows count one by one, an empty table gives no rows,
-and a source without words has target 0.
+and a source without words has target 0. Columns other than the three named may have any name.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepweave.llm.op2_quality import words_of
-from stepweave.llm.shared import materialize
+from stepweave.llm.shared import free_name, materialize
 
 RANGE_ROWS = 2000
 
@@ -41,8 +41,8 @@ def source_targets(totals: DataFrame, epochs: int = 3) -> DataFrame:
 
 
 def mix_sources(documents: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", epochs: int = 3) -> DataFrame:
-    """id_col, source, size, source_size, target, epochs (whole copies), part (words of one more copy) and taken, a row per document."""
-    sized = documents.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"))
+    """id_col, source, size, source_size, target, epochs (whole copies), part (words of one more copy) and taken, a row per document; texts are not moved."""
+    sized = documents.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size"), _key(F.col(id_col)).alias("key"))
     sized = materialize(sized, "mixing")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     targets = materialize(source_targets(totals, epochs).withColumnRenamed("source", "_source"), "targets")
@@ -60,6 +60,40 @@ def mix_sources(documents: DataFrame, id_col: str = "doc_id", text: str = "text"
     return taken.select(F.col("id").alias(id_col), F.col("source").alias(source), "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
 
 
+def take_mix(documents: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", epochs: int = 3) -> DataFrame:
+    """The documents of the mix, all columns as they are, and mix_size, mix_target, mix_epochs, mix_part and mix_taken of each.
+
+    Texts are not moved: each source's last epoch ends at one key, and a row per source tells every
+    document where. Repeated rows of the document at the cut share its last part equally, rounded down.
+    Documents of which nothing is taken are left out. Existing columns of these names are replaced.
+    """
+    mixed = mix_sources(documents, id_col, text, source, epochs)
+    mixed = materialize(mixed.select(F.col(source).alias("s"), _key(F.col(id_col)).alias("key"), F.col(id_col).alias("id"), "size", "target", "epochs", "part"), "mix")
+    at = F.struct("key", "id", "size")
+    sources = mixed.groupBy(F.col("s").alias("of")).agg(F.first("target").alias("target"), F.first("epochs").alias("epochs"), F.max(F.when(F.col("part") > 0, at)).alias("cut"))
+    sources = materialize(sources, "sources")
+    at_cut = F.col("s").eqNullSafe(F.col("of")) & at.eqNullSafe(F.col("cut"))
+    last = mixed.join(sources.select("of", "cut"), at_cut).groupBy(F.col("s").alias("s")).agg(F.floor(F.sum("part") / F.count("*")).cast("long").alias("last"))
+    cuts = sources.join(last, F.col("of").eqNullSafe(F.col("s")), "left")
+    cuts = materialize(cuts.select(F.struct(F.col("of").alias("s"), "target", "epochs", "cut", F.coalesce("last", F.lit(0).cast("long")).alias("last")).alias("c")), "cuts")
+    whole = free_name(documents, "c")
+    cuts = cuts.withColumnRenamed("c", whole)
+    c = lambda name: F.col(f"{whole}.{name}")
+    size = F.size(words_of(F.col(text))).cast("long")
+    own = F.struct(_key(F.col(id_col)).alias("key"), F.col(id_col).alias("id"), size.alias("size"))
+    # Nulls of the id come first, as in a sort.
+    part = F.when(c("cut").isNull() | (size == 0), 0).when(own.eqNullSafe(c("cut")), c("last")).when(own < c("cut"), size).otherwise(0)
+    joined = documents.join(cuts, F.col(source).eqNullSafe(c("s")))
+    new = {"mix_size": size, "mix_target": c("target"), "mix_epochs": c("epochs"), "mix_part": part.cast("long")}
+    out = joined.select(*(x for x in documents.columns if x.lower() not in (*new, "mix_taken")), *(v.alias(k) for k, v in new.items()))
+    return out.withColumn("mix_taken", F.col("mix_epochs") * F.col("mix_size") + F.col("mix_part")).where("mix_taken > 0")
+
+
+def _key(id_col):
+    """The hash-random key of a document."""
+    return F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary"))
+
+
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "source")
 

@@ -8,7 +8,9 @@ bounds a worker's memory by the block and the longest text.
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -22,36 +24,73 @@ SPACES = r"[\x20\x09-\x0D]"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
+    """The shared folder that spark.checkpoint.dir names; without one a local session gets a temporary folder, and a cluster an error.
+
+    On a cluster every executor would write to a disk of its own, and what others wrote would be missing.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="stepweave-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
 
 
+class _Made(threading.local):
+    """Tables made by materialize() in this thread and not yet released."""
+
+    def __init__(self):
+        self.tables: list[tuple[DataFrame, str]] = []
+
+
+_made = _Made()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/stepweave-tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
-    back._stepweave_path = path
-    MADE.append(back)
+    _made.tables.append((back, path))
     return back
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete tables made by materialize() that nothing reads any more."""
+    """Delete tables made by materialize() that nothing reads any more; others are left alone."""
     for df in tables:
-        MADE[:] = [x for x in MADE if x is not df]
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._stepweave_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for path in [p for x, p in _made.tables if x is df]:
+            delete(df.sparkSession, path)
+        _made.tables = [(x, p) for x, p in _made.tables if x is not df]
+
+
+def mark() -> int:
+    """How many tables of this thread there are now, for tables_since()."""
+    return len(_made.tables)
+
+
+def tables_since(at: int) -> list[DataFrame]:
+    """The tables made since a mark() and not released: a result of this time may read them until it is written."""
+    return [x for x, _ in _made.tables[at:]]
+
+
+def release_all() -> None:
+    """Delete all tables that this thread's operators have made, once their results are written."""
+    release(*tables_since(0))
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Tables made by materialize() in this process, for callers who know when a step's tables are spent.
-MADE: list[DataFrame] = []
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
