@@ -1,11 +1,13 @@
 """Five stages from raw documents to a weighted mix; each is written as Parquet and read by the next.
 
 Repeated rows of one id and text stay or go together; rows without an id are judged like others,
-but of near-duplicate ones those with an id stay. Empty tables give empty tables.
+but of near-duplicate ones those with an id stay. Empty tables give empty tables. Columns besides
+doc_id, text, source and n_chars may have any name.
 """
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,58 +17,66 @@ from stepweave.llm import shared
 from stepweave.llm.op2_quality import passing_documents
 from stepweave.llm.op5_pii import redact_pii
 from stepweave.llm.op6_decontamination import decontaminate
-from stepweave.llm.op8_mixing import mix_sources
+from stepweave.llm.op8_mixing import take_mix
 from stepweave.llm.op9_minhash import near_duplicates
 
-_spent: list[DataFrame] = []
 
+class _Spent(threading.local):
+    """Tables of the stage before in this thread: its result is written when the next stage begins."""
 
-def _begin() -> None:
-    """Delete the tables of the stage before, whose result is written by now."""
-    shared.release(*_spent)
-    _spent.clear()
+    tables: tuple[DataFrame, ...] = ()
 
 
-def _end(since: int) -> None:
-    _spent.extend(shared.MADE[since:])
+_spent = _Spent()
 
 
+def _stage(work):
+    """A stage that deletes what the one before it has left, and leaves its own tables to the next."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shared.release(*_spent.tables)
+        since = shared.mark()
+        out = work(spark, docs, sf_dir)
+        _spent.tables = tuple(shared.tables_since(since))
+        return out
+
+    run.__name__, run.__doc__ = work.__name__, work.__doc__
+    return run
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and their host's verdict let pass."""
-    _spent.clear()
-    since = len(shared.MADE)
-    kept = passing_documents(docs)
-    _end(since)
-    return kept
+    return passing_documents(docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest id, of each group of near-duplicates."""
-    _begin()
-    since = len(shared.MADE)
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    _end(since)
-    return out
+    name = shared.free_name(docs, "kept_id")
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    _begin()
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind and n_chars set to the new length."""
-    _begin()
     out = redact_pii(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: doc_id, source, size, source_size, target, epochs, part and taken of the documents it takes."""
-    _begin()
-    return mix_sources(docs).where("taken > 0")
+    """The documents of the mix with their texts, and how much of each it takes: mix_size, mix_target, mix_epochs, mix_part, mix_taken."""
+    return take_mix(docs)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("mixing", mixing)]
@@ -76,6 +86,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix. What its stages have written goes as soon as it is read, but for the last one's input, which the result reads."""
     folder = f"{shared.scratch_dir(spark)}/stepweave-pipeline/{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
@@ -83,5 +94,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             schema = docs.schema
             docs.write.parquet(f"{folder}/{k}")
+            if k:
+                shared.delete(spark, f"{folder}/{k - 1}")
             docs = spark.read.schema(schema).parquet(f"{folder}/{k}")
     return docs
