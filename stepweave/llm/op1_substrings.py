@@ -150,6 +150,8 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text: str =
     schema = "rid long, doc long, lo int, hi int, words_lo int, words_hi int, d long"
     pairs = materialize(docs.mapInArrow(chunk_pairs(bits, least, most), schema), "pairs")
     shared = pairs.groupBy("d").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc <> last_doc").drop("last_doc")
+    # Written, so that the join's two sides are plain exchanges and adaptive execution can split a common pair's task.
+    shared = materialize(shared, "shared")
     held = pairs.join(shared, "d").drop("d").withColumn("own", F.coalesce(F.col("first_doc") == F.col("doc"), F.lit(False)))
 
     order = Window.partitionBy("rid").orderBy("lo")
