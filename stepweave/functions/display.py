@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stepweave import constants as K
-from stepweave.functions.text import normalize_space, step_token, whole_word
+from stepweave.functions.text import let, normalize_space, step_token, whole_word
 
 ACTIONS = tuple(name for name, _ in K.ACTION_WORDS)
 
@@ -17,11 +15,6 @@ def _strings(values: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once: an expression used in many places grows with each of them."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def relation_phrase(label: Column) -> Column:
     return F.lower(normalize_space(F.translate(label, "_/", "  ")))
 

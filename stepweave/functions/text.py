@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,37 +41,46 @@ def relation_key(label: Column) -> Column:
     return F.regexp_replace(F.lower(label), "[^a-z0-9]+", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: an expression used in many places grows with each of them."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def singular(label: Column) -> Column:
     """The last word in the singular; the whole label is lower-cased where that changes it. Step ids and names with numbers stay."""
+    irregular = F.create_map(*(F.lit(x) for pair in K.IRREGULAR_PLURALS.items() for x in pair))
+
+    def ending(v: Column) -> Column:
+        last, size = v["last"], F.length(v["last"])
+        stem = lambda cut: F.substring(last, F.lit(1), size - cut)
+        return (
+            F.when(irregular[last].isNotNull(), irregular[last])
+            .when((size > 4) & last.endswith("ies"), F.concat(stem(3), F.lit("y")))
+            .when((size > 2) & last.endswith("es"), stem(2))
+            .when((size > 2) & last.endswith("s") & ~last.endswith("ss") & ~last.endswith("us") & ~last.endswith("is"), stem(1))
+        )
+
     low = F.lower(label)
-    words = F.split(F.trim(low), BLANKS)
-    last = F.element_at(words, -1)
-    before = F.concat(F.array_join(F.slice(words, 1, F.size(words) - 1), " "), F.when(F.size(words) > 1, " ").otherwise(""))
-    irregular = F.create_map(*(F.lit(x) for pair in K.IRREGULAR_PLURALS.items() for x in pair))[last]
-    size = F.length(last)
-    stem = lambda cut, plus="": F.concat(before, F.substring(last, F.lit(1), size - cut), F.lit(plus))
-    return (
-        F.when((label == "") | step_id(label).isNotNull() | label.rlike(r"[A-Z]+-\d+") | low.isin(*K.KEPT_PLURALS), label)
-        .when(irregular.isNotNull(), F.concat(before, irregular))
-        .when((size > 4) & last.endswith("ies"), stem(3, "y"))
-        .when((size > 2) & last.endswith("es"), stem(2))
-        .when((size > 2) & last.endswith("s") & ~last.endswith("ss") & ~last.endswith("us") & ~last.endswith("is"), stem(1))
-        .otherwise(label)
-    )
+    kept = (label == "") | step_id(label).isNotNull() | label.rlike(r"[A-Z]+-\d+") | low.isin(*K.KEPT_PLURALS)
+    parts = F.struct(F.regexp_extract(F.trim(low), r"([^ \t\n\x0B\f\r]*)$", 1).alias("last"), F.regexp_replace(F.trim(low), r"[^ \t\n\x0B\f\r]*$", "").alias("before"))
+    changed = let(parts, lambda v: F.concat(v["before"], ending(v)))
+    return F.when(kept, label).otherwise(F.coalesce(changed, label))
 
 
 def canonical_label(label: Column) -> Column:
     """The form under which mentions of one concept meet."""
-    flat = normalize_space(label)
-    base = F.trim(F.regexp_extract(flat, r"(?i)^(.+?)\s+stable$", 1))
-    return (
-        F.when((flat == "") | step_id(flat).isNotNull(), flat)
-        .when(F.lower(flat) == "service-disconnect", F.lit("service disconnect"))
-        .when(flat.rlike(r"(?i)^(?:orange\s+)?handle\s+sits\s+proud$"), F.lit("handle proud"))
-        .when(flat.rlike(r"(?i)^handle\s+flush(?:ness)?(?:\s+with\b.*)?$"), F.lit("handle flushness"))
-        .when((base != "") & F.lower(base).rlike("status|path|permissive"), singular(base))
-        .otherwise(singular(flat))
-    )
+
+    def form(flat: Column) -> Column:
+        base = F.trim(F.regexp_extract(flat, r"(?i)^(.+?)\s+stable$", 1))
+        return (
+            F.when((flat == "") | step_id(flat).isNotNull(), flat)
+            .when(F.lower(flat) == "service-disconnect", F.lit("service disconnect"))
+            .when(flat.rlike(r"(?i)^(?:orange\s+)?handle\s+sits\s+proud$"), F.lit("handle proud"))
+            .when(flat.rlike(r"(?i)^handle\s+flush(?:ness)?(?:\s+with\b.*)?$"), F.lit("handle flushness"))
+            .otherwise(let(F.when((base != "") & F.lower(base).rlike("status|path|permissive"), base).otherwise(flat), singular))
+        )
+
+    return let(normalize_space(label), form)
 
 
 def type_hint(value: Column) -> Column:

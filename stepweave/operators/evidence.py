@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepweave.functions.text import canonical_label, hint_candidates, hypernym, step_id, type_hint
+from stepweave.functions.text import canonical_label, hint_candidates, hypernym, normalize_space, step_id, type_hint
 
 
 def order_records(records: DataFrame, domains: DataFrame | None = None) -> DataFrame:
@@ -19,6 +19,43 @@ def order_records(records: DataFrame, domains: DataFrame | None = None) -> DataF
     return records.withColumn("record_idx", F.row_number().over(order))
 
 
+def canonical(records: DataFrame) -> DataFrame:
+    """The records with every label in canonical form: of mentions, relations, actions, edges, diagnostics and transitions."""
+    schema = {f.name: f.dataType for f in records.schema}
+    names = {
+        "concept_mentions": ("label",), "relation_mentions": ("head", "tail"), "step_actions": ("target_label",), "structural_edges": ("head", "tail"),
+        "diagnostic_edges": ("evidence_label", "indicated_label"), "state_transitions": ("from_state", "to_state", "evidence_label"),
+    }
+
+    def relabelled(x: Column, kind, labels: tuple[str, ...]) -> Column:
+        made = F.struct(*((canonical_label(x[f.name]) if f.name in labels else x[f.name]).alias(f.name) for f in kind.fields))
+        return F.when(x.isNotNull(), made)
+
+    def listed(column: Column, kind, labels: tuple[str, ...]) -> Column:
+        return F.transform(column, lambda x: relabelled(x, kind.elementType, labels))
+
+    step_kind = schema["step_records"].elementType
+
+    def step(s: Column) -> Column:
+        made = []
+        for f in step_kind.fields:
+            own = s[f.name]
+            own = relabelled(own, f.dataType, ("label",)) if f.name == "task" else listed(own, f.dataType, names[f.name]) if f.name in names else own
+            made.append(own.alias(f.name))
+        return F.struct(*made)
+
+    out = records.withColumn("step_records", F.transform("step_records", step))
+    for name, labels in (("document_concept_mentions", ("label",)), ("document_relation_mentions", ("head", "tail")), ("cross_step_relations", ("head", "tail"))):
+        out = out.withColumn(name, listed(F.col(name), schema[name], labels))
+    return out
+
+
+def evidence_units(records: DataFrame) -> DataFrame:
+    """A row per record in its domain's order: ids, text with single blanks, time, and the locator domain/source_type/position from 0."""
+    where = F.concat_ws("/", "domain_id", "source_type", (F.col("record_idx") - 1).cast("string"))
+    return records.select("evidence_id", "domain_id", "role", "source_type", where.alias("locator"), normalize_space(F.col("raw_text")).alias("text"), "timestamp")
+
+
 def steps(records: DataFrame) -> DataFrame:
     """One row per step, with its position and the step that follows."""
     flat = records.select("domain_id", "evidence_id", "record_idx", "timestamp", F.posexplode("step_records").alias("step_pos", "step"))
@@ -64,11 +101,15 @@ def candidates(mentioned: DataFrame, relations: DataFrame) -> DataFrame:
     keys, order = ["domain_id", "label"], ["record_idx", "origin", "step_pos", "pos"]
     worthy = mentioned.where(F.col("node_worthy") & step_id(F.col("label")).isNull() & (F.col("label") != ""))
     at = F.struct(*order)
-    base = worthy.groupBy(*keys).agg(
-        ordered_distinct(F.col("evidence_id"), at).alias("evidence_ids"),
-        ordered_distinct(F.coalesce(F.when(F.col("surface_form") != "", F.col("surface_form")), F.col("label")), at).alias("evidence_texts"),
+    # A label's mentions in one record come together first, so that what is listed is records and wordings.
+    worded = F.coalesce(F.when(F.col("surface_form") != "", F.col("surface_form")), F.col("label"))
+    worthy = worthy.withColumn("wording", worded)
+    parts = worthy.groupBy(*keys, "evidence_id", "wording", "step_id").agg(F.min(at).alias("at"), F.count("*").alias("n"))
+    base = parts.groupBy(*keys).agg(
+        ordered_distinct(F.col("evidence_id"), F.col("at")).alias("evidence_ids"),
+        ordered_distinct(F.col("wording"), F.col("at")).alias("evidence_texts"),
         F.sort_array(F.collect_set("step_id")).alias("step_ids"),
-        F.count("*").alias("support_count"),
+        F.sum("n").alias("support_count"),
     )
     ends = relations.select("domain_id", F.col("head").alias("label"), "family", F.lit(1).alias("h"), F.lit(0).alias("t")).union(relations.select("domain_id", "tail", "family", F.lit(0), F.lit(1)))
     part = ends.groupBy(*keys).agg(F.count("*").alias("relation_count"), F.sum("h").alias("head_count"), F.sum("t").alias("tail_count"), F.sort_array(F.collect_set("family")).alias("families"))

@@ -39,10 +39,13 @@ def filter_reason(family: Column, label: Column, head: Column, tail: Column, hea
 
 def type_reason(family: Column, head_type: Column, tail_type: Column) -> Column:
     """Which type constraint a relation breaks; null for none. A missing type is Unknown."""
-    head, tail = F.coalesce(head_type, F.lit("Unknown")), F.coalesce(tail_type, F.lit("Unknown"))
-    out = F.format_string("unknown family %s", F.coalesce(family, F.lit("")))
-    for name, (heads, tails) in K.TYPE_CONSTRAINTS.items():
-        broken = F.when(~head.isin(*heads), F.format_string("head type %s not allowed", head)).when(~tail.isin(*tails), F.format_string("tail type %s not allowed", tail))
+    out = F.format_string("family '%s' not defined in constraints", F.coalesce(family, F.lit("")))
+    for name, ends in K.TYPE_CONSTRAINTS.items():
+        broken = F.lit(None).cast("string")
+        for end, value, allowed in (("tail", tail_type, ends[1]), ("head", head_type, ends[0])):
+            known = F.coalesce(value, F.lit("Unknown"))
+            told = F.concat(F.lit(f"{end} type '"), known, F.lit(f"' not allowed for family '{name}' (allowed: {list(allowed)})"))
+            broken = F.when(~known.isin(*allowed), told).otherwise(broken)
         out = F.when(family == name, broken).otherwise(out)
     return out
 
@@ -52,6 +55,16 @@ def split_by_types(edges: DataFrame) -> DataFrame:
     return edges.withColumn("invalid_reason", type_reason(F.col("family"), F.col("head_type"), F.col("tail_type")))
 
 
+def type_statistics(split: DataFrame, examples: int = 10) -> DataFrame:
+    """One row for split_by_types()' result: total, valid, invalid, invalid_rate, invalid_by_family and the first examples by edge_id."""
+    bad = F.col("invalid_reason").isNotNull()
+    by_family = split.where(bad).groupBy("family").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce("family", F.lit("")), "n")))).alias("invalid_by_family"))
+    first = split.where(bad).orderBy("edge_id").limit(examples).agg(F.sort_array(F.collect_list(F.struct("edge_id", "family", "head", "tail", F.col("invalid_reason").alias("reason")))).alias("invalid_examples"))
+    counted = split.agg(F.count("*").alias("total_edges"), F.count_if(~bad).alias("valid_edges"), F.count_if(bad).alias("invalid_edges"))
+    rate = F.coalesce(F.round(F.col("invalid_edges") / F.nullif(F.col("total_edges"), F.lit(0)), 4), F.lit(0.0))
+    return counted.withColumn("invalid_rate", rate).join(by_family).join(first)
+
+
 def concept_nodes(mentions: DataFrame, decisions: DataFrame) -> DataFrame:
     """A node per admitted label and domain: first mention's wording, first record, all evidence in order."""
     from stepweave.operators.evidence import ordered_distinct
@@ -81,54 +94,75 @@ def resolve_endpoint(evidence: Column, label: Column) -> Column:
     return F.coalesce(F.concat(evidence, F.lit(":"), step_token(label)), label)
 
 
-def judge_relations(stream: DataFrame, nodes: DataFrame, supports: DataFrame | None = None) -> DataFrame:
-    """The relation stream with ends resolved, layer, kind and reject_reason: the first reason that applies.
+def judge_relations(stream: DataFrame, nodes: DataFrame, supports: DataFrame | None = None, decisions: DataFrame | None = None) -> DataFrame:
+    """The relation stream with ends resolved, layer, workflow_kind, status and reject_reason: the first reason that applies.
 
-    stream: domain_id, evidence_id, record_idx, seq, origin (workflow, step or document), label, family, head, tail.
-    nodes: domain_id, label, layer, parent_anchor, first_record_idx; a node counts from its first record on.
-    supports: domain_id, evidence_id, label, steps (the steps that mention a label), for relations of whole documents.
+    stream: domain_id, evidence_id, record_idx, seq, origin (workflow, step or document), label, family, head, tail,
+    and what else shall be kept. nodes: domain_id, label, layer, parent_anchor, first_record_idx and, if there is one,
+    step_action; a node counts from its first record on. supports: domain_id, evidence_id, label, steps (the steps that
+    name a label), for relations of whole documents. decisions: domain_id, label, reject_reason, for the ends that are no nodes.
     """
-    s = stream.withColumn("head", resolve_endpoint(F.col("evidence_id"), F.col("head"))).withColumn("tail", resolve_endpoint(F.col("evidence_id"), F.col("tail")))
-    end = lambda name: nodes.select(F.col("domain_id").alias(f"{name}_d"), F.col("label").alias(f"{name}_l"), F.col("layer").alias(f"{name}_layer"), F.col("parent_anchor").alias(f"{name}_type"), F.col("first_record_idx").alias(f"{name}_from"))
+    s = stream
     for name in ("head", "tail"):
-        s = s.join(end(name), (F.col("domain_id") == F.col(f"{name}_d")) & (F.col(name) == F.col(f"{name}_l")) & (F.col(f"{name}_from") <= F.col("record_idx")), "left")
-    if supports is not None:
-        for name in ("head", "tail"):
+        s = s.withColumn(f"{name}_token", step_token(F.col(name)).isNotNull()).withColumn(name, resolve_endpoint(F.col("evidence_id"), F.col(name)))
+    action = "step_action" if "step_action" in nodes.columns else F.lit(None).cast("string")
+    for name in ("head", "tail"):
+        end = nodes.select(
+            F.col("domain_id").alias("_d"), F.col("label").alias("_l"), F.col("layer").alias(f"{name}_layer"), F.col("parent_anchor").alias(f"{name}_type"), F.col("first_record_idx").alias("_from"),
+            (F.col(action) if isinstance(action, str) else action).alias(f"{name}_action"),
+        )
+        s = s.join(end, (F.col("domain_id") == F.col("_d")) & (F.col(name) == F.col("_l")) & (F.col("_from") <= F.col("record_idx")), "left").drop("_d", "_l", "_from")
+    for name in ("head", "tail"):
+        if supports is not None:
             own = supports.select("domain_id", "evidence_id", F.col("label").alias(name), F.col("steps").alias(f"{name}_steps"))
             s = s.join(own, ["domain_id", "evidence_id", name], "left")
-    none = F.array().cast("array<string>")
-    grounded = F.size(F.array_union(F.coalesce("head_steps", none), F.coalesce("tail_steps", none))) if supports is not None else F.lit(2)
-    targets = F.size(F.collect_set("tail").over(Window.partitionBy("domain_id", "evidence_id", "origin", "head", "label", "family")))
-    s = s.withColumn("targets", targets).withColumn("grounded", grounded)
-    of_document, diagnostic, semantic = F.col("origin") == "document", F.col("family").isin("communication", "propagation"), (F.col("head_layer") == "semantic") & (F.col("tail_layer") == "semantic")
-    both = F.col("head_layer").isNotNull() & F.col("tail_layer").isNotNull()
-    task, structural = F.col("family") == "task_dependency", F.col("family") == "structural"
-    dropped = filter_reason(F.col("family"), F.col("label"), F.col("head"), F.col("tail"), F.col("head_type"), F.col("tail_type"))
-    typed = type_reason(F.col("family"), F.col("head_type"), F.col("tail_type"))
+        if decisions is not None:
+            own = decisions.select("domain_id", F.col("label").alias(name), F.col("reject_reason").alias(f"{name}_reason"), F.concat_ws("::", "domain_id", "label").alias(f"{name}_ref"))
+            s = s.join(own, ["domain_id", name], "left")
+        else:
+            s = s.withColumn(f"{name}_reason", F.lit(None).cast("string")).withColumn(f"{name}_ref", F.lit(None).cast("string"))
+    ungrounded, single = F.lit(False), F.lit(False)
+    if supports is not None:
+        ungrounded = F.col("head_steps").isNull() | F.col("tail_steps").isNull()
+        single = F.size(F.array_union("head_steps", "tail_steps")) == 1
+    key = Window.partitionBy("domain_id", "evidence_id", "origin", "head", "label", "family")
+    s = s.withColumn("several", F.min("tail").over(key) != F.max("tail").over(key)).withColumn("ungrounded", ungrounded).withColumn("single", single)
+
+    family, of_document = F.col("family"), F.col("origin") == "document"
+    task, structural, diagnostic = family == "task_dependency", family == "structural", family.isin("communication", "propagation")
+    local = of_document & (diagnostic | (family == "lifecycle"))
+    head_in, tail_in = F.col("head_layer").isNotNull(), F.col("tail_layer").isNotNull()
+    semantic = F.coalesce((F.col("head_layer") == "semantic") & (F.col("tail_layer") == "semantic"), F.lit(False))
+    tokens = F.col("head_token") | (head_in & tail_in & (F.col("head_layer") == "workflow"))
+    missing = lambda name, there: F.when(~there, F.concat(F.lit(f"{name}:"), F.coalesce(f"{name}_reason", F.lit("not_in_graph"))))
+    dropped = filter_reason(family, F.col("label"), F.col("head"), F.col("tail"), F.col("head_type"), F.col("tail_type"))
+    typed = type_reason(family, F.col("head_type"), F.col("tail_type"))
     reason = (
-        F.when(~F.col("family").isin(*K.TYPE_CONSTRAINTS), "invalid_relation_family")
-        .when(of_document & diagnostic & (F.col("targets") > 1), "multi_target_diagnostic_hypothesis")
+        F.when(~F.coalesce(family.isin(*K.TYPE_CONSTRAINTS), F.lit(False)), "invalid_relation_family")
+        .when(of_document & diagnostic & F.col("several"), "multi_target_diagnostic_hypothesis")
         .when(structural & (F.col("head") == F.col("tail")), "structural_self_loop")
         .when(structural & F.col("head").rlike(whole_word(K.CONTEXTUAL_HEAD)), "structural_contextual_head")
-        .when(task & both & (F.col("head_layer") == "semantic") & (F.col("tail_layer") == "workflow"), "semantic_to_workflow_not_allowed")
-        .when(task & both & (F.col("head_layer") == "semantic"), "task_dependency_requires_workflow_head")
-        .when(task & ~both, F.concat_ws(";", F.when(F.col("head_layer").isNull(), "head:not_in_graph"), F.when(F.col("tail_layer").isNull(), "tail:not_in_graph")))
-        .when(~task & ~F.coalesce(semantic, F.lit(False)), "semantic_relation_requires_semantic_nodes")
-        .when(of_document & (diagnostic | (F.col("family") == "lifecycle")) & (F.col("grounded") == 0), "document_semantic_requires_step_grounding")
-        .when(of_document & (diagnostic | (F.col("family") == "lifecycle")) & (F.col("grounded") == 1), "single_step_diagnostic_hypothesis")
-        .when(dropped.isNotNull(), dropped)
-        .when(typed.isNotNull(), F.concat(F.lit("type_constraint:"), typed))
+        .when(task & ~tokens & head_in & tail_in & (F.col("tail_layer") == "workflow"), "semantic_to_workflow_not_allowed")
+        .when(task & ~tokens & head_in & tail_in, "task_dependency_requires_workflow_head")
+        .when(task & ~(head_in & tail_in), F.concat_ws(";", missing("head", head_in), missing("tail", tail_in)))
+        .when(~task & ~semantic, "semantic_relation_requires_semantic_nodes")
+        .when(local & F.col("ungrounded"), "document_semantic_requires_step_grounding")
+        .when(local & F.col("single"), "single_step_diagnostic_hypothesis")
+        .otherwise(F.coalesce(dropped, F.concat(F.lit("type_constraint:"), typed)))
     )
-    kind = F.when(task & (F.col("head_layer") == "workflow"), F.when(F.col("tail_layer") == "workflow", "sequence").otherwise("action_object"))
-    judged = s.withColumn("reject_reason", reason).withColumn("workflow_kind", F.when(F.col("reject_reason").isNull(), kind)).withColumn("layer", F.when(F.col("workflow_kind").isNotNull(), "workflow").otherwise("semantic"))
+    sequence = (F.col("head_token") & F.col("tail_token")) | F.coalesce(F.col("tail_layer") == "workflow", F.lit(False))
+    judged = s.withColumn("reject_reason", reason).withColumn("workflow_kind", F.when(task & tokens, F.when(sequence, "sequence").otherwise("action_object")))
+    judged = judged.withColumn("layer", F.when(F.col("workflow_kind").isNotNull(), "workflow").otherwise("semantic"))
     status = F.when(F.col("reject_reason").isNull(), "accepted").when(F.col("reject_reason").startswith("type_constraint:"), "rejected_type").otherwise("rejected")
-    return judged.select("domain_id", "evidence_id", "record_idx", "seq", "origin", "label", "family", "head", "tail", "layer", "workflow_kind", status.alias("status"), "reject_reason", F.concat_ws("::", "domain_id", F.lit("triple"), "evidence_id", F.col("seq").cast("string")).alias("triple_id"))
+    refs = F.array(F.coalesce("head_ref", "head"), F.coalesce("tail_ref", "tail"))
+    triple = F.concat_ws("::", "domain_id", F.lit("triple"), "evidence_id", F.col("seq").cast("string"))
+    return judged.select(*stream.columns, "layer", "workflow_kind", status.alias("status"), "reject_reason", triple.alias("triple_id"), refs.alias("attachment_refs"), "head_action", "head_type", "tail_type")
 
 
-def upsert_edges(accepted: DataFrame, first: list[str], first_known: list[str] = (), seq: str = "seq", keys: tuple[str, ...] = ("domain_id", "head", "label", "tail")) -> DataFrame:
-    """One edge per key: `first` from its first row, `first_known` from the first row that has a value, and the row count."""
+def upsert_edges(accepted: DataFrame, first: list[str], first_known: list[str] = (), seq: str = "seq", keys: tuple[str, ...] = ("domain_id", "head", "label", "tail"), more: tuple[Column, ...] = ()) -> DataFrame:
+    """One edge per key: `first` from its first row, `first_known` from the first row that has a value, the row count, and `more` aggregates."""
     known = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in first_known]
-    return accepted.groupBy(*keys).agg(*(F.min_by(c, seq).alias(c) for c in first), *known, F.count("*").alias("mentions"), F.min(seq).alias("first_seq"))
+    return accepted.groupBy(*keys).agg(*(F.min_by(c, seq).alias(c) for c in first), *known, F.count("*").alias("mentions"), F.min(seq).alias("first_seq"), *more)
 
 
 def readable(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -138,6 +172,15 @@ def readable(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.join(ends, ["domain_id", "label"], "left_semi"), shown
 
 
+def relation_audit(triples: DataFrame) -> DataFrame:
+    """Counts of a domain's triples by each of eight of their properties: domain_id, property, value, n; nulls are not counted."""
+    hidden = F.when(~F.coalesce("display_admitted", F.lit(False)), F.coalesce("hidden", F.lit("not_displayed")))
+    kinds = {"status": "status", "family": "family", "graph_layer": "layer", "workflow_kind": "workflow_kind", "reject_reason": "reject_reason", "display_action": "display_label", "edge_salience": "salience"}
+    told = F.explode(F.array(*(F.struct(F.lit(k).alias("property"), F.col(c).alias("value")) for k, c in kinds.items()), F.struct(F.lit("hidden_display").alias("property"), hidden.alias("value"))))
+    flat = triples.select("domain_id", told.alias("p")).select("domain_id", "p.*").where("value IS NOT NULL")
+    return flat.groupBy("domain_id", "property", "value").agg(F.count("*").alias("n"))
+
+
 def reject_audit(triples: DataFrame) -> DataFrame:
     """Counts by domain, by reason, and of both at once, in one pass."""
     counted = triples.groupingSets([["domain_id"], ["reject_reason"], ["domain_id", "reject_reason"]], "domain_id", "reject_reason")

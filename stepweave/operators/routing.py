@@ -49,6 +49,54 @@ def rerank_adjustment(anchor: Column, hint: Column, hint_candidates: Column, hyp
     return by_hint + F.when(hypernym == anchor, 0.25).otherwise(0.0) + relation_bonus(anchor, families)
 
 
+def baseline_text(label: Column, description: Column) -> Column:
+    return F.trim(F.concat(label, F.lit(": "), F.coalesce(description, F.lit(""))))
+
+
+def contextual_text(c: DataFrame) -> Column:
+    """What a candidate (label, description, evidence_texts, families, hint, hint_candidates, hypernym) is embedded as."""
+    listed = lambda name: F.array_join(F.coalesce(c[name], F.array().cast("array<string>")), ", ")
+    texts = F.array_join(F.filter(F.slice(F.coalesce(c["evidence_texts"], F.array().cast("array<string>")), 1, 2), lambda t: t != ""), " ")
+    told = lambda name, text: F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(f"{name}: "), text))
+    return F.concat_ws(
+        " | ", baseline_text(c["label"], c["description"]), told("evidence", texts), told("relations", listed("families")), told("semantic hint", c["hint"]),
+        told("semantic hint candidates", listed("hint_candidates")), told("shared hypernym", c["hypernym"]),
+    )
+
+
+def prototype_texts(anchor: Column, description: Column) -> Column:
+    """The three texts by which an anchor is compared in context."""
+    return F.array(
+        F.concat(anchor, F.lit(": "), description),
+        F.concat(anchor, F.lit(" industrial ontology concept. Typical terms: "), description),
+        F.concat(F.lit("Route candidates here when their function, relation context, and semantic evidence indicate "), anchor, F.lit(".")),
+    )
+
+
+def empty_rankings(candidates: DataFrame) -> DataFrame:
+    """The result of routing that is switched off: no anchor for any candidate."""
+    return candidates.limit(0).select("candidate_id", F.lit("").alias("anchor"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+
+
+def rerank_anchors(candidates: DataFrame, anchors: DataFrame, top: int = 3, digits: int = 5) -> DataFrame:
+    """candidate_id, anchor, score, rank: 0.75 of the best prototype's similarity, 0.25 of their mean, and what context adds.
+
+    candidates: candidate_id, vector, hint, hint_candidates, hypernym, families; anchors: anchor, position and
+    prototypes (vectors). The anchors travel to the candidates, which are not shuffled; ties go by position.
+    """
+    listed = few(anchors).agg(F.sort_array(F.collect_list(F.struct("position", "anchor", "prototypes"))).alias("all"))
+    scored = candidates.join(F.broadcast(listed))
+
+    def score(a: Column) -> Column:
+        near = F.transform(a["prototypes"], lambda p: cosine(F.col("vector"), p))
+        mean = F.aggregate(near, F.lit(0.0), lambda t, x: t + x) / F.size(near)
+        more = rerank_adjustment(a["anchor"], F.col("hint"), F.col("hint_candidates"), F.col("hypernym"), F.col("families"))
+        return F.struct((-F.round(0.75 * F.array_max(near) + 0.25 * mean + more, digits)).alias("s"), a["position"].alias("p"), a["anchor"].alias("anchor"))
+
+    flat = scored.select("candidate_id", F.posexplode(F.slice(F.sort_array(F.transform("all", score)), 1, top)).alias("pos", "x"))
+    return flat.select("candidate_id", F.col("x.anchor").alias("anchor"), (-F.col("x.s")).alias("score"), (F.col("pos") + 1).alias("rank"))
+
+
 def rank_by_prototypes(scores: DataFrame, top: int = 3, digits: int = 5) -> DataFrame:
     """From scores (candidate_id, anchor, position, similarity, adjustment), one per prototype: 0.75 of the best, 0.25 of the mean, and the adjustment."""
     joined = scores.groupBy("candidate_id", "anchor", "position").agg(F.round(0.75 * F.max("similarity") + 0.25 * F.avg("similarity") + F.first("adjustment"), digits).alias("score"))

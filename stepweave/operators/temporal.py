@@ -41,12 +41,107 @@ def diff(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame
 
 
 def lifecycle_events(facts: DataFrame) -> DataFrame:
-    """object_id, fact_id, event: creation of an object by its first fact, an update by each later one, and what edge labels stand for."""
+    """object_id, fact_id, at, event of facts (object_id, fact_id, at, label, supersedes).
+
+    Creation of an object by its first fact, an update by each that supersedes another, and what edge labels stand for, in any case.
+    """
     order = Window.partitionBy("object_id").orderBy("at", "fact_id")
     numbered = facts.withColumn("n", F.row_number().over(order))
-    labels = F.create_map(*(F.lit(x) for pair in LIFECYCLE_EVENTS.items() for x in pair))
-    made = numbered.select("object_id", "fact_id", "at", F.explode(F.array_compact(F.array(F.when(F.col("n") == 1, "creation").otherwise("update"), F.try_element_at(labels, F.col("label"))))).alias("event"))
-    return made
+    made = F.array(F.when(F.col("n") == 1, "creation"), F.when(F.col("supersedes").isNotNull(), "update"), F.try_element_at(_events(), F.lower("label")))
+    return numbered.select("object_id", "fact_id", "at", F.explode(F.array_compact(made)).alias("event"))
+
+
+def _events():
+    return F.create_map(*(F.lit(x) for pair in LIFECYCLE_EVENTS.items() for x in pair))
+
+
+def snapshot_id(domain, record_idx):
+    return F.concat(domain, F.lit("-snapshot-"), F.when(record_idx < 1000, F.lpad(record_idx.cast("string"), 3, "0")).otherwise(record_idx.cast("string")))
+
+
+def graph_assertions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """An assertion for each node and edge at the record that first gave it; the backbone is not asserted."""
+    parts = [nodes.where("first_record_idx > 0").select("domain_id", F.col("node_id").alias("object_id"), F.lit("schema").alias("object_type"), "first_record_idx", "valid_from")]
+    parts.append(edges.select("domain_id", F.col("edge_id").alias("object_id"), F.lit("triple").alias("object_type"), "first_record_idx", "valid_from"))
+    flat = parts[0].unionByName(parts[1]).withColumn("snapshot_id", snapshot_id(F.col("domain_id"), F.col("first_record_idx")))
+    named = flat.withColumn("assertion_id", F.concat_ws("::", "snapshot_id", "object_type", "object_id"))
+    order = Window.partitionBy("domain_id", "object_id").orderBy("first_record_idx")
+    return named.select(
+        "domain_id", "assertion_id", "object_type", "object_id", F.col("valid_from").alias("valid_time_start"), F.lead("valid_from").over(order).alias("valid_time_end"), F.col("valid_from").alias("transaction_time"),
+        F.lag("assertion_id").over(order).alias("supersedes"), "snapshot_id",
+    )
+
+
+def graph_events(held: DataFrame, edges: DataFrame) -> DataFrame:
+    """Lifecycle events of assertions and edges: event_id, domain_id, event_type, object_id, timestamp, description.
+
+    They are numbered in each domain: those of assertions by time, then those of edges.
+    """
+    first = F.row_number().over(Window.partitionBy("domain_id", "object_id").orderBy("transaction_time", "assertion_id"))
+    both = F.array(
+        F.when(F.col("_n") == 1, F.struct(F.lit("creation").alias("event_type"), F.concat(F.lit("First observation of "), F.col("object_id")).alias("description"))),
+        F.when(F.col("supersedes").isNotNull(), F.struct(F.lit("update").alias("event_type"), F.concat("object_id", F.lit(" supersedes "), "supersedes").alias("description"))),
+    )
+    asserted = held.withColumn("_n", first).select("domain_id", "object_id", F.col("transaction_time").alias("timestamp"), F.lit(0).alias("part"), F.posexplode(F.array_compact(both)).alias("k", "e"))
+    of_edges = edges.select(
+        "domain_id", F.col("head").alias("object_id"), F.coalesce("valid_from", F.lit("")).alias("timestamp"), F.lit(1).alias("part"), F.lit(0).alias("k"),
+        F.struct(F.try_element_at(_events(), F.lower("label")).alias("event_type"), F.concat("head", F.lit(" --"), "label", F.lit("--> "), "tail").alias("description")).alias("e"),
+    ).where("e.event_type IS NOT NULL")
+    order = Window.partitionBy("domain_id").orderBy("part", "timestamp", "object_id", "k", "e.description")
+    numbered = asserted.unionByName(of_edges).withColumn("n", F.row_number().over(order))
+    number = F.when(F.col("n") < 10000, F.lpad(F.col("n").cast("string"), 4, "0")).otherwise(F.col("n").cast("string"))
+    return numbered.select(F.concat("domain_id", F.lit("::lifecycle::"), number).alias("event_id"), "domain_id", "e.event_type", "object_id", "timestamp", "e.description")
+
+
+def timeline(events: DataFrame, object_id: str) -> DataFrame:
+    """The events of one object in order of time."""
+    return events.where(F.col("object_id") == object_id).orderBy("timestamp", "event_id")
+
+
+def history(held: DataFrame, object_id: str) -> DataFrame:
+    """All assertions of one object in order of transaction time."""
+    return held.where(F.col("object_id") == object_id).orderBy("transaction_time", "assertion_id")
+
+
+def ingest(manifests: DataFrame, path: str) -> None:
+    """Append snapshot manifests to a table; ingest_seq (the table's last, then by domain and record) fixes their order.
+
+    A snapshot that the table has already keeps its place and its first manifest.
+    """
+    spark = manifests.sparkSession
+    held = _table(spark, path)
+    last = 0
+    if held is not None:
+        last = held.agg(F.coalesce(F.max("ingest_seq"), F.lit(0))).first()[0]
+        manifests = manifests.join(held.select("snapshot_id"), "snapshot_id", "left_anti").select(*manifests.columns)
+    order = Window.partitionBy("domain_id").orderBy("record_idx")
+    manifests.withColumn("ingest_seq", F.lit(last) + F.row_number().over(order)).write.mode("append").parquet(path)
+
+
+def _table(spark, path: str) -> DataFrame | None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.parquet(path) if there else None
+
+
+def at_time(manifests: DataFrame, time: str) -> DataFrame:
+    """The snapshot of each domain that was the last one by created_at, and of equal ones by ingest_seq, up to a time; __empty__ where there is none."""
+    found = manifests.groupBy("domain_id").agg(F.max_by(F.when(F.col("created_at") <= time, F.struct("snapshot_id", "record_idx")), F.when(F.col("created_at") <= time, F.struct("created_at", "ingest_seq"))).alias("s"))
+    return found.select("domain_id", F.coalesce("s.snapshot_id", F.lit("__empty__")).alias("snapshot_id"), F.coalesce("s.record_idx", F.lit(0)).alias("record_idx"))
+
+
+def rollback(manifests: DataFrame, records: DataFrame, snapshot: str) -> DataFrame:
+    """The records that a snapshot was made of: assemble() gives its graph again. An unknown snapshot is a KeyError."""
+    found = manifests.where(F.col("snapshot_id") == snapshot).select("domain_id", "record_idx").first()
+    if found is None:
+        raise KeyError(f"snapshot not found: {snapshot}")
+    return records.where((F.col("domain_id") == found["domain_id"]) & (F.col("record_idx") <= found["record_idx"]))
+
+
+def compare_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Nodes (node_id, label, parent_anchor) of two snapshots: added, removed, or of another label or anchor."""
+    state = lambda df: df.withColumn("_state", F.struct("label", "parent_anchor"))
+    return diff(state(before), state(after), "node_id", "_state")
 
 
 def conflicts(states: DataFrame) -> DataFrame:
@@ -65,33 +160,42 @@ def consistency(held: DataFrame) -> DataFrame:
     return marked.groupBy("object_id").agg(F.count_if("overlap").alias("overlaps"), F.count_if("back").alias("backward"))
 
 
-def supersede_roots(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """links (id, supersedes): root of each chain, or null for a cycle, by doubling pointers; 2**40 links at most."""
+def supersede_roots(links: DataFrame, rounds: int = 64) -> DataFrame:
+    """links (id, supersedes): root of each chain, or null for a cycle, by doubling pointers.
+
+    After k rounds a pointer has gone 2**k steps: rounds end when all chains have met their roots, or
+    when 2**k is more than the number of links, by when whatever has not is on a cycle or leads to one.
+    """
     ensure_checkpoint_dir(links.sparkSession)
-    at = links.select("id", F.coalesce("supersedes", F.col("id")).alias("to"))
+    roots = F.col("supersedes").isNull()
+    at = links.select("id", F.coalesce("supersedes", F.col("id")).alias("to"), roots.alias("done"))
+    most, gone = links.count(), 1
     for _ in range(rounds):
-        step = at.alias("a").join(at.select(F.col("id").alias("to"), F.col("to").alias("next")).alias("b"), "to", "left").select("id", "to", F.coalesce("next", "to").alias("next"))
-        step = step.checkpoint()
-        moved = step.where("to <> next").limit(1).count()
-        at = step.select("id", F.col("next").alias("to"))
-        if not moved:
+        if gone > most:
+            break
+        ahead = at.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("done").alias("met"))
+        # A link to an id that there is not leads nowhere: it is a root of its own.
+        step = at.join(ahead, "to", "left").select("id", F.coalesce("next", "to").alias("next"), (F.col("done") | F.coalesce("met", F.lit(True))).alias("done"))
+        at = step.withColumnRenamed("next", "to").checkpoint()
+        gone *= 2
+        if at.where("NOT done").isEmpty():
             break
-    roots = links.where("supersedes IS NULL").select(F.col("id").alias("to"), F.lit(True).alias("is_root"))
-    return at.join(roots, "to", "left").select("id", F.when(F.col("is_root"), F.col("to")).alias("root"))
+    known = links.where(roots).select(F.col("id").alias("to"), F.lit(True).alias("is_root"))
+    return at.join(known, "to", "left").select("id", F.when(F.col("is_root"), F.col("to")).alias("root"))
 
 
 def temporal_metrics(held: DataFrame, snapshots: DataFrame, cyclic: DataFrame, events: DataFrame, gold: DataFrame) -> DataFrame:
     """One row: the share of the five checks that pass, coverage of gold events, whether counts only grow, and drift.
 
-    held is consistency()'s input with supersedes; snapshots has snapshot_id, parent_snapshot_id, created_at,
-    node_count, edge_count (one row per record: few beside the data); cyclic is supersede_roots()'s result;
+    held is consistency()'s input with supersedes; snapshots has domain_id, snapshot_id, parent_snapshot_id, created_at,
+    node_count, edge_count; cyclic is supersede_roots()'s result;
     events and gold have object_id and event. Every input may be empty.
     """
     per_object = consistency(held).agg(F.coalesce(F.sum("overlaps"), F.lit(0)).alias("overlaps"), F.coalesce(F.sum("backward"), F.lit(0)).alias("backward"))
     cycles = cyclic.agg(F.count_if(F.col("root").isNull()).alias("cycles"))
     parents = snapshots.where("parent_snapshot_id <> ''").select(F.col("parent_snapshot_id").alias("snapshot_id"))
     orphans = parents.join(snapshots.select("snapshot_id"), "snapshot_id", "left_anti").agg(F.count("*").alias("orphans"))
-    order = Window.orderBy("created_at", "snapshot_id")
+    order = Window.partitionBy("domain_id").orderBy("created_at", "snapshot_id")
     before = snapshots.select((F.lag("node_count").over(order) > F.col("node_count")).alias("n"), (F.lag("edge_count").over(order) > F.col("edge_count")).alias("e"))
     shrunk = before.agg((F.count_if("n") + F.count_if("e")).alias("shrunk"))
     wanted = gold.select("object_id", "event").distinct()

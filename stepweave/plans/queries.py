@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stepweave import constants as K
 from stepweave.functions import procedures
 from stepweave.functions import text as T
-from stepweave.operators import attachment, evidence, extraction, graph, metrics, providers, routing, temporal
+from stepweave.operators import assembly, attachment, evidence, extraction, graph, metrics, providers, routing, temporal
 from stepweave.streaming.steps import windowed_counts
 
 QUERIES: dict = {}
@@ -125,13 +125,12 @@ _RERANK_SQL = "p AS (SELECT label, embedding AS av FROM (SELECT *, row_number()
 
 @query(f"WITH {_RERANK_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC, anchor) AS rank FROM j) SELECT candidate_id, anchor, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3")
 def anchor_rerank(spark, sf_dir):
-    from stepweave.functions.vectors import cosine
-
     e = table(spark, sf_dir, "embeddings")
     first = e.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("k <= 3")
-    prototypes = routing.few(first.select(F.col("label").alias("anchor"), F.col("label").alias("position"), F.col("embedding").alias("av"))).agg(F.collect_list(F.struct("anchor", "position", "av")).alias("all"))
-    s = e.join(F.broadcast(prototypes)).select(F.col("vec_id").alias("candidate_id"), "label", "embedding", F.explode("all").alias("p"))
-    return routing.rank_by_prototypes(s.select("candidate_id", "p.anchor", "p.position", cosine(F.col("embedding"), F.col("p.av")).alias("similarity"), F.when(F.col("label") == F.col("p.anchor"), 0.2).otherwise(0.0).alias("adjustment")))
+    anchors = first.groupBy(F.col("label").alias("position")).agg(F.collect_list("embedding").alias("prototypes")).withColumn("anchor", F.col("position").cast("string"))
+    none = F.lit(None).cast("array<string>")
+    candidates = e.select(F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("hint"), none.alias("hint_candidates"), F.lit(None).cast("string").alias("hypernym"), none.alias("families"))
+    return routing.rerank_anchors(candidates, anchors).withColumn("anchor", F.col("anchor").cast(e.schema["label"].dataType))
 
 
 _EDGES_SQL = "edges AS (SELECT r_name AS head, n_name AS tail, 'Asset' AS head_type, 'Component' AS tail_type, 'structural' AS family FROM region JOIN nation ON r_regionkey = n_regionkey UNION ALL SELECT n_name, s_name, 'Component', 'Connector', 'structural' FROM nation JOIN supplier ON n_nationkey = s_nationkey UNION ALL SELECT n_name, c_name, 'Component', 'Signal', 'structural' FROM nation JOIN customer ON n_nationkey = c_nationkey)"
@@ -152,7 +151,17 @@ def structural_edges(spark, sf_dir):
     return _edges(spark, sf_dir).select("head", "tail", F.concat_ws("::", F.lit("geo"), F.lit("edge"), "head", F.lit("contains"), "tail").alias("edge_id"))
 
 
-@query(f"WITH {_EDGES_SQL} SELECT head_type, tail_type, CASE WHEN tail_type = 'Signal' THEN 'tail type Signal not allowed' END AS invalid_reason, count(*) AS n FROM edges GROUP BY ALL")
+def sql_type_reason(family: str, head: str, tail: str) -> str:
+    out = ""
+    for name, ends in K.TYPE_CONSTRAINTS.items():
+        for end, value, allowed in (("head", head, ends[0]), ("tail", tail, ends[1])):
+            told = f" not allowed for family '{name}' (allowed: {list(allowed)})".replace("'", "''")
+            among = ", ".join(f"'{x}'" for x in allowed)
+            out += f" WHEN {family} = '{name}' AND coalesce({value}, 'Unknown') NOT IN ({among}) THEN '{end} type ' || chr(39) || coalesce({value}, 'Unknown') || chr(39) || '{told}'"
+    return f"CASE{out} END"
+
+
+@query(f"WITH {_EDGES_SQL} SELECT head_type, tail_type, {sql_type_reason('family', 'head_type', 'tail_type')} AS invalid_reason, count(*) AS n FROM edges GROUP BY ALL")
 def type_constraints(spark, sf_dir):
     return graph.split_by_types(_edges(spark, sf_dir)).groupBy("head_type", "tail_type", "invalid_reason").agg(F.count("*").alias("n"))
 
@@ -180,6 +189,99 @@ def reject_audit(spark, sf_dir):
     return graph.reject_audit(rows)
 
 
+_STREAM_SQL = f"c AS (SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn, role, text, 'T' || (turn + 1) AS s, lead('T' || (turn + 1)) OVER (PARTITION BY conv_id ORDER BY turn) AS nx, {sql_case('text', K.PHASES)} AS phase FROM conversations), r AS (SELECT conv_id, 0 AS o, turn, 0 AS k, 'triggers' AS label, s AS head, nx AS tail FROM c WHERE nx IS NOT NULL UNION ALL SELECT conv_id, 0, turn, 1, coalesce(phase, 'observes'), s, role FROM c UNION ALL SELECT conv_id, 1, turn, 0, 'contains', role, 'conversation' FROM c UNION ALL SELECT conv_id, 1, turn, 1, 'indicates', role, 'question' FROM c WHERE contains(text, '?') UNION ALL SELECT conv_id, 1, turn, 2, 'transitionsTo', 'start', role FROM c WHERE turn = 0 UNION ALL SELECT conv_id, 2, min(turn), 0, 'indicates', role, 'conversation' FROM c GROUP BY conv_id, role)"
+
+
+def _conversation_records(spark, sf_dir) -> DataFrame:
+    """Conversations as evidence records: turns are steps that act on their role, questions are diagnostics."""
+    name = F.concat(F.lit("T"), (F.col("turn") + 1).cast("string"))
+    c = table(spark, sf_dir, "conversations").withColumn("next", F.lead(name).over(Window.partitionBy("conv_id").orderBy("turn")))
+    text = lambda value, as_: (F.lit(value) if isinstance(value, str) or value is None else value).cast("string").alias(as_)
+    relation = lambda label, family, head, tail: F.struct(text(label, "label"), text(family, "family"), text(head, "head"), text(tail, "tail"))
+    some = lambda when, x: F.filter(F.array(x), lambda _: when)
+    role = F.col("role")
+    step = F.struct(
+        "turn", name.alias("step_id"), F.col("next").alias("sequence_next"), F.array(F.struct(F.coalesce(T.step_phase(F.col("text")), F.lit("observes")).alias("action_type"), role.alias("target_label"))).alias("step_actions"),
+        F.array(relation("contains", "structural", role, "conversation")).alias("relation_mentions"), F.filter(F.array(relation("", "", "", "")), lambda _: F.lit(False)).alias("structural_edges"),
+        some(F.contains(F.col("text"), F.lit("?")), F.struct(text(role, "evidence_label"), text("question", "indicated_label"), text(None, "mechanism"))).alias("diagnostic_edges"),
+        some(F.col("turn") == 0, F.struct(text("start", "from_state"), text(role, "to_state"), text(None, "trigger_step"), text(None, "evidence_label"))).alias("state_transitions"),
+    )
+    told = c.select("conv_id", step.alias("step"), F.struct("turn", relation("indicates", "communication", role, "conversation").alias("r")).alias("told"))
+    grouped = told.groupBy(F.col("conv_id").cast("string").alias("evidence_id")).agg(F.array_sort(F.collect_list("step")).alias("step_records"), F.array_sort(F.collect_list("told")).alias("told"))
+    crossing = "array<struct<label:string,family:string,head:string,tail:string,head_step:string,tail_step:string>>"
+    return grouped.select(
+        F.lit("conversations").alias("domain_id"), "evidence_id", F.lit(1).alias("record_idx"), F.lit("").alias("timestamp"), "step_records",
+        F.transform("told", lambda t: t["r"]).alias("document_relation_mentions"), F.array().cast(crossing).alias("cross_step_relations"),
+    )
+
+
+@query(f"WITH {_STREAM_SQL} SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY o, turn, k) AS seq, label, head, tail FROM r")
+def relation_stream(spark, sf_dir):
+    out = assembly.relation_stream(_conversation_records(spark, sf_dir))
+    return out.select(F.col("evidence_id").alias("conv_id"), F.col("seq").cast("long").alias("seq"), "label", "head", "tail")
+
+
+_JUDGED_SQL = f"""nodes AS (
+  SELECT DISTINCT 'p' || (p_partkey % 40) AS label, CASE p_partkey % 4 WHEN 0 THEN 'Component' WHEN 1 THEN 'Signal' WHEN 2 THEN 'Fault' ELSE 'Asset' END AS type, (p_partkey % 40) * 10 AS first FROM part
+  UNION SELECT DISTINCT 's' || (s_suppkey % 30), CASE s_suppkey % 3 WHEN 0 THEN 'Component' WHEN 1 THEN 'State' ELSE 'Fault' END, 0 FROM supplier),
+stream AS (
+  SELECT l_orderkey AS rec, l_linenumber AS seq, CASE l_returnflag WHEN 'A' THEN 'document' WHEN 'N' THEN 'step' ELSE 'workflow' END AS origin, 'relates' AS label,
+    CASE l_linenumber WHEN 2 THEN 'communication' WHEN 3 THEN 'propagation' WHEN 4 THEN 'lifecycle' WHEN 5 THEN 'task_dependency' WHEN 6 THEN 'odd' ELSE 'structural' END AS family,
+    'p' || (l_partkey % 40) AS head, CASE WHEN l_linenumber = 7 THEN 'p' || (l_partkey % 40) ELSE 's' || (l_suppkey % 30) END AS tail FROM lineitem),
+joined AS (
+  SELECT s.*, h.type AS ht, t.type AS tt, h.label IS NOT NULL AS hin, t.label IS NOT NULL AS tin, min(s.tail) OVER w <> max(s.tail) OVER w AS several
+  FROM stream s LEFT JOIN nodes h ON s.head = h.label AND h.first <= s.rec LEFT JOIN nodes t ON s.tail = t.label AND t.first <= s.rec WINDOW w AS (PARTITION BY s.rec, s.origin, s.head, s.label, s.family)),
+judged AS (SELECT *, CASE WHEN family = 'odd' THEN 'invalid_relation_family' WHEN origin = 'document' AND family IN ('communication', 'propagation') AND several THEN 'multi_target_diagnostic_hypothesis'
+    WHEN family = 'structural' AND head = tail THEN 'structural_self_loop' WHEN family = 'task_dependency' AND hin AND tin THEN 'task_dependency_requires_workflow_head'
+    WHEN family = 'task_dependency' THEN concat_ws(';', CASE WHEN NOT hin THEN 'head:not_in_graph' END, CASE WHEN NOT tin THEN 'tail:not_in_graph' END)
+    WHEN NOT (hin AND tin) THEN 'semantic_relation_requires_semantic_nodes' WHEN family = 'structural' AND NOT (ht IN ('Asset', 'Component') AND tt IN ('Asset', 'Component')) THEN 'structural_requires_stable_components'
+    ELSE 'type_constraint:' || {sql_type_reason('family', 'ht', 'tt')} END AS reject_reason FROM joined)"""
+
+
+def _judged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Order lines as relations of parts to suppliers, one record per order, judged; and the nodes."""
+    part, supplier, line = (table(spark, sf_dir, t) for t in ("part", "supplier", "lineitem"))
+    named = lambda letter, key, n: F.concat(F.lit(letter), (F.col(key) % n).cast("string"))
+    among = lambda key, *types: F.element_at(F.array(*map(F.lit, types)), (F.col(key) % len(types) + 1).cast("int"))
+    nodes = part.select(named("p", "p_partkey", 40).alias("label"), among("p_partkey", "Component", "Signal", "Fault", "Asset").alias("parent_anchor"), (F.col("p_partkey") % 40 * 10).alias("first_record_idx"))
+    nodes = nodes.union(supplier.select(named("s", "s_suppkey", 30), among("s_suppkey", "Component", "State", "Fault"), F.lit(0).cast("long"))).distinct()
+    nodes = nodes.select(F.lit("d").alias("domain_id"), "label", F.lit("semantic").alias("layer"), "parent_anchor", "first_record_idx")
+    n, flag, head = F.col("l_linenumber"), F.col("l_returnflag"), named("p", "l_partkey", 40)
+    family = F.when(n == 2, "communication").when(n == 3, "propagation").when(n == 4, "lifecycle").when(n == 5, "task_dependency").when(n == 6, "odd").otherwise("structural")
+    stream = line.select(
+        F.lit("d").alias("domain_id"), F.col("l_orderkey").cast("string").alias("evidence_id"), F.col("l_orderkey").alias("record_idx"), F.lit("").alias("timestamp"), n.alias("seq"),
+        F.when(flag == "A", "document").when(flag == "N", "step").otherwise("workflow").alias("origin"), F.lit("relates").alias("label"), family.alias("family"), head.alias("head"),
+        F.when(n == 7, head).otherwise(named("s", "l_suppkey", 30)).alias("tail"), *(F.lit(None).cast("string").alias(c) for c in ("head_step", "tail_step", "source_field", "mechanism", "evidence_label")),
+    )
+    return graph.judge_relations(stream, nodes), nodes
+
+
+@query(f"WITH {_JUDGED_SQL} SELECT rec, CAST(seq AS BIGINT) AS seq, CASE WHEN reject_reason IS NULL THEN 'accepted' WHEN reject_reason LIKE 'type_constraint:%' THEN 'rejected_type' ELSE 'rejected' END AS status, reject_reason, 'd::triple::' || rec || '::' || seq AS triple_id FROM judged")
+def judged_relations(spark, sf_dir):
+    return _judged(spark, sf_dir)[0].select(F.col("record_idx").alias("rec"), F.col("seq").cast("long").alias("seq"), "status", "reject_reason", "triple_id")
+
+
+@query(f"WITH {_JUDGED_SQL}, rows AS (SELECT head, label, tail, family, rec FROM judged WHERE reject_reason IS NULL UNION ALL SELECT label, 'is_a', type, 'is_a', first FROM nodes) SELECT 'd::edge::' || head || '::' || label || '::' || tail AS edge_id, arg_min(family, rec) AS family, count(*) AS mentions, min(rec) AS first_record_idx, array_to_string(list_sort(list(DISTINCT rec)), ',') AS provenance FROM rows GROUP BY head, label, tail")
+def assembled_edges(spark, sf_dir):
+    judged, nodes = _judged(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    shown = judged.select("*", F.col("label").alias("display_label"), none.alias("salience"), F.lit(True).alias("display_admitted"), none.alias("hidden"))
+    zero = lambda name: F.lit(0).alias(name)
+    anchored = nodes.select(
+        "domain_id", "label", "parent_anchor", F.col("first_record_idx").cast("string").alias("evidence_id"), F.col("first_record_idx").alias("record_idx"), F.lit("").alias("timestamp"),
+        F.struct(F.col("first_record_idx").alias("record_idx"), zero("origin"), zero("step_pos"), zero("pos")).alias("at"),
+    )
+    out = assembly.graph_edges(shown, anchored)
+    return out.select("edge_id", "family", "mentions", "first_record_idx", F.array_join("provenance", ",").alias("provenance"))
+
+
+@query(f"WITH {_JUDGED_SQL}, told AS (SELECT unnest([{{'property': 'status', 'value': CASE WHEN reject_reason IS NULL THEN 'accepted' WHEN reject_reason LIKE 'type_constraint:%' THEN 'rejected_type' ELSE 'rejected' END}}, {{'property': 'family', 'value': family}}, {{'property': 'graph_layer', 'value': 'semantic'}}, {{'property': 'reject_reason', 'value': reject_reason}}, {{'property': 'display_action', 'value': label}}]) AS p FROM judged) SELECT p.property AS property, p.value AS value, count(*) AS n FROM told WHERE p.value IS NOT NULL GROUP BY ALL")
+def relation_audit(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    shown = _judged(spark, sf_dir)[0].select("*", F.col("label").alias("display_label"), none.alias("salience"), F.lit(True).alias("display_admitted"), none.alias("hidden"))
+    return graph.relation_audit(shown).select("property", "value", "n")
+
+
 def _facts(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("object_id"), F.col("event_id").alias("fact_id"), F.col("ts").alias("at"), F.col("event_type").alias("label"))
 
@@ -197,16 +299,24 @@ def asof_snapshot(spark, sf_dir):
     return temporal.as_of(snaps, probes).select("probe_id", "object_id", "snapshot_id")
 
 
-@query("WITH b AS (SELECT user_id, arg_max(event_type, event_id) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1), a AS (SELECT user_id, arg_max(event_type, event_id) AS v FROM events WHERE event_id % 3 = 0 GROUP BY 1) SELECT user_id, CASE WHEN b.v IS NULL THEN 'added' WHEN a.v IS NULL THEN 'removed' ELSE 'modified' END AS change FROM b FULL JOIN a USING (user_id) WHERE b.v IS DISTINCT FROM a.v")
+_MIDDLE_SQL = "m AS (SELECT floor((epoch_us(min(ts)) + epoch_us(max(ts))) / 2) AS t FROM events)"
+
+
+@query(f"WITH {_MIDDLE_SQL}, b AS (SELECT user_id, arg_max(event_type, event_id) AS v FROM events, m WHERE epoch_us(ts) <= t GROUP BY 1), a AS (SELECT user_id, arg_max(event_type, event_id) AS v FROM events GROUP BY 1) SELECT user_id, CASE WHEN b.v IS NULL THEN 'added' WHEN a.v IS NULL THEN 'removed' ELSE 'modified' END AS change FROM b FULL JOIN a USING (user_id) WHERE b.v IS DISTINCT FROM a.v")
 def snapshot_diff(spark, sf_dir):
+    """What changed from the middle of the time to its end."""
     e = table(spark, sf_dir, "events")
-    state = lambda k: e.where(F.col("event_id") % k == 0).groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("v"))
-    return temporal.diff(state(2), state(3), "user_id", "v")
+    middle = e.agg(F.floor((F.unix_micros(F.min("ts").cast("timestamp")) + F.unix_micros(F.max("ts").cast("timestamp"))) / 2).alias("t"))
+    state = lambda df: df.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("v"))
+    return temporal.diff(state(e.join(F.broadcast(middle)).where(F.unix_micros(F.col("ts").cast("timestamp")) <= F.col("t"))), state(e), "user_id", "v")
 
 
-@query("SELECT event, count(*) AS n, count(DISTINCT user_id) AS objects FROM (SELECT user_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN 'creation' ELSE 'update' END AS event FROM events UNION ALL SELECT user_id, 'fault_occurrence' FROM events WHERE event_type = 'error') GROUP BY 1")
+@query("SELECT event, count(*) AS n, count(DISTINCT user_id) AS objects FROM (SELECT user_id, 'creation' AS event FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k = 1 UNION ALL SELECT user_id, 'update' FROM events WHERE value > 50 UNION ALL SELECT user_id, 'fault_occurrence' FROM events WHERE event_type = 'error') GROUP BY 1")
 def lifecycle_events(spark, sf_dir):
-    facts = _facts(spark, sf_dir).withColumn("label", F.when(F.col("label") == "error", "causes").otherwise(F.col("label")))
+    """Events of a high value stand for facts that supersede another."""
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("value") > 50, F.col("event_id")).alias("supersedes"))
+    facts = _facts(spark, sf_dir).withColumn("label", F.when(F.col("label") == "error", "Causes").otherwise(F.col("label")))
+    facts = facts.join(e, facts["fact_id"] == e["event_id"]).drop("event_id")
     return temporal.lifecycle_events(facts).groupBy("event").agg(F.count("*").alias("n"), F.count_distinct("object_id").alias("objects"))
 
 

@@ -12,8 +12,12 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder (spark.checkpoint.dir) for checkpoints; a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir) for checkpoints; a local session without one gets a temporary folder, a cluster an error."""
+    import re
     import tempfile
 
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stepweave-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="stepweave-"))

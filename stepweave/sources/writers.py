@@ -15,6 +15,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*flat_columns(df)).write.csv(path, header=True)
 
 
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """A JSON object a line, nulls included."""
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
 def escaped(text: Column) -> Column:
     out = text
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -23,7 +28,10 @@ def escaped(text: Column) -> Column:
 
 
 def graphml(nodes: DataFrame, edges: DataFrame, domain: str) -> DataFrame:
-    """Lines of a GraphML file (pos, value): displayed edges and the nodes that touch them; empty properties are left out."""
+    """Lines of a GraphML file (part, pos, value): displayed edges and the nodes that touch them; empty properties are left out.
+
+    A displayed edge whose end is no node fails, and so does a label that two nodes have.
+    """
     from stepweave.operators.graph import readable
 
     own, shown = readable(nodes.where(F.col("domain_id") == domain), edges.where(F.col("domain_id") == domain))
@@ -31,6 +39,12 @@ def graphml(nodes: DataFrame, edges: DataFrame, domain: str) -> DataFrame:
     def data(df: DataFrame, skip: tuple) -> Column:
         return F.concat_ws("", *(F.when(F.coalesce(v.cast("string"), F.lit("")) != "", F.concat(F.lit(f'<data key="{c}">'), escaped(v.cast("string")), F.lit("</data>"))) for c, v in zip(df.columns, flat_columns(df), strict=True) if c not in skip))
 
+    doubled = nodes.where(F.col("domain_id") == domain).groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label").first()
+    if doubled:
+        raise ValueError(f"two nodes have the label {doubled['label']!r}")
+    ends = shown.select(F.explode(F.array("head", "tail")).alias("label")).join(own.select("label"), "label", "left_anti").first()
+    if ends:
+        raise ValueError(f"an edge ends at {ends['label']!r}, which is no node")
     ids = own.select("label", "node_id")
     keys = [f'<key id="{c}" for="{kind}" attr.name="{c}" attr.type="string"/>' for kind, df in (("node", own), ("edge", shown)) for c in df.columns]
     spark = nodes.sparkSession

