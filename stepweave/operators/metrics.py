@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepweave.functions.text import evaluation_label
+
 
 def gold_evaluation(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Per domain: gold, matched, correct, wrong, missing and extra labels, coverage and accuracy.
@@ -29,3 +31,17 @@ def shared_labels(rows: DataFrame, label: str, domain: str, value: str) -> DataF
 def drift_rate(held: DataFrame) -> DataFrame:
     """The share of assertions that supersede another."""
     return held.agg(F.round(F.avg(F.col("supersedes").isNotNull().cast("double")), 4).alias("drift_rate"), F.count("*").alias("assertions"))
+
+
+def gold_of_documents(gold: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The gold rows (source_doc) of the documents of some evidence (evidence_id): ids alike, alike in evaluation form without blanks, or one within the other.
+
+    Both sides are joined as distinct ids, and only ids that no equal one settles are searched for in each other.
+    """
+    plain = lambda c: F.replace(evaluation_label(F.col(c)), F.lit(" "), F.lit(""))
+    docs = gold.select("source_doc").distinct().withColumn("_doc", plain("source_doc"))
+    ids = evidence.select(plain("evidence_id").alias("_id")).where("_id IS NOT NULL").distinct()
+    same = docs.join(ids.withColumnRenamed("_id", "_doc"), "_doc", "left_semi")
+    rest = docs.join(same.select("source_doc"), "source_doc", "left_anti")
+    within = rest.join(ids, F.col("_doc").contains(F.col("_id")) | F.col("_id").contains(F.col("_doc")), "left_semi")
+    return gold.join(same.union(within.select(same.columns)).select("source_doc"), "source_doc", "left_semi").select(*gold.columns)
