@@ -64,14 +64,10 @@ def _distinct(relations: DataFrame, keys: list[str]) -> DataFrame:
 
 def _listed(rows: DataFrame, keys: list[str], name: str, fields: list[Column], order: list[Column]) -> DataFrame:
     """rows as one array of structs of fields per key, in an order."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), F.struct(*fields).alias("x"))), _by_place)
+    ordered = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), F.struct(*fields).alias("x"))))
     return rows.groupBy(*keys).agg(F.transform(ordered, lambda e: e["x"]).alias(name))
 
 
-def _by_place(a: Column, b: Column) -> Column:
-    return F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
-
-
 def _mentions(rows: DataFrame, keys: list[str], name: str, by: str) -> DataFrame:
     """Mentions by label, letters' case aside (by: label), or as they came (by: pos)."""
     made = rows.withColumns({"kind": F.lit(None).cast("string"), "semantic_type_hint": F.col("hint"), "shared_hypernym": F.col("hypernym")})
@@ -97,17 +93,17 @@ def compose_records(documents: DataFrame, found: Extracted) -> DataFrame:
     step. Other concepts go to the one step whose text names them, else to the document. Relations that
     no step owns are mended and, where they are of use, kept as the document's. A document without a
     step table keeps all of its concepts and relations for itself. Documents without extractions
-    give records without mentions; extractions of unknown documents are left out. The renamed concepts
+    give records without mentions; extractions of unknown documents are left out. Steps, concepts
     and relations are read several times, so they are checkpointed in the session's shared folder.
     """
     ensure_checkpoint_dir(documents.sparkSession)
     doc = ["doc_id"]
-    steps = document_steps(documents)
+    steps = document_steps(documents).checkpoint()
     tabled = steps.select("doc_id").distinct()
     labels = found.concepts.select("doc_id", "label", type_hint(F.col("hint")).alias("hint"), "pos")
     for end in ("head", "tail"):
         labels = labels.unionByName(found.relations.select("doc_id", F.col(end).alias("label"), F.lit(None).cast("string").alias("hint"), F.lit(None).cast("int").alias("pos")))
-    alias = extraction.aliases(labels)
+    alias = extraction.aliases(labels).checkpoint()
     concepts, relations = _concepts(found.concepts, alias), document_relations(found.relations, alias)
 
     plain = concepts.join(tabled, doc, "left_anti")
@@ -137,7 +133,7 @@ def compose_records(documents: DataFrame, found: Extracted) -> DataFrame:
     )
     rest = catalog.join(ends.select("doc_id", "label").distinct(), ["doc_id", "label"], "left_anti")
     told = extraction.surface_steps(rest, steps)
-    at_step = placed.unionByName(rest.join(told, ["doc_id", "label"]).select(placed.columns))
+    at_step = placed.unionByName(rest.join(told, ["doc_id", "label"]).select(placed.columns)).checkpoint()
     of_document = rest.join(told, ["doc_id", "label"], "left_anti")
 
     crossing = extraction.cross_steps(loose, at_step.join(steps.select("doc_id", "step_id", "step_pos"), ["doc_id", "step_id"]))

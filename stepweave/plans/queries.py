@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stepweave import constants as K
 from stepweave.functions import procedures
 from stepweave.functions import text as T
-from stepweave.operators import assembly, attachment, evidence, extraction, graph, metrics, providers, routing, temporal
+from stepweave.operators import assembly, attachment, audits, evidence, extraction, graph, metrics, providers, records, routing, temporal
 from stepweave.streaming.steps import windowed_counts
 
 QUERIES: dict = {}
@@ -433,3 +433,99 @@ def cached_embeddings(spark, sf_dir):
     cache = docs.where("doc_id % 2 = 0").select(T.text_hash(F.col("text")).alias("text_hash"), F.array(F.char_length("text"), F.lit(0)).alias("vector"))
     out, _ = providers.embed_with_cache(docs, cache, lambda missing: missing.withColumn("vector", F.array(F.char_length("text"), F.lit(1))))
     return out.select("text_hash", F.col("vector")[0].cast("long").alias("size"), (F.col("vector")[1] == 1).alias("computed"))
+
+
+@query(
+    f"WITH {_JUDGED_SQL} SELECT origin AS domain_id, count(*) AS candidate_triple_count, count(*) FILTER (reject_reason IS NULL) AS accepted_triple_count, "
+    "count(*) FILTER (reject_reason NOT LIKE 'type_constraint:%') AS rejected_triple_count, count(*) FILTER (reject_reason LIKE 'type_constraint:%') AS type_rejected_triple_count FROM judged GROUP BY 1"
+)
+def triple_counts(spark, sf_dir):
+    return audits.triple_counts(_judged(spark, sf_dir)[0].withColumn("domain_id", F.col("origin")))
+
+
+_NODES_SQL = "n AS (SELECT source AS domain_id, CASE WHEN doc_id % 3 = 0 THEN 'workflow' ELSE 'semantic' END AS layer, lang AS shared_hypernym, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS step_phase FROM documents)"
+
+
+def _document_nodes(spark, sf_dir) -> DataFrame:
+    layer = F.when(F.col("doc_id") % 3 == 0, "workflow").otherwise("semantic").alias("layer")
+    phase = F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("").alias("step_phase")
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("domain_id"), layer, F.col("lang").alias("shared_hypernym"), phase)
+
+
+@query(
+    f"WITH {_NODES_SQL} SELECT domain_id, count(*) AS node_count, count(*) FILTER (layer = 'workflow') AS workflow_step_node_count, count(*) FILTER (layer = 'semantic') AS semantic_node_count, "
+    "coalesce(round(count(*) FILTER (layer = 'semantic' AND shared_hypernym <> '') / nullif(count(*) FILTER (layer = 'semantic'), 0), 4), 0.0) AS hypernym_coverage FROM n GROUP BY 1"
+)
+def node_counts(spark, sf_dir):
+    return audits.node_counts(_document_nodes(spark, sf_dir))
+
+
+@query(
+    f"WITH {_NODES_SQL} SELECT domain_id, 'shared_hypernym' AS property, shared_hypernym AS value, count(*) AS n FROM n WHERE layer = 'semantic' AND shared_hypernym <> '' GROUP BY ALL "
+    "UNION ALL SELECT domain_id, 'step_phase', step_phase, count(*) FROM n WHERE layer = 'workflow' AND step_phase <> '' GROUP BY ALL"
+)
+def node_distributions(spark, sf_dir):
+    return audits.node_distributions(_document_nodes(spark, sf_dir))
+
+
+@query("SELECT source AS domain_id, lang AS doc_type, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT source, NULL, count(*) FROM documents GROUP BY 1")
+def document_counts(spark, sf_dir):
+    return audits.document_counts(table(spark, sf_dir, "documents").select(F.col("source").alias("domain_id"), F.col("lang").alias("doc_type")))
+
+
+_CANDIDATES_SQL = (
+    "j AS (SELECT s_nationkey AS domain_id, CASE WHEN s_suppkey % 4 = 0 THEN 'rejected' WHEN s_suppkey % 3 = 0 THEN 'reuse' ELSE 'adapter' END AS outcome, "
+    "CASE WHEN s_suppkey % 4 <> 0 THEN NULL WHEN s_suppkey % 8 = 0 THEN 'unspecified' ELSE 'low_graph_value' END AS reject_reason FROM supplier)"
+)
+
+
+def _judged_suppliers(spark, sf_dir) -> DataFrame:
+    key = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("domain_id"), key.cast("string").alias("label"), key)
+    reason = F.when(key % 8 == 0, "").when(key % 4 == 0, "low_graph_value")
+    route = F.when(key % 3 == 0, "reuse_backbone").otherwise("vertical_specialize")
+    decided = rows.select("domain_id", "label", (key % 4 != 0).alias("admit"), route.alias("route"), reason.alias("reject_reason"))
+    return audits.judged_candidates(rows.select("domain_id", "label"), decided, rows.select("label"))
+
+
+@query(f"WITH {_CANDIDATES_SQL} SELECT domain_id, outcome, reject_reason, count(*) AS n FROM j GROUP BY ALL")
+def attachment_audit(spark, sf_dir):
+    return audits.attachment_audit(_judged_suppliers(spark, sf_dir))
+
+
+@query(
+    f"WITH {_CANDIDATES_SQL} SELECT domain_id, count(*) AS candidate_count, count(*) FILTER (outcome = 'adapter') AS accepted_adapter_candidate_count, "
+    "count(*) FILTER (outcome = 'reuse') AS accepted_backbone_reuse_count, count(*) FILTER (outcome = 'rejected') AS rejected_candidate_count FROM j GROUP BY 1"
+)
+def candidate_counts(spark, sf_dir):
+    return audits.candidate_counts(_judged_suppliers(spark, sf_dir))
+
+
+@query(
+    "WITH l AS (SELECT l_orderkey AS d, l_linenumber AS n, max('valve unit ' || (l_partkey % 9)) AS c, max('valve unit ' || (l_suppkey % 9)) AS r FROM lineitem GROUP BY 1, 2), "
+    "ends AS (SELECT DISTINCT d, n, r AS label FROM l), rest AS (SELECT d, c AS label, count(*) AS k, min(n) AS n FROM l WHERE NOT EXISTS (SELECT 1 FROM ends e WHERE e.d = l.d AND e.label = l.c) GROUP BY 1, 2), "
+    "placed AS (SELECT d, n, label FROM ends UNION ALL SELECT d, n, label FROM rest WHERE k = 1) "
+    "SELECT CAST(l.d AS VARCHAR) AS evidence_id, 'T' || l.n AS step_id, 'T' || lead(l.n) OVER (PARTITION BY l.d ORDER BY l.n) AS sequence_next, l.r AS target, "
+    "(SELECT string_agg(label, ',' ORDER BY label) FROM placed p WHERE p.d = l.d AND p.n = l.n) AS concepts, "
+    "coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM rest WHERE rest.d = l.d AND k > 1), '') AS of_document FROM l"
+)
+def composed_records(spark, sf_dir):
+    """Orders as documents, a line as a step that names one concept and acts on another."""
+    doc, n = F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_linenumber")
+    unit = lambda c: F.max(F.concat(F.lit("valve unit "), (F.col(c) % 9).cast("string")))
+    lines = table(spark, sf_dir, "lineitem").groupBy(doc, n.cast("int").alias("pos")).agg(unit("l_partkey").alias("c"), unit("l_suppkey").alias("r"))
+    step, none = F.concat(F.lit("T"), F.col("pos")), F.lit(None).cast("string")
+    row = F.concat(F.lit("| "), step, F.lit(" | Check the "), F.col("c"), F.lit(" |"))
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", row.alias("t")))), lambda x: x["t"]), "\n")
+    documents = lines.groupBy("doc_id").agg(content.alias("content")).select("doc_id", F.lit("d").alias("domain_id"), none.alias("role"), none.alias("doc_type"), none.alias("timestamp"), "content")
+    text = lambda *names: [none.alias(c) for c in names]
+    found = records.Extracted(
+        lines.select("doc_id", "pos", F.col("c").alias("label"), *text("description", "surface_form", "hint", "hypernym"), F.lit(True).alias("node_worthy")),
+        lines.select("doc_id", "pos", F.lit("inspects").alias("label"), F.lit("task_dependency").alias("family"), step.alias("head"), F.col("r").alias("tail")),
+        lines.where("false").select("doc_id", "pos", *text("from_state", "to_state", "trigger_step", "evidence_label")),
+        lines.where("false").select("doc_id", "pos", *text("evidence_label", "indicated_label", "mechanism")),
+    )
+    out = records.compose_records(documents, found)
+    labels = lambda c: F.array_join(F.transform(c, lambda m: m["label"]), ",")
+    out = out.select("evidence_id", labels(F.col("document_concept_mentions")).alias("of_document"), F.explode("step_records").alias("s"))
+    return out.select("evidence_id", "s.step_id", "s.sequence_next", F.col("s.step_actions")[0]["target_label"].alias("target"), labels(F.col("s.concept_mentions")).alias("concepts"), "of_document")

@@ -55,14 +55,15 @@ def export_run(made: Graph, units: DataFrame, judged: DataFrame, backbone: DataF
 
 
 def load_snapshot(spark: SparkSession, path: str, variant: str, domain: str, snapshot_id: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a domain as they were after a snapshot; KeyError where there is none of that name."""
+    """Nodes and edges that a domain had after a snapshot; KeyError where there is none of that name.
+
+    Their provenance is that of the whole run; temporal.rollback() gives the records of the snapshot alone.
+    """
     tables = {name: spark.read.parquet(f"{path}/{variant}/graph/{name}").where(F.col("domain_id") == domain) for name in STATE}
     at = tables["snapshots"].where(F.col("snapshot_id") == snapshot_id).select("record_idx").first()
     if at is None:
         raise KeyError(snapshot_id)
-    held = (tables[name].withColumn("record_idx", F.coalesce("first_record_idx", F.lit(0))) for name in ("nodes", "edges"))
-    nodes, edges = (snapshot(df, at["record_idx"]).drop("record_idx") for df in held)
-    return nodes, edges
+    return snapshot(tables["nodes"], at["record_idx"]), snapshot(tables["edges"], at["record_idx"])
 
 
 def benchmark_summary(spark: SparkSession, path: str, variants: list[str]) -> DataFrame:
