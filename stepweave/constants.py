@@ -82,16 +82,113 @@ TYPE_CONSTRAINTS = {
 LIFECYCLE_EVENTS = {"triggers": "creation", "supersedes": "replacement", "deprecates": "deprecation", "replaces": "replacement", "causes": "fault_occurrence", "maintains": "maintenance", "repairs": "maintenance", "updates": "update", "upgrades": "update"}
 
 # Words that name an action of a step.
-ACTION_WORDS = (
-    ("record", "record|records|capture|captures|document|documents|note|notes|log|logs"),
-    ("inspect", "inspect|inspects|inspection|observe|observes|check|checks|review|reviews|watch|watches|examine|examines|identify|identifies|trace|traces"),
-    ("measure", "measure|measures|measurement|gauge|gauges|quantify|quantifies"),
-    ("expose", "expose|exposes|exposure|open|opens|access|accesses|uncover|uncovers|isolate|isolates|safe|lift"),
-    ("compare", "compare|compares|comparison|compares with|align|aligns|match|matches"),
-    ("repair", "repair|repairs|replacement|replace|replaces|reseat|reseats|reset|resets|correct|corrects|refit|refits|install|installs|installs on|renew|renews|restore|restores|torque|torques|tighten|tightens|lubricate|lubricates"),
-    ("verify", "verify|verifies|verification|validation|confirm|confirms|validate|validates|prove|proves|test|tests|pressure-test|pressure-tests|circulate|circulates|monitor|monitors|release"),
-    ("remove", "remove|removes|removal|detach|detaches"),
-)
+ACTION_WORDS = {
+    "record": "record",
+    "records": "record",
+    "capture": "record",
+    "captures": "record",
+    "document": "record",
+    "documents": "record",
+    "note": "record",
+    "notes": "record",
+    "log": "record",
+    "logs": "record",
+    "inspect": "inspect",
+    "inspects": "inspect",
+    "inspection": "inspect",
+    "observe": "inspect",
+    "observes": "inspect",
+    "check": "inspect",
+    "checks": "inspect",
+    "review": "inspect",
+    "reviews": "inspect",
+    "watch": "inspect",
+    "watches": "inspect",
+    "examine": "inspect",
+    "examines": "inspect",
+    "identify": "inspect",
+    "identifies": "inspect",
+    "trace": "inspect",
+    "traces": "inspect",
+    "measure": "measure",
+    "measures": "measure",
+    "measurement": "measure",
+    "gauge": "measure",
+    "gauges": "measure",
+    "quantify": "measure",
+    "quantifies": "measure",
+    "expose": "expose",
+    "exposes": "expose",
+    "exposure": "expose",
+    "open": "expose",
+    "opens": "expose",
+    "access": "expose",
+    "accesses": "expose",
+    "uncover": "expose",
+    "uncovers": "expose",
+    "isolate": "expose",
+    "isolates": "expose",
+    "safe": "expose",
+    "lift": "expose",
+    "compare": "compare",
+    "compares": "compare",
+    "comparison": "compare",
+    "compares with": "compare",
+    "align": "compare",
+    "aligns": "compare",
+    "match": "compare",
+    "matches": "compare",
+    "repair": "repair",
+    "repairs": "repair",
+    "replacement": "repair",
+    "replace": "repair",
+    "replaces": "repair",
+    "reseat": "repair",
+    "reseats": "repair",
+    "reset": "repair",
+    "resets": "repair",
+    "correct": "repair",
+    "corrects": "repair",
+    "refit": "repair",
+    "refits": "repair",
+    "install": "repair",
+    "installs": "repair",
+    "installs on": "repair",
+    "renew": "repair",
+    "renews": "repair",
+    "restore": "repair",
+    "restores": "repair",
+    "torque": "repair",
+    "torques": "repair",
+    "tighten": "repair",
+    "tightens": "repair",
+    "lubricate": "repair",
+    "lubricates": "repair",
+    "verify": "verify",
+    "verifies": "verify",
+    "verification": "verify",
+    "validation": "verify",
+    "confirm": "verify",
+    "confirms": "verify",
+    "validate": "verify",
+    "validates": "verify",
+    "prove": "verify",
+    "proves": "verify",
+    "test": "verify",
+    "tests": "verify",
+    "pressure-test": "verify",
+    "pressure-tests": "verify",
+    "circulate": "verify",
+    "circulates": "verify",
+    "monitor": "verify",
+    "monitors": "verify",
+    "release": "verify",
+    "remove": "remove",
+    "removes": "remove",
+    "removal": "remove",
+    "detach": "remove",
+    "detaches": "remove",
+}
 
 # Relation labels that name no action.
 WEAK_RELATIONS = ("allows", "allow", "holds", "hold", "keeps", "keep", "leaves", "leave", "names", "name", "marks", "mark", "performed on", "pays attention to", "requires", "require", "runs", "run", "targets", "target")
@@ -116,16 +213,32 @@ ACTION_TARGETS = {
 # What a step acts on where no single target is named.
 DEFAULT_OBJECTS = {"record": "issue evidence", "inspect": "key evidence", "measure": "critical dimensions", "expose": "local assembly", "compare": "reference dimensions", "repair": "failed interface", "verify": "repair outcome", "remove": "access cover"}
 
-# Canonical relation labels by family; then passive forms, which are turned round, and other names.
+# Canonical label and family of relation labels, by their key; then the keys of passive forms, whose ends are turned round.
 RELATION_LABELS = {
-    "structural": ("contains",),
-    "lifecycle": ("hasState", "transitionsTo"),
-    "communication": ("indicates", "provides", "emits", "monitors"),
-    "task_dependency": ("requires", "measures", "records", "confirms", "observes", "performs", "triggers"),
-    "propagation": ("causes", "comprises"),
+    "contains": ("contains", "structural"),
+    "hasstate": ("hasState", "lifecycle"),
+    "transitionsto": ("transitionsTo", "lifecycle"),
+    "indicates": ("indicates", "communication"),
+    "provides": ("provides", "communication"),
+    "emits": ("emits", "communication"),
+    "monitors": ("monitors", "communication"),
+    "requires": ("requires", "task_dependency"),
+    "measures": ("measures", "task_dependency"),
+    "records": ("records", "task_dependency"),
+    "confirms": ("confirms", "task_dependency"),
+    "observes": ("observes", "task_dependency"),
+    "performs": ("performs", "task_dependency"),
+    "triggers": ("triggers", "task_dependency"),
+    "causes": ("causes", "propagation"),
+    "comprises": ("comprises", "propagation"),
+    "causedby": ("causes", "propagation"),
+    "measuredby": ("measures", "task_dependency"),
+    "confirmedby": ("confirms", "task_dependency"),
+    "observedin": ("observes", "task_dependency"),
+    "performedby": ("performs", "task_dependency"),
+    "separates": ("confirms", "task_dependency"),
 }
-PASSIVE_LABELS = {"causedby": "causes", "measuredby": "measures", "confirmedby": "confirms", "observedin": "observes", "performedby": "performs"}
-OTHER_LABELS = {"separates": "confirms"}
+PASSIVE_LABELS = ("causedby", "measuredby", "confirmedby", "observedin", "performedby")
 
 # Patterns of procedure texts.
 ASSET_NAMES = "pack|vehicle|machine|cabinet|controller|motor|compressor|spindle|axis|drive|battery|chiller|pump"
@@ -136,6 +249,7 @@ DOCUMENT_TAIL = "hose|clip|rib|panel|overmold"
 MANUAL_FILE = r"(?i)^(evman|batom|batteryman|cncom|cncman|nevom)|_om_"
 MANUAL_CONTENT = r"(?i)time step|o&m sample|\| t[1-9] \|"
 
+# Fixed value: the end of what is still valid.
 FAR_FUTURE = "9999-12-31T23:59:59Z"
 
 # Labels that name one thing, and relations that name it wrongly.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stepweave import constants as K
 from stepweave.functions.text import let, normalize_space, step_token, whole_word
 
-ACTIONS = tuple(name for name, _ in K.ACTION_WORDS)
+ACTIONS = tuple(dict.fromkeys(K.ACTION_WORDS.values()))
 
 
 def _strings(values: dict[str, str]) -> Column:
@@ -21,7 +21,7 @@ def relation_phrase(label: Column) -> Column:
 
 def action(label: Column) -> Column:
     """The action that a phrase names as a whole, else by its first word that names one; null for weak phrases."""
-    table = _strings({w: name for name, words in K.ACTION_WORDS for w in words.split("|")})
+    table = _strings(K.ACTION_WORDS)
     words = lambda phrase: F.concat(F.array(phrase), F.regexp_extract_all(phrase, F.lit("([a-z0-9]+(?:-[a-z0-9]+)?)"), 1))
     first = lambda phrase: F.get(F.array_compact(F.transform(words(phrase), lambda w: F.try_element_at(table, w))), F.lit(0))
     return let(relation_phrase(label), lambda phrase: F.when(~phrase.isin(*K.WEAK_RELATIONS), first(phrase)))

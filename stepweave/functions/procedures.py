@@ -42,9 +42,7 @@ def relation_entry(r: Column) -> Column:
     """An extracted relation (label, family, head, tail) under its canonical label and a family that goes with it, passives turned round; null without label or ends."""
     label, head, tail = F.trim(r["label"]), F.trim(r["head"]), F.trim(r["tail"])
     family = F.coalesce(F.when(F.trim(r["family"]) != "", F.trim(r["family"])), F.lit("structural"))
-    names = {name.lower(): (name, f) for f, listed in K.RELATION_LABELS.items() for name in listed}
-    names |= {other: names[name.lower()] for other, name in (K.PASSIVE_LABELS | K.OTHER_LABELS).items()}
-    table = lambda k: F.create_map(*(F.lit(x) for key, v in names.items() for x in (key, v[k])))
+    table = lambda k: F.create_map(*(F.lit(x) for key, v in K.RELATION_LABELS.items() for x in (key, v[k])))
     key = relation_key(label)
     known, usual, turned = F.try_element_at(table(0), key), F.try_element_at(table(1), key), key.isin(*K.PASSIVE_LABELS)
     own = F.when((known == "triggers") & (family == "propagation"), family).otherwise(F.coalesce(usual, family))
