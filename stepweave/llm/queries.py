@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stepweave.llm import op1_substrings, op2_quality, op3_language, op4_urls, op5_pii, op6_decontamination, op7_tokens, op8_mixing, op9_minhash, op10_attention
+from stepweave.llm import op1_substrings, op2_quality, op3_language, op4_urls, op5_pii, op6_decontamination, op7_tokens, op8_mixing, op9_minhash, op10_attention, op11_negatives, op12_token_files, op13_filter_audit
 
 _MODULES = {
     "op1_substrings": op1_substrings,
@@ -15,6 +15,9 @@ _MODULES = {
     "op8_mixing": op8_mixing,
     "op9_minhash": op9_minhash,
     "op10_attention": op10_attention,
+    "op11_negatives": op11_negatives,
+    "op12_token_files": op12_token_files,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 
