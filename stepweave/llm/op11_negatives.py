@@ -106,7 +106,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, labels = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         for own, vectors in matrix(batch.column(2)):
             dim = vectors.shape[1]
-            room = max(1, min(BLOCK_ROWS, (GROUP_MB << 20) // (8 * max(dim, 1))))
+            room = max(1, min(BLOCK_ROWS, int(GROUP_MB * 2**20) // (8 * max(dim, 1))))
             rows = waiting.setdefault(dim, [])
             for k in range(0, len(own), room):
                 rows.append((ids[own[k : k + room]], labels[own[k : k + room]], vectors[k : k + room]))
