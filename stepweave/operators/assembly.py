@@ -7,6 +7,7 @@ time, so what the graph was after a record is what the records up to it give.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,23 +15,62 @@ from pyspark.sql import functions as F
 from stepweave import constants as K
 from stepweave.functions import display
 from stepweave.functions.text import step_id
-from stepweave.operators import evidence, extraction, graph, temporal
+from stepweave.operators import evidence, extraction, graph, ordering, temporal, versions
 from stepweave.session import ensure_checkpoint_dir
 
 RECORD = ("domain_id", "evidence_id", "record_idx", "timestamp")
 _ORIGINS = ("workflow", "step", "document")
 
 
+NODE_KEYS, EDGE_KEYS = ["domain_id", "label"], ["domain_id", "head", "label", "tail"]
+
+
 @dataclass
 class Graph:
-    """The tables of all domains' graphs."""
+    """The tables of all domains' graphs.
 
-    nodes: DataFrame
-    edges: DataFrame
+    Rows of node_rows and edge_rows are bounded: their evidence is in node_observed and edge_observed, a row a mention. What lists or
+    orders all of it (nodes and edges with provenance, versions, events) is made when asked for.
+    """
+
+    node_rows: DataFrame
+    edge_rows: DataFrame
     triples: DataFrame
     snapshots: DataFrame
     assertions: DataFrame
-    events: DataFrame
+    node_observed: DataFrame
+    edge_observed: DataFrame
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """The nodes with their evidence listed in order."""
+        return versions.with_provenance(self.node_rows, versions.first_places(self.node_observed, NODE_KEYS, "at"), NODE_KEYS)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """The edges with their evidence listed in order."""
+        own = self.edge_rows.drop(*(f"{c}_from" for c in _EDGE_KNOWN))
+        return versions.with_provenance(own, versions.first_places(self.edge_observed, EDGE_KEYS, "at"), EDGE_KEYS)
+
+    @cached_property
+    def node_versions(self) -> DataFrame:
+        """Every node in every interval of records in which it stood unchanged."""
+        base = self.node_rows.where("first_record_idx = 0").select(*NODE_KEYS, F.lit(0).cast("int").alias("record_idx"), F.lit(None).cast("string").alias("evidence_id"))
+        rows = self.node_observed.select(*NODE_KEYS, F.col("record_idx").cast("int").alias("record_idx"), "evidence_id").unionByName(base)
+        return versions.with_values(versions.versions(rows, NODE_KEYS), self.node_rows, NODE_KEYS).checkpoint()
+
+    @cached_property
+    def edge_versions(self) -> DataFrame:
+        """The same of edges: steps, source, mechanism and evidence label are null until a record gave them."""
+        return versions.with_values(versions.versions(self.edge_observed, EDGE_KEYS), self.edge_rows, EDGE_KEYS, list(_EDGE_KNOWN)).checkpoint()
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return temporal.graph_events(self.assertions, self.edge_rows)
+
+    def as_of(self, idx: int) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges as they were after record idx, their evidence and values those known by then."""
+        return versions.state(self.node_versions, idx, NODE_KEYS), versions.state(self.edge_versions, idx, EDGE_KEYS)
 
 
 def _steps(records: DataFrame) -> DataFrame:
@@ -99,10 +139,10 @@ def step_supports(records: DataFrame) -> DataFrame:
     return named.where("label <> '' AND step_id <> ''").groupBy("domain_id", "evidence_id", "label").agg(F.sort_array(F.collect_set("step_id")).alias("steps"))
 
 
-def graph_nodes(records: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All nodes, and the rows (domain_id, label, parent_anchor, evidence_id, at) of admitted concepts that are not of the backbone.
+def graph_nodes(records: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All nodes; the rows (domain_id, label, parent_anchor, evidence_id, at) of admitted concepts that are not of the backbone; and those that give nodes.
 
-    Of a node that several mentions or steps give, the first one's wording holds; its evidence is listed in order.
+    Of a node that several mentions or steps give, the first one's wording holds.
     """
     at = F.struct("record_idx", "origin", "step_pos", "pos")
     m = evidence.mentions(records).where("NOT (origin = 1 AND pos = 0)")
@@ -112,19 +152,18 @@ def graph_nodes(records: DataFrame, decisions: DataFrame) -> tuple[DataFrame, Da
     seen = m.groupBy("domain_id", "label").agg(
         F.min_by(F.coalesce(F.when(F.col("surface_form") != "", F.col("surface_form")), F.col("label")), "at").alias("surface_form"),
         F.min_by("hypernym", "at").alias("shared_hypernym"), F.min_by("timestamp", "at").alias("valid_from"), F.min("record_idx").alias("first_record_idx"),
-        F.first("anchor").alias("parent_anchor"), evidence.ordered_distinct(F.col("evidence_id"), F.col("at")).alias("provenance"),
+        F.first("anchor").alias("parent_anchor"),
     )
     none = lambda kind="string": F.lit(None).cast(kind)
     name = lambda label: F.concat_ws("::", "domain_id", F.lit("node"), label).alias("node_id")
     concepts = seen.where(own).select(
         "domain_id", "label", name("label"), F.col("label").alias("display_label"), F.lit("adapter_concept").alias("node_type"), F.lit("semantic").alias("layer"), "parent_anchor", "surface_form",
-        none().alias("step_id"), none("int").alias("order_index"), none().alias("step_phase"), "shared_hypernym", "provenance", "valid_from", "first_record_idx", none().alias("step_action"),
+        none().alias("step_id"), none("int").alias("order_index"), none().alias("step_phase"), "shared_hypernym", "valid_from", "first_record_idx", none().alias("step_action"),
     )
-    reused = seen.where(~own).select("domain_id", "label", "provenance")
-    backbone = graph.backbone_nodes(records.select("domain_id").distinct()).join(reused, ["domain_id", "label"], "left")
+    backbone = graph.backbone_nodes(records.select("domain_id").distinct())
     backbone = backbone.select(
         "domain_id", "label", "node_id", F.col("label").alias("display_label"), F.lit("backbone_concept").alias("node_type"), "layer", none().alias("parent_anchor"), F.col("label").alias("surface_form"),
-        none().alias("step_id"), none("int").alias("order_index"), none().alias("step_phase"), none().alias("shared_hypernym"), F.coalesce("provenance", F.array().cast("array<string>")).alias("provenance"),
+        none().alias("step_id"), none("int").alias("order_index"), none().alias("step_phase"), none().alias("shared_hypernym"),
         none().alias("valid_from"), "first_record_idx", none().alias("step_action"),
     )
     step, label = F.col("step"), F.concat_ws(":", "evidence_id", "step.step_id")
@@ -135,13 +174,15 @@ def graph_nodes(records: DataFrame, decisions: DataFrame) -> tuple[DataFrame, Da
     )
     order = F.struct("record_idx", "step_pos")
     first = F.struct("display_label", "surface_form", "step_id", "order_index", "step_phase", "timestamp", "record_idx", "step_action")
-    steps = flat.groupBy("domain_id", "label").agg(F.min_by(first, order).alias("s"), F.max_by("step_action", order).alias("action"), evidence.ordered_distinct(F.col("evidence_id"), order).alias("provenance"))
+    steps = flat.groupBy("domain_id", "label").agg(F.min_by(first, order).alias("s"), F.max_by("step_action", order).alias("action"))
     steps = steps.select(
         "domain_id", "label", name("label"), "s.display_label", F.lit("workflow_step").alias("node_type"), F.lit("workflow").alias("layer"), none().alias("parent_anchor"), "s.surface_form", "s.step_id",
-        "s.order_index", "s.step_phase", none().alias("shared_hypernym"), "provenance", F.col("s.timestamp").alias("valid_from"), F.col("s.record_idx").alias("first_record_idx"), F.col("action").alias("step_action"),
+        "s.order_index", "s.step_phase", none().alias("shared_hypernym"), F.col("s.timestamp").alias("valid_from"), F.col("s.record_idx").alias("first_record_idx"), F.col("action").alias("step_action"),
     )
+    place = F.struct("record_idx", F.lit(1).alias("origin"), "step_pos", F.lit(0).alias("pos"))
+    observed = m.select("domain_id", "label", "record_idx", "evidence_id", "at").unionByName(flat.select("domain_id", "label", "record_idx", "evidence_id", place.alias("at")))
     anchored = m.where(own & F.col("anchor").isNotNull()).select("domain_id", "label", F.col("anchor").alias("parent_anchor"), "evidence_id", "record_idx", "timestamp", "at")
-    return backbone.unionByName(concepts).unionByName(steps), anchored
+    return backbone.unionByName(concepts).unionByName(steps), anchored, observed
 
 
 def semantic_type(nodes: DataFrame) -> Column:
@@ -153,27 +194,40 @@ _EDGE = ("family", "layer", "workflow_kind", "display_label", "salience", "displ
 _EDGE_KNOWN = ("head_step", "tail_step", "source_field", "mechanism", "evidence_label")
 
 
-def graph_edges(triples: DataFrame, anchored: DataFrame) -> DataFrame:
-    """One edge per domain, head, label and tail: accepted relations and, for each anchored concept, is_a to its anchor.
-
-    The first row's values hold, and of steps, source, mechanism and evidence label the first there is; evidence is listed in order.
-    """
+def edge_observations(triples: DataFrame, anchored: DataFrame) -> DataFrame:
+    """The rows that give edges: accepted relations and, for each anchored concept, is_a to its anchor; `at` is a row's place."""
     family = F.when(F.col("workflow_kind") == "action_object", "action_object").otherwise(F.col("family"))
-    rows = triples.where("status = 'accepted'").withColumn("family", family).withColumn("at", F.struct("record_idx", F.lit(1).alias("part"), F.col("seq").alias("seq")))
+    place = lambda part, *more: F.struct(F.col("record_idx").cast("long").alias("record_idx"), F.lit(part).alias("part"), *(F.coalesce(c.cast("int"), F.lit(0)).alias(n) for n, c in zip("abc", more, strict=True)))
+    zero = F.lit(0)
+    rows = triples.where("status = 'accepted'").withColumn("family", family).withColumn("at", place(1, F.col("seq"), zero, zero))
     rows = rows.select("domain_id", "head", "label", "tail", "evidence_id", "at", *_EDGE, *_EDGE_KNOWN)
     none = F.lit(None).cast("string")
-    place = F.struct("record_idx", F.lit(0).alias("part"), (F.col("at.origin") * 1_000_000_000 + F.col("at.step_pos") * 100_000 + F.col("at.pos")).cast("int").alias("seq"))
     is_a = anchored.select(
-        "domain_id", F.col("label").alias("head"), F.lit("is_a").alias("label"), F.col("parent_anchor").alias("tail"), "evidence_id", place.alias("at"), F.lit("is_a").alias("family"), F.lit("semantic").alias("layer"),
+        "domain_id", F.col("label").alias("head"), F.lit("is_a").alias("label"), F.col("parent_anchor").alias("tail"), "evidence_id", place(0, F.col("at.origin"), F.col("at.step_pos"), F.col("at.pos")).alias("at"), F.lit("is_a").alias("family"), F.lit("semantic").alias("layer"),
         none.alias("workflow_kind"), F.lit("is_a").alias("display_label"), F.lit("medium").alias("salience"), F.lit(True).alias("display_admitted"), none.alias("hidden"), "timestamp", "record_idx",
         none.alias("head_step"), none.alias("tail_step"), F.lit("attachment_decision").alias("source_field"), none.alias("mechanism"), none.alias("evidence_label"),
     )
-    every = rows.unionByName(is_a)
-    merged = graph.upsert_edges(every, list(_EDGE), list(_EDGE_KNOWN), seq="at", more=(evidence.ordered_distinct(F.col("evidence_id"), F.col("at")).alias("provenance"),))
+    return rows.unionByName(is_a)
+
+
+def merged_edges(rows: DataFrame) -> DataFrame:
+    """One edge per domain, head, label and tail of edge_observations().
+
+    The first row's values hold, and of steps, source, mechanism and evidence label the first there is, with the record that gave it (`<name>_from`).
+    """
+    since = [F.min_by("record_idx", F.when(F.col(c).isNotNull(), F.col("at"))).alias(f"{c}_from") for c in _EDGE_KNOWN]
+    merged = graph.upsert_edges(rows, list(_EDGE), list(_EDGE_KNOWN), seq="at", more=tuple(since))
     named = F.concat_ws("::", "domain_id", F.lit("edge"), "head", "label", "tail").alias("edge_id")
     return merged.select(named, *(F.col(c).alias({"timestamp": "valid_from", "record_idx": "first_record_idx"}.get(c, c)) for c in merged.columns if c != "first_seq"))
 
 
+def graph_edges(triples: DataFrame, anchored: DataFrame) -> DataFrame:
+    """The edges with their evidence listed in order."""
+    rows = edge_observations(triples, anchored)
+    own = merged_edges(rows).drop(*(f"{c}_from" for c in _EDGE_KNOWN))
+    return versions.with_provenance(own, versions.first_places(rows, EDGE_KEYS, "at"), EDGE_KEYS)
+
+
 def snapshot_manifests(records: DataFrame, nodes: DataFrame, edges: DataFrame, triples: DataFrame) -> DataFrame:
     """A row per record: the snapshot after it, its parent, and how many nodes, edges, accepted triples and records it holds."""
     counted = None
@@ -182,12 +236,13 @@ def snapshot_manifests(records: DataFrame, nodes: DataFrame, edges: DataFrame, t
         counted = own if counted is None else counted.join(own, ["domain_id", "record_idx"], "full")
     base = nodes.where("first_record_idx = 0").groupBy("domain_id").agg(F.count("*").alias("_base"))
     at = records.select("domain_id", "record_idx", "evidence_id", F.col("timestamp").alias("created_at")).join(counted, ["domain_id", "record_idx"], "left").join(base, "domain_id", "left")
-    order = Window.partitionBy("domain_id").orderBy("record_idx")
-    so_far = lambda c: F.sum(F.coalesce(c, F.lit(0))).over(order)
+    names = ("node_count", "edge_count", "accepted_triple_count")
+    summed = ordering.ranked(at, ["domain_id"], ["record_idx"], "_n", {f"_{c}": F.col(c) for c in names})
     snapshot = temporal.snapshot_id(F.col("domain_id"), F.col("record_idx"))
-    return at.select(
-        "domain_id", "record_idx", snapshot.alias("snapshot_id"), F.lag(snapshot).over(order).alias("parent_snapshot_id"), "created_at", "evidence_id",
-        (so_far("node_count") + F.coalesce("_base", F.lit(0))).alias("node_count"), so_far("edge_count").alias("edge_count"), so_far("accepted_triple_count").alias("accepted_triple_count"), F.col("record_idx").alias("evidence_count"),
+    parent = F.when(F.col("_n") > 1, temporal.snapshot_id(F.col("domain_id"), F.col("record_idx") - 1))
+    return summed.select(
+        "domain_id", "record_idx", snapshot.alias("snapshot_id"), parent.alias("parent_snapshot_id"), "created_at", "evidence_id",
+        (F.col("_node_count") + F.coalesce("_base", F.lit(0))).alias("node_count"), F.col("_edge_count").alias("edge_count"), F.col("_accepted_triple_count").alias("accepted_triple_count"), F.col("record_idx").alias("evidence_count"),
     )
 
 
@@ -199,7 +254,7 @@ def assemble(records: DataFrame, decisions: DataFrame) -> Graph:
     times, so they are checkpointed in the session's shared folder.
     """
     ensure_checkpoint_dir(records.sparkSession)
-    nodes, anchored = graph_nodes(records, decisions)
+    nodes, anchored, observed = graph_nodes(records, decisions)
     nodes = nodes.checkpoint()
     typed = nodes.select("domain_id", "label", "layer", semantic_type(nodes).alias("parent_anchor"), "first_record_idx", "step_action")
     judged = graph.judge_relations(relation_stream(records), typed, step_supports(records), decisions)
@@ -210,7 +265,8 @@ def assemble(records: DataFrame, decisions: DataFrame) -> Graph:
         F.col("shown.admitted").alias("display_admitted"), F.col("shown.hidden").alias("hidden"), F.when(F.col("status") == "accepted", 1.0).otherwise(0.0).alias("confidence"),
     )
     triples = triples.checkpoint()
-    edges = graph_edges(triples, anchored).checkpoint()
+    given = edge_observations(triples, anchored)
+    edges = merged_edges(given).checkpoint()
     snapshots = snapshot_manifests(records, nodes, edges, triples)
     held = temporal.graph_assertions(nodes, edges)
-    return Graph(nodes.drop("step_action"), edges, triples, snapshots, held, temporal.graph_events(held, edges))
+    return Graph(nodes.drop("step_action"), edges, triples, snapshots, held, observed, given.select(*EDGE_KEYS, "record_idx", "evidence_id", "at"))

@@ -6,17 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepweave.functions.text import canonical_label, hint_candidates, hypernym, normalize_space, step_id, type_hint
+from stepweave.operators import ordering
 
 
 def order_records(records: DataFrame, domains: DataFrame | None = None) -> DataFrame:
     """Records with record_idx (1 up), by domain in the order of the timestamp text, then of the input.
 
-    domains (domain_id, source_types) keeps the records of a domain's own source types.
+    domains (domain_id, source_types) keeps the records of a domain's own source types. Only the three keys are
+    sorted, by ranges; the records themselves wait in the folder of checkpoints and get their numbers by a join.
     """
     if domains is not None:
         records = records.join(domains, "domain_id").where(F.array_contains("source_types", F.col("source_type"))).drop("source_types")
-    order = Window.partitionBy("domain_id").orderBy("timestamp", "input_pos", "evidence_id")
-    return records.withColumn("record_idx", F.row_number().over(order))
+    numbered = ordering.ranked(records, ["domain_id"], ["timestamp", "input_pos", "evidence_id"], "record_idx")
+    return numbered.withColumn("record_idx", F.col("record_idx").cast("int"))
 
 
 def canonical(records: DataFrame) -> DataFrame:

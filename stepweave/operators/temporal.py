@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepweave.constants import FAR_FUTURE, LIFECYCLE_EVENTS
+from stepweave.operators import ordering
 from stepweave.session import ensure_checkpoint_dir
 
 
@@ -87,8 +88,7 @@ def graph_events(held: DataFrame, edges: DataFrame) -> DataFrame:
         "domain_id", F.col("head").alias("object_id"), F.coalesce("valid_from", F.lit("")).alias("timestamp"), F.lit(1).alias("part"), F.lit(0).alias("k"),
         F.struct(F.try_element_at(_events(), F.lower("label")).alias("event_type"), F.concat("head", F.lit(" --"), "label", F.lit("--> "), "tail").alias("description")).alias("e"),
     ).where("e.event_type IS NOT NULL")
-    order = Window.partitionBy("domain_id").orderBy("part", "timestamp", "object_id", "k", "e.description")
-    numbered = asserted.unionByName(of_edges).withColumn("n", F.row_number().over(order))
+    numbered = ordering.ranked(asserted.unionByName(of_edges), ["domain_id"], ["part", "timestamp", "object_id", "k", F.col("e.description")])
     number = F.when(F.col("n") < 10000, F.lpad(F.col("n").cast("string"), 4, "0")).otherwise(F.col("n").cast("string"))
     return numbered.select(F.concat("domain_id", F.lit("::lifecycle::"), number).alias("event_id"), "domain_id", "e.event_type", "object_id", "timestamp", "e.description")
 
@@ -114,8 +114,8 @@ def ingest(manifests: DataFrame, path: str) -> None:
     if held is not None:
         last = held.agg(F.coalesce(F.max("ingest_seq"), F.lit(0))).first()[0]
         manifests = manifests.join(held.select("snapshot_id"), "snapshot_id", "left_anti").select(*manifests.columns)
-    order = Window.partitionBy("domain_id").orderBy("record_idx")
-    manifests.withColumn("ingest_seq", F.lit(last) + F.row_number().over(order)).write.mode("append").parquet(path)
+    numbered = ordering.ranked(manifests, [], ["domain_id", "record_idx"], "ingest_seq")
+    numbered.withColumn("ingest_seq", F.lit(last) + F.col("ingest_seq")).write.mode("append").parquet(path)
 
 
 def _table(spark, path: str) -> DataFrame | None:

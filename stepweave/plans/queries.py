@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stepweave import constants as K
 from stepweave.functions import procedures
 from stepweave.functions import text as T
-from stepweave.operators import assembly, attachment, audits, evidence, extraction, graph, metrics, providers, records, routing, temporal
+from stepweave.operators import assembly, attachment, audits, evidence, extraction, graph, metrics, providers, records, routing, temporal, versions
 from stepweave.streaming.steps import windowed_counts
 
 QUERIES: dict = {}
@@ -263,6 +263,12 @@ def judged_relations(spark, sf_dir):
 
 @query(f"WITH {_JUDGED_SQL}, rows AS (SELECT head, label, tail, family, rec FROM judged WHERE reject_reason IS NULL UNION ALL SELECT label, 'is_a', type, 'is_a', first FROM nodes) SELECT 'd::edge::' || head || '::' || label || '::' || tail AS edge_id, arg_min(family, rec) AS family, count(*) AS mentions, min(rec) AS first_record_idx, array_to_string(list_sort(list(DISTINCT rec)), ',') AS provenance FROM rows GROUP BY head, label, tail")
 def assembled_edges(spark, sf_dir):
+    out = assembly.graph_edges(*_shown(spark, sf_dir))
+    return out.select("edge_id", "family", "mentions", "first_record_idx", F.array_join("provenance", ",").alias("provenance"))
+
+
+def _shown(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Judged relations as triples, and the anchored nodes."""
     judged, nodes = _judged(spark, sf_dir)
     none = F.lit(None).cast("string")
     shown = judged.select("*", F.col("label").alias("display_label"), none.alias("salience"), F.lit(True).alias("display_admitted"), none.alias("hidden"))
@@ -271,8 +277,29 @@ def assembled_edges(spark, sf_dir):
         "domain_id", "label", "parent_anchor", F.col("first_record_idx").cast("string").alias("evidence_id"), F.col("first_record_idx").alias("record_idx"), F.lit("").alias("timestamp"),
         F.struct(F.col("first_record_idx").alias("record_idx"), zero("origin"), zero("step_pos"), zero("pos")).alias("at"),
     )
-    out = assembly.graph_edges(shown, anchored)
-    return out.select("edge_id", "family", "mentions", "first_record_idx", F.array_join("provenance", ",").alias("provenance"))
+    return shown, anchored
+
+
+@query(
+    f"WITH {_JUDGED_SQL}, rows AS (SELECT head, label, tail, family, rec FROM judged WHERE reject_reason IS NULL UNION ALL SELECT label, 'is_a', type, 'is_a', first FROM nodes), per AS (SELECT head, label, tail, rec, count(*) AS m FROM rows GROUP BY ALL), "
+    "firsts AS (SELECT head, label, tail, arg_min(family, rec) AS family FROM rows GROUP BY ALL) SELECT 'd::edge::' || head || '::' || label || '::' || tail AS edge_id, family, CAST(row_number() OVER w AS BIGINT) AS version, rec AS from_idx, CAST(lead(rec) OVER w AS VARCHAR) AS to_idx, "
+    "CAST(rec AS VARCHAR) AS evidence_id, CAST(sum(m) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS mentions, CAST(row_number() OVER w AS BIGINT) AS evidence_count FROM per JOIN firsts USING (head, label, tail) WINDOW w AS (PARTITION BY head, label, tail ORDER BY rec)"
+)
+def versioned_edges(spark, sf_dir):
+    """Every edge in every interval of records in which it stood unchanged."""
+    rows = assembly.edge_observations(*_shown(spark, sf_dir))
+    held = versions.versions(rows, assembly.EDGE_KEYS)
+    out = versions.with_values(held, assembly.merged_edges(rows), assembly.EDGE_KEYS)
+    return out.select("edge_id", "family", "version", "from_idx", F.col("to_idx").cast("string").alias("to_idx"), "evidence_id", "mentions", "evidence_count")
+
+
+@query("SELECT event_id, event_type AS domain_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS INTEGER) AS record_idx, props AS raw_text FROM events")
+def record_order(spark, sf_dir):
+    """Events as records of the domain of their type, in order of time."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("domain_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"), F.col("event_id").alias("input_pos"), F.col("event_id").cast("string").alias("evidence_id"), "event_id", F.col("props").alias("raw_text"))
+    return evidence.order_records(e).select("event_id", "domain_id", "record_idx", "raw_text")
+
+
 
 
 @query(f"WITH {_JUDGED_SQL}, told AS (SELECT unnest([{{'property': 'status', 'value': CASE WHEN reject_reason IS NULL THEN 'accepted' WHEN reject_reason LIKE 'type_constraint:%' THEN 'rejected_type' ELSE 'rejected' END}}, {{'property': 'family', 'value': family}}, {{'property': 'graph_layer', 'value': 'semantic'}}, {{'property': 'reject_reason', 'value': reject_reason}}, {{'property': 'display_action', 'value': label}}]) AS p FROM judged) SELECT p.property AS property, p.value AS value, count(*) AS n FROM told WHERE p.value IS NOT NULL GROUP BY ALL")

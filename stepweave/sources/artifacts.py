@@ -8,13 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.operators import audits, graph
-from stepweave.operators.assembly import Graph
-from stepweave.operators.temporal import snapshot
+from stepweave.operators import audits, graph, versions
+from stepweave.operators.assembly import EDGE_KEYS, NODE_KEYS, Graph
 from stepweave.sources.writers import graphml, write_json_lines
 
 SUMMARIES = ("graph_summary", "construction_summary", "data_flow", "attachment_audit", "relation_audit", "node_distributions")
-STATE = ("nodes", "edges", "snapshots")
 
 
 def write_summary(df: DataFrame, path: str) -> None:
@@ -26,12 +24,12 @@ def summaries(made: Graph, units: DataFrame, judged: DataFrame) -> dict[str, Dat
     """All summaries of a run by name; units and judged as evidence.evidence_units() and audits.judged_candidates() give them."""
     domains = units.select("domain_id").unionByName(made.snapshots.select("domain_id")).distinct()
     return {
-        "graph_summary": audits.graph_summary(domains, made.nodes, made.edges, made.triples, made.snapshots),
-        "construction_summary": audits.construction_summary(domains, judged, made.nodes, made.edges, made.triples, made.snapshots),
-        "data_flow": audits.data_flow(domains, units, judged, made.nodes, made.edges, made.triples),
+        "graph_summary": audits.graph_summary(domains, made.node_rows, made.edge_rows, made.triples, made.snapshots),
+        "construction_summary": audits.construction_summary(domains, judged, made.node_rows, made.edge_rows, made.triples, made.snapshots),
+        "data_flow": audits.data_flow(domains, units, judged, made.node_rows, made.edge_rows, made.triples),
         "attachment_audit": audits.attachment_audit(judged),
         "relation_audit": graph.relation_audit(made.triples),
-        "node_distributions": audits.node_distributions(made.nodes),
+        "node_distributions": audits.node_distributions(made.node_rows),
     }
 
 
@@ -39,13 +37,14 @@ def export_run(made: Graph, units: DataFrame, judged: DataFrame, backbone: DataF
     """A run's folder: path/variant/{summaries, graph, graphml, backbone}.
 
     Nodes, edges, triples and snapshots are Parquet by domain, GraphML is a folder per domain; with
-    detailed the judged candidates, assertions and events are written too.
+    detailed the judged candidates, assertions and events are written too. Evidence stands in node_versions and
+    edge_versions, a row for each record that gave an object; only GraphML lists all of it in the object's own row.
     """
     root = f"{path}/{variant}"
     for name, df in summaries(made, units, judged).items():
         write_summary(df, f"{root}/summaries/{name}")
     write_summary(backbone, f"{root}/backbone")
-    tables = {"nodes": made.nodes, "edges": made.edges, "triples": made.triples, "snapshots": made.snapshots}
+    tables = {"nodes": made.node_rows, "edges": made.edge_rows, "triples": made.triples, "snapshots": made.snapshots, "node_versions": made.node_versions, "edge_versions": made.edge_versions}
     if detailed:
         tables |= {"candidates": judged, "assertions": made.assertions, "events": made.events}
     for name, df in tables.items():
@@ -55,15 +54,12 @@ def export_run(made: Graph, units: DataFrame, judged: DataFrame, backbone: DataF
 
 
 def load_snapshot(spark: SparkSession, path: str, variant: str, domain: str, snapshot_id: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges that a domain had after a snapshot; KeyError where there is none of that name.
-
-    Their provenance is that of the whole run; temporal.rollback() gives the records of the snapshot alone.
-    """
-    tables = {name: spark.read.parquet(f"{path}/{variant}/graph/{name}").where(F.col("domain_id") == domain) for name in STATE}
-    at = tables["snapshots"].where(F.col("snapshot_id") == snapshot_id).select("record_idx").first()
+    """Nodes and edges as a domain had them after a snapshot, with the values and the evidence known by then; KeyError where there is none of that name."""
+    table = lambda name: spark.read.parquet(f"{path}/{variant}/graph/{name}").where(F.col("domain_id") == domain)
+    at = table("snapshots").where(F.col("snapshot_id") == snapshot_id).select("record_idx").first()
     if at is None:
         raise KeyError(snapshot_id)
-    return snapshot(tables["nodes"], at["record_idx"]), snapshot(tables["edges"], at["record_idx"])
+    return versions.state(table("node_versions"), at["record_idx"], NODE_KEYS), versions.state(table("edge_versions"), at["record_idx"], EDGE_KEYS)
 
 
 def benchmark_summary(spark: SparkSession, path: str, variants: list[str]) -> DataFrame:

@@ -128,3 +128,62 @@ def test_audits(made, records):
     assert got["status", "accepted"] == made.triples.where("status = 'accepted'").count() and got["hidden_display", "workflow_asset_context"] == 1 and got["reject_reason", "structural_self_loop"] == 1
     unit = evidence.evidence_units(records).orderBy("locator").first()
     assert (unit["locator"], unit["text"]) == ("d/om/0", "a b")
+
+
+def test_state_after_every_record(spark, tmp_path):
+    """For every record, the versions give what assembling the records up to it gives: values, evidence and counts."""
+    from stepweave.operators import versions
+
+    kinds = [("pump", "Component"), ("seal", "Component"), ("leak", "Fault"), ("odor", "Signal"), ("Seal", "Component")]
+    told = []
+    for k in range(9):
+        own = [kinds[(k + j) % 5] for j in range(2 + k % 2)]
+        steps = [step(1, f"Inspect {own[0][0]}", "observe", own, [], [("inspects", own[0][0])], sequence_next="T2", structural_edges=[{"label": "contains", "head": "pump", "tail": "seal"}] if k % 3 == 1 else [])]
+        diagnosis = [{"evidence_label": "odor", "indicated_label": "leak", "mechanism": "propagation" if k == 7 else None}] if k > 2 else []
+        steps.append(step(2, "Confirm", "verify", [kinds[k % 5]], [], [], diagnostic_edges=diagnosis))
+        # Two records share an evidence id, and another domain runs beside.
+        told.append({"evidence_id": f"e{min(k, 7)}", "domain_id": "d" if k % 4 else "other", "source_type": "om", "timestamp": f"2024-01-0{9 - k}T00:00:00Z", "step_records": steps, "document_relation_mentions": [{"label": "indicates", "family": "communication", "head": "odor", "tail": "leak"}]})
+    (tmp_path / "r.json").write_text(json.dumps({"samples": told}))
+    records = evidence.order_records(evidence.canonical(read_evidence(spark, f"{tmp_path}/r.json"))).checkpoint()
+    decided = spark.createDataFrame([(d, label, True, anchor, None) for d in ("d", "other") for label, anchor in kinds], "domain_id string, label string, admit boolean, parent_anchor string, reject_reason string")
+    whole = assembly.assemble(records, decided)
+    most = records.agg({"record_idx": "max"}).first()[0]
+    assert most == 6
+    grown = set()
+    for idx in range(1, most + 1):
+        alone = assembly.assemble(records.where(f"record_idx <= {idx}"), decided)
+        nodes, edges = whole.as_of(idx)
+        for got, want, columns in ((nodes, alone.nodes, alone.nodes.columns), (edges, alone.edges, alone.edges.columns)):
+            rows = lambda df, columns=columns: sorted(map(repr, df.select(*columns).collect()))
+            assert rows(got) == rows(want)
+        grown |= {(r["edge_id"], r["mechanism"], r["mentions"], len(r["provenance"])) for r in edges.collect()}
+    assert {m for e, m, *_ in grown if e == "d::edge::odor::indicates::leak"} and max(g[3] for g in grown) > 1
+    counts = whole.as_of(most)[0].select("label", "mentions", "evidence_count", "provenance").collect()
+    assert all(r["evidence_count"] == len(r["provenance"]) <= max(r["mentions"], 1) for r in counts)
+    assert whole.edge_versions.groupBy(*assembly.EDGE_KEYS, "from_idx").count().where("count > 1").isEmpty() and versions.state(whole.edge_versions, 0, assembly.EDGE_KEYS).isEmpty()
+
+
+def test_numbers_and_sums(spark):
+    """Row numbers and running sums equal a window's, with nulls, ties, empty tables and a group of most rows."""
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from stepweave.operators.ordering import ranked
+
+    r = random.Random(4)
+    rows = [(None if k % 10 == 0 else "big" if k % 10 < 7 else f"g{k % 50}", None if k % 9 == 0 else r.randrange(200), k, r.choice([None, 0, 1, 5])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, t int, k int, v int").repartition(7)
+    w = Window.partitionBy("g").orderBy(F.col("t").asc_nulls_first(), "k")
+    want = df.select("*", F.row_number().over(w).cast("long").alias("n"), F.coalesce(F.sum(F.coalesce("v", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("s"))
+    for n in (1, 3, 16):
+        got = ranked(df, ["g"], ["t", "k"], "n", {"s": F.col("v")}, ranges=n)
+        assert got.columns == [*df.columns, "n", "s"] and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    everything = ranked(df, [], [F.col("k") % 7, "k"], ranges=5).orderBy("n").collect()
+    assert [x["n"] for x in everything] == list(range(1, 3001)) and [x["k"] for x in everything] == sorted(range(3000), key=lambda k: (k % 7, k))
+    assert ranked(df.limit(0), ["g"], ["t"], "n", {"s": F.col("v")}).count() == 0
+    tied = ranked(df, ["g"], [F.lit(1)], "n", {"s": F.lit(1)}, ranges=6)
+    assert tied.where("n <> s").isEmpty() and tied.groupBy("g").agg((F.max("n") == F.count("*")).alias("x"), (F.count_distinct("n") == F.count("*")).alias("y")).where("NOT (x AND y)").isEmpty()
+    plan = ranked(df, ["g"], ["t", "k"])._jdf.queryExecution().toString()
+    assert "Window" not in plan
