@@ -2,7 +2,7 @@
 
 Every document is measured, and the failures of each rule are summed by host. For each rule an
 empirical beta prior is fitted to the hosts' rates (method of moments, less the variance that drawing
-documents alone gives), every host's rate is shrunk towards it, and a host fails the rule where its
+documents alone gives; hosts of two documents or more), every host's rate is shrunk towards it, and a host fails the rule where its
 shrunk rate lies over the prior's mean by SPREADS of the prior's standard deviation. The verdicts are
 joined back: a document of a host that fails a rule is rejected if it fails that rule itself, so at
 such hosts rules bind that elsewhere only count. Where hosts do not differ by more than chance, or
@@ -89,6 +89,22 @@ def failures(rules: dict[str, str] = RULES) -> list[Column]:
     return [F.expr(rule).alias(f"_q_fails_{name}") for name, rule in rules.items()]
 
 
+def beta_priors(hosts: DataFrame, rules: dict[str, str] = RULES) -> dict[str, tuple[float, float]]:
+    """The mean and the variance, without that of drawing documents, of the hosts' rates of each rule; hosts: host_docs, failed_<rule>.
+
+    Hosts of two documents or more are fitted. Drawing n documents at a rate p adds p(1-p)/n to the variance of rates, whose mean over
+    hosts is (m(1-m) - s2) d with d the mean of 1/n: so s2 = (var - m(1-m) d) / (1 - d). Where there is no such host, both are 0.
+    """
+    rate = {r: F.col(f"failed_{r}") / F.col("host_docs") for r in rules}
+    moments = [f(rate[r]).alias(f"{name}_{r}") for r in rules for name, f in (("mean", F.avg), ("var", F.var_pop))]
+    found = hosts.where("host_docs >= 2").agg(F.avg(1 / F.col("host_docs")).alias("drawn"), *moments).first()
+    drawn, out = found["drawn"] or 0.0, {}
+    for r in rules:
+        mean, var = found[f"mean_{r}"] or 0.0, found[f"var_{r}"] or 0.0
+        out[r] = mean, (var - mean * (1 - mean) * drawn) / (1 - drawn)
+    return out
+
+
 def judge_hosts(flagged: DataFrame, host: str, rules: dict[str, str] = RULES, spreads: float = SPREADS) -> DataFrame:
     """_q_host, host_docs, and for each rule its shrunk rate and whether the host fails it: rate_<rule>, host_fails_<rule>.
 
@@ -98,12 +114,8 @@ def judge_hosts(flagged: DataFrame, host: str, rules: dict[str, str] = RULES, sp
     summed = [F.sum(F.col(f"_q_fails_{r}").cast("long")).alias(f"failed_{r}") for r in rules]
     hosts = flagged.groupBy(F.col(host).alias("_q_host")).agg(F.count("*").alias("host_docs"), *summed)
     rate = {r: F.col(f"failed_{r}") / F.col("host_docs") for r in rules}
-    moments = [f(rate[r]).alias(f"{name}_{r}") for r in rules for name, f in (("mean", F.avg), ("var", F.var_pop))]
-    prior = hosts.agg(F.avg(1 / F.col("host_docs")).alias("drawn"), *moments).first()
     out = hosts.select("_q_host", "host_docs", *(f"failed_{r}" for r in rules))
-    for r in rules:
-        mean, var = prior[f"mean_{r}"] or 0.0, prior[f"var_{r}"] or 0.0
-        own = var - mean * (1 - mean) * (prior["drawn"] or 0.0)
+    for r, (mean, own) in beta_priors(hosts, rules).items():
         mass = mean * (1 - mean) / own - 1 if own > 0 else 0.0
         if own <= 0 or mass <= 0:
             # Hosts differ by chance only, or so much that a host's own rate says all.
@@ -171,7 +183,7 @@ measured AS (
 
 
 def _prior_sql(r: str) -> str:
-    return f"avg(f_{r} / n) AS m_{r}, var_pop(f_{r} / n) - avg(f_{r} / n) * (1 - avg(f_{r} / n)) * avg(1 / n) AS s_{r}"
+    return f"coalesce(avg(f_{r} / n), 0) AS m_{r}, coalesce((var_pop(f_{r} / n) - avg(f_{r} / n) * (1 - avg(f_{r} / n)) * avg(1 / n)) / (1 - avg(1 / n)), 0) AS s_{r}"
 
 
 def _verdict_sql(r: str) -> str:
@@ -188,7 +200,7 @@ VERDICTS_SQL = (
     + ", ".join(f"count(*) FILTER (d_{r}) AS f_{r}" for r in RULES)
     + " FROM flagged GROUP BY source), prior AS (SELECT "
     + ", ".join(map(_prior_sql, RULES))
-    + " FROM hosts), verdicts AS (SELECT source, "
+    + " FROM hosts WHERE n >= 2), verdicts AS (SELECT source, "
     + ", ".join(map(_verdict_sql, RULES))
     + " FROM hosts, prior), judged AS (SELECT flagged.*, "
     + " OR ".join(f"(h_{r} AND d_{r})" for r in RULES)
