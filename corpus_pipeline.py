@@ -1,7 +1,7 @@
 """Five stages from raw documents to a weighted mix; each is written as Parquet and read by the next.
 
-Repeated rows of one id and text stay or go together; rows without an id are judged like others,
-but of near-duplicate ones those with an id stay. Empty tables give empty tables. Columns besides
+Repeated rows of one id and text stay or go together; rows without an id are judged one by one like others,
+but of near-duplicate ones those with an id stay, the smallest first, and else one of them. Empty tables give empty tables. Columns besides
 doc_id, text, source and n_chars may have any name.
 """
 
@@ -52,10 +52,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each group of near-duplicates."""
-    name = shared.free_name(docs, "kept_id")
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+    """One document, of the smallest id, of each group of near-duplicates.
+
+    Every id stands for itself, and each row without one gets a key of its own, above all ids, so that no such
+    row decides on others. Only those rows are written for this.
+    """
+    key = shared.free_name(docs, "near_key")
+    top = docs.agg(F.max("doc_id")).first()[0]
+    own = F.monotonically_increasing_id() + F.lit(0 if top is None else top + 1)
+    without = shared.materialize(docs.where("doc_id IS NULL").withColumn(key, own), "without_id")
+    keyed = docs.where("doc_id IS NOT NULL").withColumn(key, F.col("doc_id").cast("long")).unionByName(without)
+    kept = near_duplicates(keyed, key).where("kept").select(F.col(key).alias(f"{key}_kept")).distinct()
+    return keyed.join(kept, F.col(key) == F.col(f"{key}_kept"), "left_semi").drop(key)
 
 
 @_stage

@@ -277,3 +277,49 @@ def test_audit_visits_each_set_once(spark, monkeypatch):
     assert made == ["edges"] * 7 and len(edges) == 2 * 12
     assert all(r["removed"] * 2 == r["survivors"] == 8 // 2 ** len(r["state"]) for r in edges)
     assert not spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+
+
+# --- mended in this round
+
+
+def test_rows_without_an_id_decide_for_themselves(spark):
+    """Near-duplicates without ids go but for one, and not because of other rows without ids."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(8)
+    a, b = (" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(120)) for _ in range(2))
+    rows = [(1, a), (None, a), (None, b), (None, a + " more"), (None, b)]
+
+    def kept(own):
+        docs = spark.createDataFrame([(d, t, "x", 9) for d, t in own], "doc_id long, text string, source string, near_key int")
+        out = pipeline.near_dedup(spark, docs, "")
+        assert out.columns == docs.columns
+        return sorted((x["doc_id"] or 0, x["text"]) for x in out.collect())
+
+    assert kept(rows[:2]) == [(1, a)]
+    assert kept(rows[:3]) == sorted([(1, a), (0, b)])
+    assert kept(rows) == sorted([(1, a), (0, b)])
+    assert kept(rows[2:]) == sorted([(0, b), *[x for x in kept(rows[2:]) if x[1] != b]]) and len(kept(rows[2:])) == 2
+    assert kept(rows + rows) == sorted([(1, a), (1, a), (0, b)])
+
+
+def test_prior_of_small_hosts(spark, tmp_path):
+    """Hosts of one to five documents, with rates of known beta distributions: mean and mass are found again, and the SQL judges alike."""
+    from stepweave.llm.op2_quality import ORACLE, beta_priors, op2_quality_rules
+
+    r = np.random.default_rng(2)
+    rows = []
+    for alpha, beta in ((2, 8), (1, 3)):
+        sizes = r.choice([1, 1, 1, 2, 3, 5], 30_000)
+        rows.append(list(zip(sizes.tolist(), r.binomial(sizes, r.beta(alpha, beta, len(sizes))).tolist(), strict=True)))
+    for made, mean, mass in zip(rows, (0.2, 0.25), (10, 4), strict=True):
+        hosts = spark.createDataFrame(made, "host_docs long, failed_x long")
+        got, own = beta_priors(hosts, {"x": ""})["x"]
+        assert abs(got - mean) < 0.01 and 0.7 * mass < got * (1 - got) / own - 1 < 1.3 * mass
+    assert beta_priors(spark.createDataFrame([(1, 1), (1, 0)], "host_docs long, failed_x long"), {"x": ""}) == {"x": (0.0, 0.0)}
+    plain = " ".join(f"w{k} and{k} thus{k}" for k in range(30))
+    docs = [(k, plain + (" #$%" * 12 if h < 3 or (k * 7919) % 23 == 0 else ""), "aa", f"h{h}", 1) for k, h in enumerate(r.integers(0, 60, 240).tolist())] + [(1000 + k, plain + " #" * 40, "aa", f"single{k}", 1) for k in range(5)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x["kept"] for x in op2_quality_rules(spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(c.sql(f"select doc_id, kept from ({ORACLE})").fetchall()) and not all(got.values()) and any(got.values())
