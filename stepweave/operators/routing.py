@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepweave.constants import BASE_ANCHORS, FAMILY_WEIGHTS
-from stepweave.functions.vectors import cosine
+from stepweave.operators import vector_search
 
 MOST_ANCHORS = 1000
 
@@ -21,14 +25,12 @@ def few(anchors: DataFrame, most: int = MOST_ANCHORS) -> DataFrame:
 def rank_anchors(candidates: DataFrame, anchors: DataFrame, top: int = 3, digits: int = 5) -> DataFrame:
     """candidate_id, anchor, score, rank: the `top` most similar anchors of each candidate; ties in the anchors' order.
 
-    candidates (candidate_id, vector) are scored against every anchor (anchor, position, anchor_vector)
-    as they stream by; the anchors are few and travel to them, so the candidates are never shuffled.
+    candidates (candidate_id, vector) stream by the anchors (anchor, position, anchor_vector), which travel in blocks
+    of bounded size, however many there are; scores are rounded when they are ranked.
     """
-    listed = few(anchors).agg(F.sort_array(F.collect_list(F.struct("position", "anchor", "anchor_vector"))).alias("all"))
-    scored = candidates.join(F.broadcast(listed))
-    best = F.transform("all", lambda a: F.struct((-F.round(cosine(F.col("vector"), a["anchor_vector"]), digits)).alias("s"), a["position"].alias("p"), a["anchor"].alias("anchor")))
-    flat = scored.select("candidate_id", F.posexplode(F.slice(F.sort_array(best), 1, top)).alias("pos", "x"))
-    return flat.select("candidate_id", F.col("x.anchor").alias("anchor"), (-F.col("x.s")).alias("score"), (F.col("pos") + 1).alias("rank"))
+    found = vector_search.nearest_of_few(candidates, "candidate_id", "vector", vector_search.sound(anchors, "position", "anchor_vector"), top)
+    named = found.join(anchors.select(F.col("position").cast("long").alias("id"), "anchor"), "id")
+    return named.select("candidate_id", "anchor", F.round("score", digits).alias("score"), "rank")
 
 
 def relation_bonus(anchor: Column, families: Column) -> Column:
@@ -78,23 +80,48 @@ def empty_rankings(candidates: DataFrame) -> DataFrame:
     return candidates.limit(0).select("candidate_id", F.lit("").alias("anchor"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
 
 
+def _similarities(held):
+    """For each candidate, 0.75 of the greatest cosine to each anchor's prototypes and 0.25 of their mean, in the anchors' order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prototypes = [vector_search.unit(np.array(p, np.float64).reshape(len(p), -1)) for p in held.value]
+        for batch in batches:
+            near = np.zeros((batch.num_rows, len(prototypes)))
+            for rows, vectors in vector_search.matrices(batch.column(batch.num_columns - 1).fill_null([])):
+                for k, p in enumerate(prototypes):
+                    if vectors.shape[1] == p.shape[1]:
+                        cosines = vectors @ p.T
+                        near[rows, k] = 0.75 * cosines.max(1) + 0.25 * cosines.mean(1)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), len(prototypes)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], flat], names=[*batch.schema.names[:-1], "near"])
+
+    return run
+
+
 def rerank_anchors(candidates: DataFrame, anchors: DataFrame, top: int = 3, digits: int = 5) -> DataFrame:
     """candidate_id, anchor, score, rank: 0.75 of the best prototype's similarity, 0.25 of their mean, and what context adds.
 
     candidates: candidate_id, vector, hint, hint_candidates, hypernym, families; anchors: anchor, position and
-    prototypes (vectors). The anchors travel to the candidates, which are not shuffled; ties go by position.
+    prototypes (vectors), a fixed vocabulary. The anchors travel to the candidates, which are not shuffled; ties go by position, and
+    scores are rounded when they are ranked. A candidate without a vector has similarity 0 to all.
     """
-    listed = few(anchors).agg(F.sort_array(F.collect_list(F.struct("position", "anchor", "prototypes"))).alias("all"))
-    scored = candidates.join(F.broadcast(listed))
-
-    def score(a: Column) -> Column:
-        near = F.transform(a["prototypes"], lambda p: cosine(F.col("vector"), p))
-        mean = F.aggregate(near, F.lit(0.0), lambda t, x: t + x) / F.size(near)
-        more = rerank_adjustment(a["anchor"], F.col("hint"), F.col("hint_candidates"), F.col("hypernym"), F.col("families"))
-        return F.struct((-F.round(0.75 * F.array_max(near) + 0.25 * mean + more, digits)).alias("s"), a["position"].alias("p"), a["anchor"].alias("anchor"))
-
-    flat = scored.select("candidate_id", F.posexplode(F.slice(F.sort_array(F.transform("all", score)), 1, top)).alias("pos", "x"))
-    return flat.select("candidate_id", F.col("x.anchor").alias("anchor"), (-F.col("x.s")).alias("score"), (F.col("pos") + 1).alias("rank"))
+    few(anchors)
+    known = anchors.select("anchor", "position", F.transform("prototypes", lambda p: p.cast("array<double>")).alias("prototypes")).orderBy("position").collect()
+    if not known:
+        return empty_rankings(candidates)
+    held = candidates.sparkSession.sparkContext.broadcast([r["prototypes"] for r in known])
+    kept = ("candidate_id", "hint", "hint_candidates", "hypernym", "families")
+    asking = candidates.select(*kept, F.col("vector").cast("array<double>").alias("vector"))
+    kinds = ", ".join(f"{c} {asking.schema[c].dataType.simpleString()}" for c in kept)
+    near = asking.mapInArrow(_similarities(held), f"{kinds}, near array<double>")
+
+    def score(name: str, k: int) -> Column:
+        more = rerank_adjustment(F.lit(name), F.col("hint"), F.col("hint_candidates"), F.col("hypernym"), F.col("families"))
+        return F.struct((-F.round(F.get("near", F.lit(k)) + more, vector_search.DIGITS)).alias("s"), F.lit(k).alias("p"), F.lit(name).alias("anchor"))
+
+    every = F.array(*(score(r["anchor"], k) for k, r in enumerate(known)))
+    flat = near.select("candidate_id", F.posexplode(F.slice(F.sort_array(every), 1, top)).alias("pos", "x"))
+    return flat.select("candidate_id", F.col("x.anchor").alias("anchor"), F.round(-F.col("x.s"), digits).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
 def rank_by_prototypes(scores: DataFrame, top: int = 3, digits: int = 5) -> DataFrame:

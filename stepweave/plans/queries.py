@@ -7,13 +7,16 @@ regions to suppliers for structural edges, embeddings for candidates and anchors
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepweave import constants as K
 from stepweave.functions import procedures
 from stepweave.functions import text as T
-from stepweave.operators import assembly, attachment, audits, evidence, extraction, graph, metrics, providers, records, routing, temporal, versions
+from stepweave.operators import assembly, attachment, audits, evidence, extraction, graph, metrics, providers, records, routing, temporal, vector_search, versions
+from stepweave.session import ensure_checkpoint_dir
 from stepweave.streaming.steps import windowed_counts
 
 QUERIES: dict = {}
@@ -120,6 +123,29 @@ def anchor_topk(spark, sf_dir):
     return routing.rank_anchors(e.select(F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("vector")), _anchors(e))
 
 
+@query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.e, v.e) AS score FROM v AS q, v WHERE q.vec_id % 50 = 0) SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10")
+def nearest_vectors(spark, sf_dir):
+    """The ten nearest of all vectors for those whose id is divisible by 50."""
+    e = table(spark, sf_dir, "embeddings")
+    found = vector_search.nearest(e.where("vec_id % 50 = 0"), e, 10, "vec_id", "embedding")
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def indexed_vectors(spark, sf_dir):
+    """The same through an inverted file, with as many probes as a sample of the queries needs for a recall of 0.95."""
+    ensure_checkpoint_dir(spark)
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.where("vec_id % 50 = 0")
+    index = vector_search.build(e, f"{spark.sparkContext.getCheckpointDir()}/inverted-file-{uuid.uuid4().hex}", None, "vec_id", "embedding")
+    probes = vector_search.probes_for(index, queries, 10, 0.95, id_col="vec_id", vector="embedding")
+    found = vector_search.search(index, queries, 10, probes, "vec_id", "embedding")
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+#: An inverted file's lists depend on its fit: no SQL; its recall is tested.
+QUERIES["indexed_vectors"] = indexed_vectors
+
+
 _RERANK_SQL = "p AS (SELECT label, embedding AS av FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k <= 3), s AS (SELECT vec_id AS candidate_id, p.label AS anchor, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(av AS DOUBLE[])) AS c, CASE WHEN e.label = p.label THEN 0.2 ELSE 0 END AS adj FROM embeddings e, p), j AS (SELECT candidate_id, anchor, round(0.75 * max(c) + 0.25 * avg(c) + first(adj), 5) AS score FROM s GROUP BY ALL)"
 
 
