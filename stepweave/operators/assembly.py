@@ -139,7 +139,7 @@ def step_supports(records: DataFrame) -> DataFrame:
     return named.where("label <> '' AND step_id <> ''").groupBy("domain_id", "evidence_id", "label").agg(F.sort_array(F.collect_set("step_id")).alias("steps"))
 
 
-def graph_nodes(records: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def graph_nodes(records: DataFrame, decisions: DataFrame, anchors: tuple[str, ...] = K.ANCHORS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All nodes; the rows (domain_id, label, parent_anchor, evidence_id, at) of admitted concepts that are not of the backbone; and those that give nodes.
 
     Of a node that several mentions or steps give, the first one's wording holds.
@@ -148,7 +148,7 @@ def graph_nodes(records: DataFrame, decisions: DataFrame) -> tuple[DataFrame, Da
     m = evidence.mentions(records).where("NOT (origin = 1 AND pos = 0)")
     admitted = decisions.where("admit").select("domain_id", "label", F.col("parent_anchor").alias("anchor"))
     m = m.join(admitted, ["domain_id", "label"]).withColumn("at", at)
-    own = ~F.col("label").isin(*K.ANCHORS)
+    own = ~F.col("label").isin(*anchors)
     seen = m.groupBy("domain_id", "label").agg(
         F.min_by(F.coalesce(F.when(F.col("surface_form") != "", F.col("surface_form")), F.col("label")), "at").alias("surface_form"),
         F.min_by("hypernym", "at").alias("shared_hypernym"), F.min_by("timestamp", "at").alias("valid_from"), F.min("record_idx").alias("first_record_idx"),
@@ -160,7 +160,7 @@ def graph_nodes(records: DataFrame, decisions: DataFrame) -> tuple[DataFrame, Da
         "domain_id", "label", name("label"), F.col("label").alias("display_label"), F.lit("adapter_concept").alias("node_type"), F.lit("semantic").alias("layer"), "parent_anchor", "surface_form",
         none().alias("step_id"), none("int").alias("order_index"), none().alias("step_phase"), "shared_hypernym", "valid_from", "first_record_idx", none().alias("step_action"),
     )
-    backbone = graph.backbone_nodes(records.select("domain_id").distinct())
+    backbone = graph.backbone_nodes(records.select("domain_id").distinct(), anchors)
     backbone = backbone.select(
         "domain_id", "label", "node_id", F.col("label").alias("display_label"), F.lit("backbone_concept").alias("node_type"), "layer", none().alias("parent_anchor"), F.col("label").alias("surface_form"),
         none().alias("step_id"), none("int").alias("order_index"), none().alias("step_phase"), none().alias("shared_hypernym"),
@@ -246,18 +246,19 @@ def snapshot_manifests(records: DataFrame, nodes: DataFrame, edges: DataFrame, t
     )
 
 
-def assemble(records: DataFrame, decisions: DataFrame) -> Graph:
+def assemble(records: DataFrame, decisions: DataFrame, anchors: tuple[str, ...] = K.ANCHORS, families: tuple[str, ...] = tuple(K.TYPE_CONSTRAINTS), rules: DataFrame | None = None) -> Graph:
     """The graph of records (in order, labels canonical: evidence.canonical, evidence.order_records) under decisions.
 
-    decisions: domain_id, label, admit, parent_anchor, reject_reason, one per label. To see the graph
+    decisions: domain_id, label, admit, parent_anchor, reject_reason, one per label. anchors: the backbone's labels, nodes
+    of every domain; families and rules as graph.judge_relations() takes them. To see the graph
     as it was after a record, give the records up to it. Nodes, triples and edges are read several
     times, so they are checkpointed in the session's shared folder.
     """
     ensure_checkpoint_dir(records.sparkSession)
-    nodes, anchored, observed = graph_nodes(records, decisions)
+    nodes, anchored, observed = graph_nodes(records, decisions, anchors)
     nodes = nodes.checkpoint()
     typed = nodes.select("domain_id", "label", "layer", semantic_type(nodes).alias("parent_anchor"), "first_record_idx", "step_action")
-    judged = graph.judge_relations(relation_stream(records), typed, step_supports(records), decisions)
+    judged = graph.judge_relations(relation_stream(records), typed, step_supports(records), decisions, families, rules)
     shown = display.relation_display(*(F.col(c) for c in ("status", "workflow_kind", "family", "label", "head_action", "tail", "tail_type")))
     judged = judged.withColumn("shown", shown)
     triples = judged.select(

@@ -22,10 +22,10 @@ def preferred_anchor(hint: Column, hypernym: Column, text: Column) -> Column:
     return F.coalesce(hint, hypernym, anchor_by_words(text))
 
 
-def propose(candidates: DataFrame) -> DataFrame:
+def propose(candidates: DataFrame, backbone: tuple[str, ...] = K.ANCHORS) -> DataFrame:
     """A proposal for each candidate without any model: reuse the backbone, specialize an anchor, or reject."""
     anchor = preferred_anchor(F.col("hint"), F.col("hypernym"), F.concat_ws(" ", "label", "description"))
-    known = F.col("label").isin(*K.ANCHORS)
+    known = F.col("label").isin(*backbone)
     return candidates.select(
         "*",
         F.when(known, "reuse_backbone").when(anchor.isNotNull(), "vertical_specialize").otherwise("reject").alias("route"),
@@ -35,27 +35,30 @@ def propose(candidates: DataFrame) -> DataFrame:
     )
 
 
-def decide(proposals: DataFrame, routes: tuple[str, ...] = ("reuse_backbone", "vertical_specialize", "reject"), free_growth: bool = False) -> DataFrame:
-    """The rules' verdict on proposals, first match wins: route, parent_anchor, admit, reject_reason, confidence."""
+def decide(proposals: DataFrame, routes: tuple[str, ...] = ("reuse_backbone", "vertical_specialize", "reject"), free_growth: bool = False, backbone: tuple[str, ...] = K.ANCHORS) -> DataFrame:
+    """The rules' verdict on proposals, first match wins: route, parent_anchor, admit, reject_reason, confidence.
+
+    backbone: the labels that are nodes from the start and that others may specialize, curated ones included.
+    """
     label, parent = F.col("label"), F.trim(F.coalesce("parent_anchor", F.lit("")))
-    backbone = label.isin(*K.ANCHORS)
+    own = label.isin(*backbone)
     special = F.col("route") == "vertical_specialize"
     reason = (
-        F.when(backbone, None)
+        F.when(own, None)
         .when(~F.col("route").isin(*routes), "route_not_allowed")
         .when(looks_like_person(label, F.col("description")), "person_name")
         .when(looks_like_document(label, F.col("description")), "document_title")
         .when(F.trim(label).rlike(K.PLACEHOLDER), "low_graph_value")
         .when(F.col("route") == "reuse_backbone", "backbone_label_mismatch")
         .when(special & (parent == "") & F.lit(not free_growth), "invalid_backbone_parent")
-        .when(special & (parent != "") & ~parent.isin(*K.ANCHORS), "invalid_backbone_parent")
+        .when(special & (parent != "") & ~parent.isin(*backbone), "invalid_backbone_parent")
         .when(special, None)
         .when(F.col("route") == "reject", F.coalesce("reject_reason", F.lit("low_graph_value")))
         .otherwise("route_not_allowed")
     )
     out = proposals.withColumn("reject_reason", reason)
     admit = F.col("reject_reason").isNull()
-    return out.withColumn("route", F.when(backbone, "reuse_backbone").when(admit, F.col("route")).otherwise("reject")).withColumn("parent_anchor", F.when(admit & ~backbone & (parent != ""), parent)).withColumn("admit", admit).withColumn("confidence", F.when(backbone, 1.0).otherwise(F.col("confidence")))
+    return out.withColumn("route", F.when(own, "reuse_backbone").when(admit, F.col("route")).otherwise("reject")).withColumn("parent_anchor", F.when(admit & ~own & (parent != ""), parent)).withColumn("admit", admit).withColumn("confidence", F.when(own, 1.0).otherwise(F.col("confidence")))
 
 
 def admitted_schema(decisions: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepweave import constants as K
@@ -128,7 +128,7 @@ def document_counts(documents: DataFrame) -> DataFrame:
 
 
 def build_backbone(supplements: DataFrame, seeds: dict[str, str] | None = None) -> DataFrame:
-    """label, description, origin (seed or curated), domain_id, pos: the seed concepts, then each new label of the supplements once.
+    """label, description, origin (seed or curated), domain_id, pos, place (in all, from 0): the seed concepts, then each new label of the supplements once.
 
     supplements: domain_pos, domain_id, pos, label, description. Of a label that several domains give, the first one's description holds.
     """
@@ -137,6 +137,8 @@ def build_backbone(supplements: DataFrame, seeds: dict[str, str] | None = None)
     schema = "label string, description string, origin string, domain_id string, pos int"
     first = spark.createDataFrame([(name, text, "seed", None, n) for n, (name, text) in enumerate(own.items())], schema)
     place = F.struct("domain_pos", "pos")
-    told = supplements.groupBy("label").agg(F.min_by(F.struct("description", "domain_id", "pos"), place).alias("s"))
-    told = told.select("label", "s.description", F.lit("curated").alias("origin"), "s.domain_id", F.col("s.pos").cast("int").alias("pos"))
-    return first.unionByName(told.join(first.select("label"), "label", "left_anti").select(first.columns))
+    told = supplements.groupBy("label").agg(F.min_by(F.struct("description", "domain_id", "pos", "domain_pos"), place).alias("s"))
+    told = told.select("label", "s.description", F.lit("curated").alias("origin"), "s.domain_id", F.col("s.pos").cast("int").alias("pos"), F.col("s.domain_pos").alias("_d"))
+    both = first.withColumn("_d", F.lit(-1)).unionByName(told.join(first.select("label"), "label", "left_anti").select(*first.columns, "_d"))
+    # A row a concept of the settings' files.
+    return both.withColumn("place", F.row_number().over(Window.orderBy("_d", "pos")) - 1).drop("_d")

@@ -39,13 +39,13 @@ def _ready(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("_families", F.array_distinct(F.coalesce("families", F.array().cast("array<string>"))))
 
 
-def top1_decisions(candidates: DataFrame, free_growth: bool = False, least: float = 0.0) -> DataFrame:
+def top1_decisions(candidates: DataFrame, free_growth: bool = False, least: float = 0.0, backbone: tuple[str, ...] = K.ANCHORS) -> DataFrame:
     """candidates with route, parent_anchor, confidence, justification, reject_reason: by the best anchor, else the hint.
 
     least raises the confidence of specializations; 0.6 gives the deterministic strategy.
     """
     out = _ready(candidates).withColumn("_best", F.when(F.col("top_anchor").isNotNull() | usable_hint().isNotNull(), fitted(F.col("top_anchor")))).withColumn("_hinted", fitted(F.lit(None).cast("string")))
-    known, parent = F.col("label").isin(*K.ANCHORS), F.coalesce("_best", "_hinted")
+    known, parent = F.col("label").isin(*backbone), F.coalesce("_best", "_hinted")
     kept = parent.isNotNull() | F.lit(free_growth)
     sure = F.when(F.col("_best").isNotNull(), 0.55).when(F.col("_hinted").isNotNull(), 0.5).otherwise(0.25)
     why = F.when(F.col("_best").isNotNull(), "embedding top-1 anchor").when(F.col("_hinted").isNotNull(), "preprocessing semantic type hint").otherwise("no anchor available")
@@ -59,20 +59,20 @@ def top1_decisions(candidates: DataFrame, free_growth: bool = False, least: floa
     )
 
 
-def priors(candidates: DataFrame) -> DataFrame:
+def priors(candidates: DataFrame, backbone: tuple[str, ...] = K.ANCHORS) -> DataFrame:
     """What a model is told of each candidate: the anchors found, the route they speak for and how strongly."""
     out = _ready(candidates).withColumn("retrieved", fitted(F.col("top_anchor"))).withColumn("hinted", fitted(F.lit(None).cast("string"))).withColumn("recommended_anchor", F.coalesce("retrieved", "hinted"))
     agree = F.coalesce(F.col("retrieved") == F.col("hinted"), F.lit(False))
     found = F.col("recommended_anchor").isNotNull()
     return out.select(
         *candidates.columns, "retrieved", "hinted", "recommended_anchor",
-        F.when(F.col("label").isin(*K.ANCHORS), "reuse_backbone").when(found, "vertical_specialize").otherwise("reject").alias("recommended_route"),
+        F.when(F.col("label").isin(*backbone), "reuse_backbone").when(found, "vertical_specialize").otherwise("reject").alias("recommended_route"),
         agree.alias("agreement"),
         F.when(agree | F.coalesce(F.col("top_anchor") == usable_hint(), F.lit(False)), "high").when(found, "medium").otherwise("low").alias("strength"),
     )
 
 
-def complete(candidates: DataFrame, decided: DataFrame) -> DataFrame:
+def complete(candidates: DataFrame, decided: DataFrame, backbone: tuple[str, ...] = K.ANCHORS) -> DataFrame:
     """A decision for each candidate: a model's (candidate_id, route, parent_anchor, reject_reason, confidence), or a rejection where it gave none.
 
     Decisions on unknown ids are dropped. Reuse of the backbone by a label that is not in it becomes
@@ -80,8 +80,8 @@ def complete(candidates: DataFrame, decided: DataFrame) -> DataFrame:
     """
     given = decided.select("candidate_id", "route", "parent_anchor", "reject_reason", "confidence", F.lit(True).alias("_given")).dropDuplicates(["candidate_id"])
     both = _ready(candidates).join(given, "candidate_id", "left")
-    own = F.when(F.col("parent_anchor").isin(*K.ANCHORS), F.col("parent_anchor"))
-    wrong = (F.col("route") == "reuse_backbone") & ~F.col("label").isin(*K.ANCHORS)
+    own = F.when(F.col("parent_anchor").isin(*backbone), F.col("parent_anchor"))
+    wrong = (F.col("route") == "reuse_backbone") & ~F.col("label").isin(*backbone)
     both = both.withColumn("_anchor", F.when(wrong, F.coalesce(fitted(own), fitted(F.col("top_anchor")), fitted(F.lit(None).cast("string"))))).withColumn("_wrong", F.coalesce(wrong, F.lit(False)))
     lost = F.col("_wrong") & F.col("_anchor").isNull()
     return both.select(

@@ -50,6 +50,41 @@ def type_reason(family: Column, head_type: Column, tail_type: Column) -> Column:
     return out
 
 
+#: Rules travel with each task's relations up to so many; beyond, they are joined by a shuffle.
+MOST_RULES = 100_000
+
+
+def constraint_rules(spark, rules: dict[str | None, dict[str, tuple[tuple[str, ...], tuple[str, ...]]]]) -> DataFrame:
+    """domain_id (null: every domain that has none of its own), family, head_types, tail_types from rules of domains, each as sources.manuals.read_constraints() gives them."""
+    rows = [(domain, family, list(heads), list(tails)) for domain, own in rules.items() for family, (heads, tails) in own.items()]
+    return spark.createDataFrame(rows, "domain_id string, family string, head_types array<string>, tail_types array<string>")
+
+
+def with_constraints(relations: DataFrame, rules: DataFrame) -> DataFrame:
+    """relations (domain_id, family) with _rule: the head_types and tail_types of their domain's rule for their family, null without one.
+
+    A domain that has rules of its own has no others.
+    """
+    own = rules.where("domain_id IS NOT NULL").select(F.col("domain_id").alias("_rd")).distinct()
+    both = rules.select(F.col("domain_id").alias("_rule_domain"), F.col("family").alias("_rule_family"), F.struct("head_types", "tail_types").alias("_rule"))
+    if rules.limit(MOST_RULES + 1).count() <= MOST_RULES:
+        own, both = F.broadcast(own), F.broadcast(both)
+    placed = relations.join(own, F.col("domain_id") == F.col("_rd"), "left")
+    joined = placed.join(both, F.col("_rd").eqNullSafe(F.col("_rule_domain")) & (F.col("family") == F.col("_rule_family")), "left")
+    return joined.drop("_rd", "_rule_domain", "_rule_family")
+
+
+def rule_reason(family: Column, head_type: Column, tail_type: Column, rule: Column) -> Column:
+    """type_reason() by a rule that stands in a column."""
+    out = F.lit(None).cast("string")
+    for end, value in (("tail", tail_type), ("head", head_type)):
+        known, allowed = F.coalesce(value, F.lit("Unknown")), F.coalesce(rule[f"{end}_types"], F.array().cast("array<string>"))
+        listed = F.when(F.size(allowed) > 0, F.concat(F.lit("['"), F.array_join(allowed, "', '"), F.lit("']"))).otherwise("[]")
+        told = F.concat(F.lit(f"{end} type '"), known, F.lit("' not allowed for family '"), family, F.lit("' (allowed: "), listed, F.lit(")"))
+        out = F.when(~F.array_contains(allowed, known), told).otherwise(out)
+    return F.when(rule.isNull(), F.format_string("family '%s' not defined in constraints", F.coalesce(family, F.lit("")))).otherwise(out)
+
+
 def split_by_types(edges: DataFrame) -> DataFrame:
     """edges with invalid_reason (null: valid)."""
     return edges.withColumn("invalid_reason", type_reason(F.col("family"), F.col("head_type"), F.col("tail_type")))
@@ -84,8 +119,8 @@ def workflow_nodes(steps: DataFrame) -> DataFrame:
     return steps.select("domain_id", label.alias("label"), F.concat_ws("::", "domain_id", F.lit("node"), label).alias("node_id"), F.lit("workflow").alias("layer"), F.lit("Task").alias("parent_anchor"), order_index(F.col("step.step_id"), F.col("step_pos") + 1).alias("order_index"), F.col("step.step_phase").alias("step_phase"), F.col("record_idx").alias("first_record_idx"), F.col("timestamp").alias("valid_from"))
 
 
-def backbone_nodes(domains: DataFrame) -> DataFrame:
-    anchors = F.explode(F.array(*(F.lit(a) for a in K.ANCHORS)))
+def backbone_nodes(domains: DataFrame, backbone: tuple[str, ...] = K.ANCHORS) -> DataFrame:
+    anchors = F.explode(F.array(*(F.lit(a) for a in backbone)))
     return domains.select("domain_id", anchors.alias("label")).select("domain_id", "label", F.concat_ws("::", "domain_id", F.lit("node"), "label").alias("node_id"), F.lit("semantic").alias("layer"), F.col("label").alias("parent_anchor"), F.lit(0).alias("first_record_idx"))
 
 
@@ -94,13 +129,16 @@ def resolve_endpoint(evidence: Column, label: Column) -> Column:
     return F.coalesce(F.concat(evidence, F.lit(":"), step_token(label)), label)
 
 
-def judge_relations(stream: DataFrame, nodes: DataFrame, supports: DataFrame | None = None, decisions: DataFrame | None = None) -> DataFrame:
+def judge_relations(
+    stream: DataFrame, nodes: DataFrame, supports: DataFrame | None = None, decisions: DataFrame | None = None, families: tuple[str, ...] = tuple(K.TYPE_CONSTRAINTS), rules: DataFrame | None = None
+) -> DataFrame:
     """The relation stream with ends resolved, layer, workflow_kind, status and reject_reason: the first reason that applies.
 
     stream: domain_id, evidence_id, record_idx, seq, origin (workflow, step or document), label, family, head, tail,
     and what else shall be kept. nodes: domain_id, label, layer, parent_anchor, first_record_idx and, if there is one,
     step_action; a node counts from its first record on. supports: domain_id, evidence_id, label, steps (the steps that
-    name a label), for relations of whole documents. decisions: domain_id, label, reject_reason, for the ends that are no nodes.
+    name a label), for relations of whole documents. decisions: domain_id, label, reject_reason, for the ends that are no nodes. families: those that a run takes. rules: type constraints as
+    constraint_rules() gives them; without, the fixed ones; an empty table constrains nothing.
     """
     s = stream
     for name in ("head", "tail"):
@@ -137,8 +175,12 @@ def judge_relations(stream: DataFrame, nodes: DataFrame, supports: DataFrame | N
     missing = lambda name, there: F.when(~there, F.concat(F.lit(f"{name}:"), F.coalesce(f"{name}_reason", F.lit("not_in_graph"))))
     dropped = filter_reason(family, F.col("label"), F.col("head"), F.col("tail"), F.col("head_type"), F.col("tail_type"))
     typed = type_reason(family, F.col("head_type"), F.col("tail_type"))
+    if rules is not None:
+        free = rules.isEmpty()
+        s = s if free else with_constraints(s, rules)
+        typed = F.lit(None).cast("string") if free else rule_reason(family, F.col("head_type"), F.col("tail_type"), F.col("_rule"))
     reason = (
-        F.when(~F.coalesce(family.isin(*K.TYPE_CONSTRAINTS), F.lit(False)), "invalid_relation_family")
+        F.when(~F.coalesce(family.isin(*families), F.lit(False)), "invalid_relation_family")
         .when(of_document & diagnostic & F.col("several"), "multi_target_diagnostic_hypothesis")
         .when(structural & (F.col("head") == F.col("tail")), "structural_self_loop")
         .when(structural & F.col("head").rlike(whole_word(K.CONTEXTUAL_HEAD)), "structural_contextual_head")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepweave.constants import BASE_ANCHORS, FAMILY_WEIGHTS
+from stepweave.functions.text import text_hash
 from stepweave.operators import vector_search
 
 MOST_ANCHORS = 1000
@@ -124,6 +125,34 @@ def rerank_anchors(candidates: DataFrame, anchors: DataFrame, top: int = 3, digi
     return flat.select("candidate_id", F.col("x.anchor").alias("anchor"), F.round(-F.col("x.s"), digits).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
+MODES = ("baseline", "contextual_rerank")
+
+
+def routed(candidates: DataFrame, backbone: DataFrame, embedded: Callable[[DataFrame], DataFrame], mode: str = "baseline", top: int = 3) -> DataFrame:
+    """candidates with retrieved (the `top` anchors in order: anchor, score, rank) and top_anchor (the first).
+
+    candidates: candidate_id and what the texts are made of; backbone: label, description, place. embedded gets a column of
+    texts (text) and returns text_hash and vector of the distinct ones; it is called once, for candidates and anchors together.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown routing mode: {mode}")
+    own = baseline_text(F.col("label"), F.col("description")) if mode == "baseline" else contextual_text(candidates)
+    asking = candidates.withColumn("_text", own).withColumn("_hash", text_hash(own))
+    told = F.array(baseline_text(F.col("label"), F.col("description"))) if mode == "baseline" else prototype_texts(F.col("label"), F.col("description"))
+    prototypes = backbone.select(F.col("label").alias("anchor"), F.col("place").alias("position"), F.posexplode(told).alias("nth", "text"))
+    vectors = embedded(asking.select(F.col("_text").alias("text")).unionByName(prototypes.select("text")))
+    vectors = vectors.select(F.col("text_hash").alias("_of"), "vector")
+    ready = asking.join(vectors, F.col("_hash") == F.col("_of"), "left")
+    placed = prototypes.join(vectors, text_hash(F.col("text")) == F.col("_of"))
+    if mode == "baseline":
+        found = rank_anchors(ready.select("candidate_id", "vector"), placed.select("anchor", "position", F.col("vector").alias("anchor_vector")), top)
+    else:
+        listed = placed.groupBy("anchor", "position").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "vector"))), lambda x: x["vector"]).alias("prototypes"))  # three an anchor
+        found = rerank_anchors(ready.select("candidate_id", "vector", "hint", "hint_candidates", "hypernym", "families"), listed, top)
+    best = found.groupBy(F.col("candidate_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "anchor", "score"))).alias("retrieved"))  # `top` a candidate
+    return candidates.join(best, F.col("candidate_id") == F.col("_id"), "left").withColumn("top_anchor", F.get("retrieved", F.lit(0))["anchor"]).drop("_id")
+
+
 def rank_by_prototypes(scores: DataFrame, top: int = 3, digits: int = 5) -> DataFrame:
     """From scores (candidate_id, anchor, position, similarity, adjustment), one per prototype: 0.75 of the best, 0.25 of the mean, and the adjustment."""
     joined = scores.groupBy("candidate_id", "anchor", "position").agg(F.round(0.75 * F.max("similarity") + 0.25 * F.avg("similarity") + F.first("adjustment"), digits).alias("score"))

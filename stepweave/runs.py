@@ -11,39 +11,49 @@ from pyspark.sql import functions as F
 
 from stepweave import constants as K
 from stepweave import settings, validation
-from stepweave.operators import assembly, attachment, audits, decisions, evidence
+from stepweave.operators import assembly, attachment, audits, decisions, evidence, graph, providers, routing
 from stepweave.settings import SettingsError
 from stepweave.sources import artifacts, manuals
-from stepweave.sources.readers import read_evidence
+from stepweave.sources.readers import read_evidence, read_evidence_lines
 
 ROUTES = ("reuse_backbone", "vertical_specialize", "reject")
 
 
 @dataclass(frozen=True)
 class Domain:
-    """A domain and its evidence: a path that Spark reads, the source types taken, and a file of further concepts."""
+    """A domain and its evidence: a path that Spark reads (JSON, or JSON lines where it ends in .jsonl), the source types taken, a file of further concepts, and one of type constraints of its own."""
 
     domain_id: str
     data_path: str
     source_types: tuple[str, ...] = ("om_manual",)
     role: str = "target"
     ontology_seed_path: str | None = None
+    constraints_path: str | None = None
 
 
 @dataclass(frozen=True)
 class Variant:
-    """A way to decide on candidates: strategy is a key of STRATEGIES, or llm with a function given to run()."""
+    """A way to decide on candidates: strategy is a key of STRATEGIES, or llm with a function given to run().
+
+    routing is none, or how anchors are retrieved for candidates before: a mode of routing.MODES. It needs a model of vectors, and embedding_top1 needs it.
+    """
 
     variant_id: str
     description: str = ""
     strategy: str = "deterministic"
     allow_free_growth: bool = False
     detailed: bool = False
+    routing: str = "none"
+    top: int = 3
 
 
 @dataclass(frozen=True)
 class RunSettings:
-    """Settings of a run, checked when made: known strategies, one role, no id twice."""
+    """Settings of a run, checked when made: known strategies, one role, no id twice.
+
+    seed_descriptions: the concepts of the backbone and what they mean, the fixed ones unless given. constraints_path: a file of type
+    constraints for the domains without their own; without any file the fixed ones hold. vectors_path and embedding_model: where vectors of texts are kept, and by what name.
+    """
 
     project_name: str
     domains: tuple[Domain, ...]
@@ -51,6 +61,11 @@ class RunSettings:
     output_path: str = ""
     allowed_routes: tuple[str, ...] = ROUTES
     relation_families: tuple[str, ...] = field(default_factory=lambda: tuple(K.TYPE_CONSTRAINTS))
+    seed_descriptions: dict[str, str] | None = None
+    constraints_path: str | None = None
+    validate_relations: bool = True
+    vectors_path: str | None = None
+    embedding_model: str = "default"
 
     def __post_init__(self) -> None:
         if not self.domains or not self.variants:
@@ -64,6 +79,10 @@ class RunSettings:
             validation.member("role", d.role, ("target",))
         for v in self.variants:
             validation.member("strategy", v.strategy, (*STRATEGIES, "llm"))
+            validation.member("routing", v.routing, ("none", *routing.MODES))
+            validation.positive(v.top)
+            if v.strategy == "embedding_top1" and v.routing == "none":
+                raise SettingsError(f"{v.variant_id}: embedding_top1 needs routing")
         for r in self.allowed_routes:
             validation.member("route", r, ROUTES)
         for f in self.relation_families:
@@ -100,27 +119,54 @@ def load_settings(path: str) -> RunSettings:
     return _made(RunSettings, own, ("domains", "variants", "allowed_routes", "relation_families"))
 
 
-def by_anchors(candidates: DataFrame, variant: Variant, least: float = 0.0) -> DataFrame:
+def by_anchors(candidates: DataFrame, variant: Variant, backbone: tuple[str, ...] = K.ANCHORS, least: float = 0.0) -> DataFrame:
     """Proposals from retrieved anchors (top_anchor, where the candidates have it), else from hints and families of relations."""
     if "top_anchor" not in candidates.columns:
         candidates = candidates.withColumn("top_anchor", F.lit(None).cast("string"))
-    return decisions.top1_decisions(candidates, free_growth=variant.allow_free_growth, least=least)
+    return decisions.top1_decisions(candidates, variant.allow_free_growth, least, backbone)
 
 
-def deterministic(candidates: DataFrame, variant: Variant) -> DataFrame:
+def deterministic(candidates: DataFrame, variant: Variant, backbone: tuple[str, ...] = K.ANCHORS) -> DataFrame:
     """The same, a specialization never below a confidence of 0.6."""
-    return by_anchors(candidates, variant, 0.6)
+    return by_anchors(candidates, variant, backbone, 0.6)
 
 
 #: How a variant proposes a route and an anchor for each candidate; decide() has the last word on all.
-STRATEGIES: dict[str, Callable[[DataFrame, Variant], DataFrame]] = {"deterministic": deterministic, "embedding_top1": by_anchors}
+STRATEGIES: dict[str, Callable[..., DataFrame]] = {"deterministic": deterministic, "embedding_top1": by_anchors}
+
+
+def cached_vectors(run: RunSettings, embed: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """A function of texts (text) that gives text_hash and vector of the distinct ones: from the run's table of vectors, the rest from embed, once, and kept there."""
+
+    def vectors(texts: DataFrame) -> DataFrame:
+        spark = texts.sparkSession
+        cache = artifacts.load_vectors(spark, run.vectors_path, run.embedding_model) if run.vectors_path else spark.createDataFrame([], "text_hash string, vector array<double>")
+        kept = lambda missing: embed(missing).select("text_hash", "text", F.col("vector").cast("array<double>").alias("vector")).checkpoint()
+        found, new = providers.embed_with_cache(texts, cache, kept)
+        found = found.select("text_hash", "vector").checkpoint()
+        if run.vectors_path:
+            artifacts.save_vectors(new, run.vectors_path, run.embedding_model)
+        return found
+
+    return vectors
+
+
+def constraints(spark: SparkSession, run: RunSettings) -> DataFrame | None:
+    """The type constraints of a run's files; None where no file is named, so that the fixed ones hold; empty where relations are not validated."""
+    if not run.validate_relations:
+        return graph.constraint_rules(spark, {})
+    paths = {None: run.constraints_path} | {d.domain_id: d.constraints_path for d in run.domains}
+    if not any(paths.values()):
+        return None
+    told = {domain: manuals.read_constraints(spark, path) for domain, path in paths.items() if path}
+    return graph.constraint_rules(spark, {None: K.TYPE_CONSTRAINTS} | told)
 
 
 def domain_records(spark: SparkSession, run: RunSettings) -> DataFrame:
     """The records of all domains in order, labels canonical; of each domain those of its source types and role."""
     found = None
     for path in dict.fromkeys(d.data_path for d in run.domains):
-        own = read_evidence(spark, path)
+        own = read_evidence_lines(spark, path) if path.endswith((".jsonl", ".ndjson")) else read_evidence(spark, path)
         found = own if found is None else found.unionByName(own)
     domains = spark.createDataFrame([(d.domain_id, list(d.source_types), d.role) for d in run.domains], "domain_id string, source_types array<string>, _role string")
     wrong = F.raise_error(F.concat(F.lit("role of "), "evidence_id", F.lit(" is not its domain's"))).cast("string")
@@ -128,27 +174,39 @@ def domain_records(spark: SparkSession, run: RunSettings) -> DataFrame:
     return evidence.order_records(evidence.canonical(checked), F.broadcast(domains.drop("_role")))
 
 
-def run(spark: SparkSession, run: RunSettings, propose: Callable[[DataFrame, Variant], DataFrame] | None = None, export: bool = True) -> dict[str, tuple[assembly.Graph, DataFrame]]:
+def run(
+    spark: SparkSession, run: RunSettings, propose: Callable[[DataFrame, Variant], DataFrame] | None = None, export: bool = True, embed: Callable[[DataFrame], DataFrame] | None = None
+) -> dict[str, tuple[assembly.Graph, DataFrame]]:
     """Each variant's graph and judged candidates; with export its folder is written too.
 
     propose stands in for the strategy of variants with `llm`: candidates in, route, parent_anchor,
-    reject_reason and confidence added.
+    reject_reason and confidence added. embed is the model of vectors for variants that route: text_hash and text in, vector added.
     """
     assembly.ensure_checkpoint_dir(spark)
     records = domain_records(spark, run).checkpoint()
     stream = assembly.relation_stream(records)
     found = evidence.candidates(evidence.mentions(records), stream.select("domain_id", "head", "tail", "family")).checkpoint()
-    backbone = audits.build_backbone(manuals.supplements(spark, {d.domain_id: d.ontology_seed_path for d in run.domains}))
+    backbone = audits.build_backbone(manuals.supplements(spark, {d.domain_id: d.ontology_seed_path for d in run.domains}), run.seed_descriptions)
+    labels = tuple(r["label"] for r in backbone.orderBy("place").collect())  # of the settings' files
+    rules = constraints(spark, run)
     units = evidence.evidence_units(records)
-    out = {}
+    out, by_mode = {}, {}
     for variant in run.variants:
         proposing = propose if variant.strategy == "llm" else STRATEGIES[variant.strategy]
         if proposing is None:
             raise SettingsError(f"{variant.variant_id}: a variant of strategy llm needs a function that proposes")
-        decided = attachment.decide(proposing(found, variant), run.allowed_routes, variant.allow_free_growth).checkpoint()
+        candidates = found
+        if variant.routing != "none":
+            if embed is None:
+                raise SettingsError(f"{variant.variant_id}: routing needs a model of vectors")
+            if (variant.routing, variant.top) not in by_mode:
+                by_mode[variant.routing, variant.top] = routing.routed(found, backbone, cached_vectors(run, embed), variant.routing, variant.top).checkpoint()
+            candidates = by_mode[variant.routing, variant.top]
+        proposed = proposing(candidates, variant) if variant.strategy == "llm" else proposing(candidates, variant, labels)
+        decided = attachment.decide(proposed, run.allowed_routes, variant.allow_free_growth, labels).checkpoint()
         kept = decided.select("domain_id", "label", "admit", "route", "parent_anchor", "reject_reason")
-        made = assembly.assemble(records, kept.drop("route"))
-        judged = audits.judged_candidates(found, kept, backbone)
+        made = assembly.assemble(records, kept.drop("route"), labels, run.relation_families, rules)
+        judged = audits.judged_candidates(candidates, kept, backbone)
         if export:
             artifacts.export_run(made, units, judged, backbone, run.output_path, variant.variant_id, variant.detailed)
         out[variant.variant_id] = (made, judged)
