@@ -160,7 +160,8 @@ def graph_nodes(records: DataFrame, decisions: DataFrame, anchors: tuple[str, ..
         "domain_id", "label", name("label"), F.col("label").alias("display_label"), F.lit("adapter_concept").alias("node_type"), F.lit("semantic").alias("layer"), "parent_anchor", "surface_form",
         none().alias("step_id"), none("int").alias("order_index"), none().alias("step_phase"), "shared_hypernym", "valid_from", "first_record_idx", none().alias("step_action"),
     )
-    backbone = graph.backbone_nodes(records.select("domain_id").distinct(), anchors)
+    kind = records.schema["record_idx"].dataType.simpleString()
+    backbone = graph.backbone_nodes(records.select("domain_id").distinct(), anchors, F.lit("") if kind == "string" else F.lit(0).cast(kind))
     backbone = backbone.select(
         "domain_id", "label", "node_id", F.col("label").alias("display_label"), F.lit("backbone_concept").alias("node_type"), "layer", none().alias("parent_anchor"), F.col("label").alias("surface_form"),
         none().alias("step_id"), none("int").alias("order_index"), none().alias("step_phase"), none().alias("shared_hypernym"),
@@ -197,7 +198,7 @@ _EDGE_KNOWN = ("head_step", "tail_step", "source_field", "mechanism", "evidence_
 def edge_observations(triples: DataFrame, anchored: DataFrame) -> DataFrame:
     """The rows that give edges: accepted relations and, for each anchored concept, is_a to its anchor; `at` is a row's place."""
     family = F.when(F.col("workflow_kind") == "action_object", "action_object").otherwise(F.col("family"))
-    place = lambda part, *more: F.struct(F.col("record_idx").cast("long").alias("record_idx"), F.lit(part).alias("part"), *(F.coalesce(c.cast("int"), F.lit(0)).alias(n) for n, c in zip("abc", more, strict=True)))
+    place = lambda part, *more: F.struct("record_idx", F.lit(part).alias("part"), *(F.coalesce(c.cast("int"), F.lit(0)).alias(n) for n, c in zip("abc", more, strict=True)))
     zero = F.lit(0)
     rows = triples.where("status = 'accepted'").withColumn("family", family).withColumn("at", place(1, F.col("seq"), zero, zero))
     rows = rows.select("domain_id", "head", "label", "tail", "evidence_id", "at", *_EDGE, *_EDGE_KNOWN)
@@ -246,6 +247,16 @@ def snapshot_manifests(records: DataFrame, nodes: DataFrame, edges: DataFrame, t
     )
 
 
+def shown_triples(judged: DataFrame) -> DataFrame:
+    """Judged relations with what of them is displayed, and a confidence."""
+    shown = display.relation_display(*(F.col(c) for c in ("status", "workflow_kind", "family", "label", "head_action", "tail", "tail_type")))
+    judged = judged.withColumn("shown", shown)
+    return judged.select(
+        *(c for c in judged.columns if c not in ("shown", "head_action")), F.col("shown.display").alias("display_label"), F.col("shown.salience").alias("salience"),
+        F.col("shown.admitted").alias("display_admitted"), F.col("shown.hidden").alias("hidden"), F.when(F.col("status") == "accepted", 1.0).otherwise(0.0).alias("confidence"),
+    )
+
+
 def assemble(records: DataFrame, decisions: DataFrame, anchors: tuple[str, ...] = K.ANCHORS, families: tuple[str, ...] = tuple(K.TYPE_CONSTRAINTS), rules: DataFrame | None = None) -> Graph:
     """The graph of records (in order, labels canonical: evidence.canonical, evidence.order_records) under decisions.
 
@@ -259,12 +270,7 @@ def assemble(records: DataFrame, decisions: DataFrame, anchors: tuple[str, ...]
     nodes = nodes.checkpoint()
     typed = nodes.select("domain_id", "label", "layer", semantic_type(nodes).alias("parent_anchor"), "first_record_idx", "step_action")
     judged = graph.judge_relations(relation_stream(records), typed, step_supports(records), decisions, families, rules)
-    shown = display.relation_display(*(F.col(c) for c in ("status", "workflow_kind", "family", "label", "head_action", "tail", "tail_type")))
-    judged = judged.withColumn("shown", shown)
-    triples = judged.select(
-        *(c for c in judged.columns if c not in ("shown", "head_action")), F.col("shown.display").alias("display_label"), F.col("shown.salience").alias("salience"),
-        F.col("shown.admitted").alias("display_admitted"), F.col("shown.hidden").alias("hidden"), F.when(F.col("status") == "accepted", 1.0).otherwise(0.0).alias("confidence"),
-    )
+    triples = shown_triples(judged)
     triples = triples.checkpoint()
     given = edge_observations(triples, anchored)
     edges = merged_edges(given).checkpoint()

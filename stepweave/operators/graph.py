@@ -119,9 +119,10 @@ def workflow_nodes(steps: DataFrame) -> DataFrame:
     return steps.select("domain_id", label.alias("label"), F.concat_ws("::", "domain_id", F.lit("node"), label).alias("node_id"), F.lit("workflow").alias("layer"), F.lit("Task").alias("parent_anchor"), order_index(F.col("step.step_id"), F.col("step_pos") + 1).alias("order_index"), F.col("step.step_phase").alias("step_phase"), F.col("record_idx").alias("first_record_idx"), F.col("timestamp").alias("valid_from"))
 
 
-def backbone_nodes(domains: DataFrame, backbone: tuple[str, ...] = K.ANCHORS) -> DataFrame:
+def backbone_nodes(domains: DataFrame, backbone: tuple[str, ...] = K.ANCHORS, start: Column | None = None) -> DataFrame:
+    """The backbone's labels as nodes of every domain, there from before its first record (start: 0, or the least place where records have places)."""
     anchors = F.explode(F.array(*(F.lit(a) for a in backbone)))
-    return domains.select("domain_id", anchors.alias("label")).select("domain_id", "label", F.concat_ws("::", "domain_id", F.lit("node"), "label").alias("node_id"), F.lit("semantic").alias("layer"), F.col("label").alias("parent_anchor"), F.lit(0).alias("first_record_idx"))
+    return domains.select("domain_id", anchors.alias("label")).select("domain_id", "label", F.concat_ws("::", "domain_id", F.lit("node"), "label").alias("node_id"), F.lit("semantic").alias("layer"), F.col("label").alias("parent_anchor"), (F.lit(0) if start is None else start).alias("first_record_idx"))
 
 
 def resolve_endpoint(evidence: Column, label: Column) -> Column:

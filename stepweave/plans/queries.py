@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepweave import constants as K
@@ -43,15 +43,32 @@ def sql_case(column: str, table_: tuple) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({column}, {sql_words(w)}) THEN '{n}'" for n, w in table_) + " END"
 
 
+def spoken(table_: tuple) -> list[str]:
+    """Every word of a table of word lists, and one that stands in none: rows that get them by their keys reach every branch."""
+    return [w for _, words in table_ for w in words.split("|")] + ["plain"]
+
+
+def sql_spoken(table_: tuple, key: str) -> str:
+    words = spoken(table_)
+    return "[" + ", ".join(f"'{w}'" for w in words) + f"][({key}) % {len(words)} + 1]"
+
+
+def word_of(table_: tuple, key) -> Column:
+    words = spoken(table_)
+    return F.element_at(F.array(*map(F.lit, words)), (key % len(words) + 1).cast("int"))
+
+
 @query("SELECT conv_id, 'T' || (turn + 1) AS step_id, lead('T' || (turn + 1)) OVER (PARTITION BY conv_id ORDER BY turn) AS next_step FROM conversations")
 def step_sequence_edges(spark, sf_dir):
     name = F.concat(F.lit("T"), (F.col("turn") + 1).cast("string"))
     return table(spark, sf_dir, "conversations").select("conv_id", name.alias("step_id"), F.lead(name).over(Window.partitionBy("conv_id").orderBy("turn")).alias("next_step"))
 
 
-@query(f"SELECT coalesce({sql_case('text', K.PHASES)}, 'none') AS phase, count(*) AS steps, count(DISTINCT conv_id) AS procedures FROM conversations GROUP BY 1")
+@query(f"SELECT coalesce({sql_case('said', K.PHASES)}, 'none') AS phase, count(*) AS steps, count(DISTINCT conv_id) AS procedures FROM (SELECT conv_id, text || ' ' || {sql_spoken(K.PHASES, 'conv_id * 7 + turn')} AS said FROM conversations) GROUP BY 1")
 def step_phase_distribution(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy(F.coalesce(T.step_phase(F.col("text")), F.lit("none")).alias("phase")).agg(F.count("*").alias("steps"), F.count_distinct("conv_id").alias("procedures"))
+    """Turns, each with a further word by its key, so that every word of every phase is met."""
+    said = F.concat("text", F.lit(" "), word_of(K.PHASES, F.col("conv_id") * 7 + F.col("turn")))
+    return table(spark, sf_dir, "conversations").groupBy(F.coalesce(T.step_phase(said), F.lit("none")).alias("phase")).agg(F.count("*").alias("steps"), F.count_distinct("conv_id").alias("procedures"))
 
 
 @query(r"SELECT conv_id || ':T' || (turn + 1) AS label, 'conversations::node::' || conv_id || ':T' || (turn + 1) AS node_id, CAST(turn + 1 AS INTEGER) AS order_index, " + f"{sql_case('text', K.PHASES)} AS step_phase FROM conversations")
@@ -75,21 +92,25 @@ def canonical_part_labels(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.canonical_label(F.concat("p_name", F.lit("s"))).alias("label"))
 
 
-_HINTS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, {sql_words(w)}) THEN '{n}' END" for n, w in K.HINT_WORDS) + "], lambda x: x IS NOT NULL)"
+_HINTS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(said, {sql_words(w)}) THEN '{n}' END" for n, w in K.HINT_WORDS) + "], lambda x: x IS NOT NULL)"
 
 
-@query(f"SELECT doc_id, array_to_string({_HINTS}, ',') AS hints FROM documents")
+@query(f"SELECT doc_id, array_to_string({_HINTS}, ',') AS hints FROM (SELECT doc_id, concat(text, ' ', {sql_spoken(K.HINT_WORDS, 'doc_id')}, ', ', {sql_spoken(K.HINT_WORDS, 'doc_id * (doc_id % 3)')}) AS said FROM documents)")
 def type_hint_candidates(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.hint_candidates(F.col("text")), ",").alias("hints"))
+    """Documents, each with two further words by its id, so that every word of every type is met, and pairs of types."""
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), word_of(K.HINT_WORDS, F.col("doc_id")), F.lit(", "), word_of(K.HINT_WORDS, F.col("doc_id") * (F.col("doc_id") % 3)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.hint_candidates(said), ",").alias("hints"))
 
 
-@query(f"SELECT coalesce({sql_case('text', K.ANCHOR_WORDS)}, 'none') AS anchor, count(*) AS documents FROM documents GROUP BY 1")
+@query(
+    f"SELECT coalesce(CASE WHEN doc_id % 11 = 0 THEN 'Signal' END, CASE WHEN doc_id % 7 = 0 THEN 'Seal' END, {sql_case('said', K.ANCHOR_WORDS)}, 'none') AS anchor, count(*) AS documents FROM (SELECT doc_id, concat(text, ' ', {sql_spoken(K.ANCHOR_WORDS, 'doc_id')}) AS said FROM documents) GROUP BY 1"
+)
 def preferred_anchor(spark, sf_dir):
-    none = F.lit(None).cast("string")
-    return table(spark, sf_dir, "documents").groupBy(F.coalesce(attachment.preferred_anchor(none, none, F.col("text")), F.lit("none")).alias("anchor")).agg(F.count("*").alias("documents"))
-
-
-_LABELS_SQL = "SELECT l.l_orderkey AS rec, l.l_linenumber AS pos, p.p_name AS label, p.p_type AS descr FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey"
+    """Documents with a hint, a hypernym or neither by their ids, and a further word."""
+    key = F.col("doc_id")
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), word_of(K.ANCHOR_WORDS, key))
+    anchor = attachment.preferred_anchor(F.when(key % 11 == 0, "Signal"), F.when(key % 7 == 0, "Seal"), said)
+    return table(spark, sf_dir, "documents").groupBy(F.coalesce(anchor, F.lit("none")).alias("anchor")).agg(F.count("*").alias("documents"))
 
 
 def _part_mentions(spark, sf_dir) -> DataFrame:
@@ -412,11 +433,37 @@ def readable_graph(spark, sf_dir):
     return own.agg(F.lit("nodes").alias("kind"), F.count("*").alias("n")).union(shown.agg(F.lit("edges"), F.count("*")))
 
 
-@query(f"SELECT p_partkey, CASE WHEN a IS NOT NULL THEN 'vertical_specialize' ELSE 'reject' END AS route, a AS parent_anchor, CASE WHEN a IS NULL THEN 'cannot_anchor_backbone' END AS reject_reason FROM (SELECT p_partkey, {sql_case('p_name', K.ANCHOR_WORDS)} AS a FROM part)")
+#: Labels, descriptions, routes and parents that reach each branch of the rules; a route of None is left to propose(), a label of None is the part's name.
+_PROPOSED = [
+    ("Asset", None, None, None), ("pump seal", None, None, None), ("Dr. Smith", None, "vertical_specialize", "Component"), ("John Smith", "lead engineer", "vertical_specialize", "Component"),
+    ("John Smith", "a river", "vertical_specialize", "Component"), ("service report", None, "vertical_specialize", "Component"), ("failure", None, "vertical_specialize", "Fault"), ("odd thing", None, "reuse_backbone", None),
+    ("odd thing", None, "vertical_specialize", ""), ("odd thing", None, "vertical_specialize", "Nowhere"), ("odd thing", None, "reject", "too_vague"), ("odd thing", None, "reject", None), ("odd thing", None, "merge", "Component"),
+    ("bleed port", None, "vertical_specialize", " Signal "), ("e1:T3 report", None, "vertical_specialize", "Component"), ("shift engineer", None, "reject", None), (None, None, None, None), ("Seal", "anything", "reject", "too_vague"),
+]
+_ANCHOR_LIST = ", ".join(f"'{a}'" for a in K.ANCHORS)
+_GIVEN = "[" + ", ".join("{" + ", ".join(f"'{n}': " + ("NULL::VARCHAR" if v is None else f"'{v}'") for n, v in zip("ldrp", row, strict=True)) + "}" for row in _PROPOSED) + f"][p_partkey % {len(_PROPOSED)} + 1]"
+_PERSON = f"regexp_matches(label, '{K.PERSON_TITLE}') OR regexp_matches(label, {sql_words(K.PERSON_ROLE)}) OR (regexp_matches(label, '{K.PERSON_NAME.replace(chr(39), chr(39) * 2)}') AND regexp_matches(coalesce(description, ''), {sql_words(K.PERSON_ROLE)}))"
+
+
+@query(
+    f"WITH g AS (SELECT p_partkey, p_name, {_GIVEN} AS x FROM part), c AS (SELECT p_partkey, coalesce(x.l, p_name) AS label, x.d AS description, x.r AS given, x.p AS told, {sql_case('concat_ws(chr(32), coalesce(x.l, p_name), x.d)', K.ANCHOR_WORDS)} AS a FROM g), "
+    f"d AS (SELECT *, label IN ({_ANCHOR_LIST}) AS own, coalesce(given, CASE WHEN label IN ({_ANCHOR_LIST}) THEN 'reuse_backbone' WHEN a IS NOT NULL THEN 'vertical_specialize' ELSE 'reject' END) AS route, trim(coalesce(CASE WHEN given IS NULL THEN a WHEN given <> 'reject' THEN told END, '')) AS parent, "
+    "CASE WHEN given IS NULL THEN CASE WHEN a IS NULL THEN 'cannot_anchor_backbone' END WHEN given = 'reject' THEN told END AS why FROM c), "
+    f"r AS (SELECT *, CASE WHEN own THEN NULL WHEN route NOT IN ('reuse_backbone', 'vertical_specialize', 'reject') THEN 'route_not_allowed' WHEN {_PERSON} THEN 'person_name' WHEN NOT regexp_matches(label, '(?i)(^|:)T\\d+([^A-Za-z0-9_]|$)') AND regexp_matches(concat_ws(' ', label, description), {sql_words(K.DOCUMENT_WORDS)}) THEN 'document_title' "
+    f"WHEN regexp_matches(trim(label), '{K.PLACEHOLDER}') THEN 'low_graph_value' WHEN route = 'reuse_backbone' THEN 'backbone_label_mismatch' WHEN route = 'vertical_specialize' AND parent NOT IN ({_ANCHOR_LIST}) THEN 'invalid_backbone_parent' WHEN route = 'reject' THEN coalesce(why, 'low_graph_value') END AS reject_reason FROM d) "
+    "SELECT p_partkey, label, CASE WHEN own THEN 'reuse_backbone' WHEN reject_reason IS NULL THEN route ELSE 'reject' END AS route, CASE WHEN reject_reason IS NULL AND NOT own AND parent <> '' THEN parent END AS parent_anchor, reject_reason FROM r"
+)
 def rule_attachment(spark, sf_dir):
-    none = F.lit(None).cast("string")
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("label"), none.alias("description"), none.alias("hint"), none.alias("hypernym"))
-    return attachment.decide(attachment.propose(part)).select("p_partkey", "route", "parent_anchor", "reject_reason")
+    """Parts with labels and proposals by their keys, so that the rules' every branch has rows."""
+    given = F.element_at(F.array(*(F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip("ldrp", row, strict=True))) for row in _PROPOSED)), (F.col("p_partkey") % len(_PROPOSED) + 1).cast("int"))
+    none, x = F.lit(None).cast("string"), F.col("x")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", given.alias("x"))
+    proposed = attachment.propose(part.select("p_partkey", F.coalesce(x["l"], "p_name").alias("label"), x["d"].alias("description"), none.alias("hint"), none.alias("hypernym"), "x"))
+    told = x["r"].isNotNull()
+    proposed = proposed.withColumns({
+        "parent_anchor": F.when(told, F.when(x["r"] != "reject", x["p"])).otherwise(F.col("parent_anchor")), "reject_reason": F.when(told, F.when(x["r"] == "reject", x["p"])).otherwise(F.col("reject_reason")), "route": F.coalesce(x["r"], "route"),
+    })
+    return attachment.decide(proposed).select("p_partkey", "label", "route", "parent_anchor", "reject_reason")
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")

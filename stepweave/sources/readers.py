@@ -34,7 +34,12 @@ def read_evidence(spark: SparkSession, path: str) -> DataFrame:
 
 def read_evidence_lines(spark: SparkSession, path: str) -> DataFrame:
     """Evidence records of JSON-lines files, one a line; blank lines and a byte order mark are skipped, a line that is no record fails."""
-    text = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("t"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("input_pos")).where("trim(t) <> ''")
+    return parsed_lines(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("input_pos")))
+
+
+def parsed_lines(text: DataFrame) -> DataFrame:
+    """The records of lines (value, file, input_pos)."""
+    text = text.select(F.regexp_replace("value", "^\ufeff", "").alias("t"), "file", "input_pos").where("trim(t) <> ''")
     r = F.from_json("t", RECORD)
     checked = F.when(r["evidence_id"].isNull(), F.raise_error(F.concat(F.lit("no evidence record in a line of "), "file"))).otherwise(r)
     return _upgraded(text.select("file", "input_pos", checked.alias("r")).select("file", "input_pos", "r.*"))

@@ -25,7 +25,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLE)
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, str(SF))
     columns = sorted(df.columns)
@@ -268,3 +268,15 @@ def test_routing_texts(spark):
     ranked = [(r["candidate_id"], r["anchor"], r["score"]) for r in routing.rerank_anchors(v, anchors, top=1).orderBy("candidate_id").collect()]
     assert ranked == [("c", "Component", pytest.approx(0.45 + 0.075 + 0.2 + 0.15)), ("e", "Signal", pytest.approx(0.75 + 0.225))] or ranked[1][1] == "Signal"
     assert routing.empty_rankings(v).count() == 0
+
+
+def test_queries_reach_their_branches(spark):
+    """Equal to SQL means something only where the rows differ: every reason, anchor, phase and type occurs."""
+    rows = lambda name: QUERIES[name](spark, str(SF)).collect()
+    assert {r["reject_reason"] for r in rows("rule_attachment")} == {
+        None, "person_name", "document_title", "low_graph_value", "backbone_label_mismatch", "invalid_backbone_parent", "too_vague", "route_not_allowed", "cannot_anchor_backbone",
+    }
+    assert {r["anchor"] for r in rows("preferred_anchor")} == {"Signal", "Seal", "Fault", "State", "Component", "Asset", "none"}
+    assert {r["phase"] for r in rows("step_phase_distribution")} == {"verify", "observe", "diagnose", "repair", "none"}
+    hints = {r["hints"] for r in rows("type_hint_candidates")}
+    assert {"", "Fault", "Signal", "State", "Component", "Component,Asset"} <= hints and any("," in h for h in hints - {"Component,Asset"})
