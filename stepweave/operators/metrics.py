@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.functions.text import evaluation_label
+from stepweave.operators import containment
 
 
 def gold_evaluation(gold: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -36,12 +37,21 @@ def drift_rate(held: DataFrame) -> DataFrame:
 def gold_of_documents(gold: DataFrame, evidence: DataFrame) -> DataFrame:
     """The gold rows (source_doc) of the documents of some evidence (evidence_id): ids alike, alike in evaluation form without blanks, or one within the other.
 
-    Both sides are joined as distinct ids, and only ids that no equal one settles are searched for in each other.
+    Both sides are joined as distinct ids, and only ids that no equal one settles are searched for in each other, through an
+    index of q-grams. An empty id lies within all others.
     """
     plain = lambda c: F.replace(evaluation_label(F.col(c)), F.lit(" "), F.lit(""))
     docs = gold.select("source_doc").distinct().withColumn("_doc", plain("source_doc"))
     ids = evidence.select(plain("evidence_id").alias("_id")).where("_id IS NOT NULL").distinct()
     same = docs.join(ids.withColumnRenamed("_id", "_doc"), "_doc", "left_semi")
     rest = docs.join(same.select("source_doc"), "source_doc", "left_anti")
-    within = rest.join(ids, F.col("_doc").contains(F.col("_id")) | F.col("_id").contains(F.col("_doc")), "left_semi")
+    docs_left, other = rest.where("_doc <> ''").select("_doc"), ids.where("_id <> ''")
+    inside = containment.lies_within(docs_left.distinct().withColumnRenamed("_doc", "p"), other.withColumnRenamed("_id", "w")).withColumnRenamed("p", "_doc")
+    around = containment.contains_any(docs_left.distinct().withColumnRenamed("_doc", "w"), other.withColumnRenamed("_id", "p")).withColumnRenamed("w", "_doc")
+    settled = inside.unionByName(around).unionByName(rest.where("_doc = ''").select("_doc")).distinct()
+    if not ids.where("_id = ''").isEmpty():
+        settled = rest.select("_doc").distinct()
+    if ids.isEmpty():
+        settled = settled.limit(0)
+    within = rest.join(settled, "_doc", "left_semi").select(same.columns)
     return gold.join(same.union(within.select(same.columns)).select("source_doc"), "source_doc", "left_semi").select(*gold.columns)

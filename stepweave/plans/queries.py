@@ -425,6 +425,14 @@ def cross_domain_consistency(spark, sf_dir):
     return metrics.shared_labels(table(spark, sf_dir, "documents").withColumnRenamed("text", "label"), "label", "source", "lang")
 
 
+@query("WITH i AS (SELECT DISTINCT CAST(s_suppkey * 37 AS VARCHAR) AS id FROM supplier WHERE s_suppkey % 3 > 0) SELECT p_partkey, p_name AS label FROM part WHERE EXISTS (SELECT 1 FROM i WHERE contains(id, CAST(p_partkey * 11 AS VARCHAR)) OR contains(CAST(p_partkey * 11 AS VARCHAR), id))")
+def gold_by_document(spark, sf_dir):
+    """Parts as gold labels of documents, suppliers as evidence: numbers that lie within each other."""
+    gold = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("label"), (F.col("p_partkey") * 11).cast("string").alias("source_doc"))
+    ids = table(spark, sf_dir, "supplier").where("s_suppkey % 3 > 0").select((F.col("s_suppkey") * 37).cast("string").alias("evidence_id"))
+    return metrics.gold_of_documents(gold, ids).select("p_partkey", "label")
+
+
 @query(f"WITH {_EDGES_SQL}, shown AS (SELECT * FROM edges WHERE tail_type <> 'Signal') SELECT 'nodes' AS kind, count(*) AS n FROM (SELECT head AS x FROM shown UNION SELECT tail FROM shown) UNION ALL SELECT 'edges', count(*) FROM shown")
 def readable_graph(spark, sf_dir):
     edges = _edges(spark, sf_dir).withColumn("domain_id", F.lit("geo")).withColumn("display_admitted", F.col("tail_type") != "Signal")

@@ -135,6 +135,26 @@ def deterministic(candidates: DataFrame, variant: Variant, backbone: tuple[str,
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {"deterministic": deterministic, "embedding_top1": by_anchors}
 
 
+def by_model(template: str, generate: Callable[[str], str], path: str | None = None, model: str = "default", size: int = 8, backbone: tuple[str, ...] = K.ANCHORS) -> Callable[[DataFrame, Variant], DataFrame]:
+    """A function for run() that lets a model propose, for variants of strategy llm: prompts of up to `size` candidates, each with what is known and recommended.
+
+    Labels of the backbone are not asked about. With a path answers are kept, so a run that failed goes on (providers.answered()).
+    """
+
+    def propose(candidates: DataFrame, variant: Variant) -> DataFrame:
+        if "top_anchor" not in candidates.columns:
+            candidates = candidates.withColumn("top_anchor", F.lit(None).cast("string")).withColumn("retrieved", F.lit(None).cast("array<struct<rank:int,anchor:string,score:double>>"))
+        told = decisions.priors(candidates, backbone).where(~F.col("label").isin(*backbone))
+        features = F.struct("support_count", "relation_count", "head_count", "tail_count", "families", "step_ids", "hint", "hint_candidates", "hypernym")
+        prior = F.struct("recommended_anchor", "recommended_route", "agreement", "strength")
+        payload = F.to_json(F.struct("candidate_id", "label", "description", "evidence_ids", "evidence_texts", features.alias("routing_features"), F.col("retrieved_anchors"), prior.alias("prior")), {"ignoreNullFields": "false"})
+        asking = told.drop("retrieved").join(candidates.select("candidate_id", F.col("retrieved").alias("retrieved_anchors")), "candidate_id").select("domain_id", "candidate_id", payload.alias("payload"))
+        answers = providers.model_decisions(asking, template, generate, size, path=path, model=model).checkpoint()
+        return decisions.complete(candidates, answers, backbone)
+
+    return propose
+
+
 def cached_vectors(run: RunSettings, embed: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     """A function of texts (text) that gives text_hash and vector of the distinct ones: from the run's table of vectors, the rest from embed, once, and kept there."""
 

@@ -126,3 +126,32 @@ def test_rules_of_a_table_give_the_fixed_reasons(spark):
     own = {(r["family"], r["h"], r["t"]): r["got"] for r in got.where("domain_id = 'own'").collect()}
     assert own["structural", "Asset", "Asset"] == "head type 'Asset' not allowed for family 'structural' (allowed: [])"
     assert own["lifecycle", "Asset", "State"] == "family 'lifecycle' not defined in constraints"
+
+
+def test_a_model_decides(spark, tmp_path, told):
+    """A variant of strategy llm: the model sees what was retrieved and recommended, is asked once for each prompt over two runs, and what it leaves out is rejected."""
+    (tmp_path / "asked").mkdir()
+    folder = f"{tmp_path}/asked"
+
+    def generate(prompt):
+        import json
+        import uuid
+
+        listed = json.loads(prompt.split("|", 1)[1])
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            json.dump(listed, f)
+        return json.dumps({"decisions": [{"candidate_id": c["candidate_id"], "route": c["prior"]["recommended_route"], "parent_anchor": c["prior"]["recommended_anchor"], "confidence": 0.9} for c in listed if c["label"] != "manifold"]})
+
+    told["variants"] = [{"variant_id": "m", "strategy": "llm", "routing": "baseline"}]
+    settings = runs.load_settings(write(tmp_path, "s.json", told))
+    labels = (*K.ANCHORS, "Valve")
+    propose = runs.by_model("__DOMAIN_ID__|__CANDIDATES_JSON__", generate, f"{tmp_path}/answers", "m", 4, labels)
+    for _ in range(2):
+        made, judged = runs.run(spark, settings, propose, export=False, embed=fake([]))["m"]
+        got = {(r["domain_id"], r["label"]): r for r in judged.collect()}
+        assert got["d", "bleed valve"]["outcome"] == "adapter" and got["d", "manifold"]["reject_reason"] == "llm_no_decision"
+    files = list((tmp_path / "asked").iterdir())
+    seen = [c for f in files for c in json.loads(f.read_text())]
+    assert len(seen) == len({c["candidate_id"] for c in seen}) == len(got) and max(len(json.loads(f.read_text())) for f in files) <= 4
+    assert any(c["retrieved_anchors"][0]["anchor"] == "Valve" for c in seen)
+    assert {r["parent_anchor"] for r in made.nodes.where("label = 'bleed valve'").collect()} == {"Valve"}

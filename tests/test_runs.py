@@ -100,6 +100,22 @@ def test_gold_of_documents(spark):
     assert sorted(r["label"] for r in metrics.gold_of_documents(gold, ids).collect()) == ["w", "x", "y"]
 
 
+def test_containment_equals_brute_force(spark):
+    """Ids of few letters and all lengths, empty ones and others than ASCII: the gold rows of a comparison of all with all, without one in the plan."""
+    import random
+
+    r = random.Random(9)
+    text = lambda: "".join(r.choice("abü") for _ in range(r.choice([0, 1, 2, 3, 4, 6, 9])))
+    for n in range(4):
+        docs, ids = [text() for _ in range(60)], [text() + ("q" if n else "") for _ in range(25)]
+        gold = spark.createDataFrame([("d", d, f"l{k}") for k, d in enumerate(docs)], "domain_id string, source_doc string, label string")
+        found = metrics.gold_of_documents(gold, spark.createDataFrame([(i,) for i in ids], "evidence_id string"))
+        assert sorted(x["label"] for x in found.collect()) == sorted(f"l{k}" for k, d in enumerate(docs) if any(d in i or i in d for i in ids))
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert metrics.gold_of_documents(gold, spark.createDataFrame([], "evidence_id string")).isEmpty()
+
+
 def test_missing_decision_fails(spark):
     candidates = spark.createDataFrame([("d", "a"), ("d", "b")], "domain_id string, label string")
     decided = spark.createDataFrame([("d", "a", True, "vertical_specialize", None)], "domain_id string, label string, admit boolean, route string, reject_reason string")
