@@ -45,14 +45,41 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
+DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """What stands around each @, run by run: a pattern begun at every character of a long run would read it again each time."""
+    m = LOCAL.search(text)
+    while m:
+        domain = DOMAIN.match(text, m.end())
+        if domain:
+            yield m.start(), domain.end()
+        m = LOCAL.search(text, (domain or m).end())
+
+
+def dotted(text: str) -> Iterator[tuple[int, int]]:
+    """Four numbers joined by dots; of a longer chain each next four."""
+    for chain in DOTTED.finditer(text):
+        if chain[0].count(".") >= 3:
+            at = chain.start()
+            parts = chain[0].split(".")
+            for k in range(0, len(parts) - 3, 4):
+                size = sum(map(len, parts[k : k + 4])) + 3
+                yield at, at + size
+                at += size + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, by start, then by kind as listed."""
     found = []
     if "@" in text:
-        found += [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)]
-    for m in re.finditer(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", text):
-        if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split(".")):
-            found.append((m.start(), m.end(), "ip"))
+        found += [(a, b, "email") for a, b in emails(text)]
+    for a, b in dotted(text):
+        if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in text[a:b].split(".")):
+            found.append((a, b, "ip"))
     for m in re.finditer(r"[0-9](?:[\x20-]?[0-9])+", text):
         digits = re.sub("[^0-9]", "", m[0])
         if 14 <= len(digits) <= 19 and luhn(digits):

@@ -323,3 +323,21 @@ def test_prior_of_small_hosts(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert got == dict(c.sql(f"select doc_id, kept from ({ORACLE})").fetchall()) and not all(got.values()) and any(got.values())
+
+
+def test_base_spans_are_the_patterns_and_linear():
+    """The spans of the plain patterns, on random texts of their characters; and long runs without blanks are read once."""
+    import time
+
+    from stepweave.llm.op5_pii import base_spans
+
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for seed in range(20_000):
+        r = random.Random(seed)
+        text = "".join(r.choice("aZ0129..@@-_+% ()\n" if seed % 2 else "0123.... 25@a") for _ in range(r.randint(0, 40)))
+        want = [(m.start(), m.end(), "email") for m in email.finditer(text)] + [(m.start(), m.end(), "ip") for m in ip.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        assert sorted(s for s in base_spans(text) if s[2] in ("email", "ip")) == sorted(want)
+    for text in ("1" * 400_000, "a" * 400_000 + " x@y.zz", "a@" * 200_000, "1.2" * 100_000, "a.b" * 100_000 + "@", "x@" + "a." * 200_000):
+        began = time.time()
+        base_spans(text)
+        assert time.time() - began < 20
