@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from stepweave import constants as K
 
-BLANKS = r"[ \t\n\x0B\f\r]+"
+#: All white space of Unicode and the four separators of ASCII.
+BLANKS = r"[ \t\n\x0B\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
 def whole_word(words: str) -> str:
@@ -18,6 +19,7 @@ def whole_word(words: str) -> str:
 
 
 def normalize_space(text: Column) -> Column:
+    """Runs of white space as single blanks, none at the ends."""
     return F.trim(F.regexp_replace(text, BLANKS, " "))
 
 

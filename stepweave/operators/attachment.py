@@ -62,5 +62,5 @@ def decide(proposals: DataFrame, routes: tuple[str, ...] = ("reuse_backbone", "v
 
 
 def admitted_schema(decisions: DataFrame) -> DataFrame:
-    """What a domain adds to the backbone: admitted specializations by label."""
-    return decisions.where(F.col("admit") & (F.col("route") == "vertical_specialize") & step_id(F.col("label")).isNull()).select("domain_id", "label", "parent_anchor", "description", "evidence_ids")
+    """What a domain adds to the backbone: admitted specializations, sorted by domain and label."""
+    return decisions.where(F.col("admit") & (F.col("route") == "vertical_specialize") & step_id(F.col("label")).isNull()).select("domain_id", "label", "parent_anchor", "description", "evidence_ids").orderBy("domain_id", "label")
