@@ -15,13 +15,17 @@ from stepweave.operators import assembly, attachment, audits, decisions, evidenc
 from stepweave.settings import SettingsError
 from stepweave.sources import artifacts, manuals
 from stepweave.sources.readers import read_evidence, read_evidence_lines
+from stepweave.sources.split_json import read_evidence_split
 
 ROUTES = ("reuse_backbone", "vertical_specialize", "reject")
 
 
 @dataclass(frozen=True)
 class Domain:
-    """A domain and its evidence: a path that Spark reads (JSON, or JSON lines where it ends in .jsonl), the source types taken, a file of further concepts, and one of type constraints of its own."""
+    """A domain and its evidence: a path that Spark reads (JSON, or JSON lines where it ends in .jsonl), the source types taken, a file of further concepts, and one of type constraints of its own.
+
+    split_mb: JSON files are read in ranges of so many MB, for files too large for a task; 0 reads each whole.
+    """
 
     domain_id: str
     data_path: str
@@ -29,6 +33,7 @@ class Domain:
     role: str = "target"
     ontology_seed_path: str | None = None
     constraints_path: str | None = None
+    split_mb: int = 0
 
 
 @dataclass(frozen=True)
@@ -185,8 +190,11 @@ def constraints(spark: SparkSession, run: RunSettings) -> DataFrame | None:
 def domain_records(spark: SparkSession, run: RunSettings) -> DataFrame:
     """The records of all domains in order, labels canonical; of each domain those of its source types and role."""
     found = None
-    for path in dict.fromkeys(d.data_path for d in run.domains):
-        own = read_evidence_lines(spark, path) if path.endswith((".jsonl", ".ndjson")) else read_evidence(spark, path)
+    for path, split in {d.data_path: d.split_mb for d in run.domains}.items():
+        if path.endswith((".jsonl", ".ndjson")):
+            own = read_evidence_lines(spark, path)
+        else:
+            own = read_evidence_split(spark, path, split << 20) if split else read_evidence(spark, path)
         found = own if found is None else found.unionByName(own)
     domains = spark.createDataFrame([(d.domain_id, list(d.source_types), d.role) for d in run.domains], "domain_id string, source_types array<string>, _role string")
     wrong = F.raise_error(F.concat(F.lit("role of "), "evidence_id", F.lit(" is not its domain's"))).cast("string")

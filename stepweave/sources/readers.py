@@ -29,7 +29,7 @@ def read_evidence(spark: SparkSession, path: str) -> DataFrame:
     text = text.withColumn("t", F.when(F.col("t").rlike(r"(?s)^\s*\{.*\}\s*\n\s*\{\s*\""), F.raise_error(F.concat(F.lit("several records in "), "file"))).otherwise(F.col("t")))
     whole = F.from_json("t", f"struct<samples:array<{RECORD}>,evidence_records:array<{RECORD}>,evidence_id:string>")
     listed = F.when(F.ltrim("t").startswith("["), F.from_json("t", f"array<{RECORD}>")).when(whole["samples"].isNotNull(), whole["samples"]).when(whole["evidence_records"].isNotNull(), whole["evidence_records"]).when(whole["evidence_id"].isNotNull(), F.array(F.from_json("t", RECORD))).otherwise(F.raise_error(F.concat(F.lit("no evidence records in "), "file")))
-    return _upgraded(text.select("file", F.posexplode(listed).alias("input_pos", "r")).select("file", "input_pos", "r.*"))
+    return upgraded(text.select("file", F.posexplode(listed).alias("input_pos", "r")).select("file", "input_pos", "r.*"))
 
 
 def read_evidence_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -42,10 +42,10 @@ def parsed_lines(text: DataFrame) -> DataFrame:
     text = text.select(F.regexp_replace("value", "^\ufeff", "").alias("t"), "file", "input_pos").where("trim(t) <> ''")
     r = F.from_json("t", RECORD)
     checked = F.when(r["evidence_id"].isNull(), F.raise_error(F.concat(F.lit("no evidence record in a line of "), "file"))).otherwise(r)
-    return _upgraded(text.select("file", "input_pos", checked.alias("r")).select("file", "input_pos", "r.*"))
+    return upgraded(text.select("file", "input_pos", checked.alias("r")).select("file", "input_pos", "r.*"))
 
 
-def _upgraded(flat: DataFrame) -> DataFrame:
+def upgraded(flat: DataFrame) -> DataFrame:
     """Records of any version in the present form."""
     empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
     hinted = lambda c: F.transform(c, lambda m: m.withField("semantic_type_hint", F.coalesce(m["semantic_type_hint"], m["parent_gold"], m["gold_parent"])).withField("node_worthy", F.coalesce(m["node_worthy"], F.lit(True))).dropFields("parent_gold", "gold_parent"))
