@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stepweave import runs
 from stepweave.session import session
-from stepweave.settings import SettingsError
+from stepweave.settings import SettingsError, StepweaveError, configure_logging
 from stepweave.sources import artifacts, manuals
 
 
@@ -28,9 +28,10 @@ def parser() -> argparse.ArgumentParser:
         state.add_argument("--domain", required=True)
         state.add_argument("--snapshot", required=name == "rollback")
     documents = commands.add_parser("preprocess", help="folders of manuals to a table of documents")
-    documents.add_argument("--data-root", required=True)
-    documents.add_argument("--domain-ids", nargs="+", required=True)
-    documents.add_argument("--output-path", required=True)
+    documents.add_argument("--config", help="settings with a model: evidence records instead of documents")
+    documents.add_argument("--data-root")
+    documents.add_argument("--domain-ids", nargs="+")
+    documents.add_argument("--output-path")
     documents.add_argument("--role", default="target", choices=["target"])
     return out
 
@@ -41,7 +42,12 @@ def _work(given: argparse.Namespace) -> str:
         made = runs.run(session(), told, export=not given.no_export)
         return "\n".join(f"{name}: {graph.nodes.count()} nodes, {graph.edges.count()} edges" for name, (graph, _) in made.items())
     spark = session()
+    if given.command == "preprocess" and given.config:
+        told = runs.load_preprocess_settings(given.config)
+        return f"{runs.preprocess(spark, told).count()} records in {told.output_path}"
     if given.command == "preprocess":
+        if not (given.data_root and given.domain_ids and given.output_path):
+            raise SettingsError("preprocess needs --config, or --data-root, --domain-ids and --output-path")
         manuals.read_domains(spark, given.data_root, given.domain_ids, given.role).write.partitionBy("domain_id").parquet(given.output_path)
         return given.output_path
     at = given.snapshot
@@ -54,9 +60,10 @@ def _work(given: argparse.Namespace) -> str:
 
 
 def main(args: list[str] | None = None) -> int:
+    configure_logging()
     try:
         print(_work(parser().parse_args(args)))
-    except (SettingsError, KeyError, ValueError) as e:
+    except (StepweaveError, KeyError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
     return 0

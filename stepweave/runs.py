@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from stepweave import constants as K
 from stepweave import settings, validation
-from stepweave.operators import assembly, attachment, audits, decisions, evidence, graph, providers, routing
+from stepweave.operators import assembly, attachment, audits, decisions, evidence, extractor, graph, providers, routing
 from stepweave.settings import SettingsError
-from stepweave.sources import artifacts, manuals
+from stepweave.sources import artifacts, clients, manuals
 from stepweave.sources.readers import read_evidence, read_evidence_lines
 from stepweave.sources.split_json import read_evidence_split
 
@@ -124,6 +124,52 @@ def load_settings(path: str) -> RunSettings:
     return _made(RunSettings, own, ("domains", "variants", "allowed_routes", "relation_families"))
 
 
+@dataclass(frozen=True)
+class PreprocessSettings:
+    """Settings of the way from manuals to evidence records; llm has the fields of sources.clients.Endpoint. Fields llm_<name> at the top are an older form of it.
+
+    answers_path: where answers are kept, so that a run that failed goes on.
+    """
+
+    data_root: str
+    output_path: str
+    prompt_template_path: str
+    llm: clients.Endpoint
+    domain_ids: tuple[str, ...] = tuple(manuals.DOMAIN_FOLDERS)
+    role: str = "target"
+    answers_path: str | None = None
+    relation_families: tuple[str, ...] = tuple(K.TYPE_CONSTRAINTS)
+    backbone_concepts: tuple[str, ...] = K.ANCHORS
+
+    def __post_init__(self) -> None:
+        validation.member("role", self.role, ("target",))
+        for d in self.domain_ids:
+            validation.domain_id(d)
+
+
+def load_preprocess_settings(path: str) -> PreprocessSettings:
+    """Settings of preprocess() from a file; unknown and missing keys fail."""
+    told = dict(settings.load(path))
+    older = {k.removeprefix("llm_"): told.pop(k) for k in [k for k in told if k.startswith("llm_")]}
+    model = dict(told.get("llm") or older)
+    if "host" in model:
+        model.setdefault("base_url", model.pop("host"))
+        model.pop("host", None)
+    model.pop("provider", None)
+    told["llm"] = _made(clients.Endpoint, model)
+    return _made(PreprocessSettings, told, ("domain_ids", "relation_families", "backbone_concepts"))
+
+
+def preprocess(spark: SparkSession, told: PreprocessSettings, generate: Callable[[str], str] | None = None) -> DataFrame:
+    """The evidence records of all manuals, added to output_path as JSON lines by domain; generate stands in for the settings' model."""
+    documents = manuals.read_domains(spark, told.data_root, list(told.domain_ids), told.role)
+    made = extractor.records_of_documents(
+        documents, manuals.read_prompt(spark, told.prompt_template_path), generate or clients.chat(told.llm), told.answers_path, model=told.llm.model, families=told.relation_families, backbone=told.backbone_concepts
+    ).checkpoint()
+    artifacts.write_records(made, told.output_path)
+    return made
+
+
 def by_anchors(candidates: DataFrame, variant: Variant, backbone: tuple[str, ...] = K.ANCHORS, least: float = 0.0) -> DataFrame:
     """Proposals from retrieved anchors (top_anchor, where the candidates have it), else from hints and families of relations."""
     if "top_anchor" not in candidates.columns:

@@ -3,16 +3,44 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 import re
+import sys
 from pathlib import Path
-from typing import Any
+from typing import Any, TextIO
 
 
-class SettingsError(ValueError):
+class StepweaveError(Exception):
+    """What this library raises of its own."""
+
+
+class SettingsError(StepweaveError, ValueError):
     """A settings file that cannot be used."""
 
 
+class BackendError(StepweaveError, RuntimeError):
+    """A model that gives no usable answer."""
+
+
+def logger() -> logging.Logger:
+    return logging.getLogger("stepweave")
+
+
+def configure_logging(level: int = logging.INFO, stream: TextIO | None = None) -> logging.Logger:
+    """The library's logger with one handler for a stream (stderr unless given); called again for the same stream it only sets the level."""
+    own, target = logger(), stream or sys.stderr
+    own.setLevel(level)
+    own.propagate = False
+    handler = next((h for h in own.handlers if getattr(h, "stream", None) is target), None)
+    if handler is None:
+        handler = logging.StreamHandler(target)
+        handler.setFormatter(logging.Formatter("%(asctime)s - %(name)s - %(levelname)s - %(message)s"))
+        own.addHandler(handler)
+    handler.setLevel(level)
+    return own
+
+
 def _read(path: Path) -> dict[str, Any]:
     kind = path.suffix.lower()
     if kind not in (".json", ".yaml", ".yml"):
