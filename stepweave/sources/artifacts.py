@@ -42,7 +42,8 @@ def summaries(made: Graph, units: DataFrame, judged: DataFrame) -> dict[str, Dat
 def export_run(made: Graph, units: DataFrame, judged: DataFrame, backbone: DataFrame, path: str, variant: str, detailed: bool = False) -> None:
     """A run's folder: path/variant/{summaries, graph, graphml, backbone}.
 
-    Nodes, edges, triples and snapshots are Parquet by domain, GraphML is a folder per domain; with
+    Nodes, edges, triples and snapshots are Parquet by domain, GraphML is a folder per domain, whose files
+    one after the other by name are the document, sorted and written by many tasks; with
     detailed the judged candidates, assertions and events are written too. Evidence stands in node_versions and
     edge_versions, a row for each record that gave an object; only GraphML lists all of it in the object's own row.
     """
@@ -59,7 +60,7 @@ def export_run(made: Graph, units: DataFrame, judged: DataFrame, backbone: DataF
         by = ["domain_id", *ORDERS[name]]
         df.repartitionByRange(parts, *by).sortWithinPartitions(*by).write.mode("overwrite").partitionBy("domain_id").parquet(f"{root}/graph/{name}")
     for row in made.snapshots.select("domain_id").distinct().toLocalIterator():
-        graphml(made.nodes, made.edges, row["domain_id"]).select("value").coalesce(1).write.mode("overwrite").text(f"{root}/graphml/{row['domain_id']}")
+        graphml(made.nodes, made.edges, row["domain_id"]).select("value").write.mode("overwrite").text(f"{root}/graphml/{row['domain_id']}")
 
 
 def load_snapshot(spark: SparkSession, path: str, variant: str, domain: str, snapshot_id: str) -> tuple[DataFrame, DataFrame]:
