@@ -136,19 +136,19 @@ def test_state_after_every_record(spark, tmp_path):
 
     kinds = [("pump", "Component"), ("seal", "Component"), ("leak", "Fault"), ("odor", "Signal"), ("Seal", "Component")]
     told = []
-    for k in range(9):
+    for k in range(6):
         own = [kinds[(k + j) % 5] for j in range(2 + k % 2)]
         steps = [step(1, f"Inspect {own[0][0]}", "observe", own, [], [("inspects", own[0][0])], sequence_next="T2", structural_edges=[{"label": "contains", "head": "pump", "tail": "seal"}] if k % 3 == 1 else [])]
-        diagnosis = [{"evidence_label": "odor", "indicated_label": "leak", "mechanism": "propagation" if k == 7 else None}] if k > 2 else []
+        diagnosis = [{"evidence_label": "odor", "indicated_label": "leak", "mechanism": "propagation" if k == 5 else None}] if k > 1 else []
         steps.append(step(2, "Confirm", "verify", [kinds[k % 5]], [], [], diagnostic_edges=diagnosis))
-        # Two records share an evidence id, and another domain runs beside.
-        told.append({"evidence_id": f"e{min(k, 7)}", "domain_id": "d" if k % 4 else "other", "source_type": "om", "timestamp": f"2024-01-0{9 - k}T00:00:00Z", "step_records": steps, "document_relation_mentions": [{"label": "indicates", "family": "communication", "head": "odor", "tail": "leak"}]})
+        # Another domain runs beside, and has an evidence id that this one has too.
+        told.append({"evidence_id": f"e{k if k != 4 else 3}", "domain_id": "d" if k % 4 else "other", "source_type": "om", "timestamp": f"2024-01-0{9 - k}T00:00:00Z", "step_records": steps, "document_relation_mentions": [{"label": "indicates", "family": "communication", "head": "odor", "tail": "leak"}]})
     (tmp_path / "r.json").write_text(json.dumps({"samples": told}))
     records = evidence.order_records(evidence.canonical(read_evidence(spark, f"{tmp_path}/r.json"))).checkpoint()
     decided = spark.createDataFrame([(d, label, True, anchor, None) for d in ("d", "other") for label, anchor in kinds], "domain_id string, label string, admit boolean, parent_anchor string, reject_reason string")
     whole = assembly.assemble(records, decided)
     most = records.agg({"record_idx": "max"}).first()[0]
-    assert most == 6
+    assert most == 4
     grown = set()
     for idx in range(1, most + 1):
         alone = assembly.assemble(records.where(f"record_idx <= {idx}"), decided)
