@@ -676,12 +676,13 @@ def test_clashing_columns(spark, made, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     for name, table in (("benchmark", "item_id long, text string, id long, n long"), ("pages", "page_id long, url string, html string, host string, rule string, verdict string")):
         spark.read.schema(table).parquet(f"{made[0]}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    queried = {n: q for n, q in queries().items() if n not in ("op11_negatives", "op13_filter_audit")}  # of other tables, or rows without ids: tested on their own
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns[: len(docs.columns)] == docs.columns, name
         assert {r[0] for r in out.select("_redacted").collect()} <= {"own _redacted"}
-    for name, query in queries().items():
+    for name, query in queried.items():
         key = "page_id" if name == "op4_urls" else "doc_id"
         assert sorted(repr(r[key]) for r in query(spark, str(tmp_path)).collect()) == sorted(repr(r[key]) for r in query(spark, made[0]).collect()), name
 
