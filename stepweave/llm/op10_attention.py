@@ -21,12 +21,12 @@ Word counts cover all training documents and are made and joined as distributed
 a 64-bit hash. Words above a count that at most HEAD of them reach (2 MB) travel with the model;
 all other words of a text are looked up by a join.
 
-The model and the chain learn from one in SHARE of the training documents, by a hash of the id, or
-from about LEAST_DOCS of a table so small that this is more: what they learn from grows with the
-corpus. The documents are dealt to shards of about SHARD; each shard takes steps of its own from the
-same weights, which are then averaged by their numbers of windows, ROUNDS times. A round reads its
-documents once, or more often where all shards together are so small that they would take less than
-STEPS steps each.
+The chain counts the ids of all training words, in the same pass as the words, and the model learns
+from all training documents: each is a target once, in the round that its key falls to. A round's
+documents are dealt to shards of about SHARD documents, or SHARD_WORDS words where that makes more
+shards; each shard takes steps of its own from the same weights, which are then averaged by their
+numbers of windows, ROUNDS times. Only where all documents are so few that a shard would take less
+than STEPS steps, it reads its own several times.
 """
 
 from __future__ import annotations
@@ -40,11 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.llm.op3_language import remainder
-from stepweave.llm.shared import WordHasher, blocks, materialize, release
+from stepweave.llm.shared import WordHasher, blocks, materialize
 
 FOLDER, RANKS, STRETCH = "/opt/tokenizers", 2048, 64
 WIDTH, WINDOW, STRIDE, HEAD, TRUST, DISCOUNT = 16, 32, 24, 100_000, 10.0, 0.75
-SHARE, LEAST_DOCS, SHARD, ROUNDS, STEPS, BATCH = 16, 600, 2000, 2, 120, 128
+SHARD, SHARD_WORDS, ROUNDS, STEPS, BATCH = 2000, 1 << 20, 2, 60, 256
 
 
 def load_ranks(path: str = f"{FOLDER}/byte_bpe_multi_50k.tiktoken", ranks: int = RANKS) -> list[bytes]:
@@ -130,9 +130,24 @@ class Speller:
         return out, np.bincount(word, counts, len(starts)).astype(np.int64)
 
 
-def means(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The mean of each word's rows."""
-    return np.add.reduceat(rows, np.cumsum(counts) - counts) / counts[:, None].astype(np.float32) if len(counts) else np.zeros((0, rows.shape[1]), np.float32)
+def means(table: np.ndarray, ids: np.ndarray, counts: np.ndarray, most: int = 16) -> np.ndarray:
+    """The mean of the table's rows at each word's ids: the words' first ids at once, then their second ones, ...; what words have beyond `most` is summed by segments."""
+    begin, short = np.cumsum(counts) - counts, np.minimum(counts, most + 1).astype(np.int16)
+    order = np.argsort(-short, kind="stable")
+    at, reach = begin[order], np.bincount(short, minlength=most + 2)
+    reach = len(counts) - np.cumsum(reach)  # How many words have more ids than k.
+    total = table.take(ids[at], axis=0) if len(ids) else np.zeros((0, table.shape[1]), table.dtype)
+    for k in range(1, most):
+        if not reach[k]:
+            break
+        total[: reach[k]] += table.take(ids[at[: reach[k]] + k], axis=0)
+    for r in range(reach[most]):
+        word = order[r]
+        total[r] += table[ids[begin[word] + most : begin[word] + counts[word]]].sum(0)
+    out = np.empty_like(total)
+    out[order] = total
+    out /= counts[:, None].astype(table.dtype)
+    return out
 
 
 class Chain:
@@ -175,14 +190,20 @@ class Shares:
         return np.log((self.n + 1) / (self.n.sum() + len(self.n)))
 
 
-def logs_of(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log softmax of each row at its own index, and the softmax."""
-    z = z - z.max(1, keepdims=True)
-    own = z[np.arange(len(z)), y]
+def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of each row's exponentials, which are written over z, and its log; a row's largest value is taken off first where some value is far from 0."""
+    top = z.max(1, keepdims=True) if z.size and (z.max() > 60 or z.min() < -60) else np.zeros((1, 1), z.dtype)
+    if top.any():
+        z -= top
     np.exp(z, out=z)
-    total = z.sum(1, keepdims=True)
-    z /= total
-    return own - np.log(total[:, 0]), z
+    total = z @ np.ones(z.shape[1], z.dtype)
+    return total, np.log(total) + top[:, 0]
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    """The softmax of each row, written over z."""
+    z *= (1 / exponentials(z)[0])[:, None]
+    return z
 
 
 class Attention:
@@ -203,40 +224,59 @@ class Attention:
         self.w["b"] = np.log(counts.sum(1) / counts.sum()).astype(np.float32)
         self.w["m"] = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+        self.before = (self.mask == 0).astype(np.float32)
 
     def attend(self, q: np.ndarray, k: np.ndarray) -> np.ndarray:
-        s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(WIDTH**-0.5)
-        s += self.mask
-        s -= s.max(-1, keepdims=True)
+        s = (q * q.dtype.type(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
+        if s.size and max(s.max(), -s.min()) > 60:
+            s += self.mask
+            s -= s.max(-1, keepdims=True)
         np.exp(s, out=s)
-        s /= s.sum(-1, keepdims=True)
+        s *= self.before
+        s *= (1 / (s.reshape(-1, s.shape[-1]) @ np.ones(s.shape[-1], s.dtype))).reshape(*s.shape[:2], 1)
         return s
 
-    def by_class(self, y: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Each class with the rows of its targets, and their members."""
+    def by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """The rows of the targets in the order of their classes, their members in that order, and each class with its first and end there."""
         of_class = y // self.members
-        order = np.argsort(of_class, kind="stable")
+        order = np.argsort(of_class.astype(np.int16), kind="stable")
         bounds = np.searchsorted(of_class[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(bounds)):
-            rows = order[bounds[c] : bounds[c + 1]]
-            yield int(c), rows, y[rows] % self.members
+        return order, y[order] % self.members, [(int(c), int(bounds[c]), int(bounds[c + 1])) for c in np.flatnonzero(np.diff(bounds))]
+
+    def member_logits(self, h: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+        """What the members of each row's class get; rows in the order of their classes."""
+        z = np.empty((len(h), self.members), h.dtype)
+        for c, a, b in spans:
+            np.matmul(h[a:b], self.w["M"][c], out=z[a:b])
+            z[a:b] += self.w["m"][c]
+        return z
 
     def head(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """log P(y | h) of each row."""
-        out = logs_of(h @ self.w["U"] + self.w["b"], y // self.members)[0]
-        for c, rows, member in self.by_class(y):
-            out[rows] += logs_of(h[rows] @ self.w["M"][c] + self.w["m"][c], member)[0]
+        order, member, spans = self.by_class(y)
+        rows, h = np.arange(len(y)), h[order]
+        z, out = h @ self.w["U"] + self.w["b"], np.zeros(len(y), h.dtype)
+        own = z[rows, y[order] // self.members] - exponentials(z)[1]
+        z = self.member_logits(h, spans)
+        out[order] = own + z[rows, member] - exponentials(z)[1]
         return out
 
-    def train(self, ids: np.ndarray, counts: np.ndarray, targets: np.ndarray, texts: np.ndarray, epochs: int = 1, batch: int = BATCH, rate: float = 8e-3, seed: int = 11) -> Attention:
-        """Adam on all windows of texts; word k has counts[k] of the ids and the first id targets[k]; text t is words texts[t] to texts[t + 1]."""
-        where, real = windows_of(np.diff(texts) - 1, texts[:-1])
+    def train(self, ids: np.ndarray, counts: np.ndarray, words: np.ndarray, targets: np.ndarray, texts: np.ndarray, epochs: int = 1, batch: int = BATCH, rate: float = 8e-3, seed: int = 11) -> Attention:
+        """Adam on texts in windows side by side, so that each word is a target once an epoch.
+
+        Distinct word k has counts[k] of the ids and the first id targets[k]; text t is words[texts[t] : texts[t + 1]].
+        """
+        where, real = windows_of(np.diff(texts) - 1, texts[:-1], WINDOW)
         if not len(where):
             return self
-        x, y = np.where(real, where, 0), np.where(real, targets[np.where(real, where + 1, 0)], -1)
+        x, y = words[np.where(real, where, 0)], np.where(real, targets[words[np.where(real, where + 1, 0)]], -1)
         starts = np.cumsum(counts) - counts
-        r, m, v, step = np.random.default_rng(seed), {n: 0.0 for n in self.w}, {n: 0.0 for n in self.w}, 0
+        r, step, flat = np.random.default_rng(seed), 0, flat_weights(self.w)
+        m, v, at = np.zeros_like(flat), np.zeros_like(flat), 0
+        for name in self.NAMES:
+            shape = self.w[name].shape
+            self.w[name] = flat[at : at + self.w[name].size].reshape(shape)
+            at += self.w[name].size
         total = epochs * (-(-len(x) // batch))
         for _ in range(epochs):
             order = r.permutation(len(x))
@@ -245,61 +285,66 @@ class Attention:
                 some = order[at : at + batch]
                 own = x[some].ravel()
                 n = counts[own]
-                flat = ids[np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                slopes = self.slopes(flat, n, y[some])
-                now = rate * (1 - step / (total + 1))
-                for name, g in slopes.items():
-                    m[name], v[name] = 0.9 * m[name] + 0.1 * g, 0.99 * v[name] + 0.01 * g * g
-                    self.w[name] = (self.w[name] - now * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                g = flat_weights(self.slopes(ids[np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n, y[some]))
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
+                now = rate * (1 - step / (total + 1)) / (1 - 0.9**step)
+                flat -= now * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         return self
 
     def slopes(self, flat: np.ndarray, n: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean loss per word; flat: the ids of all words, n: of each word; a target of -1 counts for nothing."""
-        w, scale = self.w, WIDTH**-0.5
-        e = means(w["E"][flat], n).reshape(*y.shape, WIDTH) + w["P"]
-        q, k, v = e @ w["Wq"], e @ w["Wk"], e @ w["Wv"]
+        w, flat2 = self.w, lambda t: t.reshape(-1, WIDTH)
+        e = means(w["E"], flat, n).reshape(*y.shape, WIDTH) + w["P"]
+        q, k, v = ((flat2(e) @ w[name]).reshape(e.shape) for name in ("Wq", "Wk", "Wv"))
         a = self.attend(q, k)
         c = a @ v
-        h = e + c @ w["Wo"]
+        h = flat2(e) + flat2(c) @ w["Wo"]
         real = np.flatnonzero(y.ravel() >= 0)
-        target, held = y.ravel()[real], h.reshape(-1, WIDTH)[real]
-        weight = np.float32(1 / max(1, len(real)))
-        _, p = logs_of(held @ w["U"] + w["b"], target // self.members)
-        p[np.arange(len(p)), target // self.members] -= 1
+        order, member, spans = self.by_class(y.ravel()[real])
+        real = real[order]
+        target, held, rows, weight = y.ravel()[real] // self.members, h[real], np.arange(len(real)), h.dtype.type(1 / max(1, len(real)))
+        p = softmax(held @ w["U"] + w["b"])
+        p[rows, target] -= 1
         p *= weight
         g = {"U": held.T @ p, "b": p.sum(0), "M": np.zeros_like(w["M"]), "m": np.zeros_like(w["m"])}
         dheld = p @ w["U"].T
-        for of, rows, member in self.by_class(target):
-            _, p = logs_of(held[rows] @ w["M"][of] + w["m"][of], member)
-            p[np.arange(len(p)), member] -= 1
-            p *= weight
-            g["M"][of], g["m"][of] = held[rows].T @ p, p.sum(0)
-            dheld[rows] += p @ w["M"][of].T
+        p = softmax(self.member_logits(held, spans))
+        p[rows, member] -= 1
+        p *= weight
+        for of, first, end in spans:
+            g["M"][of], g["m"][of] = held[first:end].T @ p[first:end], p[first:end].sum(0)
+            dheld[first:end] += p[first:end] @ w["M"][of].T
         dh = np.zeros_like(h)
-        dh.reshape(-1, WIDTH)[real] = dheld
-        flat2 = lambda t: t.reshape(-1, WIDTH)
-        g["Wo"] = flat2(c).T @ flat2(dh)
-        dc = dh @ w["Wo"].T
-        da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-        ds = a * (da - (da * a).sum(-1, keepdims=True)) * scale
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g |= {"Wq": flat2(e).T @ flat2(dq), "Wk": flat2(e).T @ flat2(dk), "Wv": flat2(e).T @ flat2(dv)}
+        dh[real] = dheld
+        g["Wo"] = flat2(c).T @ dh
+        dc = (dh @ w["Wo"].T).reshape(c.shape)
+        dv = a.transpose(0, 2, 1) @ dc
+        # A row's slopes weighed by its attention come to the product of its output and that output's slope.
+        ds = dc @ v.transpose(0, 2, 1)
+        ds -= np.einsum("tij,tij->ti", dc, c)[:, :, None]
+        ds *= a
+        scale = h.dtype.type(WIDTH**-0.5)
+        dq, dk, dv = flat2(ds @ k * scale), flat2(ds.transpose(0, 2, 1) @ q * scale), flat2(dv)
+        g |= {"Wq": flat2(e).T @ dq, "Wk": flat2(e).T @ dk, "Wv": flat2(e).T @ dv}
         de = dh + dq @ w["Wq"].T + dk @ w["Wk"].T + dv @ w["Wv"].T
-        each = np.repeat(flat2(de) / n[:, None].astype(np.float32), n, axis=0)
-        g["P"], g["E"] = de.sum(0), np.stack([np.bincount(flat, column, len(w["E"])) for column in each.T], 1).astype(np.float32)
+        g["P"] = de.reshape(e.shape).sum(0)
+        word, columns = np.repeat(np.arange(len(n)), n), np.ascontiguousarray((de / n[:, None].astype(h.dtype)).T, np.float64)
+        flat = flat.astype(np.intp)
+        g["E"] = np.stack([np.bincount(flat, column.take(word), len(w["E"])) for column in columns], 1).astype(np.float32)
         return g
 
 
-def windows_of(inputs: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def windows_of(inputs: np.ndarray, begin: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Places of all windows' words, texts of `inputs` words that are read beginning at `begin`, and which of these there are."""
-    text, nth = windows_by_text(inputs)
-    inside = (nth * STRIDE)[:, None] + np.arange(WINDOW)
+    text, nth = windows_by_text(inputs, stride)
+    inside = (nth * stride)[:, None] + np.arange(WINDOW)
     return begin[text][:, None] + inside, inside < inputs[text][:, None]
 
 
-def windows_by_text(inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def windows_by_text(inputs: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """The text of each window, and its number there."""
-    count = np.where(inputs > WINDOW, 1 + -(-(inputs - WINDOW) // STRIDE), (inputs > 0).astype(np.int64))
+    count = np.where(inputs > WINDOW, 1 + -(-(inputs - WINDOW) // stride), (inputs > 0).astype(np.int64))
     text = np.repeat(np.arange(len(inputs)), count)
     return text, np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
 
@@ -309,29 +354,32 @@ class Reader:
 
     def __init__(self, speller: Speller, model: Attention):
         self.speller, self.model, w = speller, model, model.w
-        self.place = {n: (w["P"] @ w[n]).astype(np.float32) for n in ("Wq", "Wk", "Wv")}
+        #: From a word's or a place's embedding to itself, its query, its key and its value, side by side.
+        self.to_all = np.concatenate([np.eye(WIDTH, dtype=np.float32), w["Wq"], w["Wk"], w["Wv"]], 1)
+        self.place = w["P"] @ self.to_all
 
-    def log_probabilities(self, ids: np.ndarray, counts: np.ndarray, texts: np.ndarray, some: int = 512) -> np.ndarray:
-        """Sum of log P of the first ids of each text's words after its first; texts as in Attention.train(), each led by the end."""
+    def log_probabilities(self, ids: np.ndarray, counts: np.ndarray, words: np.ndarray, texts: np.ndarray, some: int = 256) -> np.ndarray:
+        """Sum of log P of the first ids of each text's words after its first; all as in Attention.train(), each text led by the end."""
         model, w = self.model, self.model.w
-        e = means(w["E"][ids], counts)
-        first = self.speller.first[ids[np.cumsum(counts) - counts]]
-        columns = {n: e @ w[n] for n in ("Wq", "Wk", "Wv")}
+        columns = means(w["E"], ids, counts) @ self.to_all
+        first = self.speller.first[ids[np.cumsum(counts) - counts]][words]
         inputs = np.diff(texts) - 1
         text, nth = windows_by_text(inputs)
         place, total = np.arange(WINDOW), np.zeros(len(inputs))
         for at in range(0, len(text), some):
             t, n = text[at : at + some], nth[at : at + some]
             inside = (n * STRIDE)[:, None] + place
-            x = np.minimum(texts[t][:, None] + inside, len(first) - 1)
+            x = np.minimum(texts[t][:, None] + inside, len(words) - 1)
             scored = inside < inputs[t][:, None]
             scored &= (n == 0)[:, None] | (place >= WINDOW - STRIDE)
-            q, k, v = (columns[name][x] + self.place[name] for name in ("Wq", "Wk", "Wv"))
+            both = columns.take(words[x], axis=0)
+            both += self.place
+            e, q, k, v = (both[:, :, a : a + WIDTH] for a in range(0, 4 * WIDTH, WIDTH))
             c = model.attend(q, k) @ v
-            rows, cols = np.nonzero(scored)
-            h = e[x[rows, cols]] + w["P"][cols] + c[rows, cols] @ w["Wo"]
-            logs = model.head(h, first[x[rows, cols] + 1])
-            total += np.bincount(t[rows], logs, len(total))
+            own = np.flatnonzero(scored.ravel())
+            h = e.reshape(-1, WIDTH).take(own, axis=0) + c.reshape(-1, WIDTH).take(own, axis=0) @ w["Wo"]
+            logs = model.head(h, first.take(x.ravel().take(own) + 1))
+            total += np.bincount(t.repeat(WINDOW).take(own), logs, len(total))
         return total
 
 
@@ -347,64 +395,92 @@ def with_ends(ids: np.ndarray, counts: np.ndarray, first: np.ndarray, end: int)
     return out, more, texts
 
 
-def _word_counter(ranks: list[bytes], most: int = 1 << 20):
-    """mapInArrow function: (text) to (word hash, first id, count), counted over about `most` words at a time."""
+class Words:
+    """Words of many blocks: the text of each distinct one is kept once a block, and spelled once in all."""
+
+    def __init__(self, speller: Speller):
+        self.speller, self.held, self.size = speller, [], 0
+
+    def add(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        hashes, starts, ends, first = self.speller.words(data, offsets)
+        values, at, own = np.unique(hashes, return_index=True, return_inverse=True)
+        n = ends[at] - starts[at]
+        begin = np.cumsum(n) - n
+        self.held.append((values, data[np.repeat(starts[at] - begin, n) + np.arange(n.sum())], n, own, first))
+        self.size += len(hashes)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, ids and numbers of ids of the distinct words, which of them each word is, and each text's first word; forgets them."""
+        hashes, data, n = (np.concatenate([x[k] for x in self.held]) for k in range(3))
+        values, at, to = np.unique(hashes, return_index=True, return_inverse=True)
+        ends = np.cumsum(n)
+        ids, counts = self.speller.spell(data, (ends - n)[at], ends[at])
+        bounds = np.cumsum([0, *(len(x[0]) for x in self.held)])
+        words = np.concatenate([to[a:b][x[3]] for x, a, b in zip(self.held, bounds[:-1], bounds[1:], strict=True)])
+        first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[4]) for x in self.held]))])
+        self.held, self.size = [], 0
+        return values, ids, counts, words, first
+
+    def take_texts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, numbers of ids, words and beginnings of texts as Attention.train() takes them; the end is the last distinct word."""
+        _, ids, counts, words, first = self.take()
+        words, _, texts = with_ends(words, np.ones(len(words), np.int64), first, len(counts))
+        return np.append(ids, self.speller.size), np.append(counts, 1), words, texts
+
+
+def _counter(ranks: list[bytes], most: int = 1 << 20):
+    """mapInArrow function: (text) to (word hash, first id, count) and, with -1 for the first id, (key of an id pair, count), see Chain; counted over about `most` words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller, held, size = Speller(ranks), [], 0
+        speller = Speller(ranks)
+        words = Words(speller)
 
         def flush() -> pa.RecordBatch:
-            words, firsts = (np.concatenate(x) for x in zip(*held, strict=True))
-            values, at, counts = np.unique(words, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(firsts[at].astype(np.int32)), pa.array(counts)], names=["h", "f", "n"])
+            values, ids, counts, own, _ = words.take()
+            times, begin = np.bincount(own, minlength=len(values)), np.cumsum(counts) - counts
+            pairs = ids.astype(np.int64) * (speller.size + 1) + follows(ids, counts, speller.size)
+            keys, at = np.unique(pairs, return_inverse=True)
+            pair_times = np.bincount(at, np.repeat(times, counts)).astype(np.int64)
+            h, n = np.concatenate([values.view(np.int64), keys]), np.concatenate([times, pair_times])
+            f = np.concatenate([speller.first[ids[begin]], np.full(len(keys), -1)]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(f), pa.array(n)], names=["h", "f", "n"])
 
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0)):
-                words, starts, ends, _ = speller.words(data, offsets)
-                held.append((words, speller.first[speller.first_ids(data, starts, ends)]))
-                size += len(words)
-                if size >= most:
+                words.add(data, offsets)
+                if words.size >= most:
                     yield flush()
-                    held, size = [], 0
-        if size:
+        if words.size:
             yield flush()
 
     return run
 
 
-def _pair_counter(ranks: list[bytes]):
-    """mapInArrow function: (text) to (key of an id pair, count); see Chain."""
+def _trainer(ranks: list[bytes], begins: np.ndarray, weights: dict, epochs: int, seed: int, most: int = 2 * SHARD_WORDS):
+    """mapInArrow function: the texts of a shard to a row per weight (its place, its value times the shard's windows), and one of place -1 with their number.
+
+    A shard of more than `most` words is learned part by part, one after the other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller = Speller(ranks)
-        for batch in batches:
-            for _, _, data, offsets in blocks(batch.column(0)):
-                _, starts, ends, _ = speller.words(data, offsets)
-                ids, counts = speller.spell(data, starts, ends)
-                if len(ids):
-                    keys, times = np.unique(ids.astype(np.int64) * (speller.size + 1) + follows(ids, counts, speller.size), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], names=["key", "n"])
-
-    return run
-
+        words, model, windows = Words(speller), Attention(speller.size, speller.classes, speller.members, begins), 0
+        model.w = dict(weights)
 
-def _trainer(ranks: list[bytes], begins: np.ndarray, weights: dict, epochs: int, seed: int):
-    """mapInArrow function: the texts of a shard to a row per weight (its place, its value times the shard's windows), and one of place -1 with their number."""
+        def learn() -> int:
+            ids, counts, own, texts = words.take_texts()
+            model.train(ids, counts, own, speller.first[ids[np.cumsum(counts) - counts]], texts, epochs=epochs, seed=seed)
+            return len(windows_by_text(np.diff(texts) - 1, WINDOW)[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller, held = Speller(ranks), []
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0)):
-                _, starts, ends, first = speller.words(data, offsets)
-                held.append(with_ends(*speller.spell(data, starts, ends), first, speller.size))
-        if held:
-            ids, counts = (np.concatenate([x[k] for x in held]) for k in range(2))
-            texts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[2]) for x in held]))])
-            model = Attention(speller.size, speller.classes, speller.members, begins)
-            model.w = dict(weights)
-            model.train(ids, counts, speller.first[ids[np.cumsum(counts) - counts]], texts, epochs=epochs, seed=seed)
-            n = len(windows_by_text(np.diff(texts) - 1)[0])
-            values = np.append(n * flat_weights(model.w).astype(np.float64), float(n))
+                words.add(data, offsets)
+                if words.size >= most:
+                    windows += learn()
+        if words.held:
+            windows += learn()
+        if windows:
+            values = np.append(windows * flat_weights(model.w).astype(np.float64), float(windows))
             places = np.append(np.arange(len(values) - 1), -1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(values)], names=["place", "value"])
 
@@ -415,34 +491,30 @@ def flat_weights(w: dict) -> np.ndarray:
     return np.concatenate([w[n].ravel() for n in Attention.NAMES])
 
 
-def training_share(training: DataFrame, rows: int, id_col: str, text: str) -> tuple[DataFrame, int]:
-    """The text and key of the share of `rows` training documents that the model learns from, and its number of shards."""
-    fine = 1 << 20
-    share = min(1.0, max(1 / SHARE, LEAST_DOCS / max(1, rows)))
-    part = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("train")), F.lit(fine))
-    chosen = training.where((part < int(share * fine)) & F.col(text).isNotNull())
-    return chosen.select(F.col(text).alias("text"), F.xxhash64(id_col, text).alias("k")), max(1, round(rows * share / SHARD))
-
-
-def trained(training: DataFrame, rows: int, begins: np.ndarray, ranks: list[bytes], id_col: str, text: str) -> tuple[Attention, Chain]:
-    """The model, in shards, and the chain of ids, from a share of the `rows` training documents; begins: counts of all first ids."""
-    sample, shards = training_share(training, rows, id_col, text)
-    sample, speller = materialize(sample, "train"), Speller(ranks)
-    found = sample.select("text").mapInArrow(_pair_counter(ranks), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    keys, times = found.column(0).to_numpy(), found.column(1).to_numpy()
-    chain = Chain(keys, times, speller.size)
-    # Each word has one stop, so the stops tell how many windows there are in all.
-    windows = int(times[keys % (speller.size + 1) == speller.size].sum()) // STRIDE + 1
+def training_share(training: DataFrame, rows: int, id_col: str, text: str, words: int = 0) -> tuple[DataFrame, int]:
+    """Text and key of all `rows` training documents, and the number of shards that they and their words make in all rounds."""
+    keyed = training.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.xxhash64(id_col, text).alias("k"))
+    return keyed, max(1, round(max(rows / SHARD, words / SHARD_WORDS)))
+
+
+def trained(training: DataFrame, rows: int, begins: np.ndarray, counts: DataFrame, ranks: list[bytes], id_col: str, text: str) -> tuple[Attention, Chain]:
+    """The model, in shards, and the chain of ids, from all `rows` training documents; begins: counts of all first ids, counts: as from _counter()."""
+    words, speller = int(begins.sum()), Speller(ranks)
+    keyed, shards = training_share(training, rows, id_col, text, words)
+    found = counts.where("f < 0").select("h", "n").toArrow()
+    chain = Chain(found.column(0).to_numpy(), found.column(1).to_numpy(), speller.size)
+    shards = -(-shards // ROUNDS)
+    windows = (words // WINDOW + rows) // ROUNDS + 1
     epochs = max(1, -(-STEPS * BATCH * shards // windows))
     model = Attention(speller.size, speller.classes, speller.members, begins)
-    # Dealt by id and text, and in their order: the result does not hang on how the table lies in files.
-    dealt = sample.repartition(shards, "k").sortWithinPartitions("k").select("text")
     for r in range(ROUNDS):
+        # Dealt by id and text, and in their order: the result does not hang on how the table lies in files.
+        dealt = keyed.where(F.pmod("k", F.lit(ROUNDS)) == r).repartition(shards, "k").sortWithinPartitions("k").select("text")
         # Summed place by place on the executors: what reaches the driver is one set of weights, however many shards.
         weights = dealt.mapInArrow(_trainer(ranks, begins, model.w, epochs, 11 + r), "place int, value double")
         summed = weights.groupBy("place").agg(F.sum("value").alias("value")).toArrow()
         if not summed.num_rows:
-            break
+            continue
         places = summed.column(0).to_numpy()
         values = summed.column(1).to_numpy()[np.argsort(places)]
         mean, at = values[1:] / values[0], 0
@@ -450,7 +522,6 @@ def trained(training: DataFrame, rows: int, begins: np.ndarray, ranks: list[byte
             old = model.w[name]
             model.w[name] = mean[at : at + old.size].astype(np.float32).reshape(old.shape)
             at += old.size
-    release(sample)
     return model, chain
 
 
@@ -459,28 +530,32 @@ def _scorer(ranks: list[bytes], model: Attention, chain: Chain, shares: Shares,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller = Speller(ranks)
-        reader, first_logs = Reader(speller, model), shares.first_logs()
+        words, reader, first_logs = Words(speller), Reader(speller, model), shares.first_logs()
         base_log = np.log10((head_counts + 1) / (total + distinct + 1))
         names = ["rid", "doc", "held_out", "n_tokens", "n_known", "base", "score", "plain", "h", "f", "rest", "times"]
         none = lambda kind, size: pa.nulls(size, kind)
         for batch in batches:
             rids = batch.column(0).to_numpy()
-            for at, to, data, offsets in blocks(batch.column(3), 1 << 19):
-                hashes, starts, ends_, texts = speller.words(data, offsets)
-                ids, counts = speller.spell(data, starts, ends_)
-                first, rest = speller.first[ids[np.cumsum(counts) - counts]] if len(ids) else np.zeros(0, np.int32), chain.rest(ids, counts)
+            for at, to, data, offsets in blocks(batch.column(3)):
+                words.add(data, offsets)
+                hashes, ids, counts, own, texts = words.take()
+                first, rest = speller.first[ids[np.cumsum(counts) - counts]], chain.rest(ids, counts)
                 n, row = to - at, np.repeat(np.arange(to - at), np.diff(texts))
                 where = np.minimum(np.searchsorted(head, hashes), max(0, len(head) - 1))
                 known = head[where] == hashes if len(head) else np.zeros(len(hashes), bool)
-                base = np.bincount(row[known], base_log[where[known]], n) + np.log10((ends + 1) / (total + distinct + 1))
-                own = np.bincount(row[known], shares.logs(first[known], head_counts[where[known]], rest[known]), n)
-                plain = own + np.bincount(row, first_logs[first], n) + first_logs[speller.end]
-                score = own + reader.log_probabilities(*with_ends(ids, counts, texts, speller.size))
-                hits = np.bincount(row[known], minlength=n) + (ends > 0)
-                other = np.flatnonzero(~known)
-                other = other[np.lexsort((hashes[other], row[other]))]
-                new = np.flatnonzero(np.concatenate([[True], (row[other][1:] != row[other][:-1]) | (hashes[other][1:] != hashes[other][:-1])])) if len(other) else np.zeros(0, np.int64)
-                times, other = np.diff(np.append(new, len(other))), other[new]
+                # Logs of each distinct word: of its share, if it is known, and of its first id without context.
+                in_base, in_own = np.zeros(len(hashes)), np.zeros(len(hashes))
+                in_base[known] = base_log[where[known]]
+                in_own[known] = shares.logs(first[known], head_counts[where[known]], rest[known])
+                base = np.bincount(row, in_base[own], n) + np.log10((ends + 1) / (total + distinct + 1))
+                share = np.bincount(row, in_own[own], n)
+                plain = share + np.bincount(row, first_logs[first][own], n) + first_logs[speller.end]
+                ended, _, begin = with_ends(own, np.ones(len(own), np.int64), texts, len(hashes))
+                score = share + reader.log_probabilities(np.append(ids, speller.size), np.append(counts, 1), ended, begin)
+                hits = np.bincount(row[known[own]], minlength=n) + (ends > 0)
+                other = np.flatnonzero(~known[own])
+                keys, times = np.unique(row[other] * max(1, len(hashes)) + own[other], return_counts=True)
+                at_row, other = keys // max(1, len(hashes)), keys % max(1, len(hashes))
                 k = len(other)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -492,7 +567,7 @@ def _scorer(ranks: list[bytes], model: Attention, chain: Chain, shares: Shares,
                 if k:
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(rids[at:to][row[other]]), none(pa.int64(), k), none(pa.bool_(), k), none(pa.int64(), k), none(pa.int64(), k),
+                            pa.array(rids[at:to][at_row]), none(pa.int64(), k), none(pa.bool_(), k), none(pa.int64(), k), none(pa.int64(), k),
                             *(none(pa.float64(), k) for _ in range(3)), pa.array(hashes[other].view(np.int64)), pa.array(first[other].astype(np.int32)), pa.array(rest[other]), pa.array(times),
                         ],
                         names=names,
@@ -526,15 +601,16 @@ def attention_scores(documents: DataFrame, ranks: list[bytes], id_col: str = "do
     """
     fold = remainder(F.col(id_col), folds)
     training = documents.where(fold != held)
-    counted = training.select(F.col(text).alias("text")).mapInArrow(_word_counter(ranks), "h long, f int, n long")
-    counts = materialize(counted.groupBy("h", "f").agg(F.sum("n").alias("n")), "counts")
+    counted = training.select(F.col(text).alias("text")).mapInArrow(_counter(ranks), "h long, f int, n long")
+    found = materialize(counted.groupBy("h", "f").agg(F.sum("n").alias("n")), "counts")
+    counts = found.where("f >= 0")
     ends, begins = training.count(), Speller(ranks).end
     by_first = counts.groupBy("f").agg(F.count("*").alias("v"), F.sum("n").alias("n")).toArrow()
     f, v, n = (by_first.column(k).to_numpy() for k in range(3))
     n, v = np.bincount(f, n, begins + 1), np.bincount(f, v, begins + 1)
     n[begins], v[begins] = ends, ends > 0
     total, distinct, shares = int(n.sum()), int(v.sum()), Shares(n, v)
-    model, chain = trained(training, ends, n, ranks, id_col, text)
+    model, chain = trained(training, ends, n, found, ranks, id_col, text)
     head, head_counts = frequent_words(counts)
 
     docs = documents.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc"), (fold == held).alias("held_out"), F.col(text).alias("text"))

@@ -603,6 +603,44 @@ def test_attention_learns_from_more_than_a_sample(spark, monkeypatch):
     assert sizes[0] > 1000 and 1.8 < sizes[1] / sizes[0] < 2.2
 
 
+def test_attention_learns_from_all(spark, monkeypatch):
+    """The chain counts every training word, and every training document is learned from, in one round each."""
+    import numpy as np
+
+    from stepweave.llm import op10_attention as op
+
+    n, seen = 3000, []
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b"), F.col("id")).alias("text"))
+    keyed, shards = op.training_share(docs, n, "doc_id", "text")
+    assert keyed.count() == n and shards > 1 and op.training_share(docs, n, "doc_id", "text", 64 << 20)[1] == 64
+    keep, plain = op.Chain, op.Chain.__init__
+    monkeypatch.setattr(op.Chain, "__init__", lambda self, keys, counts, size, *more: (seen.append((keys, counts, size)), plain(self, keys, counts, size, *more))[1])
+    got = op.attention_scores(docs, op.load_ranks()).first()
+    keys, counts, size = seen[0]
+    # Each training word has one stop, each training document one end more.
+    assert keep is op.Chain and counts[keys % (size + 1) == size].sum() * 3 == got["train_tokens"] * 2
+    where, real = op.windows_of(np.array([5, 32, 100]), np.array([0, 6, 39]), op.WINDOW)
+    assert np.bincount(where[real], minlength=139).tolist() == [1] * 5 + [0] + [1] * 32 + [0] + [1] * 100
+
+
+def test_attention_sums():
+    """Means over words of many ids, and softmax far from 0, are those of plain code."""
+    import numpy as np
+
+    from stepweave.llm.op10_attention import exponentials, means, softmax
+
+    r = np.random.default_rng(8)
+    counts, table = np.array([1, 40, 3, 16, 17, 2, 1]), r.normal(size=(9, 4))
+    ids = r.integers(0, 9, counts.sum())
+    want = [table[ids[e - n : e]].mean(0) for n, e in zip(counts, np.cumsum(counts), strict=True)]
+    assert np.allclose(means(table, ids, counts), want) and means(table, ids[:0], counts[:0]).shape == (0, 4)
+    for shift in (0, 500, -500):
+        z = r.normal(size=(6, 5)).astype(np.float32) + np.float32(shift)
+        wide = np.exp(z.astype(np.float64) - z.max())
+        p, logs = softmax(z.copy()), exponentials(z.copy())[1]
+        assert np.allclose(p, wide / wide.sum(1, keepdims=True), rtol=1e-4) and np.allclose(logs, np.log(wide.sum(1)) + z.max(), rtol=1e-4)
+
+
 def test_take_mix(spark):
     """Every source comes to its budget word by word, texts and own columns stay, and the parts are those of mix_sources."""
     from stepweave.llm.op8_mixing import mix_sources, take_mix
