@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,11 @@ from stepweave.llm.shared import WordHasher, blocks, materialize
 FOLDER, RANKS, STRETCH = "/opt/tokenizers", 2048, 64
 WIDTH, WINDOW, STRIDE, HEAD, TRUST, DISCOUNT = 16, 32, 24, 100_000, 10.0, 0.75
 SHARD, SHARD_WORDS, ROUNDS, STEPS, BATCH = 2000, 1 << 20, 2, 60, 256
+SCALE = WIDTH**-0.5
+#: Bytes whose words are hashed side by side, and words that are spelled and scored so.
+PIECE, SIDE = 1 << 18, 1 << 19
+#: Windows that are read side by side, few enough to stay in the cache; a batch is the sum of its parts.
+BATCH_PART = 128
 
 
 def load_ranks(path: str = f"{FOLDER}/byte_bpe_multi_50k.tiktoken", ranks: int = RANKS) -> list[bytes]:
@@ -62,14 +68,13 @@ class Speller:
 
     def __init__(self, ranks: list[bytes]):
         self.size, self.hasher = len(ranks), WordHasher()
-        self.lower = np.arange(256)
-        self.lower[65:91] += 32
+        self.lower_table = bytes(k + 32 if 65 <= k < 91 else k for k in range(256))
         prefixes = {b"": 0}
         for piece in ranks:
             for k in range(1, len(piece) + 1):
                 prefixes.setdefault(piece[:k], len(prefixes))
         #: Prefix and next byte to the longer prefix, 0 for none; prefix to the id it is, -1 for none.
-        self.longer, self.id_of = np.zeros((len(prefixes), 256), np.int32), np.full(len(prefixes), -1, np.int32)
+        self.longer, self.id_of = np.zeros((len(prefixes), 256), np.int64), np.full(len(prefixes), -1, np.int32)
         for prefix, k in prefixes.items():
             if prefix:
                 self.longer[prefixes[prefix[:-1]], prefix[-1]] = k
@@ -83,17 +88,25 @@ class Speller:
         self.first[self.size] = self.end = len(self.begins)
         self.classes = self.members = int(np.ceil(np.sqrt(self.end + 1)))
 
+    def lower(self, data: np.ndarray) -> np.ndarray:
+        return np.frombuffer(data.tobytes().translate(self.lower_table), np.uint8)
+
     def longest(self, data: np.ndarray, at: np.ndarray, to: np.ndarray, prefix: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The longest subword from each place on, and where it ends; prefix and ids: what is read before that place."""
-        end, rows, place = at.copy(), np.arange(len(at)), at.copy()
+        """The longest subword from each place of lower-case bytes on, and where it ends; prefix and ids: what is read before that place."""
+        end, table = at.copy(), self.longer.ravel()
+        rows = np.flatnonzero(at < to)
+        place, left, prefix = at.take(rows), (to - at).take(rows), prefix.take(rows)
         while len(rows):
-            open_ = place < to[rows]
-            rows, place, prefix = rows[open_], place[open_], prefix[open_]
-            prefix = self.longer[prefix, self.lower[data[place]]]
-            rows, place, prefix = rows[prefix > 0], place[prefix > 0] + 1, prefix[prefix > 0]
-            found = self.id_of[prefix]
-            is_id = found >= 0
-            ids[rows[is_id]], end[rows[is_id]] = found[is_id], place[is_id]
+            prefix = table.take(prefix * 256 + data.take(place))
+            some = np.flatnonzero(prefix)
+            rows, place, left, prefix = rows.take(some), place.take(some) + 1, left.take(some) - 1, prefix.take(some)
+            found = self.id_of.take(prefix)
+            some = np.flatnonzero(found >= 0)
+            own = rows.take(some)
+            ids[own], end[own] = found.take(some), place.take(some)
+            some = np.flatnonzero(left)
+            if len(some) < len(rows):
+                rows, place, left, prefix = rows.take(some), place.take(some), left.take(some), prefix.take(some)
         return ids, end
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,10 +117,11 @@ class Speller:
     def first_ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The first subword of each word; the blank before a word is its first byte."""
         to = np.minimum(ends, starts + STRETCH)
-        return self.longest(data, starts, to, np.full(len(starts), self.blank), np.full(len(starts), self.id_of[self.blank]))[0]
+        return self.longest(self.lower(data), starts, to, np.full(len(starts), self.blank), np.full(len(starts), self.id_of[self.blank]))[0]
 
     def spell(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after the other, and how many each word has."""
+        data = self.lower(data)
         parts = -(-(ends - starts) // STRETCH)
         word = np.repeat(np.arange(len(starts)), parts)
         nth = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -200,9 +214,9 @@ def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, np.log(total) + top[:, 0]
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    """The softmax of each row, written over z."""
-    z *= (1 / exponentials(z)[0])[:, None]
+def softmax(z: np.ndarray, weight: float = 1.0) -> np.ndarray:
+    """The softmax of each row times the weight, written over z."""
+    z *= (z.dtype.type(weight) / exponentials(z)[0])[:, None]
     return z
 
 
@@ -226,16 +240,20 @@ class Attention:
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
         self.before = (self.mask == 0).astype(np.float32)
 
-    def attend(self, q: np.ndarray, k: np.ndarray) -> np.ndarray:
-        s = (q * q.dtype.type(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
+    def powers(self, q: np.ndarray, k: np.ndarray, skip: int = 0) -> np.ndarray:
+        """Each row's weights before they are divided by their sum; q: scaled by SCALE, of a window's places from `skip` on."""
+        s = q @ k.transpose(0, 2, 1)
         if s.size and max(s.max(), -s.min()) > 60:
-            s += self.mask
+            s += self.mask[skip:]
             s -= s.max(-1, keepdims=True)
         np.exp(s, out=s)
-        s *= self.before
-        s *= (1 / (s.reshape(-1, s.shape[-1]) @ np.ones(s.shape[-1], s.dtype))).reshape(*s.shape[:2], 1)
+        s *= self.before[skip:]
         return s
 
+    def attend(self, q: np.ndarray, k: np.ndarray) -> np.ndarray:
+        s = self.powers(q * q.dtype.type(SCALE), k)
+        return s / s.sum(-1, keepdims=True)
+
     def by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
         """The rows of the targets in the order of their classes, their members in that order, and each class with its first and end there."""
         of_class = y // self.members
@@ -243,21 +261,24 @@ class Attention:
         bounds = np.searchsorted(of_class[order], np.arange(self.classes + 1))
         return order, y[order] % self.members, [(int(c), int(bounds[c]), int(bounds[c + 1])) for c in np.flatnonzero(np.diff(bounds))]
 
-    def member_logits(self, h: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
-        """What the members of each row's class get; rows in the order of their classes."""
+    def with_biases(self) -> tuple[np.ndarray, np.ndarray]:
+        """U over b and each class's M over its m, for rows of h that end in a 1."""
+        return np.concatenate([self.w["U"], self.w["b"][None]]), np.concatenate([self.w["M"], self.w["m"][:, None]], 1)
+
+    def member_logits(self, h: np.ndarray, table: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+        """What the members of each row's class get; rows in the order of their classes, table: as with_biases() gives it."""
         z = np.empty((len(h), self.members), h.dtype)
         for c, a, b in spans:
-            np.matmul(h[a:b], self.w["M"][c], out=z[a:b])
-            z[a:b] += self.w["m"][c]
+            np.matmul(h[a:b], table[c], out=z[a:b])
         return z
 
     def head(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """log P(y | h) of each row."""
         order, member, spans = self.by_class(y)
-        rows, h = np.arange(len(y)), h[order]
-        z, out = h @ self.w["U"] + self.w["b"], np.zeros(len(y), h.dtype)
+        rows, h, (to_class, to_member) = np.arange(len(y)), ones_after(h, order), self.with_biases()
+        z, out = h @ to_class, np.zeros(len(y), h.dtype)
         own = z[rows, y[order] // self.members] - exponentials(z)[1]
-        z = self.member_logits(h, spans)
+        z = self.member_logits(h, to_member, spans)
         out[order] = own + z[rows, member] - exponentials(z)[1]
         return out
 
@@ -283,9 +304,12 @@ class Attention:
             for at in range(0, len(order), batch):
                 step += 1
                 some = order[at : at + batch]
-                own = x[some].ravel()
-                n = counts[own]
-                g = flat_weights(self.slopes(ids[np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n, y[some]))
+                g, learned = np.zeros_like(flat), max(1, np.count_nonzero(y[some] >= 0))
+                for part in (some[k : k + BATCH_PART] for k in range(0, len(some), BATCH_PART)):
+                    own = x[part].ravel()
+                    n = counts[own]
+                    slopes = self.slopes(ids[np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n, y[part])
+                    g += flat_weights(slopes) * flat.dtype.type(np.count_nonzero(y[part] >= 0) / learned)
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 now = rate * (1 - step / (total + 1)) / (1 - 0.9**step)
@@ -294,47 +318,88 @@ class Attention:
 
     def slopes(self, flat: np.ndarray, n: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean loss per word; flat: the ids of all words, n: of each word; a target of -1 counts for nothing."""
-        w, flat2 = self.w, lambda t: t.reshape(-1, WIDTH)
-        e = means(w["E"], flat, n).reshape(*y.shape, WIDTH) + w["P"]
-        q, k, v = ((flat2(e) @ w[name]).reshape(e.shape) for name in ("Wq", "Wk", "Wv"))
-        a = self.attend(q, k)
-        c = a @ v
+        w, flat2, d = self.w, lambda t: t.reshape(-1, t.shape[-1]), WIDTH
+        e = means(w["E"], flat, n).reshape(*y.shape, d) + w["P"]
+        scale = e.dtype.type(SCALE)
+        to_all = np.concatenate([w["Wq"] * scale, w["Wk"], w["Wv"]], 1)
+        # Queries, keys, and values with a 1, which sums up the weights.
+        both = np.ones((*y.shape, 3 * d + 1), e.dtype)
+        np.matmul(flat2(e), to_all, out=flat2(both)[:, :-1])
+        q, k, v = both[:, :, :d], both[:, :, d : 2 * d], both[:, :, 2 * d :]
+        s = self.powers(q, k)
+        c = s @ v
+        share = 1 / c[:, :, d:]
+        c = c[:, :, :d] * share
         h = flat2(e) + flat2(c) @ w["Wo"]
         real = np.flatnonzero(y.ravel() >= 0)
         order, member, spans = self.by_class(y.ravel()[real])
         real = real[order]
-        target, held, rows, weight = y.ravel()[real] // self.members, h[real], np.arange(len(real)), h.dtype.type(1 / max(1, len(real)))
-        p = softmax(held @ w["U"] + w["b"])
-        p[rows, target] -= 1
-        p *= weight
-        g = {"U": held.T @ p, "b": p.sum(0), "M": np.zeros_like(w["M"]), "m": np.zeros_like(w["m"])}
+        held, (to_class, to_member) = ones_after(h, real), self.with_biases()
+        p = loss_slopes(held @ to_class, y.ravel()[real] // self.members)
+        by_class, by_member = across(held, p), np.zeros_like(to_member)
         dheld = p @ w["U"].T
-        p = softmax(self.member_logits(held, spans))
-        p[rows, member] -= 1
-        p *= weight
+        p = loss_slopes(self.member_logits(held, to_member, spans), member)
         for of, first, end in spans:
-            g["M"][of], g["m"][of] = held[first:end].T @ p[first:end], p[first:end].sum(0)
+            np.matmul(held[first:end].T, p[first:end], out=by_member[of])
             dheld[first:end] += p[first:end] @ w["M"][of].T
+        g = {"U": by_class[:d], "b": by_class[d], "M": by_member[:, :d], "m": by_member[:, d]}
         dh = np.zeros_like(h)
         dh[real] = dheld
-        g["Wo"] = flat2(c).T @ dh
-        dc = (dh @ w["Wo"].T).reshape(c.shape)
-        dv = a.transpose(0, 2, 1) @ dc
+        g["Wo"] = across(flat2(c), dh)
         # A row's slopes weighed by its attention come to the product of its output and that output's slope.
-        ds = dc @ v.transpose(0, 2, 1)
-        ds -= np.einsum("tij,tij->ti", dc, c)[:, :, None]
-        ds *= a
-        scale = h.dtype.type(WIDTH**-0.5)
-        dq, dk, dv = flat2(ds @ k * scale), flat2(ds.transpose(0, 2, 1) @ q * scale), flat2(dv)
-        g |= {"Wq": flat2(e).T @ dq, "Wk": flat2(e).T @ dk, "Wv": flat2(e).T @ dv}
-        de = dh + dq @ w["Wq"].T + dk @ w["Wk"].T + dv @ w["Wv"].T
+        dv = np.empty((*y.shape, d + 1), h.dtype)
+        dc = dv[:, :, :d]
+        np.matmul(dh, w["Wo"].T, out=flat2(dv)[:, :d])
+        dc *= share
+        dv[:, :, d] = (flat2(dc * c) @ np.full(d, -1, h.dtype)).reshape(y.shape)
+        ds = dv @ np.ascontiguousarray(v.transpose(0, 2, 1))
+        ds *= s
+        dall = np.empty((*y.shape, 3 * d), h.dtype)
+        np.matmul(ds, k, out=dall[:, :, :d])
+        np.matmul(ds.transpose(0, 2, 1), q, out=dall[:, :, d : 2 * d])
+        np.matmul(s.transpose(0, 2, 1), dc, out=dall[:, :, 2 * d :])
+        g |= zip(("Wq", "Wk", "Wv"), np.split(across(flat2(e), flat2(dall)), 3, 1), strict=True)
+        g["Wq"] = g["Wq"] * scale
+        de = dh + flat2(dall) @ to_all.T
         g["P"] = de.reshape(e.shape).sum(0)
-        word, columns = np.repeat(np.arange(len(n)), n), np.ascontiguousarray((de / n[:, None].astype(h.dtype)).T, np.float64)
-        flat = flat.astype(np.intp)
-        g["E"] = np.stack([np.bincount(flat, column.take(word), len(w["E"])) for column in columns], 1).astype(np.float32)
+        de /= n[:, None].astype(h.dtype)
+        g["E"] = sums_by(flat, de, np.repeat(np.arange(len(n)), n), len(w["E"]))
         return g
 
 
+def sums_by(key: np.ndarray, table: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """For each key below size the sum of its rows of the table, which are laid side by side."""
+    order = np.argsort(key.astype(np.int16 if size < 1 << 15 else np.int64), kind="stable")
+    many = np.bincount(key, minlength=size)
+    some = np.flatnonzero(many)
+    out = np.zeros((size, table.shape[1]), table.dtype)
+    if len(some):
+        out[some] = np.add.reduceat(table.take(rows.take(order), axis=0), (np.cumsum(many) - many)[some], axis=0)
+    return out
+
+
+def across(a: np.ndarray, b: np.ndarray, some: int = 256) -> np.ndarray:
+    """a' b, summed over `some` rows at a time, which stay in the cache."""
+    whole = len(a) // some * some
+    parts = a[:whole].reshape(-1, some, a.shape[1]).transpose(0, 2, 1) @ b[:whole].reshape(-1, some, b.shape[1])
+    return parts.sum(0) + a[whole:].T @ b[whole:]
+
+
+def ones_after(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows of h with a 1 after each."""
+    out = np.ones((len(rows), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h.take(rows, axis=0)
+    return out
+
+
+def loss_slopes(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The slopes of the mean over the rows of -log softmax(z)[target], written over z."""
+    weight = z.dtype.type(1 / max(1, len(z)))
+    softmax(z, weight)
+    z[np.arange(len(z)), target] -= weight
+    return z
+
+
 def windows_of(inputs: np.ndarray, begin: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Places of all windows' words, texts of `inputs` words that are read beginning at `begin`, and which of these there are."""
     text, nth = windows_by_text(inputs, stride)
@@ -354,11 +419,12 @@ class Reader:
 
     def __init__(self, speller: Speller, model: Attention):
         self.speller, self.model, w = speller, model, model.w
-        #: From a word's or a place's embedding to itself, its query, its key and its value, side by side.
-        self.to_all = np.concatenate([np.eye(WIDTH, dtype=np.float32), w["Wq"], w["Wk"], w["Wv"]], 1)
+        #: From a word's or a place's embedding to itself, its query, its key and its value, side by side, and to a 1 that sums up the weights.
+        self.to_all = np.concatenate([np.eye(WIDTH, dtype=np.float32), w["Wq"] * np.float32(SCALE), w["Wk"], w["Wv"], np.zeros((WIDTH, 1), np.float32)], 1)
         self.place = w["P"] @ self.to_all
+        self.place[:, -1] = 1
 
-    def log_probabilities(self, ids: np.ndarray, counts: np.ndarray, words: np.ndarray, texts: np.ndarray, some: int = 256) -> np.ndarray:
+    def log_probabilities(self, ids: np.ndarray, counts: np.ndarray, words: np.ndarray, texts: np.ndarray, some: int = BATCH_PART) -> np.ndarray:
         """Sum of log P of the first ids of each text's words after its first; all as in Attention.train(), each text led by the end."""
         model, w = self.model, self.model.w
         columns = means(w["E"], ids, counts) @ self.to_all
@@ -366,20 +432,21 @@ class Reader:
         inputs = np.diff(texts) - 1
         text, nth = windows_by_text(inputs)
         place, total = np.arange(WINDOW), np.zeros(len(inputs))
-        for at in range(0, len(text), some):
-            t, n = text[at : at + some], nth[at : at + some]
-            inside = (n * STRIDE)[:, None] + place
-            x = np.minimum(texts[t][:, None] + inside, len(words) - 1)
-            scored = inside < inputs[t][:, None]
-            scored &= (n == 0)[:, None] | (place >= WINDOW - STRIDE)
-            both = columns.take(words[x], axis=0)
-            both += self.place
-            e, q, k, v = (both[:, :, a : a + WIDTH] for a in range(0, 4 * WIDTH, WIDTH))
-            c = model.attend(q, k) @ v
-            own = np.flatnonzero(scored.ravel())
-            h = e.reshape(-1, WIDTH).take(own, axis=0) + c.reshape(-1, WIDTH).take(own, axis=0) @ w["Wo"]
-            logs = model.head(h, first.take(x.ravel().take(own) + 1))
-            total += np.bincount(t.repeat(WINDOW).take(own), logs, len(total))
+        # A text's first window scores all of its words, each other one those that none before it has scored.
+        for skip, windows in ((0, np.flatnonzero(nth == 0)), (WINDOW - STRIDE, np.flatnonzero(nth))):
+            for at in range(0, len(windows), some):
+                t, n = text[windows[at : at + some]], nth[windows[at : at + some]]
+                inside = (n * STRIDE)[:, None] + place
+                x = np.minimum(texts[t][:, None] + inside, len(words) - 1)
+                both = columns.take(words[x], axis=0)
+                both += self.place
+                q, k, v = both[:, skip:, WIDTH : 2 * WIDTH], both[:, :, 2 * WIDTH : 3 * WIDTH], both[:, :, 3 * WIDTH :]
+                c = model.powers(q, k, skip) @ v
+                own = np.flatnonzero(inside[:, skip:] < inputs[t][:, None])
+                c = c.reshape(-1, WIDTH + 1).take(own, axis=0)
+                h = both[:, skip:, :WIDTH].reshape(-1, WIDTH).take(own, axis=0) + (c[:, :-1] / c[:, -1:]) @ w["Wo"]
+                logs = model.head(h, first.take(x[:, skip:].ravel().take(own) + 1))
+                total += np.bincount(t.repeat(WINDOW - skip).take(own), logs, len(total))
         return total
 
 
@@ -395,29 +462,36 @@ def with_ends(ids: np.ndarray, counts: np.ndarray, first: np.ndarray, end: int)
     return out, more, texts
 
 
+def distinct_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in the order in which they come, a place of each, and which of them each value is; by a hash table, where np.unique() would sort."""
+    coded = pa.array(values).dictionary_encode()
+    distinct, own = coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
+    at = np.zeros(len(distinct), np.int64)
+    at[own] = np.arange(len(own))
+    return distinct, at, own
+
+
 class Words:
-    """Words of many blocks: the text of each distinct one is kept once a block, and spelled once in all."""
+    """Words of many blocks, of which each distinct one is spelled once in all.
+
+    size: how many words are held, or 16 bytes where these make more, so that blanks and long words are bounded too.
+    """
 
     def __init__(self, speller: Speller):
         self.speller, self.held, self.size = speller, [], 0
 
     def add(self, data: np.ndarray, offsets: np.ndarray) -> None:
-        hashes, starts, ends, first = self.speller.words(data, offsets)
-        values, at, own = np.unique(hashes, return_index=True, return_inverse=True)
-        n = ends[at] - starts[at]
-        begin = np.cumsum(n) - n
-        self.held.append((values, data[np.repeat(starts[at] - begin, n) + np.arange(n.sum())], n, own, first))
-        self.size += len(hashes)
+        self.held.append((data, *self.speller.words(data, offsets)))
+        self.size += max(len(self.held[-1][1]), len(data) // 16)
 
     def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hashes, ids and numbers of ids of the distinct words, which of them each word is, and each text's first word; forgets them."""
-        hashes, data, n = (np.concatenate([x[k] for x in self.held]) for k in range(3))
-        values, at, to = np.unique(hashes, return_index=True, return_inverse=True)
-        ends = np.cumsum(n)
-        ids, counts = self.speller.spell(data, (ends - n)[at], ends[at])
-        bounds = np.cumsum([0, *(len(x[0]) for x in self.held)])
-        words = np.concatenate([to[a:b][x[3]] for x, a, b in zip(self.held, bounds[:-1], bounds[1:], strict=True)])
+        data, hashes = (np.concatenate([x[k] for x in self.held]) for k in range(2))
+        begin = np.cumsum([0, *(len(x[0]) for x in self.held)])
+        starts, ends = (np.concatenate([x[k] + b for x, b in zip(self.held, begin, strict=False)]) for k in (2, 3))
         first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[4]) for x in self.held]))])
+        values, at, words = distinct_of(hashes)
+        ids, counts = self.speller.spell(data, starts[at], ends[at])
         self.held, self.size = [], 0
         return values, ids, counts, words, first
 
@@ -428,7 +502,7 @@ class Words:
         return np.append(ids, self.speller.size), np.append(counts, 1), words, texts
 
 
-def _counter(ranks: list[bytes], most: int = 1 << 20):
+def _counter(ranks: list[bytes], most: int = 2 * SHARD_WORDS):
     """mapInArrow function: (text) to (word hash, first id, count) and, with -1 for the first id, (key of an id pair, count), see Chain; counted over about `most` words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,14 +513,14 @@ def _counter(ranks: list[bytes], most: int = 1 << 20):
             values, ids, counts, own, _ = words.take()
             times, begin = np.bincount(own, minlength=len(values)), np.cumsum(counts) - counts
             pairs = ids.astype(np.int64) * (speller.size + 1) + follows(ids, counts, speller.size)
-            keys, at = np.unique(pairs, return_inverse=True)
+            keys, _, at = distinct_of(pairs)
             pair_times = np.bincount(at, np.repeat(times, counts)).astype(np.int64)
             h, n = np.concatenate([values.view(np.int64), keys]), np.concatenate([times, pair_times])
             f = np.concatenate([speller.first[ids[begin]], np.full(len(keys), -1)]).astype(np.int32)
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array(f), pa.array(n)], names=["h", "f", "n"])
 
         for batch in batches:
-            for _, _, data, offsets in blocks(batch.column(0)):
+            for _, _, data, offsets in blocks(batch.column(0), PIECE):
                 words.add(data, offsets)
                 if words.size >= most:
                     yield flush()
@@ -473,7 +547,7 @@ def _trainer(ranks: list[bytes], begins: np.ndarray, weights: dict, epochs: int,
             return len(windows_by_text(np.diff(texts) - 1, WINDOW)[0])
 
         for batch in batches:
-            for _, _, data, offsets in blocks(batch.column(0)):
+            for _, _, data, offsets in blocks(batch.column(0), PIECE):
                 words.add(data, offsets)
                 if words.size >= most:
                     windows += learn()
@@ -526,23 +600,24 @@ def trained(training: DataFrame, rows: int, begins: np.ndarray, counts: DataFram
 
 
 def _scorer(ranks: list[bytes], model: Attention, chain: Chain, shares: Shares, head: np.ndarray, head_counts: np.ndarray, ends: int, total: int, distinct: int):
-    """mapInArrow function: (row, id, held_out, text) to a row per text, and one per other word of it (h not null)."""
+    """mapInArrow function: (row, id, held_out, text) to a row per text, with a list of its other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller = Speller(ranks)
         words, reader, first_logs = Words(speller), Reader(speller, model), shares.first_logs()
-        base_log = np.log10((head_counts + 1) / (total + distinct + 1))
-        names = ["rid", "doc", "held_out", "n_tokens", "n_known", "base", "score", "plain", "h", "f", "rest", "times"]
-        none = lambda kind, size: pa.nulls(size, kind)
+        head_set, base_log = pa.array(head), np.log10((head_counts + 1) / (total + distinct + 1))
+        names = ["rid", "doc", "held_out", "n_tokens", "n_known", "base", "score", "plain", "other"]
         for batch in batches:
-            rids = batch.column(0).to_numpy()
-            for at, to, data, offsets in blocks(batch.column(3)):
+            at, rids = 0, batch.column(0).to_numpy()
+            for _, to, data, offsets in blocks(batch.column(3), PIECE):
                 words.add(data, offsets)
+                if words.size < SIDE and to < len(rids):
+                    continue
                 hashes, ids, counts, own, texts = words.take()
                 first, rest = speller.first[ids[np.cumsum(counts) - counts]], chain.rest(ids, counts)
                 n, row = to - at, np.repeat(np.arange(to - at), np.diff(texts))
-                where = np.minimum(np.searchsorted(head, hashes), max(0, len(head) - 1))
-                known = head[where] == hashes if len(head) else np.zeros(len(hashes), bool)
+                where = pc.index_in(pa.array(hashes), value_set=head_set).fill_null(-1).to_numpy()
+                known = where >= 0
                 # Logs of each distinct word: of its share, if it is known, and of its first id without context.
                 in_base, in_own = np.zeros(len(hashes)), np.zeros(len(hashes))
                 in_base[known] = base_log[where[known]]
@@ -554,24 +629,21 @@ def _scorer(ranks: list[bytes], model: Attention, chain: Chain, shares: Shares,
                 score = share + reader.log_probabilities(np.append(ids, speller.size), np.append(counts, 1), ended, begin)
                 hits = np.bincount(row[known[own]], minlength=n) + (ends > 0)
                 other = np.flatnonzero(~known[own])
-                keys, times = np.unique(row[other] * max(1, len(hashes)) + own[other], return_counts=True)
+                keys, _, which = distinct_of(row[other] * max(1, len(hashes)) + own[other])
+                times = np.bincount(which, minlength=len(keys))
                 at_row, other = keys // max(1, len(hashes)), keys % max(1, len(hashes))
-                k = len(other)
+                fields = {"h": hashes[other].view(np.int64), "f": first[other].astype(np.int32), "rest": rest[other], "times": times}
+                # The pairs come text by text, as the words do.
+                bounds = pa.array(np.searchsorted(at_row, np.arange(n + 1)).astype(np.int32))
+                listed = pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], names=list(fields)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(rids[at:to]), batch.column(1).slice(at, n), batch.column(2).slice(at, n), pa.array(np.diff(texts) + 1), pa.array(hits.astype(np.int64)),
-                        *(pa.array(x) for x in (base, score / np.log(10), plain / np.log(10))), none(pa.int64(), n), none(pa.int32(), n), none(pa.float64(), n), none(pa.int64(), n),
+                        *(pa.array(x) for x in (base, score / np.log(10), plain / np.log(10))), listed,
                     ],
                     names=names,
                 )
-                if k:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(rids[at:to][at_row]), none(pa.int64(), k), none(pa.bool_(), k), none(pa.int64(), k), none(pa.int64(), k),
-                            *(none(pa.float64(), k) for _ in range(3)), pa.array(hashes[other].view(np.int64)), pa.array(first[other].astype(np.int32)), pa.array(rest[other]), pa.array(times),
-                        ],
-                        names=names,
-                    )
+                at = to
 
     return run
 
@@ -614,18 +686,18 @@ def attention_scores(documents: DataFrame, ranks: list[bytes], id_col: str = "do
     head, head_counts = frequent_words(counts)
 
     docs = documents.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc"), (fold == held).alias("held_out"), F.col(text).alias("text"))
-    schema = "rid long, doc long, held_out boolean, n_tokens long, n_known long, base double, score double, plain double, h long, f int, rest double, times long"
+    schema = "rid long, doc long, held_out boolean, n_tokens long, n_known long, base double, score double, plain double, other array<struct<h: long, f: int, rest: double, times: long>>"
     read = materialize(docs.mapInArrow(_scorer(ranks, model, chain, shares, head, head_counts, ends, total, distinct), schema), "scores")
     # The shares of words that did not travel, as in Shares.logs().
     of = lambda values: F.element_at(F.array(*(F.lit(float(x)) for x in values)), F.col("f") + 1)
-    other = read.where("h IS NOT NULL").select("rid", "h", "f", "rest", "times").join(counts.select("h", "n"), "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    other = read.select("rid", F.inline("other")).join(counts.select("h", "n"), "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     share = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / of(np.maximum(n, 1)) + of(shares.left) * F.col("rest")
     other = other.groupBy("rid").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known_more"),
         F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(total + distinct + 1))).alias("base_more"),
         F.sum(F.col("times") * F.log10(share)).alias("score_more"),
     )
-    out = read.where("h IS NULL").join(other, "rid", "left")
+    out = read.drop("other").join(other, "rid", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return out.select(
         F.col("doc").alias(id_col), "held_out", "n_tokens", plus("n_known", "known_more").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),

@@ -623,6 +623,36 @@ def test_attention_learns_from_all(spark, monkeypatch):
     assert np.bincount(where[real], minlength=139).tolist() == [1] * 5 + [0] + [1] * 32 + [0] + [1] * 100
 
 
+def test_attention_work():
+    """What costs time: a text gives one row, each word is spelled once however many pieces hold it, blanks are not held without bound, later windows weigh only places that they score."""
+    import numpy as np
+    import pyarrow as pa
+
+    from stepweave.llm import op10_attention as op
+
+    ranks, texts = op.load_ranks(), ["red Apple red", "", None, "apple zzz apple blue"]
+    speller, n = op.Speller(ranks), len(texts)
+    model = op.Attention(speller.size, speller.classes, speller.members, np.arange(speller.end + 1))
+    chain, ones = op.Chain(np.zeros(0, np.int64), np.zeros(0), speller.size), np.ones(speller.end + 1)
+    run = op._scorer(ranks, model, chain, op.Shares(ones, ones), np.zeros(0, np.uint64), np.zeros(0), 3, 10, 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array([False] * n), pa.array(texts)], names=list("abcd"))
+    rows = [r for out in run(iter([batch])) for r in out.to_pylist()]
+    assert [r["rid"] for r in rows] == [0, 1, 2, 3] and [sorted(w["times"] for w in r["other"]) for r in rows] == [[1, 2], [], [], [1, 1, 2]]
+    apple = [{w["h"] for w in r["other"] if w["times"] == k} for r, k in ((rows[0], 1), (rows[3], 2))]
+    assert apple[0] == apple[1]
+    words = op.Words(speller)
+    for _ in range(3):
+        words.add(np.frombuffer(b"red Apple", np.uint8), np.array([0, 9]))
+    words.add(np.full(1 << 16, 32, np.uint8), np.array([0, 1 << 16]))
+    assert words.size == 6 + (1 << 12)
+    values, _, counts, own, first = words.take()
+    assert len(values) == len(counts) == 2 and own.tolist() == [0, 1] * 3 and first.tolist() == [0, 2, 4, 6, 6] and words.size == 0
+    q, k = np.random.default_rng(4).normal(size=(2, 3, op.WINDOW, op.WIDTH))
+    for wide in (1, 40):
+        s = model.powers(wide * q[:, 8:] * op.SCALE, k, 8)
+        assert np.allclose(s / s.sum(-1, keepdims=True), model.attend(wide * q, k)[:, 8:])
+
+
 def test_attention_sums():
     """Means over words of many ids, and softmax far from 0, are those of plain code."""
     import numpy as np
