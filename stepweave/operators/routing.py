@@ -23,13 +23,14 @@ def few(anchors: DataFrame, most: int = MOST_ANCHORS) -> DataFrame:
     return F.broadcast(anchors)
 
 
-def rank_anchors(candidates: DataFrame, anchors: DataFrame, top: int = 3, digits: int = 5) -> DataFrame:
+def rank_anchors(candidates: DataFrame, anchors: DataFrame, top: int = 3, digits: int = 5, ranked_by: int = vector_search.DIGITS) -> DataFrame:
     """candidate_id, anchor, score, rank: the `top` most similar anchors of each candidate; ties in the anchors' order.
 
     candidates (candidate_id, vector) stream by the anchors (anchor, position, anchor_vector), which travel in blocks
-    of bounded size, however many there are; scores are rounded when they are ranked.
+    of bounded size, however many there are; scores are rounded to `digits` when they are ranked. ranked_by: the digits
+    within which scores are a tie.
     """
-    found = vector_search.nearest_of_few(candidates, "candidate_id", "vector", vector_search.sound(anchors, "position", "anchor_vector"), top)
+    found = vector_search.nearest_of_few(candidates, "candidate_id", "vector", vector_search.sound(anchors, "position", "anchor_vector"), top, ranked_by)
     named = found.join(anchors.select(F.col("position").cast("long").alias("id"), "anchor"), "id")
     return named.select("candidate_id", "anchor", F.round("score", digits).alias("score"), "rank")
 

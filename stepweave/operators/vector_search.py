@@ -182,8 +182,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str = "
     return _answered(sound(queries, id_col, vector), sound(vectors, id_col, vector), k)
 
 
-def nearest_of_few(rows: DataFrame, key: str, vector: str, others: DataFrame, k: int) -> DataFrame:
-    """key, id, score, rank: for each of rows the k of others (id, v) of greatest cosine. The others travel, in groups; rows are not shuffled for one group.
+def nearest_of_few(rows: DataFrame, key: str, vector: str, others: DataFrame, k: int, digits: int = DIGITS) -> DataFrame:
+    """key, id, score, rank: for each of rows the k of others (id, v) of greatest cosine to so many digits. The others travel, in groups; rows are not shuffled for one group.
 
     Rows with a null vector or a null or non-finite component have no answers; key may be of any type and repeated.
     """
@@ -199,7 +199,7 @@ def nearest_of_few(rows: DataFrame, key: str, vector: str, others: DataFrame, k:
     for group in (g for g in (first, second, *groups) if g is not None):
         sent = rows.sparkSession.sparkContext.broadcast(group)
         schema = f"key {kind}, id long, score double, rank int" + (", row long" if row else "")
-        parts.append(keyed.mapInArrow(_nearest_to_rows(sent, k, bool(row)), schema))
+        parts.append(keyed.mapInArrow(_nearest_to_rows(sent, k, bool(row), digits), schema))
     if not parts:
         return rows.sparkSession.createDataFrame([], f"key {kind}, id long, score double, rank int").withColumnRenamed("key", key)
     out = parts[0]
@@ -211,7 +211,7 @@ def nearest_of_few(rows: DataFrame, key: str, vector: str, others: DataFrame, k:
     return out.select(F.col("key").alias(key), "id", "score", "rank")
 
 
-def _nearest_to_rows(held, k: int, numbered: bool):
+def _nearest_to_rows(held, k: int, numbered: bool, digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, vectors in matrices(batch.column(1)):
@@ -222,7 +222,7 @@ def _nearest_to_rows(held, k: int, numbered: bool):
                 step = max(1, (1 << 21) // len(ids))
                 for at in range(0, len(rows), step):
                     part = rows[at : at + step]
-                    scores = np.round(vectors[at : at + step] @ others.T, DIGITS)
+                    scores = np.round(vectors[at : at + step] @ others.T, digits)
                     least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(part), -np.inf)
                     i, j = np.nonzero(scores >= least[:, None])
                     p, s, o, r = best_of(i, scores[i, j], ids[j], k)

@@ -142,8 +142,9 @@ def _anchors(e: DataFrame) -> DataFrame:
 
 @query(f"WITH {_ANCHOR_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC, anchor) AS rank FROM scores) SELECT candidate_id, anchor, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3")
 def anchor_topk(spark, sf_dir):
+    """Scores are ranked as they are given, to five digits."""
     e = table(spark, sf_dir, "embeddings")
-    return routing.rank_anchors(e.select(F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("vector")), _anchors(e))
+    return routing.rank_anchors(e.select(F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("vector")), _anchors(e), ranked_by=5)
 
 
 @query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.e, v.e) AS score FROM v AS q, v WHERE q.vec_id % 50 = 0) SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10")

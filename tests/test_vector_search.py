@@ -115,3 +115,19 @@ def test_near_ties_are_not_rounded_away(spark):
     anchors = [("first", 0, [1.0, 0.001]), ("second", 1, [1.0, 0.0])]
     got = routing.rank_anchors(spark.createDataFrame([("c", [1.0, 0.0])], "candidate_id string, vector array<double>"), spark.createDataFrame(anchors, "anchor string, position int, anchor_vector array<double>")).orderBy("rank").collect()
     assert [(r["anchor"], r["score"]) for r in got] == [("second", 1.0), ("first", 1.0)]
+
+
+@pytest.mark.parametrize("name", ["anchor_topk"])
+def test_queries_rank_rounded_scores(spark, tmp_path, name):
+    """Vectors so near each other that their scores are a tie after rounding, which the SQL breaks by the anchor."""
+    import duckdb
+
+    from stepweave.plans.queries import ORACLE, QUERIES
+
+    r = np.random.default_rng(5)
+    rows = [(k, k % 6, (np.array([1.0, 0.5, -0.3, 0.2]) + r.normal(size=4) / 500).tolist()) for k in range(60)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = [tuple(x) for x in QUERIES[name](spark, str(tmp_path)).select("candidate_id", "anchor", "score", "rank").collect()]
+    assert sorted(got) == sorted(duck.sql(f"SELECT candidate_id, anchor, score, rank FROM ({ORACLE[name]})").fetchall())
