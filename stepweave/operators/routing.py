@@ -100,12 +100,12 @@ def _similarities(held):
     return run
 
 
-def rerank_anchors(candidates: DataFrame, anchors: DataFrame, top: int = 3, digits: int = 5) -> DataFrame:
+def rerank_anchors(candidates: DataFrame, anchors: DataFrame, top: int = 3, digits: int = 5, ranked_by: int = vector_search.DIGITS) -> DataFrame:
     """candidate_id, anchor, score, rank: 0.75 of the best prototype's similarity, 0.25 of their mean, and what context adds.
 
     candidates: candidate_id, vector, hint, hint_candidates, hypernym, families; anchors: anchor, position and
-    prototypes (vectors), a fixed vocabulary. The anchors travel to the candidates, which are not shuffled; ties go by position, and
-    scores are rounded when they are ranked. A candidate without a vector has similarity 0 to all.
+    prototypes (vectors), a fixed vocabulary. The anchors travel to the candidates, which are not shuffled; ties, within
+    ranked_by digits, go by position, and scores are rounded to `digits` when they are ranked. A candidate without a vector has similarity 0 to all.
     """
     few(anchors)
     known = anchors.select("anchor", "position", F.transform("prototypes", lambda p: p.cast("array<double>")).alias("prototypes")).orderBy("position").collect()
@@ -119,7 +119,7 @@ def rerank_anchors(candidates: DataFrame, anchors: DataFrame, top: int = 3, digi
 
     def score(name: str, k: int) -> Column:
         more = rerank_adjustment(F.lit(name), F.col("hint"), F.col("hint_candidates"), F.col("hypernym"), F.col("families"))
-        return F.struct((-F.round(F.get("near", F.lit(k)) + more, vector_search.DIGITS)).alias("s"), F.lit(k).alias("p"), F.lit(name).alias("anchor"))
+        return F.struct((-F.round(F.get("near", F.lit(k)) + more, ranked_by)).alias("s"), F.lit(k).alias("p"), F.lit(name).alias("anchor"))
 
     every = F.array(*(score(r["anchor"], k) for k, r in enumerate(known)))
     flat = near.select("candidate_id", F.posexplode(F.slice(F.sort_array(every), 1, top)).alias("pos", "x"))

@@ -175,12 +175,13 @@ _RERANK_SQL = "p AS (SELECT label, embedding AS av FROM (SELECT *, row_number()
 
 @query(f"WITH {_RERANK_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC, anchor) AS rank FROM j) SELECT candidate_id, anchor, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3")
 def anchor_rerank(spark, sf_dir):
+    """Scores are ranked as they are given, to five digits."""
     e = table(spark, sf_dir, "embeddings")
     first = e.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("k <= 3")
     anchors = first.groupBy(F.col("label").alias("position")).agg(F.collect_list("embedding").alias("prototypes")).withColumn("anchor", F.col("position").cast("string"))
     none = F.lit(None).cast("array<string>")
     candidates = e.select(F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("hint"), none.alias("hint_candidates"), F.lit(None).cast("string").alias("hypernym"), none.alias("families"))
-    return routing.rerank_anchors(candidates, anchors).withColumn("anchor", F.col("anchor").cast(e.schema["label"].dataType))
+    return routing.rerank_anchors(candidates, anchors, ranked_by=5).withColumn("anchor", F.col("anchor").cast(e.schema["label"].dataType))
 
 
 _EDGES_SQL = "edges AS (SELECT r_name AS head, n_name AS tail, 'Asset' AS head_type, 'Component' AS tail_type, 'structural' AS family FROM region JOIN nation ON r_regionkey = n_regionkey UNION ALL SELECT n_name, s_name, 'Component', 'Connector', 'structural' FROM nation JOIN supplier ON n_nationkey = s_nationkey UNION ALL SELECT n_name, c_name, 'Component', 'Signal', 'structural' FROM nation JOIN customer ON n_nationkey = c_nationkey)"

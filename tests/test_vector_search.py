@@ -117,7 +117,7 @@ def test_near_ties_are_not_rounded_away(spark):
     assert [(r["anchor"], r["score"]) for r in got] == [("second", 1.0), ("first", 1.0)]
 
 
-@pytest.mark.parametrize("name", ["anchor_topk"])
+@pytest.mark.parametrize("name", ["anchor_topk", "anchor_rerank"])
 def test_queries_rank_rounded_scores(spark, tmp_path, name):
     """Vectors so near each other that their scores are a tie after rounding, which the SQL breaks by the anchor."""
     import duckdb
