@@ -65,17 +65,19 @@ def _flat(text: Column) -> Column:
 def surface_steps(labels: DataFrame, steps: DataFrame) -> DataFrame:
     """doc_id, label, step_id for labels that stand, as whole words, in the text of exactly one step (doc_id, step_id, text).
 
-    Short labels are left out. Every word of a label is a word of such a text, so the longest one is the join key.
+    Short labels are left out. Every word of a label is a word of such a text, so the longest one is the join key. Words travel
+    without their texts, which then meet the pairs of a label and a step; neither is broadcast, as Spark takes words for as few as their texts.
     """
     asked = labels.select("doc_id", "label").distinct().withColumn("_flat", _flat(F.col("label")))
     asked = asked.where((F.length("_flat") >= 5) & (F.col("_flat").contains(" ") | (F.length("_flat") >= 8)))
     key = F.array_max(F.transform(F.regexp_extract_all("_flat", F.lit(_WORD), 0), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.regexp_replace("_flat", r"\\E", r"\\E\\\\E\\Q"), F.lit(r"\E(?!\w)"))
-    asked = asked.withColumn("_key", F.coalesce(key, F.lit(""))).withColumn("_sought", quoted)
-    words = steps.select("doc_id", "step_id", _flat(F.col("text")).alias("_text"))
-    words = words.withColumn("_key", F.explode(F.array_distinct(F.concat(F.regexp_extract_all("_text", F.lit(_WORD), 0), F.array(F.lit(""))))))
-    met = asked.join(words, ["doc_id", "_key"]).where(F.rlike("_text", F.col("_sought")))
-    return met.groupBy("doc_id", "label").agg(F.count_distinct("step_id").alias("_n"), F.min("step_id").alias("step_id")).where("_n = 1").drop("_n")
+    asked = asked.select("doc_id", "label", F.coalesce(key, F.lit("")).alias("_key"))
+    texts = steps.select("doc_id", "step_id", _flat(F.col("text")).alias("_text"))
+    words = texts.select("doc_id", "step_id", F.explode(F.array_distinct(F.concat(F.regexp_extract_all("_text", F.lit(_WORD), 0), F.array(F.lit(""))))).alias("_key"))
+    pairs = asked.join(words.hint("merge"), ["doc_id", "_key"]).select("doc_id", "step_id", "label").distinct()
+    quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.regexp_replace(_flat(F.col("label")), r"\\E", r"\\E\\\\E\\Q"), F.lit(r"\E(?!\w)"))
+    met = pairs.join(texts.hint("merge"), ["doc_id", "step_id"]).where(F.rlike("_text", quoted))
+    return met.groupBy("doc_id", "label").agg(F.min("step_id").alias("step_id"), F.max("step_id").alias("_last")).where("step_id = _last").drop("_last")
 
 
 def place_transitions(transitions: DataFrame, steps: DataFrame) -> DataFrame:

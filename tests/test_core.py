@@ -280,3 +280,15 @@ def test_queries_reach_their_branches(spark):
     assert {r["phase"] for r in rows("step_phase_distribution")} == {"verify", "observe", "diagnose", "repair", "none"}
     hints = {r["hints"] for r in rows("type_hint_candidates")}
     assert {"", "Fault", "Signal", "State", "Component", "Component,Asset"} <= hints and any("," in h for h in hints - {"Component,Asset"})
+
+
+def test_surface_steps_of_files_travel_without_texts(spark, tmp_path):
+    """Files of few bytes, whose texts have many words: no side is broadcast, and a label is found wherever it stands."""
+    filler = " ".join(f"w{k}" for k in range(200))
+    rows = [(d, n, f"{filler} main valve {n % 4} {filler}") for d in range(20) for n in range(5)]
+    spark.createDataFrame([*rows, (0, 3, "spare hose"), (0, 3, "spare hose")], "doc_id long, step_id long, text string").write.parquet(f"{tmp_path}/steps")
+    steps = spark.read.parquet(f"{tmp_path}/steps")
+    labels = spark.createDataFrame([(d, x) for d in range(20) for x in ("Main Valve 1", "main valve 0", "w7 w8", "spare hose")], "doc_id long, label string")
+    out = extraction.surface_steps(labels, steps)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(0, "Main Valve 1", 1), (0, "spare hose", 3), *((d, "Main Valve 1", 1) for d in range(1, 20))]
