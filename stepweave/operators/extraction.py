@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stepweave import constants as K
 from stepweave.functions.text import step_id, whole_word
+from stepweave.session import ensure_checkpoint_dir
 
 _WORD = r"(?U)\w+"
 
@@ -47,10 +48,11 @@ def aliases(labels: DataFrame) -> DataFrame:
     """doc_id, label, alias_of for labels (doc_id, label, hint, pos; pos null unless of a concept) that exactly one longer label extends.
 
     The last concept of a label gives its hint; labels of two different hints are not the same thing.
-    A longer label is found by the shorter one's first token.
+    A longer label is found by the shorter one's first token. The distinct labels are read twice, so they are checkpointed.
     """
+    ensure_checkpoint_dir(labels.sparkSession)
     named = labels.select("doc_id", F.trim("label").alias("label"), "hint", "pos").where((F.col("label") != "") & step_id(F.col("label")).isNull())
-    named = named.groupBy("doc_id", "label").agg(F.max_by("hint", "pos").alias("hint")).withColumn("tokens", alias_tokens(F.col("label")))
+    named = named.groupBy("doc_id", "label").agg(F.max_by("hint", "pos").alias("hint")).withColumn("tokens", alias_tokens(F.col("label"))).checkpoint()
     short = named.where((F.size("tokens") > 1) | F.get("tokens", F.lit(0)).isin(*K.LONE_ALIASES)).withColumn("token", F.get("tokens", F.lit(0)))
     long = named.where(F.size("tokens") > 1).select("doc_id", F.col("label").alias("alias_of"), F.col("hint").alias("_hint"), F.col("tokens").alias("_tokens"), F.explode(F.array_distinct("tokens")).alias("token"))
     fits = (F.size("_tokens") > F.size("tokens")) & (F.col("hint").isNull() | F.col("_hint").isNull() | (F.col("hint") == F.col("_hint")))
@@ -62,24 +64,41 @@ def _flat(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
 
 
+#: A document's labels up to this number are each sought in all of its steps; of more, those that share a word with a step.
+FEW_LABELS = 64
+
+
 def surface_steps(labels: DataFrame, steps: DataFrame) -> DataFrame:
     """doc_id, label, step_id for labels that stand, as whole words, in the text of exactly one step (doc_id, step_id, text).
 
-    Short labels are left out. Every word of a label is a word of such a text, so the longest one is the join key. Words travel
-    without their texts, which then meet the pairs of a label and a step; neither is broadcast, as Spark takes words for as few as their texts.
+    Short labels are left out. The labels of each document are written once, in the shared folder of checkpoints. Where a document has
+    many, a label's longest word is the join key, as every word of a label is a word of such a text; words travel without their texts,
+    which then meet the pairs of a label and a step. No side is broadcast, as Spark takes words for as few as their texts.
     """
-    asked = labels.select("doc_id", "label").distinct().withColumn("_flat", _flat(F.col("label")))
+    ensure_checkpoint_dir(labels.sparkSession)
+    asked = labels.where("doc_id IS NOT NULL").select("doc_id", "label").distinct().withColumn("_flat", _flat(F.col("label")))
     asked = asked.where((F.length("_flat") >= 5) & (F.col("_flat").contains(" ") | (F.length("_flat") >= 8)))
-    key = F.array_max(F.transform(F.regexp_extract_all("_flat", F.lit(_WORD), 0), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    asked = asked.select("doc_id", "label", F.coalesce(key, F.lit("")).alias("_key"))
+    listed = asked.groupBy("doc_id").agg(F.collect_list(F.struct("label", "_flat")).alias("_labels")).checkpoint()
+    few, many = listed.where(F.size("_labels") <= FEW_LABELS), listed.where(F.size("_labels") > FEW_LABELS)
     texts = steps.select("doc_id", "step_id", _flat(F.col("text")).alias("_text"))
-    words = texts.select("doc_id", "step_id", F.explode(F.array_distinct(F.concat(F.regexp_extract_all("_text", F.lit(_WORD), 0), F.array(F.lit(""))))).alias("_key"))
-    pairs = asked.join(words.hint("merge"), ["doc_id", "_key"]).select("doc_id", "step_id", "label").distinct()
-    quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.regexp_replace(_flat(F.col("label")), r"\\E", r"\\E\\\\E\\Q"), F.lit(r"\E(?!\w)"))
-    met = pairs.join(texts.hint("merge"), ["doc_id", "step_id"]).where(F.rlike("_text", quoted))
+    met = texts.join(few.hint("merge"), "doc_id").select("doc_id", "step_id", "_text", F.inline("_labels")).where(F.contains("_text", "_flat"))
+    if not many.isEmpty():
+        met = met.unionByName(_by_words(many, texts))
+    quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.regexp_replace("_flat", r"\\E", r"\\E\\\\E\\Q"), F.lit(r"\E(?!\w)"))
+    met = met.where(F.rlike("_text", quoted))
     return met.groupBy("doc_id", "label").agg(F.min("step_id").alias("step_id"), F.max("step_id").alias("_last")).where("step_id = _last").drop("_last")
 
 
+def _by_words(listed: DataFrame, texts: DataFrame) -> DataFrame:
+    """The labels (_labels: label, _flat) of a document beside its texts (step_id, _text) that have a label's longest word."""
+    key = F.array_max(F.transform(F.regexp_extract_all("_flat", F.lit(_WORD), 0), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    sought = listed.select("doc_id", F.inline("_labels")).select("doc_id", "label", "_flat", F.coalesce(key, F.lit("")).alias("_key"))
+    own = texts.join(listed.select("doc_id").hint("merge"), "doc_id")
+    words = own.select("doc_id", "step_id", F.explode(F.array_distinct(F.concat(F.regexp_extract_all("_text", F.lit(_WORD), 0), F.array(F.lit(""))))).alias("_key"))
+    pairs = sought.join(words.hint("merge"), ["doc_id", "_key"]).select("doc_id", "step_id", "label", "_flat").distinct()
+    return pairs.join(own.hint("merge"), ["doc_id", "step_id"]).select("doc_id", "step_id", "_text", "label", "_flat")
+
+
 def place_transitions(transitions: DataFrame, steps: DataFrame) -> DataFrame:
     """The transitions (doc_id, trigger_step, ...) whose step there is."""
     return transitions.join(steps.select("doc_id", F.col("step_id").alias("trigger_step")), ["doc_id", "trigger_step"], "left_semi")

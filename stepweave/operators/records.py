@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepweave.functions import procedures
-from stepweave.functions.text import hypernym, step_id, step_phase, type_hint
+from stepweave.functions.text import hypernym, let, step_id, step_phase, type_hint
 from stepweave.operators import extraction
 from stepweave.session import ensure_checkpoint_dir
 from stepweave.sources.readers import MENTION, RELATION, STEP
@@ -68,11 +68,17 @@ def _listed(rows: DataFrame, keys: list[str], name: str, fields: list[Column], o
     return rows.groupBy(*keys).agg(F.transform(ordered, lambda e: e["x"]).alias(name))
 
 
+def _mention_fields() -> dict[str, Column]:
+    return {"kind": F.lit(None).cast("string"), "semantic_type_hint": F.col("hint"), "shared_hypernym": F.col("hypernym")}
+
+
+def _mention_order(by: str) -> list[Column]:
+    return [F.lower("label").alias("a"), F.col("pos").alias("b")] if by == "label" else [F.col("pos").alias("a"), F.col("label").alias("b")]
+
+
 def _mentions(rows: DataFrame, keys: list[str], name: str, by: str) -> DataFrame:
     """Mentions by label, letters' case aside (by: label), or as they came (by: pos)."""
-    made = rows.withColumns({"kind": F.lit(None).cast("string"), "semantic_type_hint": F.col("hint"), "shared_hypernym": F.col("hypernym")})
-    order = [F.lower("label").alias("a"), F.col("pos").alias("b")] if by == "label" else [F.col("pos").alias("a"), F.col("label").alias("b")]
-    return _listed(made, keys, name, [F.col(c) for c in _PLAIN_MENTION], order)
+    return _listed(rows.withColumns(_mention_fields()), keys, name, [F.col(c) for c in _PLAIN_MENTION], _mention_order(by))
 
 
 def _concepts(found: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -119,34 +125,35 @@ def compose_records(documents: DataFrame, found: Extracted) -> DataFrame:
     owned = owners.where("step_id IS NOT NULL")
 
     free = owners.where("step_id IS NULL").drop("step_id")
-    loose = free.join(tabled, doc, "left_semi")
-    loose = extraction.mend_indicates(extraction.mend_structural(loose, catalog), catalog)
-    loose = loose.where(procedures.keeps_document_relation(F.col("family"), F.col("head"), F.col("tail")))
+    loose, some = free.join(tabled, doc, "left_semi"), not free.isEmpty()
+    if some:  # else no relation is to be mended, kept or marked, and concepts need not be looked through for it
+        loose = extraction.mend_indicates(extraction.mend_structural(loose, catalog), catalog)
+        loose = loose.where(procedures.keeps_document_relation(F.col("family"), F.col("head"), F.col("tail")))
     of_documents = loose.unionByName(free.join(tabled, doc, "left_anti"))
 
     ends = owned.select("doc_id", "step_id", F.explode(F.array_distinct(F.array("head", "tail"))).alias("label"), "pos").where(step_id(F.col("label")).isNull())
     ends = ends.groupBy("doc_id", "step_id", "label").agg(F.min("pos").alias("_at"))
-    known = catalog.withColumn("_known", F.lit(True))
-    placed = ends.join(known, ["doc_id", "label"], "left").select(
-        "doc_id", "step_id", "label", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("surface_form", "label").alias("surface_form"), "hint", "hypernym",
-        F.coalesce("node_worthy", F.lit(True)).alias("node_worthy"), F.col("_at").alias("pos"),
-    )
     rest = catalog.join(ends.select("doc_id", "label").distinct(), ["doc_id", "label"], "left_anti")
     told = extraction.surface_steps(rest, steps)
-    at_step = placed.unionByName(rest.join(told, ["doc_id", "label"]).select(placed.columns)).checkpoint()
-    of_document = rest.join(told, ["doc_id", "label"], "left_anti")
+    at = ends.unionByName(told.select("doc_id", "step_id", "label", F.lit(None).cast("int").alias("_at")))
+    placed = at.join(catalog, ["doc_id", "label"], "full").select(
+        "doc_id", "step_id", "label", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("surface_form", "label").alias("surface_form"), "hint", "hypernym",
+        F.coalesce("node_worthy", F.lit(True)).alias("node_worthy"), F.coalesce("_at", "pos").alias("pos"),
+    ).checkpoint()
+    at_step, of_document = placed.where("step_id IS NOT NULL"), placed.where("step_id IS NULL")
 
-    crossing = extraction.cross_steps(loose, at_step.join(steps.select("doc_id", "step_id", "step_pos"), ["doc_id", "step_id"]))
     made = _step_arrays(steps, owned, at_step, found)
     mentioned = _mentions(of_document, doc, "_by_label", "label").join(_mentions(plain, doc, "_as_given", "pos"), doc, "full")
     mentioned = mentioned.select("doc_id", F.coalesce("_by_label", "_as_given").alias("document_concept_mentions"))
-    fields = [F.col(c) for c in ("label", "family", "head", "tail")]
-    kept = _listed(_distinct(of_documents, doc), doc, "document_relation_mentions", fields, [F.col("pos")])
-    crossed = _listed(crossing, doc, "cross_step_relations", [*fields, F.col("head_step"), F.col("tail_step")], [F.col("pos")])
-
-    out = documents
-    for part in (made, mentioned, kept, crossed):
-        out = out.join(part, doc, "left")
+    out = documents.join(made, doc, "left").join(mentioned, doc, "left")
+    if some:
+        crossing = extraction.cross_steps(loose, at_step.join(steps.select("doc_id", "step_id", "step_pos"), ["doc_id", "step_id"]))
+        fields = [F.col(c) for c in ("label", "family", "head", "tail")]
+        kept = _listed(_distinct(of_documents, doc), doc, "document_relation_mentions", fields, [F.col("pos")])
+        crossed = _listed(crossing, doc, "cross_step_relations", [*fields, F.col("head_step"), F.col("tail_step")], [F.col("pos")])
+        out = out.join(kept, doc, "left").join(crossed, doc, "left")
+    else:
+        out = out.withColumns({c: F.lit(None) for c in ("document_relation_mentions", "cross_step_relations")})
     none = lambda c, kind: F.coalesce(F.col(c).cast(f"array<{kind}>"), F.array().cast(f"array<{kind}>")).alias(c)
     mention = MENTION.replace(",parent_gold:string,gold_parent:string", "")
     step = STEP.replace(MENTION, mention)
@@ -157,49 +164,64 @@ def compose_records(documents: DataFrame, found: Extracted) -> DataFrame:
     )
 
 
+def _first_of_each(entries: Column) -> Column:
+    """The distinct x of entries (x, pos), each at its first pos, in order."""
+    first = let(F.array_sort(entries), lambda v: F.filter(v, lambda e, i: (i == 0) | ~e["x"].eqNullSafe(F.get(v, i - 1)["x"])))
+    return F.transform(F.array_sort(F.transform(first, lambda e: F.struct(e["pos"].alias("at"), e["x"].alias("x")))), lambda e: e["x"])
+
+
 def _step_arrays(steps: DataFrame, owned: DataFrame, at_step: DataFrame, found: Extracted) -> DataFrame:
-    """doc_id, step_records: each step with its mentions, relations, actions, structural edges, transitions and diagnostics."""
+    """doc_id, step_records: each step with its mentions, relations, actions, structural edges, transitions and diagnostics.
+
+    The steps and all their parts are dealt by document once, then grouped by step and by document.
+    """
     key, pos = ["doc_id", "step_id"], [F.col("pos")]
-    last = F.lit(2_000_000_000).alias("pos")
-    follows = steps.where("sequence_next IS NOT NULL").select(*key, last, F.lit("triggers").alias("label"), F.lit("task_dependency").alias("family"), F.col("step_id").alias("head"), F.col("sequence_next").alias("tail"))
-    every = owned.unionByName(follows.select(owned.columns))
     ends = {end: step_id(F.col(end)) for end in ("head", "tail")}
     name = lambda c, new: F.col(c).alias(new)
+    none = F.lit(None).cast("string")
 
-    acts = every.where((F.col("family") == "task_dependency") & (ends["head"] == F.col("step_id")) & ends["tail"].isNull())
-    structural = every.where("family = 'structural'")
-    states = every.where("family = 'lifecycle' AND label IN ('transitionsTo', 'hasState')")
-    states = states.select(*key, F.lit(0).alias("part"), "pos", name("head", "from_state"), name("tail", "to_state"), name("step_id", "trigger_step"), F.lit(None).cast("string").alias("evidence_label"))
     filled = lambda c: F.when(F.trim(c) != "", F.trim(c)).alias(c)
     text = lambda c: F.coalesce(F.trim(c), F.lit("")).alias(c)
     given = found.transitions.select("doc_id", "pos", text("from_state"), text("to_state"), filled("trigger_step"), filled("evidence_label"))
-    given = extraction.place_transitions(given, steps).withColumns({"step_id": F.col("trigger_step"), "part": F.lit(1)})
-    states = states.unionByName(given.select(states.columns))
-
-    seen = every.where("family IN ('communication', 'propagation')")
-    seen = seen.select(*key, F.lit(0).alias("part"), "pos", name("head", "evidence_label"), name("tail", "indicated_label"), name("family", "mechanism"))
+    given = extraction.place_transitions(given, steps).withColumn("step_id", F.col("trigger_step"))
     more = found.diagnostics.select("doc_id", "pos", text("evidence_label"), text("indicated_label"), filled("mechanism"))
-    more = extraction.place_diagnostics(more, at_step).withColumn("part", F.lit(1))
-    seen = seen.unionByName(more.select(seen.columns))
+    more = extraction.place_diagnostics(more, at_step)
+
+    def part(when: Column | None, order: list[Column], fields: list[Column]) -> Column:
+        made = F.struct(F.struct(*order).alias("at"), F.struct(*fields).alias("x"))
+        return made if when is None else F.when(when, made)
 
     relation = [F.col(c) for c in ("label", "family", "head", "tail")]
+    acts = (F.col("family") == "task_dependency") & (ends["head"] == F.col("step_id")) & ends["tail"].isNull()
+    states = (F.col("family") == "lifecycle") & F.col("label").isin("transitionsTo", "hasState")
+    state = ("from_state", "to_state", "trigger_step", "evidence_label")
+    sign = ("evidence_label", "indicated_label", "mechanism")
+    nth = lambda n: [F.lit(n).alias("part"), *pos]
     parts = (
-        _mentions(at_step, key, "concept_mentions", "label"),
-        _listed(_distinct(every, key), key, "relation_mentions", relation, pos),
-        _listed(acts, key, "step_actions", [name("label", "action_type"), name("tail", "target_label")], pos),
-        _listed(structural, key, "structural_edges", relation, pos),
-        _listed(states, key, "state_transitions", [F.col(c) for c in ("from_state", "to_state", "trigger_step", "evidence_label")], [F.col("part"), *pos]),
-        _listed(seen, key, "diagnostic_edges", [F.col(c) for c in ("evidence_label", "indicated_label", "mechanism")], [F.col("part"), *pos]),
-    )
-    out = steps
-    for part in parts:
-        out = out.join(part, key, "left")
-    none = F.lit(None).cast("string")
+        steps.select(*key, F.struct("step_pos", "text", "sequence_next").alias("_step")),
+        at_step.withColumns(_mention_fields()).select(*key, part(None, _mention_order("label"), [F.col(c) for c in _PLAIN_MENTION]).alias("concept_mentions")),
+        owned.select(
+            *key, F.struct(F.struct(*relation).alias("x"), "pos").alias("_relations"), part(acts, pos, [name("label", "action_type"), name("tail", "target_label")]).alias("step_actions"), part(F.col("family") == "structural", pos, relation).alias("structural_edges"),
+            part(states, nth(0), [name("head", "from_state"), name("tail", "to_state"), name("step_id", "trigger_step"), none.alias("evidence_label")]).alias("state_transitions"),
+            part(F.col("family").isin("communication", "propagation"), nth(0), [name("head", "evidence_label"), name("tail", "indicated_label"), name("family", "mechanism")]).alias("diagnostic_edges"),
+        ),
+        given.select(*key, part(None, nth(1), [F.col(c) for c in state]).alias("state_transitions")),
+        more.select(*key, part(None, nth(1), [F.col(c) for c in sign]).alias("diagnostic_edges")),
+    )
+    rows = parts[0]
+    for one in parts[1:]:
+        rows = rows.unionByName(one, allowMissingColumns=True)
+    kinds = ("concept_mentions", "step_actions", "structural_edges", "state_transitions", "diagnostic_edges")
+    listed = [F.transform(F.array_sort(F.collect_list(c)), lambda e: e["x"]).alias(c) for c in kinds]
+    out = rows.repartition("doc_id").groupBy(*key).agg(F.collect_list("_step").alias("_own"), F.collect_list("_relations").alias("_relations"), *listed).withColumn("_own", F.get("_own", F.lit(0)))
+    out = out.where("_own IS NOT NULL").select(*key, "_own.*", "_relations", *kinds)
+    follows = F.struct(F.lit("triggers").alias("label"), F.lit("task_dependency").alias("family"), F.col("step_id").alias("head"), F.col("sequence_next").alias("tail"))
+    follows = F.when(F.col("sequence_next").isNotNull(), F.struct(follows.alias("x"), F.lit(2_000_000_000).alias("pos")))
+    out = out.withColumn("relation_mentions", _first_of_each(F.concat("_relations", F.array_compact(F.array(follows)))))
     task = {"label": F.col("step_id"), "kind": none, "description": F.lit(""), "node_worthy": F.lit(True), "surface_form": F.col("text"), "semantic_type_hint": none, "shared_hypernym": none}
-    empty = lambda c: F.coalesce(F.col(c), F.array().cast(dict(out.dtypes)[c])).alias(c)
     fields = [
-        F.col("step_id"), F.struct(*(v.alias(k) for k, v in task.items())).alias("task"), empty("concept_mentions"), empty("relation_mentions"), step_phase(F.col("text")).alias("step_phase"),
-        F.substring(F.trim(F.substring_index("text", ".", 1)), 1, 72).alias("step_summary"), F.col("text").alias("surface_form"), empty("step_actions"), empty("structural_edges"), empty("state_transitions"),
-        empty("diagnostic_edges"), F.col("sequence_next"),
+        F.col("step_id"), F.struct(*(v.alias(k) for k, v in task.items())).alias("task"), F.col("concept_mentions"), F.col("relation_mentions"), step_phase(F.col("text")).alias("step_phase"),
+        F.substring(F.trim(F.substring_index("text", ".", 1)), 1, 72).alias("step_summary"), F.col("text").alias("surface_form"), F.col("step_actions"), F.col("structural_edges"), F.col("state_transitions"),
+        F.col("diagnostic_edges"), F.col("sequence_next"),
     ]
     return _listed(out, ["doc_id"], "step_records", fields, [F.col("step_pos")])

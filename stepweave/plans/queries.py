@@ -624,8 +624,9 @@ def candidate_counts(spark, sf_dir):
 def composed_records(spark, sf_dir):
     """Orders as documents, a line as a step that names one concept and acts on another."""
     doc, n = F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_linenumber")
-    unit = lambda c: F.max(F.concat(F.lit("valve unit "), (F.col(c) % 9).cast("string")))
-    lines = table(spark, sf_dir, "lineitem").groupBy(doc, n.cast("int").alias("pos")).agg(unit("l_partkey").alias("c"), unit("l_suppkey").alias("r"))
+    unit = lambda c: F.concat(F.lit("valve unit "), F.max(F.col(c) % 9).cast("string"))
+    ensure_checkpoint_dir(spark)
+    lines = table(spark, sf_dir, "lineitem").groupBy(doc, n.cast("int").alias("pos")).agg(unit("l_partkey").alias("c"), unit("l_suppkey").alias("r")).checkpoint()
     step, none = F.concat(F.lit("T"), F.col("pos")), F.lit(None).cast("string")
     row = F.concat(F.lit("| "), step, F.lit(" | Check the "), F.col("c"), F.lit(" |"))
     content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", row.alias("t")))), lambda x: x["t"]), "\n")

@@ -292,3 +292,11 @@ def test_surface_steps_of_files_travel_without_texts(spark, tmp_path):
     out = extraction.surface_steps(labels, steps)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, out.collect())) == [(0, "Main Valve 1", 1), (0, "spare hose", 3), *((d, "Main Valve 1", 1) for d in range(1, 20))]
+
+
+@pytest.mark.parametrize("few", [0, 2, 64])
+def test_surface_steps_of_few_and_many_labels(spark, monkeypatch, few):
+    monkeypatch.setattr(extraction, "FEW_LABELS", few)
+    steps = spark.createDataFrame([("d", "T1", "Main valve, (oil) pump"), ("d", "T2", "oil pump; valves"), ("d", "T2", "oil pump"), ("e", "T1", "oil pump --- ---")], "doc_id string, step_id string, text string")
+    labels = spark.createDataFrame([("d", "main valve"), ("d", "Oil pump"), ("d", "(oil) pump"), ("d", "valves"), ("e", "oil pump"), ("e", "--- ---"), (None, "oil pump")], "doc_id string, label string")
+    assert sorted(map(tuple, extraction.surface_steps(labels, steps).collect())) == [("d", "(oil) pump", "T1"), ("d", "Oil pump", "T2"), ("d", "main valve", "T1"), ("e", "--- ---", "T1"), ("e", "oil pump", "T1")]

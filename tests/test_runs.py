@@ -165,3 +165,18 @@ def test_settings_are_checked(tmp_path):
         (tmp_path / "s.json").write_text(json.dumps(told))
         with pytest.raises(SettingsError, match=words):
             runs.load_settings(f"{tmp_path}/s.json")
+
+
+def test_composing_deals_rows_out_few_times(spark):
+    """The parts of steps are grouped together: before, the plan of the last job alone had 29 exchanges."""
+    from stepweave.plans.queries import QUERIES
+
+    plan = QUERIES["composed_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 12
+
+
+def test_a_repeated_relation_stands_at_its_first_place(spark):
+    relations = [("a", k, *r) for k, r in enumerate([("inspects", "task_dependency", "T1", "pump"), ("triggers", "", "T1", "T2"), ("contains", "structural", "T1", "hose"), ("inspects", "task_dependency", "T1", "pump"), ("contains", "structural", "T1", "hose")])]
+    one, two = composed(spark, [("a", TEXT)], (), relations)["a"]["step_records"]
+    assert [(r["label"], r["tail"]) for r in one["relation_mentions"]] == [("inspects", "pump"), ("triggers", "T2"), ("contains", "hose")] and two["relation_mentions"] == []
+    assert [a["target_label"] for a in one["step_actions"]] == ["pump", "pump"] and [e["tail"] for e in one["structural_edges"]] == ["hose", "hose"]
