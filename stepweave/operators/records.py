@@ -64,7 +64,7 @@ def _distinct(relations: DataFrame, keys: list[str]) -> DataFrame:
 
 def _listed(rows: DataFrame, keys: list[str], name: str, fields: list[Column], order: list[Column]) -> DataFrame:
     """rows as one array of structs of fields per key, in an order."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), F.struct(*fields).alias("x"))))
+    ordered = F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("at"), F.struct(*fields).alias("x"))))
     return rows.groupBy(*keys).agg(F.transform(ordered, lambda e: e["x"]).alias(name))
 
 
@@ -166,8 +166,8 @@ def compose_records(documents: DataFrame, found: Extracted) -> DataFrame:
 
 def _first_of_each(entries: Column) -> Column:
     """The distinct x of entries (x, pos), each at its first pos, in order."""
-    first = let(F.array_sort(entries), lambda v: F.filter(v, lambda e, i: (i == 0) | ~e["x"].eqNullSafe(F.get(v, i - 1)["x"])))
-    return F.transform(F.array_sort(F.transform(first, lambda e: F.struct(e["pos"].alias("at"), e["x"].alias("x")))), lambda e: e["x"])
+    first = let(F.sort_array(entries), lambda v: F.filter(v, lambda e, i: (i == 0) | ~e["x"].eqNullSafe(F.get(v, i - 1)["x"])))
+    return F.transform(F.sort_array(F.transform(first, lambda e: F.struct(e["pos"].alias("at"), e["x"].alias("x")))), lambda e: e["x"])
 
 
 def _step_arrays(steps: DataFrame, owned: DataFrame, at_step: DataFrame, found: Extracted) -> DataFrame:
@@ -212,7 +212,7 @@ def _step_arrays(steps: DataFrame, owned: DataFrame, at_step: DataFrame, found:
     for one in parts[1:]:
         rows = rows.unionByName(one, allowMissingColumns=True)
     kinds = ("concept_mentions", "step_actions", "structural_edges", "state_transitions", "diagnostic_edges")
-    listed = [F.transform(F.array_sort(F.collect_list(c)), lambda e: e["x"]).alias(c) for c in kinds]
+    listed = [F.transform(F.sort_array(F.collect_list(c)), lambda e: e["x"]).alias(c) for c in kinds]
     out = rows.repartition("doc_id").groupBy(*key).agg(F.collect_list("_step").alias("_own"), F.collect_list("_relations").alias("_relations"), *listed).withColumn("_own", F.get("_own", F.lit(0)))
     out = out.where("_own IS NOT NULL").select(*key, "_own.*", "_relations", *kinds)
     follows = F.struct(F.lit("triggers").alias("label"), F.lit("task_dependency").alias("family"), F.col("step_id").alias("head"), F.col("sequence_next").alias("tail"))
